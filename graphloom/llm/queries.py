@@ -16,5 +16,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op10_sharding": op10_sharding}
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.warc import archive_round_trip
+
+    return archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {"op7_warc": op7_warc, "op10_sharding": op10_sharding}
 ORACLE: dict[str, str] = {}
