@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import table
+from graphloom.llm.common import held_out, table
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,11 +16,26 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_rules", "most_telling")
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.langid import identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, train(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.warc import archive_round_trip
 
     return archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op7_warc": op7_warc, "op10_sharding": op10_sharding}
+QUERIES = {"op1_toxicity": op1_toxicity, "op8_langid": op8_langid, "op7_warc": op7_warc, "op10_sharding": op10_sharding}
 ORACLE: dict[str, str] = {}
