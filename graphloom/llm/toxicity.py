@@ -129,7 +129,7 @@ class Restorer:
         return words
 
 
-def features(words: Iterable[str], shortest: int = 3, longest: int = 6) -> set[str]:
+def features(words: Iterable[str], shortest: int = 3, longest: int = 10) -> set[str]:
     """The words, and their beginnings marked by a star."""
     found = set(words)
     for w in list(found):
@@ -176,7 +176,7 @@ def cover(rows: list[tuple[int, list[str]]], clean: int, least: float, support:
     return rules, (left + 0.5) / (n + 1)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_documents: int = 20_000, max_rules: int = 400, least: float = 0.5, support: int = 4) -> dict:
+def train(docs: DataFrame, labels: DataFrame, max_documents: int = 20_000, max_rules: int = 400, least: float = 0.4, support: int = 3, sure_at: float = 0.85) -> dict:
     """A scoring model from labelled rows of ``docs`` that are not held out.
 
     ``max_documents`` bounds the labelled sample, taken by the hash of the id; everything that reaches the driver is
@@ -240,7 +240,10 @@ def train(docs: DataFrame, labels: DataFrame, max_documents: int = 20_000, max_r
     rows = [(r.toxic, list(r.names)) for r in table.filter((F.size("names") > 0) | (F.col("toxic") == 1)).collect()]
     clean = sample.count() - len(rows)
     rules, base = cover(rows, clean, least, support, max_rules)
-    return {"trigrams": counts, "rules": dict(rules), "base": base}
+    # features that are sure by themselves also count where the rules before them found every sample text
+    sure = {f: b for f in useful if (b := lower_bound(hits[f], hits[f] + misses.get(f, 0))) >= sure_at}
+    sure = dict(sorted(sure.items(), key=lambda x: (-hits[x[0]], x[0]))[:max_rules])
+    return {"trigrams": counts, "rules": sure | dict(rules), "base": base}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
