@@ -31,11 +31,19 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, train(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from graphloom.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.warc import archive_round_trip
 
     return archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op8_langid": op8_langid, "op7_warc": op7_warc, "op10_sharding": op10_sharding}
+QUERIES = {"op1_toxicity": op1_toxicity, "op4_packing": op4_packing, "op8_langid": op8_langid, "op7_warc": op7_warc, "op10_sharding": op10_sharding}
 ORACLE: dict[str, str] = {}
