@@ -45,5 +45,11 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op4_packing": op4_packing, "op8_langid": op8_langid, "op7_warc": op7_warc, "op10_sharding": op10_sharding}
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op4_packing": op4_packing, "op8_langid": op8_langid, "op7_warc": op7_warc, "op9_minhash": op9_minhash, "op10_sharding": op10_sharding}
 ORACLE: dict[str, str] = {}
