@@ -39,6 +39,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.topk import quantised, top_products
+
+    return top_products(quantised(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.warc import archive_round_trip
 
@@ -51,5 +57,17 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op4_packing": op4_packing, "op8_langid": op8_langid, "op7_warc": op7_warc, "op9_minhash": op9_minhash, "op10_sharding": op10_sharding}
-ORACLE: dict[str, str] = {}
+QUERIES = {"op1_toxicity": op1_toxicity, "op6_topk": op6_topk, "op4_packing": op4_packing, "op8_langid": op8_langid, "op7_warc": op7_warc, "op9_minhash": op9_minhash, "op10_sharding": op10_sharding}
+ORACLE: dict[str, str] = {
+    "op6_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+  FROM embeddings WHERE embedding IS NOT NULL
+), s AS (
+  SELECT q.vec_id AS query_id, x.vec_id AS vec_id, CAST(list_dot_product(q.e, x.e) AS BIGINT) AS score
+  FROM v q JOIN v x ON q.vec_id % 20 = 0 AND q.vec_id <> x.vec_id
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+}
