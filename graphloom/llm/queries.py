@@ -45,6 +45,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.decontamination import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.topk import quantised, top_products
 
@@ -63,7 +69,7 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_suffix_dedup": op3_suffix_dedup, "op6_topk": op6_topk, "op4_packing": op4_packing, "op8_langid": op8_langid, "op7_warc": op7_warc, "op9_minhash": op9_minhash, "op10_sharding": op10_sharding}
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_suffix_dedup": op3_suffix_dedup, "op5_decontamination": op5_decontamination, "op6_topk": op6_topk, "op4_packing": op4_packing, "op8_langid": op8_langid, "op7_warc": op7_warc, "op9_minhash": op9_minhash, "op10_sharding": op10_sharding}
 ORACLE: dict[str, str] = {
     "op6_topk": """
 WITH v AS (

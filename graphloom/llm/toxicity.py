@@ -246,6 +246,34 @@ def train(docs: DataFrame, labels: DataFrame, max_documents: int = 20_000, max_r
     return {"trigrams": counts, "rules": sure | dict(rules), "base": base}
 
 
+class TextScorer:
+    """Score, number of rules met and the surest of them."""
+
+    def __init__(self, model: dict):
+        self.restorer, self.rules, self.base = Restorer(CharModel(model["trigrams"])), model["rules"], model["base"]
+        self.heads = {f[:3] for f in self.rules}
+
+    def __call__(self, text: str | None) -> tuple[float, int, str | None]:
+        telling = [w for w in self.restorer.words(text) if w[:3] in self.heads]
+        met = features(telling) & self.rules.keys() if telling else ()
+        clean = 1.0 - self.base
+        for f in met:
+            clean *= 1.0 - self.rules[f]
+        return 1.0 - clean, len(met), max(met, key=lambda f: (self.rules[f], f), default=None)
+
+
+def score_column(spark, model: dict, text):
+    """The score of a text column, as a column."""
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = TextScorer(shared.value)
+        for batch in batches:
+            yield batch.map(lambda t: scorer(t)[0]).astype(float)
+
+    return F.pandas_udf(run, "double")(text)
+
+
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, score (0 to 1), n_rules (distinct rules that the restored text meets), most_telling (the surest of them).
 
@@ -255,17 +283,9 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        restorer, rules, base = Restorer(CharModel(shared.value["trigrams"])), shared.value["rules"], shared.value["base"]
-        heads = {f[:3] for f in rules}
+        scorer = TextScorer(shared.value)
         for batch in batches:
-            out = []
-            for text in batch.text:
-                telling = [w for w in restorer.words(text) if w[:3] in heads]
-                met = features(telling) & rules.keys() if telling else ()
-                clean = 1.0 - base
-                for f in met:
-                    clean *= 1.0 - rules[f]
-                out.append((1.0 - clean, len(met), max(met, key=lambda f: (rules[f], f), default=None)))
+            out = [scorer(t) for t in batch.text]
             yield pd.DataFrame({"doc_id": batch.doc_id, "score": [x[0] for x in out], "n_rules": [x[1] for x in out], "most_telling": [x[2] for x in out]})
 
     rows = docs.select(F.col("doc_id").cast("string"), "text")
