@@ -1,4 +1,449 @@
-"""Registered queries of the graph engine and their SQL counterparts."""
+"""Registered queries of the graph engine and, where SQL can express them, their SQL counterparts.
+
+Doubles are rounded to six digits on both sides. The SQL of centrality counts walks of each length, keeps the shortest
+and sums pair dependencies: a formula of its own, not the recurrence that the operators use.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.functions.scalars import batch_size, format_nodes, gteps, tier
+from graphloom.operators import compare, etl, generators, graph, paths
+from graphloom.operators.centrality import betweenness, dependencies, most_central, top_central
+from graphloom.plans import derived, fixtures, reports
+from graphloom.sources import run_files
 
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+# --- SQL of the derived graphs -------------------------------------------------------------------------------------
+
+ARCS = """arcs AS (
+  SELECT DISTINCT src, dst FROM (
+    SELECT user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst FROM events WHERE event_type = 'purchase'
+  ) WHERE dst IS NOT NULL AND src <> dst
+)"""
+PURCHASE = ARCS + ", und AS (SELECT src, dst FROM arcs UNION SELECT dst, src FROM arcs)"
+PARTS = """und AS (
+  SELECT l_partkey AS src, l_suppkey + 10000000 AS dst FROM lineitem WHERE l_quantity >= 49
+  UNION SELECT l_suppkey + 10000000, l_partkey FROM lineitem WHERE l_quantity >= 49
+)"""
+GEO = """half AS (
+  SELECT CAST(n_regionkey AS BIGINT) AS src, CAST(n_nationkey + 100 AS BIGINT) AS dst FROM nation
+  UNION ALL SELECT s_nationkey + 100, s_suppkey + 1000000 FROM supplier
+  UNION ALL SELECT c_nationkey + 100, c_custkey + 2000000 FROM customer
+), und AS (SELECT src, dst FROM half UNION SELECT dst, src FROM half)"""
+
+
+def walks(arcs: str, cap: int, sources: str = "") -> str:
+    return f"""p AS (
+  SELECT DISTINCT src AS s, src AS v, 0 AS d, CAST(1 AS HUGEINT) AS sigma FROM (SELECT src FROM {arcs} UNION SELECT dst FROM {arcs}) {sources}
+  UNION ALL
+  SELECT s, dst, d + 1, CAST(sum(sigma) AS HUGEINT) FROM p JOIN {arcs} u ON p.v = u.src WHERE d < {cap} GROUP BY s, dst, d
+), m AS (SELECT s, v, min(d) AS d FROM p GROUP BY s, v),
+f AS (SELECT s, v, d, CAST(sigma AS DOUBLE) AS sigma FROM p JOIN m USING (s, v, d))"""
+
+
+def levels_sql(arcs: str, sources: str, cap: int) -> str:
+    """Distances without walk counts, for deeper graphs."""
+    return f"""r AS (
+  SELECT DISTINCT src AS s, src AS v, 0 AS d FROM {arcs} WHERE {sources}
+  UNION
+  SELECT s, dst, d + 1 FROM r JOIN {arcs} u ON r.v = u.src WHERE d < {cap}
+), b AS (SELECT s, v, min(d) AS d FROM r GROUP BY s, v)"""
+
+
+def bc_sql(graph_sql: str, arcs: str, cap: int, half: float, tail: str = "SELECT v, round(bc, 6) AS bc FROM bc") -> str:
+    return f"""WITH RECURSIVE {graph_sql}, {walks(arcs, cap)},
+t AS (
+  SELECT x.v AS v, sum(x.sigma * y.sigma / z.sigma) / {half} AS bc
+  FROM f x JOIN f y ON x.v = y.s JOIN f z ON z.s = x.s AND z.v = y.v AND z.d = x.d + y.d
+  WHERE x.s <> x.v AND y.v <> x.v GROUP BY x.v
+), ids AS (SELECT src AS v FROM {arcs} UNION SELECT dst FROM {arcs}),
+bc AS (SELECT v, coalesce(t.bc, 0.0) AS bc FROM ids LEFT JOIN t USING (v))
+{tail}"""
+
+
+# --- graph analytics -----------------------------------------------------------------------------------------------
+
+
+@query(bc_sql(PURCHASE, "und", 8, 2))
+def bc_purchase_relational(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(betweenness(derived.purchase_graph(spark, sf_dir), "relational"))
+
+
+@query(bc_sql(PURCHASE, "und", 8, 2))
+def bc_purchase_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(betweenness(derived.purchase_graph(spark, sf_dir), "kernel"))
+
+
+@query(bc_sql(ARCS, "arcs", 8, 1))
+def bc_purchase_directed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(betweenness(derived.purchase_graph(spark, sf_dir, directed=True), "kernel"))
+
+
+@query(bc_sql(PURCHASE, "und", 8, 2, "SELECT v, round(bc, 6) AS bc FROM bc ORDER BY bc.bc DESC, v LIMIT 1"))
+def bc_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(most_central(betweenness(derived.purchase_graph(spark, sf_dir))))
+
+
+@query(bc_sql(PURCHASE, "und", 8, 2, "SELECT v, round(bc, 6) AS bc FROM bc ORDER BY bc.bc DESC, v LIMIT 10"))
+def bc_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(top_central(betweenness(derived.purchase_graph(spark, sf_dir)), 10))
+
+
+@query(f"""WITH {GEO}, c AS (SELECT dst AS v, 0 AS x FROM half WHERE dst >= 1000000),
+leaves AS (SELECT src AS nation, count(*) AS k FROM half WHERE dst >= 1000000 GROUP BY src),
+nations AS (SELECT src AS region, dst AS nation, coalesce(k, 0) AS k FROM half LEFT JOIN leaves ON nation = dst WHERE dst < 1000),
+trees AS (SELECT region, 1 + sum(1 + k) AS n, sum((1 + k) * (1 + k)) AS sq FROM nations GROUP BY region)
+SELECT v, CAST(x AS DOUBLE) AS bc FROM c
+UNION ALL SELECT nation, CAST(k * (k - 1) / 2 + k * (n - 1 - k) AS DOUBLE) FROM nations JOIN trees USING (region)
+UNION ALL SELECT region, CAST(((n - 1) * (n - 1) - sq) / 2 AS DOUBLE) FROM trees""")
+def bc_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five trees: the SQL has the closed form of a tree's centrality."""
+    return rounded(betweenness(derived.geography_graph(spark, sf_dir)))
+
+
+@query(bc_sql("g AS (SELECT a.i * 7 + b.i AS v FROM range(7) a(i), range(7) b(i)), und AS (SELECT x.v AS src, y.v AS dst FROM g x JOIN g y ON (x.v // 7 = y.v // 7 AND abs(x.v - y.v) = 1) OR abs(x.v - y.v) = 7)", "und", 12, 2))
+def bc_grid7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(betweenness(generators.grid(spark, 49)))
+
+
+@query(f"WITH RECURSIVE {PARTS}, {levels_sql('und', 'src BETWEEN 10000000 AND 10000004', 12)} SELECT s, v, d FROM b")
+def bfs_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = derived.part_supplier_graph(spark, sf_dir)
+    return paths.bfs(g, g.vertices.filter(F.col("id").between(10_000_000, 10_000_004)))
+
+
+@query(f"WITH RECURSIVE {PURCHASE}, {walks('und', 8)} SELECT s, v, d, sigma FROM f")
+def path_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = derived.purchase_graph(spark, sf_dir)
+    return paths.shortest_path_counts(g, g.vertices)
+
+
+@query(f"WITH RECURSIVE {PURCHASE}, {walks('und', 8)} SELECT s, v, d, sigma FROM f")
+def path_counts_both_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = derived.purchase_graph(spark, sf_dir)
+    return paths.shortest_path_counts(g, g.vertices, direction="auto")
+
+
+@query(f"""WITH RECURSIVE {PURCHASE}, {walks('und', 8)}
+SELECT x.s AS s, x.v AS v, round(sum(x.sigma * y.sigma / z.sigma), 6) AS delta
+FROM f x JOIN f y ON x.v = y.s JOIN f z ON z.s = x.s AND z.v = y.v AND z.d = x.d + y.d
+WHERE x.s <> x.v AND y.v <> x.v AND x.s % 10 = 1 GROUP BY x.s, x.v""")
+def path_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = derived.purchase_graph(spark, sf_dir)
+    return rounded(dependencies(g, g.vertices.filter("id % 10 = 1")))
+
+
+@query(f"""WITH RECURSIVE {PARTS}, {levels_sql('und', 'src BETWEEN 10000000 AND 10000004', 12)}, c AS (SELECT s, d, count(*) AS size FROM b GROUP BY s, d)
+SELECT s, d, size, CAST(coalesce(sum(size) OVER (PARTITION BY s ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first FROM c""")
+def bfs_level_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.level_sizes(bfs_parts(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {PURCHASE}, {walks('und', 8)} SELECT s, max(d) AS depth FROM f GROUP BY s")
+def source_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.eccentricity(path_counts(spark, sf_dir))
+
+
+@query("SELECT CAST(49 AS BIGINT) AS n, CAST(0 AS BIGINT) AS n_fail, true AS pass")
+def strategies_agree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The comparator over two strategies on a lattice."""
+    g = generators.grid(spark, 49)
+    return compare.summary(betweenness(g, "relational"), betweenness(g, "kernel")).select("n", "n_fail", "pass")
+
+
+@query(f"WITH {PARTS}, d AS (SELECT src, count(*) AS k FROM und GROUP BY src) SELECT count(*) AS n, CAST(sum(k) / 2 AS BIGINT) AS m, round(avg(k), 6) AS avg_degree, max(k) AS max_degree, count(*) FILTER (k = 0) AS isolated FROM d")
+def degree_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(graph.degree_stats(derived.part_supplier_graph(spark, sf_dir)))
+
+
+@query(f"WITH {GEO}, d AS (SELECT src AS id, count(*) AS degree FROM und GROUP BY src) SELECT id, degree, CAST(coalesce(sum(degree) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ptr FROM d")
+def csr_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.row_pointers(derived.geography_graph(spark, sf_dir))
+
+
+@query(f"WITH {GEO}, n AS (SELECT src AS orig_id, row_number() OVER (ORDER BY src) - 1 AS id FROM (SELECT DISTINCT src FROM und)) SELECT orig_id, id FROM n")
+def dense_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.numbered(derived.geography_graph(spark, sf_dir).vertices)
+
+
+@query(f"WITH {PARTS} SELECT src AS id, array_to_string(list_sort(list(dst)), ' ') AS nbrs FROM und GROUP BY src")
+def adjacency_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.adjacency(derived.part_supplier_graph(spark, sf_dir)).select("id", F.array_join("nbrs", " ").alias("nbrs"))
+
+
+@query("""WITH RECURSIVE i AS (SELECT CAST(range AS BIGINT) AS v FROM range(10000)) SELECT v AS src, v + 1 AS dst FROM i WHERE v % 100 < 99 UNION ALL SELECT v + 1, v FROM i WHERE v % 100 < 99
+UNION ALL SELECT v, v + 100 FROM i WHERE v < 9900 UNION ALL SELECT v + 100, v FROM i WHERE v < 9900""")
+def generated_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generators.grid(spark, 10_099).edges
+
+
+@query("SELECT CAST(500 AS BIGINT) AS n, CAST(6 + 496 * 3 AS BIGINT) AS m, CAST(0 AS BIGINT) AS isolated")
+def generated_attachment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.degree_stats(generators.barabasi_albert(spark, 500, 3)).select("n", "m", "isolated")
+
+
+@query()
+def generated_random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A random graph of its own stream: checked by properties in the tests."""
+    return graph.degree_stats(generators.erdos_renyi(spark, 20_000, 5e-4))
+
+
+# --- graph ETL -----------------------------------------------------------------------------------------------------
+
+CLEAN = f"""lines(value) AS (VALUES {fixtures.sql_values(fixtures.EDGE_LINES)}),
+f AS (SELECT string_split(trim(regexp_replace(value, '\\s+', ' ', 'g')), ' ') AS x, value FROM lines),
+e AS (SELECT TRY_CAST(x[1] AS BIGINT) AS src, TRY_CAST(x[2] AS BIGINT) AS dst FROM f WHERE NOT starts_with(trim(value), '#')),
+ok AS (SELECT DISTINCT src, dst FROM e WHERE src IS NOT NULL AND dst IS NOT NULL AND src <> dst),
+ids AS (SELECT v AS orig_id, row_number() OVER (ORDER BY v) - 1 AS id FROM (SELECT src AS v FROM ok UNION SELECT dst FROM ok)),
+d AS (SELECT a.id AS src, b.id AS dst FROM ok JOIN ids a ON a.orig_id = src JOIN ids b ON b.orig_id = dst)"""
+
+
+@query(f"WITH {CLEAN} SELECT src, dst FROM d UNION SELECT dst, src FROM d")
+def clean_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return etl.clean(fixtures.edge_lines(spark)).graph.edges
+
+
+@query(f"WITH {CLEAN} SELECT src, dst FROM d")
+def clean_edges_directed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return etl.clean(fixtures.edge_lines(spark), directed=True).graph.edges
+
+
+@query(f"WITH {CLEAN} SELECT orig_id, id FROM ids")
+def clean_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return etl.clean(fixtures.edge_lines(spark)).mapping
+
+
+@query(f"""WITH {CLEAN} SELECT count(*) AS n_lines, count(*) FILTER (starts_with(trim(value), '#')) AS n_comments,
+count(*) FILTER (NOT starts_with(trim(value), '#') AND trim(value) <> '' AND (TRY_CAST(x[1] AS BIGINT) IS NULL OR TRY_CAST(x[2] AS BIGINT) IS NULL)) AS n_skipped,
+count(*) FILTER (NOT starts_with(trim(value), '#') AND TRY_CAST(x[1] AS BIGINT) = TRY_CAST(x[2] AS BIGINT)) AS n_loops FROM f""")
+def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return etl.clean(fixtures.edge_lines(spark)).lines
+
+
+@query("""WITH o AS (SELECT DISTINCT o_custkey AS src, l_partkey + 1000000 AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderpriority = '1-URGENT'),
+ids AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS id FROM (SELECT src AS v FROM o UNION SELECT dst FROM o)),
+d AS (SELECT id AS src FROM o JOIN ids ON v = src UNION ALL SELECT id FROM o JOIN ids ON v = dst)
+SELECT (SELECT count(*) FROM ids) AS n, (SELECT count(*) FROM o) AS m, max(k) AS max_degree FROM (SELECT src, count(*) AS k FROM d GROUP BY src)""")
+def clean_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The converter over edge lines made of urgent orders: customer and part."""
+    urgent = derived.table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").join(derived.table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    lines = urgent.select(F.concat_ws("\t", F.col("o_custkey"), F.col("l_partkey") + 1_000_000).alias("value"))
+    return graph.degree_stats(etl.clean(lines).graph).select("n", "m", "max_degree")
+
+
+# --- reports -------------------------------------------------------------------------------------------------------
+
+SIZES = "sizes(graph_base, nodes, edges) AS (SELECT a, CAST(b AS BIGINT), CAST(c AS BIGINT) FROM (VALUES " + fixtures.sql_rows(reports.GRAPH_SIZES) + ") AS t(a, b, c))"
+KINDS = "kinds(transfer_type, peak_gbs, label) AS (VALUES " + fixtures.sql_rows(reports.TRANSFERS) + ")"
+RUN_LINES = "l(file_ord, line_no, value) AS (VALUES " + fixtures.sql_rows(fixtures.run_lines()) + ")"
+RUNS = RUN_LINES + """, s AS (SELECT *, string_split(value, chr(9)) AS x FROM l),
+h AS (SELECT file_ord, min(line_no) AS head_line FROM s WHERE x[1] = 'Implementation' GROUP BY file_ord),
+a AS (SELECT file_ord, line_no, x[1] AS implementation, x[2] AS graph, TRY_CAST(x[3] AS DOUBLE) AS time_sec, TRY_CAST(x[4] AS DOUBLE) AS gteps
+  FROM s JOIN h USING (file_ord) WHERE line_no > head_line AND len(x) >= 4 AND x[1] IN ('Sequential', 'OpenMP', 'GPU', 'GPU_Managed', 'GPU_ReadMostly', 'GPU_Opt', 'sequential', 'omp', 'gpu', 'gpu_managed', 'gpu_readmostly', 'gpu_opt')),
+runs AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY implementation, graph ORDER BY file_ord, line_no) AS k FROM a) WHERE k = 1),
+w AS (SELECT runs.*, string_split(graph, '/')[-1] AS graph_base, coalesce(nodes, 0) AS nodes FROM runs LEFT JOIN sizes ON sizes.graph_base = string_split(graph, '/')[-1])"""
+SIZE_LABEL = "CASE WHEN nodes >= 1000000 THEN printf('%.2fM', nodes / 1e6) WHEN nodes >= 1000 THEN CAST(nodes // 1000 AS VARCHAR) || 'K' ELSE CAST(nodes AS VARCHAR) END"
+
+
+def _runs(spark: SparkSession) -> DataFrame:
+    parsed = run_files.parse_tsv(fixtures.lines(spark, fixtures.run_lines()), ["Implementation", "Graph", "Time_sec", "GTEPS"], "Implementation")
+    return run_files.first_runs(parsed, ["file_ord", "line_no"])
+
+
+def pivot_sql(value: str, names=tuple(run_files.IMPLEMENTATIONS), source: str = "w") -> str:
+    cols = ", ".join(f"round(avg({value}) FILTER (implementation = '{n}'), 6) AS \"{n}\"" for n in names)
+    return f"WITH {SIZES}, {RUNS} SELECT graph_base AS graph, {SIZE_LABEL} AS size, {cols} FROM {source} GROUP BY graph_base, nodes"
+
+
+@query(f"WITH {SIZES}, {RUNS} SELECT implementation, graph, time_sec, gteps FROM runs")
+def dirty_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _runs(spark).select("implementation", "graph", "time_sec", "gteps")
+
+
+@query(pivot_sql("time_sec"))
+def exec_time_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(reports.exec_time_table(_runs(spark), reports.graph_sizes(spark)))
+
+
+@query(pivot_sql("gteps"))
+def gteps_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(reports.gteps_table(_runs(spark), reports.graph_sizes(spark)))
+
+
+for _base in ("Sequential", "OpenMP"):
+
+    def _speedup(spark: SparkSession, sf_dir: str, base: str = _base) -> DataFrame:
+        return rounded(reports.speedup_table(_runs(spark), reports.graph_sizes(spark), base))
+
+    QUERIES[f"speedup_vs_{_base.lower()}"] = _speedup
+    ORACLE[f"speedup_vs_{_base.lower()}"] = pivot_sql("base_time / time_sec", source=f"(SELECT w.*, b.time_sec AS base_time FROM w JOIN w b ON b.graph_base = w.graph_base AND b.implementation = '{_base}')")
+
+
+@query(f"WITH {SIZES}, {RUNS} SELECT graph_base AS graph, nodes, " + ", ".join(f"arg_min(gteps, file_ord * 1000 + line_no) FILTER (implementation = '{n}' AND gteps IS NOT NULL) AS \"{n}\"" for n in reports.ABLATION) + " FROM (SELECT * REPLACE (CASE implementation WHEN 'gpu' THEN 'GPU' WHEN 'gpu_managed' THEN 'GPU_Managed' WHEN 'gpu_readmostly' THEN 'GPU_ReadMostly' WHEN 'gpu_opt' THEN 'GPU_Opt' ELSE implementation END AS implementation) FROM w) WHERE implementation LIKE 'GPU%' AND gteps IS NOT NULL GROUP BY graph_base, nodes")
+def ablation_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.ablation_table(_runs(spark), reports.graph_sizes(spark), ["file_ord", "line_no"])
+
+
+@query("WITH t AS (" + ORACLE["ablation_table"] + ") SELECT graph, nodes, round(\"GPU\" / \"GPU\", 6) AS \"GPU\", round(\"GPU_Managed\" / \"GPU\", 6) AS \"GPU_Managed\", round(\"GPU_ReadMostly\" / \"GPU\", 6) AS \"GPU_ReadMostly\", round(\"GPU_Opt\" / \"GPU\", 6) AS \"GPU_Opt\" FROM t")
+def ablation_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(reports.ablation_table(_runs(spark), reports.graph_sizes(spark), ["file_ord", "line_no"], relative=True))
+
+
+BANDWIDTH = "bw(transfer_type, size_gb, bandwidth_gbs) AS (VALUES " + fixtures.sql_rows(fixtures.BANDWIDTH) + ")"
+
+
+@query(f"WITH {KINDS}, {BANDWIDTH} SELECT label AS transfer, " + ", ".join(f"round(avg(CAST(bandwidth_gbs AS DOUBLE)) FILTER (size_gb = {s}), 6) AS gb_{str(s).replace('.', '_')}" for s in fixtures.BUFFERS) + " FROM bw JOIN kinds USING (transfer_type) GROUP BY label")
+def bandwidth_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(reports.bandwidth_table(fixtures.bandwidth(spark), reports.transfers(spark), fixtures.BUFFERS))
+
+
+@query(f"WITH {KINDS}, {BANDWIDTH} SELECT label AS transfer, CAST(bandwidth_gbs AS DOUBLE) AS bandwidth_gbs, peak_gbs, round(CAST(bandwidth_gbs AS DOUBLE) / peak_gbs * 100, 6) AS percent FROM bw JOIN kinds USING (transfer_type) WHERE size_gb = (SELECT max(size_gb) FROM bw)")
+def bandwidth_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(reports.utilisation(fixtures.bandwidth(spark), reports.transfers(spark)))
+
+
+@query(f"WITH {KINDS}, {BANDWIDTH} SELECT label AS series, CAST(size_gb AS DOUBLE) AS x, CAST(bandwidth_gbs AS DOUBLE) AS y, peak_gbs FROM bw JOIN kinds USING (transfer_type)")
+def bandwidth_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.bandwidth_series(fixtures.bandwidth(spark), reports.transfers(spark))
+
+
+SCALING = "sc(impl, sharp, ranks, time_sec, gteps) AS (SELECT impl, sharp, ranks, CAST(t AS DOUBLE), CAST(g AS DOUBLE) FROM (VALUES " + fixtures.sql_rows(fixtures.SCALING) + ") AS x(impl, sharp, ranks, t, g))"
+
+
+@query(f"WITH {SCALING} SELECT impl, sharp, ranks, time_sec, round(t1 / time_sec, 6) AS speedup, round(t1 / (ranks * time_sec), 6) AS efficiency, gteps FROM sc JOIN (SELECT impl, sharp, time_sec AS t1 FROM sc WHERE ranks = 1) USING (impl, sharp)")
+def scaling_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(reports.scaling_table(fixtures.scaling(spark)))
+
+
+@query(f"WITH {SCALING}, t AS (SELECT avg(time_sec) AS t1 FROM sc WHERE ranks = 1) SELECT impl || CASE WHEN sharp <> 0 THEN ' (ON)' ELSE ' (OFF)' END AS series, ranks AS x, round(time_sec, 6) AS y FROM sc UNION ALL SELECT 'ideal', ranks, round(t1 / ranks, 6) FROM (SELECT DISTINCT ranks FROM sc), t")
+def strong_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(reports.scaling_series(fixtures.scaling(spark)))
+
+
+@query(f"WITH {SCALING}, t AS (SELECT avg(time_sec) AS t1 FROM sc WHERE ranks = 1) SELECT impl || CASE WHEN sharp <> 0 THEN ' (ON)' ELSE ' (OFF)' END AS series, ranks AS x, round(time_sec, 6) AS y FROM sc UNION ALL SELECT 'ideal', ranks, round(t1, 6) FROM (SELECT DISTINCT ranks FROM sc), t")
+def weak_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(reports.scaling_series(fixtures.scaling(spark), weak=True))
+
+
+@query(f"WITH {SCALING} SELECT CASE WHEN sharp <> 0 THEN 'ON' ELSE 'OFF' END AS series, ranks AS x, round(avg(time_sec), 6) AS y FROM sc GROUP BY sharp, ranks")
+def switch_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(reports.switch_series(fixtures.scaling(spark)))
+
+
+@query(f"WITH {SIZES}, {RUNS} SELECT implementation AS series, graph_base AS graph, nodes, time_sec AS y FROM w")
+def exec_time_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.time_series(_runs(spark), reports.graph_sizes(spark))
+
+
+@query(f"WITH {SIZES}, {RUNS} SELECT implementation AS series, graph_base AS graph, nodes, gteps AS y FROM w")
+def gteps_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.time_series(_runs(spark), reports.graph_sizes(spark), "gteps")
+
+
+@query(f"WITH {SIZES}, {RUNS} SELECT w.implementation AS series, w.graph_base AS graph, w.nodes AS nodes, round(b.time_sec / w.time_sec, 6) AS y FROM w JOIN w b ON b.graph_base = w.graph_base AND b.implementation = 'OpenMP' WHERE w.implementation <> 'OpenMP'")
+def speedup_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(reports.speedup_series(_runs(spark), reports.graph_sizes(spark), "OpenMP"))
+
+
+DENSE = f"""{SIZES}, {RUNS}, c AS (SELECT * REPLACE (CASE implementation WHEN 'gpu' THEN 'GPU' WHEN 'gpu_opt' THEN 'GPU_Opt' ELSE implementation END AS implementation) FROM w),
+n(series) AS (VALUES ('GPU'), ('GPU_Managed'), ('GPU_ReadMostly'), ('GPU_Opt')),
+g AS (SELECT series, graph_base AS graph, nodes FROM n, (SELECT DISTINCT graph_base, nodes FROM c WHERE implementation LIKE 'GPU%')),
+m AS (SELECT implementation AS series, graph_base AS graph, avg(gteps) AS y FROM c GROUP BY implementation, graph_base),
+dense AS (SELECT series, graph, nodes, coalesce(y, 0) AS y FROM g LEFT JOIN m USING (series, graph))"""
+
+
+@query(f"WITH {DENSE} SELECT series, graph, nodes, round(y, 6) AS y FROM dense")
+def memory_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(reports.dense_series(_runs(spark), reports.graph_sizes(spark), reports.ABLATION, "gteps"))
+
+
+@query(f"WITH {DENSE} SELECT d.series, d.graph, d.nodes, round(d.y, 6) AS y, round(CASE WHEN r.y > 0 THEN d.y / r.y ELSE 0 END, 6) AS ratio FROM dense d JOIN dense r ON r.graph = d.graph AND r.series = 'GPU'")
+def ablation_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(reports.ablation_series(_runs(spark), reports.graph_sizes(spark)))
+
+
+@query(f"""WITH {SIZES}, {RUNS}, f AS (
+  SELECT (SELECT count(DISTINCT graph) FROM runs) AS g, (SELECT max(a.time_sec / b.time_sec) FROM w a JOIN w b USING (graph_base) WHERE lower(a.implementation) = 'sequential' AND lower(b.implementation) = 'gpu_opt') AS s,
+  (SELECT count(DISTINCT nodes) FROM w WHERE nodes > 0) AS k, (SELECT max(nodes) / min(nodes) FROM w WHERE nodes > 0) AS r
+), t AS (SELECT CAST(CASE WHEN g >= 5 THEN 2 WHEN g >= 3 THEN 1 ELSE 0 END + CASE WHEN s > 100 THEN 3 WHEN s > 10 THEN 2 WHEN s IS NOT NULL THEN 1 ELSE 0 END + 2 + CASE WHEN k < 4 THEN 0 WHEN r > 100 THEN 2 ELSE 1 END AS INTEGER) AS score FROM f)
+SELECT score, CASE WHEN score >= 8 THEN 'Excellent' WHEN score >= 5 THEN 'Good' ELSE 'Insufficient' END AS verdict FROM t""")
+def run_adequacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = _runs(spark)
+    return reports.adequacy(runs, runs.filter(F.col("implementation") == "GPU_Managed"), fixtures.bandwidth(spark), reports.graph_sizes(spark))
+
+
+SWEEP = "sw(batchsize, graph, time_sec, gteps) AS (SELECT b, g, CAST(t AS DOUBLE), CAST(x AS DOUBLE) FROM (VALUES " + fixtures.sql_rows(fixtures.SWEEP) + ") AS v(b, g, t, x))"
+
+
+@query(f"WITH {SWEEP} SELECT string_split(graph, '/')[-1] AS series, CAST(batchsize AS INTEGER) AS x, time_sec, gteps FROM sw")
+def batch_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.batch_series(fixtures.sweep(spark))
+
+
+@query(f"WITH {SWEEP} SELECT string_split(graph, '/')[-1] AS graph, CAST(arg_min(batchsize, time_sec) AS INTEGER) AS batch, min(time_sec) AS time_sec, arg_min(gteps, time_sec) AS gteps FROM sw GROUP BY graph")
+def best_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.best_batch(fixtures.sweep(spark))
+
+
+@query(f"WITH {SIZES} SELECT graph_base AS graph, CASE WHEN nodes <= 11023 THEN 'small' WHEN nodes <= 500000 THEN 'medium' WHEN nodes <= 2000000 THEN 'large' ELSE 'xlarge' END AS tier, {SIZE_LABEL} AS size, round(CAST(nodes AS DOUBLE) * edges / 2.5 / 1e9, 6) AS gteps, CAST(greatest(1, least(floor(96e9 * 0.85 / (nodes * 40)), 1024)) AS INTEGER) AS batch FROM sizes")
+def graph_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = reports.graph_sizes(spark)
+    return rounded(sizes.select(F.col("graph_base").alias("graph"), tier(F.col("nodes")).alias("tier"), format_nodes(F.col("nodes")).alias("size"), gteps(F.col("nodes"), F.col("edges"), F.lit(2.5)).alias("gteps"), batch_size(F.lit(96e9), F.col("nodes") * 40).alias("batch")))
+
+
+# --- report operators over the driver's tables ---------------------------------------------------------------------
+
+
+@query("SELECT o_orderpriority AS priority, " + ", ".join(f"round(avg(o_totalprice) FILTER (o_orderstatus = '{s}'), 4) AS \"{s}\"" for s in "FOP") + " FROM orders GROUP BY o_orderpriority")
+def pivot_mean_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = derived.table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("priority")).pivot("o_orderstatus", ["F", "O", "P"]).agg(F.avg("o_totalprice"))
+    return rounded(rows, 4)
+
+
+@query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events) WHERE k = 1")
+def first_event_of_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keep-first duplicates: aggregated before the shuffle, unlike a window."""
+    rows = derived.table(spark, sf_dir, "events")
+    first = F.min(F.struct("ts", "event_id", "value")).alias("f")
+    return rows.groupBy("user_id", "event_type").agg(first).select("user_id", "event_type", F.col("f.event_id").alias("event_id"), F.col("f.value").alias("value"))
+
+
+@query("WITH m AS (SELECT l_suppkey, l_returnflag, avg(l_extendedprice) AS a FROM lineitem GROUP BY l_suppkey, l_returnflag) SELECT m.l_suppkey, m.l_returnflag, round(m.a / b.a, 6) AS ratio FROM m JOIN m b ON b.l_suppkey = m.l_suppkey AND b.l_returnflag = 'N'")
+def ratio_to_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    means = derived.table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.avg("l_extendedprice").alias("a"))
+    base = means.filter("l_returnflag = 'N'").select("l_suppkey", F.col("a").alias("b"))
+    return means.join(base, "l_suppkey").select("l_suppkey", "l_returnflag", F.round(F.try_divide("a", "b"), 6).alias("ratio"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity = (SELECT max(l_quantity) FROM lineitem)")
+def rows_at_largest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.at_largest(derived.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), "l_quantity").select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("WITH g AS (SELECT n_name, s FROM nation, (SELECT DISTINCT c_mktsegment AS s FROM customer)) SELECT g.n_name AS nation, g.s AS segment, count(c_custkey) AS customers FROM g LEFT JOIN (customer JOIN nation ON c_nationkey = n_nationkey) c ON c.n_name = g.n_name AND c.c_mktsegment = g.s GROUP BY g.n_name, g.s")
+def dense_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = derived.table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("nation"))
+    customer = derived.table(spark, sf_dir, "customer").select("c_nationkey", F.col("c_mktsegment").alias("segment"))
+    counts = customer.groupBy("c_nationkey", "segment").agg(F.count("*").alias("customers"))
+    cells = nation.crossJoin(F.broadcast(customer.select("segment").distinct()))  # nations times segments
+    return cells.join(counts, (F.col("n_nationkey") == F.col("c_nationkey")) & (cells.segment == counts.segment), "left").select("nation", cells.segment, F.coalesce("customers", F.lit(0)).alias("customers"))

@@ -1,0 +1,84 @@
+"""Small inputs of the report and ETL queries, as rows for Spark and as SQL values."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+EDGE_LINES = ["# comment", "10 20", "20 10", "20\t30 extra", "30 30", "40 40", "bad line", "7", "x 9", "", "10 20", "  30   10 ", "50 -3", "-3 50"]
+
+#: Published seconds and GTEPS of a few runs, as a log would hold them.
+RUN_ROWS = [
+    ("Sequential", "benchmark_7000_41459", "4.2091", "0.0689"),
+    ("Sequential", "benchmark_11023_62184", "8.4669", "0.0810"),
+    ("OpenMP", "benchmark_7000_41459", "0.0857", "3.3868"),
+    ("OpenMP", "benchmark_11023_62184", "0.1265", "5.4177"),
+    ("OpenMP", "56438_300801", "12.0880", "1.4044"),
+    ("OpenMP", "web-NotreDame", "32.5043", "14.7278"),
+    ("GPU", "benchmark_7000_41459", "0.3151", "0.9210"),
+    ("GPU", "benchmark_11023_62184", "0.3608", "1.8998"),
+    ("GPU", "56438_300801", "1.7759", "9.5597"),
+    ("GPU", "325557_3216152", "125.9354", "8.3141"),
+    ("GPU", "roadNet-CA", "12567.0169", "0.4326"),
+    ("GPU_Managed", "benchmark_7000_41459", "0.2656", "1.0928"),
+    ("GPU_Managed", "56438_300801", "8.8203", "1.9247"),
+    ("GPU_ReadMostly", "56438_300801", "1.7230", "9.8529"),
+    ("GPU_Opt", "benchmark_7000_41459", "0.2142", "1.3551"),
+    ("GPU_Opt", "benchmark_11023_62184", "0.3031", "2.2616"),
+    ("GPU_Opt", "56438_300801", "1.5046", "11.2832"),
+    ("GPU_Opt", "web-NotreDame", "10.9100", "43.8786"),
+    ("GPU_Opt", "roadNet-CA", "11790.0851", "0.4611"),
+]
+BUFFERS = [0.1, 0.5, 1.1, 4.3]
+BANDWIDTH = [
+    (kind, size, gbs)
+    for kind, row in (
+        ("HBM3_DtoD", (1427.1, 1463.9, 1476.6, 1488.2)),
+        ("NVLink_C2C_Prefetch", (151.8, 154.0, 174.9, 155.6)),
+        ("Pinned_DtoH", (293.5, 297.0, 297.6, 298.1)),
+        ("Pinned_HtoD", (410.4, 421.1, 423.3, 424.8)),
+    )
+    for size, gbs in zip(BUFFERS, row, strict=True)
+]
+SCALING = [("mpi_gpu", sharp, ranks, round((40.0 - 3 * sharp) / ranks + 0.5 * (ranks - 1), 4), round(0.5 * ranks, 4)) for sharp in (0, 1) for ranks in (1, 2, 4, 8)] + [("mpi_cpu", 0, 2, 55.0, 0.25)]
+SWEEP = [("32", "/data/benchmark_11023_62184", 0.708, 0.97), ("64", "/data/benchmark_11023_62184", 0.44, 1.56), ("128", "/data/benchmark_11023_62184", 0.364, 1.88), ("256", "/data/benchmark_11023_62184", 0.387, 1.77), ("512", "/data/benchmark_11023_62184", 0.371, 1.85)]
+
+
+def run_lines() -> list[tuple[int, int, str]]:
+    """(file_ord, line_no, value): noise, repeated headers, unknown names, short and long rows, bad numbers, repeats."""
+    head = "Implementation\tGraph\tTime_sec\tGTEPS"
+    one = ["noise before the header", head, *("\t".join(r) for r in RUN_ROWS[:10]), head, "unknown_impl\tg\t1\t1", "GPU\tshort_row", "GPU\t85830\tnot_a_number\t0.5"]
+    two = [head, *("\t".join((i, f"/some/dir/{g}", t, x)) for i, g, t, x in RUN_ROWS[10:]), "OpenMP\tbenchmark_7000_41459\t9.9\t9.9", "gpu_opt\t325557_3216152\t118.6556\t8.8242\textra"]
+    return [(k + 1, i, v) for k, part in enumerate((one, two)) for i, v in enumerate(part)]
+
+
+def sql_literal(x) -> str:
+    return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+
+
+def sql_values(rows) -> str:
+    return ", ".join(f"({sql_literal(x)})" for x in rows)
+
+
+def sql_rows(rows) -> str:
+    return ", ".join("(" + ", ".join(map(sql_literal, r)) + ")" for r in rows)
+
+
+def edge_lines(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(x,) for x in EDGE_LINES], "value string")
+
+
+def lines(spark: SparkSession, rows) -> DataFrame:
+    return spark.createDataFrame(rows, "file_ord int, line_no long, value string")
+
+
+def bandwidth(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(BANDWIDTH, "transfer_type string, size_gb double, bandwidth_gbs double")
+
+
+def scaling(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(SCALING, "impl string, sharp int, ranks int, time_sec double, gteps double")
+
+
+def sweep(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(SWEEP, "batchsize string, graph string, time_sec double, gteps double").withColumn("batchsize", F.trim("batchsize"))
