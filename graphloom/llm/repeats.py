@@ -6,8 +6,8 @@ document becomes about one segment for every ``(length - k) / 2`` bytes.
 
 1. Count the keys (smallest hashes) of all segments; windows under a key that occurs once, as the hash of one k-gram,
    are unique.
-2. Segments under repeated keys are grouped by (key, content); one of each, and a second copy where there are several,
-   goes to the task of its key.
+2. Segments under repeated keys are grouped by (key, content) before anything is sorted; one of each goes to the task of
+   its key, with a mark if it has copies.
 3. A task sorts the suffixes of its segments by two-stage sorting, block by block, and compares neighbours in the
    suffix array: a window is repeated exactly if a neighbour shares ``length`` bytes.
 4. A key with more than ``crowd`` different segments would not fit into a block; its windows are dealt one by one, by
@@ -136,30 +136,39 @@ def repeated_spans(docs: DataFrame, length: int = 200, crowd: int = 16_384, bloc
     distinct = stash(distinct.select("key", "content", (F.col("copies") > 1).alias("again"), "one.rid", "one.start", "one.n"), "segment-classes")
     crowded = distinct.groupBy("key").count().filter(F.col("count") > crowd).select("key")
     crowded = stash(crowded, "crowded-keys")
-    wanted = distinct.groupBy("rid").agg(F.collect_list(F.struct("key", "content", "again", "start", "n")).alias("wanted"))
+    wanted = distinct.groupBy("rid").agg(F.collect_list(F.struct("key", "content", "again", "start", "n")).alias("w")).select("rid", "w.*")
 
     def fetch(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["key", "content", "again", "start", "n"]
         for batch in batches:
-            out = []
-            for raw, wanted in zip(batch.raw, batch.wanted, strict=True):
-                out += [(w["key"], w["content"], w["again"], w["n"], raw[w["start"] : w["start"] + w["n"] + length - 1]) for w in wanted]
-            for s in range(0, len(out), 8192):
-                yield pd.DataFrame(out[s : s + 8192], columns=["key", "content", "again", "n", "bytes"])
+            out, held = [], 0
+            for row in zip(batch.raw, *[batch[c] for c in names], strict=True):
+                raw, part = row[0], pd.DataFrame(dict(zip(names, row[1:], strict=True)))
+                part["bytes"] = [raw[s : s + n + length - 1] for s, n in zip(part.start, part.n, strict=True)]
+                out.append(part.drop(columns="start"))
+                held += len(part)
+                if held >= 4096:
+                    yield pd.concat(out)
+                    out, held = [], 0
+            if out:
+                yield pd.concat(out)
 
     fetched = texts.join(wanted, "rid").mapInPandas(fetch, "key long, content long, again boolean, n int, bytes binary")
 
     def solve(held: list[tuple]) -> pd.DataFrame:
-        parts, places, at = [], [], 0
-        for _, _, again, n, raw in held:
+        parts, at = [], 0
+        places, counts = [], np.array([row[3] for row in held])
+        for row in held:
             places.append(at)
-            one = np.frombuffer(raw, dtype=np.uint8)
-            for _ in range(2 if again else 1):
-                parts += [one, SEPARATOR]
-                at += len(raw) + 1
-        flags = repeated_starts(np.concatenate(parts), length)
+            parts += [np.frombuffer(row[4], dtype=np.uint8), SEPARATOR]
+            at += len(row[4]) + 1
+        asked = np.zeros(at, dtype=bool)
+        asked[np.repeat(np.array(places) - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())] = True
+        flags = repeated_starts(np.concatenate(parts), length, asked)
         rows = []
-        for (key, content, _, n, _), place in zip(held, places, strict=True):
-            first, last = _runs(flags[place : place + n])
+        for (key, content, again, n, _), place in zip(held, places, strict=True):
+            # a segment with an equal one repeats in full; one copy stands for all in the suffix array
+            first, last = ([0], [n - 1]) if again else _runs(flags[place : place + n])
             if first:
                 rows.append((key, content, first, last))
         return pd.DataFrame(rows, columns=["key", "content", "first", "last"])

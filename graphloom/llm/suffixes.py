@@ -3,7 +3,8 @@
 A suffix is of type S if it is smaller than its successor and of type L otherwise. Only S suffixes are sorted directly.
 A scan over the buckets of first bytes, in ascending order, induces the order of the L suffixes: the one before an
 already placed suffix goes to the next free place of its bucket. The order is exact for the first ``depth`` bytes, which
-is all that common prefixes up to that length need.
+is all that common prefixes up to that length need. Where only some suffixes are asked for, those and the successors
+that induce them are sorted, and no others.
 """
 
 from __future__ import annotations
@@ -24,23 +25,60 @@ def smaller_than_successor(text: np.ndarray) -> np.ndarray:
     """True for suffixes of type S; the last suffix is of type L (it is larger than the empty one)."""
     n = len(text)
     change = np.zeros(n, dtype=np.int8)
-    change[:-1] = np.sign(text[1:].astype(np.int16) - text[:-1].astype(np.int16))
+    change[:-1] = (text[1:] > text[:-1]).astype(np.int8) - (text[1:] < text[:-1]).astype(np.int8)
     change[-1:] = -1
-    at = np.where(change != 0, np.arange(n), n)
-    following = np.minimum.accumulate(at[::-1])[::-1]
-    return change[following] > 0
+    same = np.flatnonzero(change == 0)
+    if len(same):  # equal bytes take the type of the next position
+        at = np.flatnonzero(change)
+        change[same] = change[at[np.searchsorted(at, same)]]
+    return change > 0
 
 
-def sort_directly(text: np.ndarray, which: np.ndarray, depth: int, words: np.ndarray) -> np.ndarray:
-    """Positions ``which`` by their first ``depth`` bytes, by refining groups that are still tied."""
-    order = which[np.argsort(words[which], kind="stable")]
-    key = words[order]
+def with_inducers(asked: np.ndarray, is_s: np.ndarray) -> np.ndarray:
+    """``asked`` and the successors of its L suffixes, up to the next S suffix."""
+    out = asked.copy()
+    at = np.flatnonzero(asked[:-1] & ~asked[1:] & ~is_s[:-1])
+    while len(at):
+        at = at + 1
+        out[at] = True
+        at = at[~is_s[at] & (at + 1 < len(asked))]
+    return out
+
+
+def ranks(words: np.ndarray) -> np.ndarray:
+    """Dense ranks of numbers, from 1."""
+    order = np.argsort(words)
+    sorted_words = words[order]
+    fresh = np.ones(len(order), dtype=np.int64)
+    fresh[1:] = sorted_words[1:] != sorted_words[:-1]
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = np.cumsum(fresh)
+    return out
+
+
+def sort_directly(which: np.ndarray, depth: int, rank: np.ndarray) -> np.ndarray:
+    """Positions ``which`` by their first ``depth`` bytes (``rank``: of the 8 bytes at each position), by refining
+    groups that are still tied, 16 bytes a round. Groups, and two ranks, are packed into one key of 64 bits."""
+    n = len(rank)
+    bits = int(n).bit_length()
+    if 3 * bits > 63:
+        raise ValueError("the block is too large to sort")
+    # rank 0: beyond the end
+
+    def key_at(at: np.ndarray) -> np.ndarray:
+        a = np.where(at < n, rank[np.minimum(at, n - 1)], 0)
+        b = np.where(at + 8 < n, rank[np.minimum(at + 8, n - 1)], 0)
+        return (a << bits) | b
+
+    key = key_at(which)
+    by = np.argsort(key)
+    order, key = which[by], key[by]
     fresh = np.ones(len(order), dtype=bool)
     fresh[1:] = key[1:] != key[:-1]
     # a group is named by the place of its first member, so names stay in order when it splits
     group = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
     open_at = np.arange(len(order))
-    for done in range(8, depth, 8):
+    for done in range(16, depth, 16):
         g = group[open_at]
         tied = np.zeros(len(g), dtype=bool)
         tied[1:] = g[1:] == g[:-1]
@@ -49,28 +87,30 @@ def sort_directly(text: np.ndarray, which: np.ndarray, depth: int, words: np.nda
         if not len(open_at):
             break
         g, suffix = group[open_at], order[open_at]
-        at = suffix + done
-        key = np.where(at < len(text), words[np.minimum(at, len(text) - 1)], np.uint64(0))
-        by = np.lexsort((key, g))
-        g, key = g[by], key[by]
+        key = (g << (2 * bits)) | key_at(suffix + done)
+        by = np.argsort(key)
+        key = key[by]
         order[open_at] = suffix[by]
         fresh = np.ones(len(g), dtype=bool)
-        fresh[1:] = (g[1:] != g[:-1]) | (key[1:] != key[:-1])
+        fresh[1:] = key[1:] != key[:-1]
         group[open_at] = open_at[np.maximum.accumulate(np.where(fresh, np.arange(len(g)), 0))]
     return order
 
 
-def suffix_array(text: np.ndarray, depth: int, words: np.ndarray | None = None) -> np.ndarray:
-    """All positions of ``text`` (uint8), ordered by the first ``depth`` bytes of their suffixes."""
+def suffix_array(text: np.ndarray, depth: int, words: np.ndarray | None = None, asked: np.ndarray | None = None) -> np.ndarray:
+    """Positions of ``text`` (uint8), ordered by the first ``depth`` bytes of their suffixes: all, or those ``asked``
+    for with the ones that induce them."""
     n = len(text)
     if n == 0:
         return np.zeros(0, dtype=np.int64)
     words = words8(text) if words is None else words
     is_s = smaller_than_successor(text)
-    direct = sort_directly(text, np.flatnonzero(is_s), depth, words)
+    inside = np.ones(n, dtype=bool) if asked is None else with_inducers(asked, is_s)
+    direct = sort_directly(np.flatnonzero(is_s & inside), depth, ranks(words))
     ends = np.searchsorted(text[direct], np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
-    waiting[text[-1]].append(np.array([n - 1]))  # it follows the empty suffix
+    if inside[-1]:
+        waiting[text[-1]].append(np.array([n - 1]))  # it follows the empty suffix
     out = []
     for c in range(256):
         level = np.concatenate(waiting[c]) if waiting[c] else np.zeros(0, dtype=np.int64)
@@ -78,14 +118,14 @@ def suffix_array(text: np.ndarray, depth: int, words: np.ndarray | None = None)
         while len(level):  # runs of the same byte, one step at a time
             placed.append(level)
             before = level[level > 0] - 1
-            level = before[text[before] == c]
+            level = before[(text[before] == c) & inside[before]]
         bucket = np.concatenate([*placed, direct[ends[c] : ends[c + 1]]])
         if not len(bucket):
             continue
         out.append(bucket)
         before = bucket[bucket > 0] - 1
         first = text[before]
-        later = first > c
+        later = (first > c) & inside[before]
         before, first = before[later], first[later]
         by = np.argsort(first, kind="stable")
         before, first = before[by], first[by]
@@ -93,7 +133,7 @@ def suffix_array(text: np.ndarray, depth: int, words: np.ndarray | None = None)
         for part in np.split(before, cuts) if len(before) else []:
             waiting[text[part[0]]].append(part)
         waiting[c] = []
-    return np.concatenate(out)
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
 
 
 def common_prefix_reaches(order: np.ndarray, words: np.ndarray, length: int) -> np.ndarray:
@@ -107,10 +147,10 @@ def common_prefix_reaches(order: np.ndarray, words: np.ndarray, length: int) ->
     return out
 
 
-def repeated_starts(text: np.ndarray, length: int) -> np.ndarray:
-    """True where a ``length``-byte string starts that starts elsewhere in ``text`` too."""
+def repeated_starts(text: np.ndarray, length: int, asked: np.ndarray | None = None) -> np.ndarray:
+    """True where a ``length``-byte string starts that starts at another position too (of those ``asked`` for)."""
     words = words8(text)
-    order = suffix_array(text, length, words)
+    order = suffix_array(text, length, words, asked)
     same = common_prefix_reaches(order, words, length)
     out = np.zeros(len(text), dtype=bool)
     out[order[:-1][same]] = True
