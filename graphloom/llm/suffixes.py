@@ -45,40 +45,47 @@ def with_inducers(asked: np.ndarray, is_s: np.ndarray) -> np.ndarray:
     return out
 
 
-def ranks(words: np.ndarray) -> np.ndarray:
-    """Dense ranks of numbers, from 1."""
-    order = np.argsort(words)
-    sorted_words = words[order]
-    fresh = np.ones(len(order), dtype=np.int64)
-    fresh[1:] = sorted_words[1:] != sorted_words[:-1]
-    out = np.empty(len(order), dtype=np.int64)
-    out[order] = np.cumsum(fresh)
+def packed(text: np.ndarray, room: int) -> tuple[np.ndarray, int, int]:
+    """For each position its next bytes as one number of at most ``room`` bits that orders like them (0 stands for the
+    end), with the bits of the number and the bytes in it. Bytes are re-coded by the text's own alphabet."""
+    alphabet = np.flatnonzero(np.bincount(text, minlength=256))
+    code = np.zeros(256, dtype=np.uint64)
+    code[alphabet] = np.arange(1, len(alphabet) + 1)
+    bits = int(len(alphabet)).bit_length()
+    n, width = len(text), max(1, room // bits)
+    one = np.zeros(n + 64, dtype=np.uint64)
+    one[:n] = code[text]
+    out, have = None, 0
+    part, size = one, 1
+    while size <= width:  # widths by powers of two, put together
+        if width & size:
+            out = part.copy() if out is None else (part << np.uint64(bits * have)) | _shifted(out, size)
+            have += size
+        part = (part << np.uint64(bits * size)) | _shifted(part, size)
+        size *= 2
+    return out[:n], bits * width, width
+
+
+def _shifted(x: np.ndarray, by: int) -> np.ndarray:
+    out = np.zeros_like(x)
+    out[:-by] = x[by:]
     return out
 
 
-def sort_directly(which: np.ndarray, depth: int, rank: np.ndarray) -> np.ndarray:
-    """Positions ``which`` by their first ``depth`` bytes (``rank``: of the 8 bytes at each position), by refining
-    groups that are still tied, 16 bytes a round. Groups, and two ranks, are packed into one key of 64 bits."""
-    n = len(rank)
-    bits = int(n).bit_length()
-    if 3 * bits > 63:
-        raise ValueError("the block is too large to sort")
-    # rank 0: beyond the end
-
-    def key_at(at: np.ndarray) -> np.ndarray:
-        a = np.where(at < n, rank[np.minimum(at, n - 1)], 0)
-        b = np.where(at + 8 < n, rank[np.minimum(at + 8, n - 1)], 0)
-        return (a << bits) | b
-
-    key = key_at(which)
+def sort_directly(which: np.ndarray, depth: int, text: np.ndarray) -> np.ndarray:
+    """Positions ``which`` by their first ``depth`` bytes, by refining groups that are still tied. A group and the next
+    bytes are packed into one key of 64 bits."""
+    n = len(text)
+    words, bits, width = packed(text, 64 - int(max(1, len(which))).bit_length())
+    key = words[which]
     by = np.argsort(key)
     order, key = which[by], key[by]
     fresh = np.ones(len(order), dtype=bool)
     fresh[1:] = key[1:] != key[:-1]
     # a group is named by the place of its first member, so names stay in order when it splits
-    group = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
+    group = np.maximum.accumulate(np.where(fresh, np.arange(len(order), dtype=np.uint64), np.uint64(0)))
     open_at = np.arange(len(order))
-    for done in range(16, depth, 16):
+    for done in range(width, depth, width):
         g = group[open_at]
         tied = np.zeros(len(g), dtype=bool)
         tied[1:] = g[1:] == g[:-1]
@@ -86,27 +93,27 @@ def sort_directly(which: np.ndarray, depth: int, rank: np.ndarray) -> np.ndarray
         open_at = open_at[tied]
         if not len(open_at):
             break
-        g, suffix = group[open_at], order[open_at]
-        key = (g << (2 * bits)) | key_at(suffix + done)
+        suffix = order[open_at]
+        at = suffix + done
+        key = (g[tied] << np.uint64(bits)) | np.where(at < n, words[np.minimum(at, n - 1)], np.uint64(0))
         by = np.argsort(key)
         key = key[by]
         order[open_at] = suffix[by]
-        fresh = np.ones(len(g), dtype=bool)
+        fresh = np.ones(len(key), dtype=bool)
         fresh[1:] = key[1:] != key[:-1]
-        group[open_at] = open_at[np.maximum.accumulate(np.where(fresh, np.arange(len(g)), 0))]
+        group[open_at] = open_at[np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))].astype(np.uint64)
     return order
 
 
-def suffix_array(text: np.ndarray, depth: int, words: np.ndarray | None = None, asked: np.ndarray | None = None) -> np.ndarray:
+def suffix_array(text: np.ndarray, depth: int, asked: np.ndarray | None = None) -> np.ndarray:
     """Positions of ``text`` (uint8), ordered by the first ``depth`` bytes of their suffixes: all, or those ``asked``
     for with the ones that induce them."""
     n = len(text)
     if n == 0:
         return np.zeros(0, dtype=np.int64)
-    words = words8(text) if words is None else words
     is_s = smaller_than_successor(text)
     inside = np.ones(n, dtype=bool) if asked is None else with_inducers(asked, is_s)
-    direct = sort_directly(np.flatnonzero(is_s & inside), depth, ranks(words))
+    direct = sort_directly(np.flatnonzero(is_s & inside), depth, text)
     ends = np.searchsorted(text[direct], np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
     if inside[-1]:
@@ -149,9 +156,8 @@ def common_prefix_reaches(order: np.ndarray, words: np.ndarray, length: int) ->
 
 def repeated_starts(text: np.ndarray, length: int, asked: np.ndarray | None = None) -> np.ndarray:
     """True where a ``length``-byte string starts that starts at another position too (of those ``asked`` for)."""
-    words = words8(text)
-    order = suffix_array(text, length, words, asked)
-    same = common_prefix_reaches(order, words, length)
+    order = suffix_array(text, length, asked)
+    same = common_prefix_reaches(order, words8(text), length)
     out = np.zeros(len(text), dtype=bool)
     out[order[:-1][same]] = True
     out[order[1:][same]] = True
