@@ -136,7 +136,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, crowd: int = 16_384, bloc
     distinct = stash(distinct.select("key", "content", (F.col("copies") > 1).alias("again"), "one.rid", "one.start", "one.n"), "segment-classes")
     crowded = distinct.groupBy("key").count().filter(F.col("count") > crowd).select("key")
     crowded = stash(crowded, "crowded-keys")
-    wanted = distinct.groupBy("rid").agg(F.collect_list(F.struct("key", "content", "again", "start", "n")).alias("w")).select("rid", "w.*")
+    wanted = distinct.groupBy("rid").agg(F.collect_list(F.struct("key", "content", "again", "start", "n")).alias("w")).select("rid", "w.key", "w.content", "w.again", "w.start", "w.n")
 
     def fetch(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["key", "content", "again", "start", "n"]
