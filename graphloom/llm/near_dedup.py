@@ -53,7 +53,7 @@ def candidate_pairs(reps: DataFrame, sublist: int) -> DataFrame:
     runs = F.transform(F.sequence(F.lit(1), F.size("sketch") - 2), lambda i: F.xxhash64(F.element_at("sketch", i), F.element_at("sketch", i + 1), F.element_at("sketch", i + 2)))
     rows = reps.filter(F.size("sketch") >= 3).select("rep", F.explode(runs).alias("run"))
     lists = rows.groupBy("run").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
-    rows = rows.join(lists, "run").withColumn("part", F.pmod(F.xxhash64("rep", "run"), F.ceil(F.col("n") / sublist)))
+    rows = rows.join(lists, "run").withColumn("part", F.when(F.col("n") <= 2 * sublist, 0).otherwise(F.pmod(F.xxhash64("rep", "run"), F.ceil(F.col("n") / sublist))))
     star = rows.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
     few = rows.filter("n > 2").groupBy("run", "part").agg(F.collect_set("rep").alias("few")).filter(F.size("few") > 1).select(F.array_sort("few").alias("few"))
     pairs = F.flatten(F.transform("few", lambda x, i: F.transform(F.slice("few", i + 2, F.size("few")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
@@ -133,7 +133,7 @@ def confirmed(docs: DataFrame, clusters: DataFrame, width: int, percent: int, bl
     return dealt.groupBy("cluster", "i", "j").applyInPandas(check, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, k: int = 64, slack: float = 0.23, sublist: int = 4, block: int = 128, blocks: int = 24, most: int = 8192) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, k: int = 64, slack: float = 0.23, sublist: int = 2, block: int = 128, blocks: int = 24, most: int = 8192) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text; other columns are ignored).
 
     Documents are linked if 100 * intersection >= percent * union of their shingle sets. A null or empty text has an
