@@ -80,6 +80,30 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_toxicity": op1_toxicity, "op2_lm_scores": op2_lm_scores, "op3_suffix_dedup": op3_suffix_dedup, "op5_decontamination": op5_decontamination, "op6_topk": op6_topk, "op4_packing": op4_packing, "op8_langid": op8_langid, "op7_warc": op7_warc, "op9_minhash": op9_minhash, "op10_sharding": op10_sharding}
 ORACLE: dict[str, str] = {
+    "op7_warc": """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex,
+    max(page_id) OVER (PARTITION BY coalesce(html, '')) AS kept_id
+  FROM pages
+), d AS (
+  SELECT *, array_to_string(list_transform(range(0, 8), lambda g: list_transform([15, 10, 5, 0], lambda s:
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((CAST('0x' || substr(hex, CAST(g * 5 + 1 AS INTEGER), 5) AS BIGINT) >> s) & 31)]).array_to_string('')), '') AS digest
+  FROM p
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = kept_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> kept_id THEN kept_id END AS refers_to
+FROM d""",
+    "op9_minhash": """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS x FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(x) >= 5 THEN list_transform(range(1, len(x) - 3), lambda i: array_to_string(x[i:i + 4], ' ')) WHEN len(x) > 0 THEN [array_to_string(x, ' ')] ELSE [] END) AS g FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT x, y FROM i JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 85 * (p.n + q.n - k)),
+r AS (SELECT doc_id AS v, doc_id AS c FROM documents UNION SELECT r.v, l.y FROM r JOIN l ON r.c = l.x),
+m AS (SELECT v, min(c) AS component_id FROM r GROUP BY v)
+SELECT v AS doc_id, coalesce(n.n, 0) AS n_shingles, component_id, v = component_id AS kept FROM m LEFT JOIN n ON n.doc_id = v""",
     "op6_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
