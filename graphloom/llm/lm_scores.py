@@ -39,7 +39,7 @@ def token_batches(docs: DataFrame, tokenizer_path: str, batch_docs: int = 512) -
         for frame in batches:
             for at in range(0, len(frame), batch_docs):
                 part = frame.iloc[at : at + batch_docs]
-                ids = [tokens(t).astype("<u2") for t in part.text]
+                ids = [x.astype("<u2") for x in tokens.many(part.text.tolist())]
                 yield pd.DataFrame([(uuid.uuid4().int >> 65, part.doc_id.tolist(), [len(x) for x in ids], _squeeze(*ids))], columns=["batch", "doc_ids", "sizes", "ids"])
 
     return docs.select(F.col("doc_id").cast("string"), utf8_text().alias("text")).mapInPandas(run, BATCHES)

@@ -9,6 +9,7 @@ are open, the fullest one closes first.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -24,15 +25,29 @@ PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
 
+PUNCTUATION = re.compile(r"([.,;:!?])(?<=[^\W_].)(?=\s|$)")
+
+
+def byte_letters() -> list[str]:
+    """The printable stand-ins of byte-level vocabularies: printable Latin-1 bytes stand for themselves, the others for
+    the characters from U+0100 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = [b for b in range(256) if b not in plain]
+    return [chr(b) if b in plain else chr(256 + others.index(b)) for b in range(256)]
+
+
 class Tokens:
-    """Token ids of texts. White space never joins two tokens, so each stretch between ASCII white space is encoded
-    once and remembered (up to ``remember`` stretches)."""
+    """Token ids of texts. White space never joins two tokens, the vocabulary has no capitals, and a run of punctuation
+    after a letter or digit starts a token; so texts are cut into stretches of lower-case letters or of other characters,
+    and each stretch is encoded once and remembered (up to ``remember`` stretches). A word of plain letters goes to the
+    tokenizer's model directly, anything else through the whole tokenizer."""
 
     def __init__(self, path: str, remember: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.remember = Tokenizer.from_file(path), remember
+        self.model, self.letters = self.tokenizer.model, byte_letters()
         self._reset()
 
     def _reset(self):
@@ -40,34 +55,58 @@ class Tokens:
         self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
         self.first, self.size, self.n = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64), 1
 
-    def _learn(self, stretches: list[str]) -> None:
-        for s, e in zip(stretches, self.tokenizer.encode_batch(stretches, add_special_tokens=False), strict=True):
-            ids = e.ids
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            if self.n == len(self.first):
-                self.first, self.size = np.concatenate([self.first, np.zeros_like(self.first)]), np.concatenate([self.size, np.zeros_like(self.size)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.first[self.n], self.size[self.n] = self.used, len(ids)
-            self.code[s] = self.n
-            self.used += len(ids)
-            self.n += 1
-
-    def __call__(self, text: str) -> np.ndarray:
-        if self.n > self.remember:
-            self._reset()
+    def _store(self, names: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.n + len(names) > len(self.first):
+            self.first, self.size = np.concatenate([self.first, np.zeros_like(self.first)]), np.concatenate([self.size, np.zeros_like(self.size)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        new = slice(self.n, self.n + len(names))
+        self.first[new], self.size[new] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.code.update(zip(names, range(self.n, self.n + len(names)), strict=True))
+        self.used += len(ids)
+        self.n += len(names)
+
+    def _encode(self, stretch: str) -> list[int]:
+        if stretch.isalpha():
+            if stretch.isascii():
+                return [x.id for x in self.model.tokenize(stretch)]
+            if max(stretch) < "\u0250" and stretch == stretch.lower():  # composed Latin letters
+                return [x.id for x in self.model.tokenize("".join([self.letters[b] for b in stretch.encode()]))]
+        return self.tokenizer.encode(stretch, add_special_tokens=False).ids
+
+    def _learn(self, stretches: set[str]) -> None:
+        names = list(stretches)
+        ids = [self._encode(s) for s in names]
+        self._store(names, np.array([x for own in ids for x in own], dtype=np.uint32), np.array([len(own) for own in ids]))
+
+    def cut(self, text: str) -> list[str]:
+        text = text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+        if "<|" not in text:  # special tokens are written with punctuation
+            text = PUNCTUATION.sub(r" \1", text)
         for c in "\n\t\r\v\f":
             text = text.replace(c, " ")
-        stretches = text.split(" ")
-        get = self.code.get
-        codes = [get(s, -1) for s in stretches]
-        if -1 in codes:
-            self._learn(list({s for s, c in zip(stretches, codes, strict=True) if c < 0}))
-            codes = [self.code[s] for s in stretches]
-        codes = np.array(codes, dtype=np.int64)
-        sizes = self.size[codes]
-        ends = np.cumsum(sizes)
-        return self.flat[np.repeat(self.first[codes] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        return text.split(" ")
+
+    def many(self, texts: list[str], group: int = 1 << 18) -> Iterator[np.ndarray]:
+        """The ids of each text, in groups of about ``group`` characters."""
+        at = 0
+        while at < len(texts):
+            if self.n > self.remember:
+                self._reset()
+            held, size = [], 0
+            while at < len(texts) and size < group:
+                held.append(self.cut(texts[at]))
+                size += len(texts[at])
+                at += 1
+            new = set().union(*held).difference(self.code)
+            if new:
+                self._learn(new)
+            for stretches in held:
+                codes = np.fromiter(map(self.code.__getitem__, stretches), dtype=np.int64, count=len(stretches))
+                sizes = self.size[codes]
+                ends = np.cumsum(sizes)
+                yield self.flat[np.repeat(self.first[codes] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 def best_fit(lengths: Iterable[int], capacity: int, open_bins: int) -> list[tuple[int, int]]:
@@ -108,8 +147,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
         tokens = Tokens(tokenizer_path)
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch.doc_id, batch.text, strict=True):
-                ids = np.append(tokens(text), np.uint32(end_id)).astype("<u4")
+            for doc_id, found in zip(batch.doc_id, tokens.many(batch.text.tolist()), strict=True):
+                ids = np.append(found, np.uint32(end_id)).astype("<u4")
                 for i, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity]
                     out.append((doc_id, i, at, len(part), zlib.crc32(part.tobytes())))
