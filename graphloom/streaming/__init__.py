@@ -1,0 +1,2 @@
+"""Reserved for streaming sources. Nothing that this engine covers has streaming semantics: its inputs are finished
+graphs and finished run logs."""
