@@ -22,7 +22,7 @@ from graphloom.llm.common import held_out, stash
 
 #: Letters that a digit or symbol may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c", "&": "a", "*": "aeiou"}
-SUBSTITUTE, DROP_REPEAT, DROP_SYMBOL, STRANGE = -0.7, -0.4, -2.0, -9.0
+SUBSTITUTE, DROP_REPEAT, DROP_SYMBOL, DROP_LOOKALIKE, STRANGE = -0.7, -0.4, -0.5, -7.0, -9.0
 RUN = re.compile(r"([^\W\d_])\1\1")
 PARTS = re.compile(r"[^\W\d_]+")
 SPACED = re.compile(r"(?<!\S)\S(?:[ \t]+\S(?!\S)){2,}")
@@ -71,7 +71,7 @@ def viterbi(token: str, model: CharModel) -> str:
             for x, cost in options:
                 reach(state[1] + x, score + cost + model.score(state, x), (x, path))
             if not letter:
-                reach(state, score + DROP_SYMBOL, path)
+                reach(state, score + (DROP_LOOKALIKE if c in LEET else DROP_SYMBOL), path)
             elif c == previous:
                 reach(state, score + DROP_REPEAT, path)
         states, previous = after, c
@@ -95,9 +95,11 @@ class Restorer:
             core = token.strip(EDGES)
             parts = PARTS.findall(token)
             words = [*parts]
-            if len(parts) > 2 and all(len(p) == 1 for p in parts):  # s.e.t a-p-a-r-t
+            if len(parts) > 2 and all(len(p) == 1 for p in parts):  # s.e.t-a.p.a.r.t, with repeats dropped
                 words.append(viterbi("".join(parts), self.model))
-            elif parts and (not core.isalpha() or RUN.search(core)) and any(not x.isalpha() and x in LEET for x in core) | bool(RUN.search(core)):
+            if 1 < len(parts) <= 6 and len(token) <= 40:  # s_et ap.art
+                words.append("".join(parts))
+            if parts and (not core.isalpha() or RUN.search(core)) and any(not x.isalpha() and x in LEET for x in core) | bool(RUN.search(core)):
                 words.append(viterbi(core, self.model))
             if parts and core != token and len(token) - len(core) <= 2:  # a symbol at the edge may be a letter
                 edge = token.strip(".,;:?\"'()[]{}-_~#%&*…")
