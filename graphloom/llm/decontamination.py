@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import stash
+from graphloom.llm.common import stash, tidy
 from graphloom.llm.shingles import mix
 
 MAX_WINDOWS = 1_000_000  # benchmark windows that a pass broadcasts: about 50 MB
@@ -110,7 +110,7 @@ def matches(docs: DataFrame, benchmark: Benchmark) -> DataFrame:
                         out.append((doc_id, int(h), [words[j] for j in range(i, i + wide) if tokens[j] in PLACEHOLDERS]))
             yield pd.DataFrame(out, columns=["doc_id", "hash", "slots"])
 
-    return docs.select("doc_id", "text").filter("doc_id is not null and text is not null").mapInPandas(run, "doc_id long, hash long, slots array<string>")
+    return docs.select("doc_id", "text").filter("doc_id is not null and text is not null").mapInPandas(tidy(run), "doc_id long, hash long, slots array<string>")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, coverage: float = 0.5, run_windows: int = 6) -> DataFrame:

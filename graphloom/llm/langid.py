@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import held_out
+from graphloom.llm.common import held_out, tidy
 
 WORD = re.compile(r"[^\W\d_]+")
 NO_LANGUAGE = "und"
@@ -53,7 +53,7 @@ def train(docs: DataFrame, max_documents: int = 20_000, max_words: int = 40_000,
                             parts[length, g] += k
                 yield pd.DataFrame([(lang, length, g, k) for (length, g), k in parts.items()], columns=["lang", "length", "gram", "k"])
 
-    counted = rows.select("text", "lang").mapInPandas(count, "lang string, length int, gram string, k long").groupBy("lang", "length", "gram").agg(F.sum("k").alias("k"))
+    counted = rows.select("text", "lang").mapInPandas(tidy(count), "lang string, length int, gram string, k long").groupBy("lang", "length", "gram").agg(F.sum("k").alias("k"))
     best = Window.partitionBy("lang", "length").orderBy(F.desc("k"), "gram")
     totals = Window.partitionBy("lang", "length")
     kept = (
@@ -140,4 +140,4 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch.doc_id, "lang_pred": [x for x, _ in found], "score": [s for _, s in found]})
 
     rows = docs.select(F.col("doc_id").cast("string"), "text")
-    return rows.mapInPandas(score, "doc_id string, lang_pred string, score double").withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
+    return rows.mapInPandas(tidy(score), "doc_id string, lang_pred string, score double").withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))

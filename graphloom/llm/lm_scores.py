@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import stash, utf8_text
+from graphloom.llm.common import stash, tidy, utf8_text
 from graphloom.llm.packing import Tokens
 from graphloom.llm.shingles import mix
 
@@ -42,7 +42,7 @@ def token_batches(docs: DataFrame, tokenizer_path: str, batch_docs: int = 512) -
                 ids = [x.astype("<u2") for x in tokens.many(part.text.tolist())]
                 yield pd.DataFrame([(uuid.uuid4().int >> 65, part.doc_id.tolist(), [len(x) for x in ids], _squeeze(*ids))], columns=["batch", "doc_ids", "sizes", "ids"])
 
-    return docs.select(F.col("doc_id").cast("string"), utf8_text().alias("text")).mapInPandas(run, BATCHES)
+    return docs.select(F.col("doc_id").cast("string"), utf8_text().alias("text")).mapInPandas(tidy(run), BATCHES)
 
 
 def _ids(raw: bytes, sizes) -> np.ndarray:
@@ -74,7 +74,7 @@ def lm_scores(docs: DataFrame, tokenizer_path: str, vocabulary: int, start_id: i
         at = np.flatnonzero(total)
         yield pd.DataFrame({"id": at.astype(np.int32), "k": total[at]})
 
-    counted = batches.select("sizes", "ids").mapInPandas(count, "id int, k long").groupBy("id").agg(F.sum("k").alias("k")).toPandas()
+    counted = batches.select("sizes", "ids").mapInPandas(tidy(count), "id int, k long").groupBy("id").agg(F.sum("k").alias("k")).toPandas()
     unigrams = np.zeros(vocabulary, dtype=np.int64)
     unigrams[counted.id] = counted.k
     starts = batches.agg(F.sum(F.size(F.filter("sizes", lambda s: s > 0)))).first()[0] or 0
@@ -103,7 +103,7 @@ def lm_scores(docs: DataFrame, tokenizer_path: str, vocabulary: int, start_id: i
                     rows.append((int(p), batch, len(x), len(sizes), _squeeze(gaps, (x & np.uint64(0xFFFF)).astype("<u2"), k.astype("<u4"))))
                 yield pd.DataFrame(rows, columns=["part", "batch", "n", "n_docs", "cells"])
 
-    dealt = batches.select("batch", "sizes", "ids").mapInPandas(deal, "part int, batch long, n int, n_docs int, cells binary")
+    dealt = batches.select("batch", "sizes", "ids").mapInPandas(tidy(deal), "part int, batch long, n int, n_docs int, cells binary")
 
     def solve(held: list[tuple]) -> pd.DataFrame:
         unigrams, total = shared.value
@@ -140,7 +140,7 @@ def lm_scores(docs: DataFrame, tokenizer_path: str, vocabulary: int, start_id: i
         if held:
             yield solve(held)
 
-    sums = dealt.repartition(int(parts), "part").sortWithinPartitions("part", "batch").mapInPandas(score, "batch long, sums binary")
+    sums = dealt.repartition(int(parts), "part").sortWithinPartitions("part", "batch").mapInPandas(tidy(score), "batch long, sums binary")
 
     def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):

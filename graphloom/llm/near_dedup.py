@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import stash
+from graphloom.llm.common import stash, tidy
 from graphloom.llm.components import connected_components
 from graphloom.llm.shingles import shingle_sets, signed
 
@@ -35,17 +35,11 @@ def sketches(docs: DataFrame, width: int, k: int) -> DataFrame:
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = shingle_sets(batch.text.tolist(), width)
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch.doc_id,
-                    "n_shingles": [len(s) for s in sets],
-                    "set_hash": [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets],
-                    "sketch": [signed(s[:k]) for s in sets],
-                }
-            )
+            # a set is dropped as soon as its sketch is taken
+            out = [(len(s), xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63), signed(s[:k])) for s in shingle_sets(batch.text, width)]
+            yield pd.DataFrame({"doc_id": batch.doc_id, "n_shingles": [x[0] for x in out], "set_hash": [x[1] for x in out], "sketch": [x[2] for x in out]})
 
-    return docs.select("doc_id", "text").filter("doc_id is not null").mapInPandas(run, "doc_id long, n_shingles long, set_hash long, sketch array<long>")
+    return docs.select("doc_id", "text").filter("doc_id is not null").mapInPandas(tidy(run), "doc_id long, n_shingles long, set_hash long, sketch array<long>")
 
 
 def candidate_pairs(reps: DataFrame, sublist: int) -> DataFrame:
@@ -109,9 +103,9 @@ def confirmed(docs: DataFrame, clusters: DataFrame, width: int, percent: int, bl
 
     def sets(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.drop(columns="text").assign(shingles=[s.tobytes() for s in shingle_sets(batch.text.tolist(), width)])
+            yield batch.drop(columns="text").assign(shingles=[s.tobytes() for s in shingle_sets(batch.text, width)])
 
-    full = texts.mapInPandas(sets, "node long, cluster long, parts int, part int, shingles binary")
+    full = texts.mapInPandas(tidy(sets), "node long, cluster long, parts int, part int, shingles binary")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     dealt = full.withColumn("other", other).select("node", "cluster", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "shingles")
 

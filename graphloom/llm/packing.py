@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import stash, utf8_text
+from graphloom.llm.common import stash, tidy, utf8_text
 
 PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -154,7 +154,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
                     out.append((doc_id, i, at, len(part), zlib.crc32(part.tobytes())))
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("string"), utf8_text().alias("text")).mapInPandas(run, PIECES)
+    return docs.select(F.col("doc_id").cast("string"), utf8_text().alias("text")).mapInPandas(tidy(run), PIECES)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, open_bins: int = 4096, pieces_per_task: int = 32_768) -> DataFrame:
@@ -176,4 +176,4 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
         placed = best_fit(rows.length.tolist(), capacity, open_bins)
         yield rows.assign(sequence_id=[base + b for b, _ in placed], offset=[o for _, o in placed])
 
-    return cut.repartition(tasks).mapInPandas(run, PACKED).withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
+    return cut.repartition(tasks).mapInPandas(tidy(run), PACKED).withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))

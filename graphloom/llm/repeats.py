@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import stash, utf8_text
+from graphloom.llm.common import stash, tidy, utf8_text
 from graphloom.llm.shingles import _powers, mix
 from graphloom.llm.suffixes import repeated_starts, words8
 
@@ -110,7 +110,7 @@ def _runs(flags: np.ndarray) -> tuple[list[int], list[int]]:
     return edge[::2].tolist(), (edge[1::2] - 1).tolist()
 
 
-def repeated_spans(docs: DataFrame, length: int = 200, crowd: int = 16_384, block_bytes: int = 2 << 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 200, crowd: int = 16_384, block_bytes: int = 1 << 20) -> DataFrame:
     """``docs`` (with their columns and rid, a hash of id and text) and spans: windows that are repeated, as an array
     of (first window, last window) in bytes of the UTF-8 text; null where there are none.
 
@@ -129,7 +129,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, crowd: int = 16_384, bloc
                 which, start, n, key, content, own = segments(part, length)
                 yield pd.DataFrame({"rid": rids[at + which], "start": start.astype(np.int32), "n": n.astype(np.int32), "key": key, "content": content, "own": own.astype(bool)})
 
-    found = texts.mapInPandas(cut, "rid long, start int, n int, key long, content long, own boolean")
+    found = texts.mapInPandas(tidy(cut), "rid long, start int, n int, key long, content long, own boolean")
     repeated = found.groupBy("key").agg(F.count("*").alias("n_segments"), F.max("own").alias("own")).filter("n_segments > 1 or own").select("key")
     matching = stash(found.drop("own").join(repeated, "key"), "segments")
     distinct = matching.groupBy("key", "content").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "start", "n")).alias("one"))
@@ -153,7 +153,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, crowd: int = 16_384, bloc
             if out:
                 yield pd.concat(out)
 
-    fetched = texts.join(wanted, "rid").mapInPandas(fetch, "key long, content long, again boolean, n int, bytes binary")
+    fetched = texts.join(wanted, "rid").mapInPandas(tidy(fetch), "key long, content long, again boolean, n int, bytes binary")
 
     def solve(held: list[tuple]) -> pd.DataFrame:
         parts, at = [], 0
@@ -187,7 +187,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, crowd: int = 16_384, bloc
 
     marks = "key long, content long, first array<int>, last array<int>"
     dealt = fetched if crowded.isEmpty() else fetched.join(crowded, "key", "left_anti")
-    spans = dealt.repartition("key").sortWithinPartitions("key").mapInPandas(sort_suffixes, marks)
+    spans = dealt.repartition("key").sortWithinPartitions("key").mapInPandas(tidy(sort_suffixes), marks)
     if not crowded.isEmpty():
 
         def windows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -196,7 +196,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, crowd: int = 16_384, bloc
                     marks = [int.from_bytes(hashlib.blake2b(raw[i : i + length], digest_size=8).digest(), "little", signed=True) for i in range(n)]
                     yield pd.DataFrame({"key": key, "content": content, "at": range(n), "mark": marks, "copies": 2 if again else 1})
 
-        single = fetched.join(crowded, "key").mapInPandas(windows, "key long, content long, at int, mark long, copies long")
+        single = fetched.join(crowded, "key").mapInPandas(tidy(windows), "key long, content long, at int, mark long, copies long")
         twice = single.groupBy("key", "mark").agg(F.sum("copies").alias("total")).filter("total > 1").select("key", "mark")
         places = single.join(twice, ["key", "mark"]).groupBy("key", "content").agg(F.array_sort(F.collect_set("at")).alias("first"))
         spans = spans.unionByName(places.withColumn("last", F.col("first")))
@@ -239,7 +239,7 @@ def removal_report(docs: DataFrame, length: int = 200, **options) -> DataFrame:
             yield pd.concat([batch[["doc_id"]], pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"], index=batch.index)], axis=1)
 
     rows = repeated_spans(docs.select("doc_id", "text"), length, **options).select(F.col("doc_id").cast("string"), utf8_text().cast("binary").alias("raw"), "spans")
-    out = rows.mapInPandas(run, "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = rows.mapInPandas(tidy(run), "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 

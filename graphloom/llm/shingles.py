@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 _RANDOM = np.random.default_rng(20240229)
@@ -45,38 +47,41 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.diff(np.searchsorted(starts, text_ends), prepend=0)
 
 
-def shingle_sets(texts: list[str | None], width: int = 5, group_bytes: int = 1 << 20) -> list[np.ndarray]:
+def shingle_sets(texts, width: int = 5, group_bytes: int = 1 << 19) -> Iterator[np.ndarray]:
     """For each text the sorted distinct hashes of its ``width``-word shingles.
 
     With fewer words the whole sequence is one shingle; a null text or one without words has none.
     """
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    out: list[np.ndarray] = []
-    at = 0
-    while at < len(raw):
-        to, size = at, 0
-        while to < len(raw) and (to == at or size + len(raw[to]) <= group_bytes):
-            size += len(raw[to])
-            to += 1
-        words, counts = word_hashes(raw[at:to])
-        rolled = np.zeros(max(0, len(words) - width + 1), dtype=np.uint64)
-        for k in range(width):
-            rolled += mix(words[k : k + len(rolled)] + _PLACE[k]) * _PLACE[width + k]
-        rolled = mix(rolled)
-        first = 0
-        for n in counts:
-            if n >= width:
-                out.append(np.unique(rolled[first : first + n - width + 1]))
-            elif n:
-                few = np.zeros(1, dtype=np.uint64)
-                for k in range(n):
-                    few += mix(words[first + k : first + k + 1] + _PLACE[k]) * _PLACE[width + k]
-                out.append(mix(few + np.uint64(n)))
-            else:
-                out.append(np.zeros(0, dtype=np.uint64))
-            first += n
-        at = to
-    return out
+    held, size = [], 0
+    for text in texts:
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        if held and size + len(raw) > group_bytes:
+            yield from _group_sets(held, width)
+            held, size = [], 0
+        held.append(raw)
+        size += len(raw)
+    if held:
+        yield from _group_sets(held, width)
+
+
+def _group_sets(raw: list[bytes], width: int) -> Iterator[np.ndarray]:
+    words, counts = word_hashes(raw)
+    rolled = np.zeros(max(0, len(words) - width + 1), dtype=np.uint64)
+    for k in range(width):
+        rolled += mix(words[k : k + len(rolled)] + _PLACE[k]) * _PLACE[width + k]
+    rolled = mix(rolled)
+    first = 0
+    for n in counts:
+        if n >= width:
+            yield np.unique(rolled[first : first + n - width + 1])
+        elif n:
+            few = np.zeros(1, dtype=np.uint64)
+            for k in range(n):
+                few += mix(words[first + k : first + k + 1] + _PLACE[k]) * _PLACE[width + k]
+            yield mix(few + np.uint64(n))
+        else:
+            yield np.zeros(0, dtype=np.uint64)
+        first += n
 
 
 def signed(values: np.ndarray) -> np.ndarray:

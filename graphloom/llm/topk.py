@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import stash
+from graphloom.llm.common import stash, tidy
 
 EXACT = float(2**52)  # float64 sums of integers up to here are exact
 
@@ -77,7 +77,7 @@ def top_products(vectors: DataFrame, is_query, k: int = 20, group_rows: int = 20
                 cell = (size - 2 * x @ centre.T).argmin(axis=1)
                 yield batch.assign(cell=cell.astype(np.int32), far=_norms(x - centre[cell]))
 
-    grouped = stash(rows.mapInPandas(assign, "vec_id long, v array<long>, cell int, far double"), "cells")
+    grouped = stash(rows.mapInPandas(tidy(assign), "vec_id long, v array<long>, cell int, far double"), "cells")
     # per group: rows, radius, and the k + 1 smallest distances (one of them may be the query itself)
     by_far = Window.partitionBy("cell", "bucket").orderBy("far")
     nearest = grouped.withColumn("bucket", F.pmod(F.xxhash64("vec_id"), F.lit(64))).withColumn("place", F.row_number().over(by_far)).filter(F.col("place") <= k + 1)
@@ -113,7 +113,7 @@ def top_products(vectors: DataFrame, is_query, k: int = 20, group_rows: int = 20
                 yield pd.DataFrame({"cell": cell[s : s + 4096], "part": part[s : s + 4096], "block": batch.block.to_numpy()[w], "query_id": batch.vec_id.to_numpy()[w], "v": batch.v.to_numpy()[w]})
 
     blocked = queries.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(n_blocks)).cast("int"))
-    asked = blocked.mapInPandas(route, "cell int, part int, block int, query_id long, v array<long>")
+    asked = blocked.mapInPandas(tidy(route), "cell int, part int, block int, query_id long, v array<long>")
     counts = F.create_map(*[F.lit(int(x)) for kv in parts.items() for x in kv])
     dealt = grouped.select("vec_id", "v", "cell", F.pmod(F.xxhash64("vec_id"), counts[F.col("cell")]).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import held_out, stash
+from graphloom.llm.common import held_out, release, stash, tidy
 
 #: Letters that a digit or symbol may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c", "&": "a", "*": "aeiou"}
@@ -204,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, max_documents: int = 20_000, max_r
                     found[w[i : i + 3]] += k
             yield pd.DataFrame(list(found.items()), columns=["gram", "k"])
 
-    counts = sample.select("text").mapInPandas(trigrams, "gram string, k long").groupBy("gram").agg(F.sum("k").alias("k")).orderBy(F.desc("k"), "gram").limit(60_000)
+    counts = sample.select("text").mapInPandas(tidy(trigrams), "gram string, k long").groupBy("gram").agg(F.sum("k").alias("k")).orderBy(F.desc("k"), "gram").limit(60_000)
     counts = {r.gram: r.k for r in counts.collect()}
     shared = spark.sparkContext.broadcast(counts)
 
@@ -216,7 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, max_documents: int = 20_000, max_r
                 found.update(features(restorer.words(text)))
             yield pd.DataFrame(list(found.items()), columns=["feature", "k"])
 
-    hits = sample.filter("toxic = 1").select("text").mapInPandas(toxic_features, "feature string, k long").groupBy("feature").agg(F.sum("k").alias("hits"))
+    hits = sample.filter("toxic = 1").select("text").mapInPandas(tidy(toxic_features), "feature string, k long").groupBy("feature").agg(F.sum("k").alias("hits"))
     hits = {r.feature: r.hits for r in hits.filter(F.col("hits") >= support).collect()}
     shared_hits = spark.sparkContext.broadcast(set(hits))
 
@@ -228,7 +228,7 @@ def train(docs: DataFrame, labels: DataFrame, max_documents: int = 20_000, max_r
                 found.update(features(restorer.words(text)) & shared_hits.value)
             yield pd.DataFrame(list(found.items()), columns=["feature", "k"])
 
-    misses = sample.filter("toxic = 0").select("text").mapInPandas(clean_features, "feature string, k long").groupBy("feature").agg(F.sum("k").alias("k"))
+    misses = sample.filter("toxic = 0").select("text").mapInPandas(tidy(clean_features), "feature string, k long").groupBy("feature").agg(F.sum("k").alias("k"))
     misses = {r.feature: r.k for r in misses.collect()}
     useful = {f for f, k in hits.items() if lower_bound(k, k + misses.get(f, 0)) >= least}
     shared_useful = spark.sparkContext.broadcast(useful)
@@ -238,7 +238,7 @@ def train(docs: DataFrame, labels: DataFrame, max_documents: int = 20_000, max_r
         for batch in batches:
             yield pd.DataFrame([(int(y), sorted(features(restorer.words(t)) & shared_useful.value)) for y, t in zip(batch.toxic, batch.text, strict=True)], columns=["toxic", "names"])
 
-    table = sample.select("toxic", "text").mapInPandas(incidence, "toxic int, names array<string>")
+    table = sample.select("toxic", "text").mapInPandas(tidy(incidence), "toxic int, names array<string>")
     rows = [(r.toxic, list(r.names)) for r in table.filter((F.size("names") > 0) | (F.col("toxic") == 1)).collect()]
     clean = sample.count() - len(rows)
     rules, base = cover(rows, clean, least, support, max_rules)
@@ -270,8 +270,11 @@ def score_column(spark, model: dict, text):
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = TextScorer(shared.value)
-        for batch in batches:
-            yield batch.map(lambda t: scorer(t)[0]).astype(float)
+        try:
+            for batch in batches:
+                yield batch.map(lambda t: scorer(t)[0]).astype(float)
+        finally:
+            release()
 
     return F.pandas_udf(run, "double")(text)
 
@@ -291,4 +294,4 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch.doc_id, "score": [x[0] for x in out], "n_rules": [x[1] for x in out], "most_telling": [x[2] for x in out]})
 
     rows = docs.select(F.col("doc_id").cast("string"), "text")
-    return rows.mapInPandas(run, "doc_id string, score double, n_rules int, most_telling string").withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
+    return rows.mapInPandas(tidy(run), "doc_id string, score double, n_rules int, most_telling string").withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import new_path, stash
+from graphloom.llm.common import new_path, stash, tidy
 
 SKIPPABLE_MAGIC = 0x184D2A5D  # fixed value: the dictionary frame of the .warc.zst format
 DICTIONARY_MAGIC = b"\x37\xa4\x30\xec"  # fixed value: start of a formatted Zstandard dictionary
@@ -214,7 +214,7 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, ar
         yield pd.DataFrame(done, columns=["path", "n_records", "n_bytes", "dictionary_bytes"])
 
     marked = mark_revisits(pages, min_revisit_bytes).select(F.col("page_id").cast("string"), "url", "html", "payload_sha1", "record_type", F.col("refers_to").cast("string"))
-    return stash(marked.sortWithinPartitions("page_id", "url", "payload_sha1").mapInPandas(write, MANIFEST), "warc-manifest")
+    return stash(marked.sortWithinPartitions("page_id", "url", "payload_sha1").mapInPandas(tidy(write), MANIFEST), "warc-manifest")
 
 
 def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
@@ -245,7 +245,7 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
         return out.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64"})
 
     files = manifest.select("path")
-    return files.repartition(max(1, files.sparkSession.sparkContext.defaultParallelism)).mapInPandas(read, RECORDS)
+    return files.repartition(max(1, files.sparkSession.sparkContext.defaultParallelism)).mapInPandas(tidy(read), RECORDS)
 
 
 def archive_round_trip(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
