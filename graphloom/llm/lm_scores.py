@@ -22,6 +22,7 @@ from graphloom.llm.common import stash, tidy, utf8_text
 from graphloom.llm.packing import Tokens
 from graphloom.llm.shingles import mix
 
+SHARES = 5  # of a partition's bigrams, which are solved one after the other
 BATCHES = "batch long, doc_ids array<string>, sizes array<int>, ids binary"
 
 
@@ -107,25 +108,27 @@ def lm_scores(docs: DataFrame, tokenizer_path: str, vocabulary: int, start_id: i
 
     def solve(held: list[tuple]) -> pd.DataFrame:
         unigrams, total = shared.value
-        bigrams, docs_at, counts, owner = [], [], [], []
-        for i, (_, n, _, cells) in enumerate(held):
-            raw = zstandard.ZstdDecompressor().decompress(cells, max_output_size=10 * n)
-            bigrams.append(np.cumsum(np.frombuffer(raw, "<u4", n).astype(np.int64)))
-            docs_at.append(np.frombuffer(raw, "<u2", n, 4 * n).astype(np.int64))
-            counts.append(np.frombuffer(raw, "<u4", n, 6 * n).astype(np.int64))
-            owner.append(np.full(n, i, dtype=np.int32))
-        bigram, k = np.concatenate(bigrams), np.concatenate(counts)
-        order = np.argsort(bigram, kind="stable")
-        first = np.ones(len(order), dtype=bool)
-        first[1:] = bigram[order[1:]] != bigram[order[:-1]]
-        group = np.cumsum(first) - 1
-        joined = np.empty(len(order))
-        joined[order] = np.bincount(group, weights=k[order])[group]
-        v, w = bigram >> 16, bigram & 0xFFFF
-        score = np.where(joined >= cutoff, joined / unigrams[v], backoff * unigrams[w] / total)
-        part = np.log10(score) * k
         offsets = np.cumsum([0, *[h[2] for h in held]])
-        sums = np.bincount(offsets[np.concatenate(owner)] + np.concatenate(docs_at), weights=part, minlength=int(offsets[-1]))
+        sums = np.zeros(int(offsets[-1]))
+        for share in range(SHARES):  # a share of the bigrams at a time bounds the arrays
+            bigrams, places, counts = [], [], []
+            for i, (_, n, _, cells) in enumerate(held):
+                raw = zstandard.ZstdDecompressor().decompress(cells, max_output_size=10 * n)
+                bigram = np.cumsum(np.frombuffer(raw, "<u4", n), dtype=np.uint32)
+                own = bigram % SHARES == share
+                bigrams.append(bigram[own])
+                places.append((offsets[i] + np.frombuffer(raw, "<u2", n, 4 * n)[own]).astype(np.int32))
+                counts.append(np.frombuffer(raw, "<u4", n, 6 * n)[own])
+            bigram, place, k = np.concatenate(bigrams), np.concatenate(places), np.concatenate(counts)
+            order = np.argsort(bigram, kind="stable")
+            fresh = np.ones(len(order), dtype=bool)
+            fresh[1:] = bigram[order[1:]] != bigram[order[:-1]]
+            group = np.cumsum(fresh, dtype=np.int32) - 1
+            joined = np.empty(len(order))
+            joined[order] = np.bincount(group, weights=k[order])[group]
+            v, w = bigram >> 16, bigram & 0xFFFF
+            score = np.where(joined >= cutoff, joined / unigrams[v], backoff * unigrams[w] / total)
+            sums += np.bincount(place, weights=np.log10(score) * k, minlength=len(sums))
         return pd.DataFrame([(h[0], sums[offsets[i] : offsets[i + 1]].tobytes()) for i, h in enumerate(held)], columns=["batch", "sums"])
 
     def score(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
