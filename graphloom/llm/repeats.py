@@ -110,7 +110,7 @@ def _runs(flags: np.ndarray) -> tuple[list[int], list[int]]:
     return edge[::2].tolist(), (edge[1::2] - 1).tolist()
 
 
-def repeated_spans(docs: DataFrame, length: int = 200, crowd: int = 16_384, block_bytes: int = 1 << 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 200, crowd: int = 4096, block_bytes: int = 1 << 20) -> DataFrame:
     """``docs`` (with their columns and rid, a hash of id and text) and spans: windows that are repeated, as an array
     of (first window, last window) in bytes of the UTF-8 text; null where there are none.
 
@@ -153,7 +153,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, crowd: int = 16_384, bloc
             if out:
                 yield pd.concat(out)
 
-    fetched = texts.join(wanted, "rid").mapInPandas(tidy(fetch), "key long, content long, again boolean, n int, bytes binary")
+    fetched = stash(texts.join(wanted, "rid").mapInPandas(tidy(fetch), "key long, content long, again boolean, n int, bytes binary"), "segment-texts")
 
     def solve(held: list[tuple]) -> pd.DataFrame:
         parts, at = [], 0
@@ -186,17 +186,25 @@ def repeated_spans(docs: DataFrame, length: int = 200, crowd: int = 16_384, bloc
             yield solve(held)
 
     marks = "key long, content long, first array<int>, last array<int>"
-    dealt = fetched if crowded.isEmpty() else fetched.join(crowded, "key", "left_anti")
+    none_crowded = crowded.isEmpty()
+    dealt = fetched if none_crowded else fetched.join(crowded, "key", "left_anti")
     spans = dealt.repartition("key").sortWithinPartitions("key").mapInPandas(tidy(sort_suffixes), marks)
-    if not crowded.isEmpty():
+    if not none_crowded:
 
         def windows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            columns = ["key", "content", "at", "mark", "copies"]
             for batch in batches:
+                out = []
                 for key, content, again, n, raw in zip(batch.key, batch.content, batch.again, batch.n, batch.bytes, strict=True):
-                    marks = [int.from_bytes(hashlib.blake2b(raw[i : i + length], digest_size=8).digest(), "little", signed=True) for i in range(n)]
-                    yield pd.DataFrame({"key": key, "content": content, "at": range(n), "mark": marks, "copies": 2 if again else 1})
-
-        single = fetched.join(crowded, "key").mapInPandas(tidy(windows), "key long, content long, at int, mark long, copies long")
+                    for i in range(n):
+                        mark = hashlib.blake2b(raw[i : i + length], digest_size=8).digest()
+                        out.append((key, content, i, int.from_bytes(mark, "little", signed=True), 2 if again else 1))
+                    if len(out) >= 50_000:
+                        yield pd.DataFrame(out, columns=columns)
+                        out = []
+                yield pd.DataFrame(out, columns=columns)
+
+        single = stash(fetched.join(crowded, "key").mapInPandas(tidy(windows), "key long, content long, at int, mark long, copies long"), "windows")
         twice = single.groupBy("key", "mark").agg(F.sum("copies").alias("total")).filter("total > 1").select("key", "mark")
         places = single.join(twice, ["key", "mark"]).groupBy("key", "content").agg(F.array_sort(F.collect_set("at")).alias("first"))
         spans = spans.unionByName(places.withColumn("last", F.col("first")))
