@@ -11,20 +11,29 @@ from graphloom.llm.common import drop_path, stash
 def connected_components(links: DataFrame) -> DataFrame:
     """``links``: a, b. Returns node, component (the smallest node reachable) for every node of a link.
 
-    Each round gives every node the smallest label among its neighbours and itself, then follows labels once, so the
-    number of rounds grows with the logarithm of a component's diameter. Every round is written to the shared folder
-    and the one before it deleted. Null ends and links of a node to itself are ignored.
+    Each round every node takes the smallest of its neighbours and itself, and follows such choices twice; links then
+    join the chosen nodes, and links within one node go, so that later rounds only see what is not joined yet. Rounds are
+    written to the shared folder. Null ends and links of a node to itself are ignored.
     """
+    spark = links.sparkSession
     ok = links.filter("a is not null and b is not null and a <> b")
-    both = stash(ok.select("a", "b").union(ok.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = stash(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    edges = stash(ok.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    found = None
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        best = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        after = stash(best.join(jump, "label", "left").select("node", F.least("label", F.coalesce("next", "label")).alias("label"), (F.least("label", F.coalesce("next", "label")) < F.col("was")).alias("moved")), "labels")
-        done = after.filter("moved").isEmpty()
-        drop_path(links.sparkSession, labels)
-        labels = after.select("node", "label")
-        if done:
-            return labels.withColumnRenamed("label", "component")
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        chosen = stash(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("label")), "chosen")
+        for _ in range(2):
+            step = chosen.select(F.col("node").alias("label"), F.col("label").alias("next"))
+            chosen = chosen.join(step, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
+        chosen = stash(chosen, "chosen")
+        if found is None:
+            found = chosen
+        else:
+            step = chosen.select(F.col("node").alias("label"), F.col("label").alias("next"))
+            found = stash(found.join(step, "label", "left").select("node", F.coalesce("next", "label").alias("label")), "labels")
+        at = edges.join(chosen.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(chosen.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
+        after = stash(at.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        drop_path(spark, edges)
+        edges = after
+        if edges.isEmpty():
+            return found.select("node", F.col("label").alias("component"))
