@@ -5,7 +5,8 @@
 2. A class keeps its ``k`` smallest hashes (its sketch). Inverted lists are kept for runs of three neighbouring
    retained values: two sets that agree on most of their union share many such runs, while a passage that thousands of
    unrelated documents hold rarely fills three neighbouring places. Lists pair each class with the smallest id of the
-   list and with a few others (sublists of bounded size), so a list of n classes gives O(n) pairs.
+   list and with a few others (sublists of bounded size), so a list of n classes gives O(n) pairs. Sets too short for
+   three shared neighbours have lists for the set and for the set without each of its values.
 3. The bottom-k sketch of the union estimates the similarity of a pair; pairs far below the threshold go.
 4. The remaining pairs only join classes into clusters. Within a cluster every pair is confirmed on the full sets, by
    postings of shingles in blocks of bounded size, so that no link between two texts depends on which pairs were drawn
@@ -42,8 +43,8 @@ def sketches(docs: DataFrame, width: int, k: int) -> DataFrame:
     return docs.select("doc_id", "text").filter("doc_id is not null").mapInPandas(tidy(run), "doc_id long, n_shingles long, set_hash long, sketch array<long>")
 
 
-def candidate_pairs(reps: DataFrame, sublist: int) -> DataFrame:
-    """Pairs a < b of classes that share a run of retained values."""
+def candidate_pairs(reps: DataFrame, sublist: int, short: int) -> DataFrame:
+    """Pairs a < b of classes that share a run of retained values, or, with at most ``short`` shingles, all but one."""
     runs = F.transform(F.sequence(F.lit(1), F.size("sketch") - 2), lambda i: F.xxhash64(F.element_at("sketch", i), F.element_at("sketch", i + 1), F.element_at("sketch", i + 2)))
     rows = reps.filter(F.size("sketch") >= 3).select("rep", F.explode(runs).alias("run"))
     lists = rows.groupBy("run").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
@@ -51,7 +52,12 @@ def candidate_pairs(reps: DataFrame, sublist: int) -> DataFrame:
     star = rows.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
     few = rows.filter("n > 2").groupBy("run", "part").agg(F.collect_set("rep").alias("few")).filter(F.size("few") > 1).select(F.array_sort("few").alias("few"))
     pairs = F.flatten(F.transform("few", lambda x, i: F.transform(F.slice("few", i + 2, F.size("few")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    return star.distinct().union(few.select(F.explode(pairs).alias("p")).select("p.a", "p.b")).distinct()
+    # the sketch of a short set is the set; all members of a list hold its core, so pairs with the smallest id suffice
+    rests = F.transform("sketch", lambda x: F.xxhash64(F.filter("sketch", lambda y: y != x)))
+    cores = reps.filter(F.col("n_shingles") <= short).select("rep", F.explode(F.concat(F.array(F.xxhash64("sketch")), rests)).alias("core"))
+    pivots = cores.groupBy("core").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
+    close = cores.join(pivots, "core").filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
+    return star.distinct().union(few.select(F.explode(pairs).alias("p")).select("p.a", "p.b")).union(close).distinct()
 
 
 def estimated(pairs: DataFrame, reps: DataFrame, k: int, least: float) -> DataFrame:
@@ -133,13 +139,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, k: int =
     Documents are linked if 100 * intersection >= percent * union of their shingle sets. A null or empty text has an
     empty set and no links; ids that are null have neither set nor component (n_shingles 0, component null, not kept);
     rows that repeat an id are one document each with the first text's set deciding; an empty table gives no rows.
-    ``slack``: how far below the threshold an estimate may lie (five standard errors at k = 64).
+    ``slack``: how far below the threshold an estimate may lie (five standard errors at k = 64). ``percent`` is 76 or
+    more: below that, short sets may differ by two shingles and share neither a run of three nor all but one.
     """
+    if percent < 76:
+        raise ValueError("percent must be 76 or more")
     drawn = stash(sketches(docs, width, k), "sketches")
-    # a set of under six shingles is similar enough only to an equal one
     classes = drawn.filter("n_shingles > 0").groupBy("set_hash", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
     reps = stash(classes, "classes")
-    pairs = candidate_pairs(reps.filter("n_shingles >= 6"), sublist)
+    # a smaller set is similar enough only to an equal one
+    mated = reps.filter(F.col("n_shingles") * (100 - percent) >= percent)
+    # s shared shingles with b others in between hold a run of three if s > 2 (b + 1), so in unions above this size
+    pairs = candidate_pairs(mated, sublist, 200 // (3 * percent - 200))
     near = stash(estimated(pairs, reps, k, percent / 100 - slack), "near-pairs")
     clusters = connected_components(near).withColumnRenamed("component", "cluster")
     forest = stash(confirmed(docs, clusters, width, percent, block, blocks, most), "forest")

@@ -80,6 +80,28 @@ def test_near_duplicates_match_brute_force(spark):
     assert got == want
 
 
+def test_near_duplicate_stage_at_four_fifths(spark):
+    """The pipeline's stage against brute force at 0.8: pairs between 0.8 and 0.85, and sets of four and five shingles."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    texts = []
+    for _ in range(20):
+        w = sentence(rng, 104, 5000).split()
+        texts += [" ".join(w), " ".join(w[:36] + ["changed"] + w[37:72] + ["too"] + w[73:])]  # 90 of 110: 0.82
+    for n in [8] * 12 + [9] * 12 + [7] * 4:  # 4 of 5 (0.8), 5 of 6 (0.83) and 3 of 4 (0.75) shingles
+        w = sentence(rng, n + 1, 5000).split()
+        texts += [" ".join(w), " ".join(w[:n])]
+    core = sentence(rng, 8, 5000)
+    texts += [f"{core} {x}" for x in "abcdefgh"] + [core]  # alike only through the last one
+    rows = list(enumerate(DOCS[i][1] for i in range(len(DOCS)))) + list(enumerate(texts, start=1000))
+    want = brute_components(rows, 80)
+    near = {i: c for i, (_, c) in want.items()}
+    assert near != {i: c for i, (_, c) in brute_components(rows, 85).items()}
+    got = corpus_pipeline.drop_near_duplicates(spark, frame(spark, rows), "")
+    assert sorted(r.doc_id for r in got.collect()) == sorted(i for i, c in near.items() if i == c)
+
+
 def test_near_duplicates_in_blocks(spark):
     """Clusters larger than a block are checked block by block."""
     got = near_duplicates(frame(spark, DOCS), block=7, blocks=4, most=20)
