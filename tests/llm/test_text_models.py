@@ -118,3 +118,32 @@ def test_decontamination(spark):
     assert {(1, True, 10, True), (2, True, 10, False), (3, False, None, None), (4, False, None, None), (5, False, None, None), (None, False, None, None), (7, True, 13, True), (8, True, 10, True)} <= got
     assert decontamination.contamination(docs, bench.limit(0)).filter("contaminated").count() == 0
     assert decontamination.contamination(docs.limit(0), bench).count() == 0
+
+
+FILLER = "nothing to see here at all just some words that go on and on without any meaning for a while. "
+
+
+def flagged(spark, rows, items):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    best = {(r.doc_id, r.item_id): (r.coverage, r.exact) for r in decontamination.leaks(docs, bench).collect()}
+    return best, sorted((r.doc_id, r.contaminated) for r in decontamination.contamination(docs, bench).collect())
+
+
+def test_decontamination_judges_each_occurrence(spark):
+    def item(n):
+        return f"A baker sells {n} loaves of bread each morning and wants to know how much flour that takes. "
+
+    three = FILLER.join(item(n) for n in (5, 7, 9))
+    variants = FILLER + item(21) + FILLER + item(34) + FILLER + item(34)
+    chance = item(5) + FILLER + "he sells 88 loaves of bread each morning and wants. " + FILLER + "who sells 99 loaves of bread each morning and wants. "
+    broken = "A baker sells 5 loaves of bread each morning and sells 5 loaves of cake each evening to his own friends"
+    wrong = broken.replace("5", "6", 1).replace(" 5 ", " 8 ")
+    shifted = broken.replace("5", "6").replace("and sells", "and really sells")  # three windows before and three behind
+    rows = [(1, three), (2, variants), (3, chance), (4, wrong), (5, item(77)), (5, FILLER), (6, "".join(item(n) for n in (5, 7, 9))), (7, shifted)]
+    best, found = flagged(spark, rows, [(1, item(5)), (2, item(7)), (3, item(9)), (4, broken)])
+    assert {(1, i) for i in (1, 2, 3)} | {(6, i) for i in (1, 2, 3)} <= {k for k, v in best.items() if v == (1.0, True)}
+    assert best[2, 1] == (1.0, False) and best[3, 1] == (1.0, True) and (7, 4) in best
+    # two values for one in a single occurrence are no copy; rows that share an id are judged by their own text
+    assert (4, 4) not in best
+    assert found == [(1, True), (2, True), (3, True), (4, False), (5, False), (5, True), (6, True), (7, True)]
