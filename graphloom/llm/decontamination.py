@@ -86,10 +86,12 @@ class Benchmark:
                 continue
             ids = np.array([self.vocabulary[t] for t in tokens], dtype=np.uint64)
             hashes = window_hashes(ids, wide) + np.uint64(wide != width) * np.uint64(wide)
-            useful = [i for i in range(len(hashes)) if 2 * sum(t in PLACEHOLDERS for t in tokens[i : i + wide]) < wide]
-            for i in useful:
+            for i in range(len(hashes)):
+                telling = 2 * sum(t in PLACEHOLDERS for t in tokens[i : i + wide]) < wide
                 slots = [words[j] for j in range(i, i + wide) if tokens[j] in PLACEHOLDERS]
-                self.rows.append((int(hashes[i].view(np.int64)), item, text, i, len(useful), slots, True, wide))
+                self.rows.append((int(hashes[i].view(np.int64)), item, text, i, len(hashes), slots, telling, wide))
+                if not telling:
+                    heavy.append((item, text, i, len(hashes), words[i : i + wide], wide))
         known = {w: np.unique(np.array([r[0] for r in self.rows if r[-1] == w], dtype=np.int64)) for w in {r[-1] for r in self.rows}}
         weak = {r[0] for r in self.rows if not r[-2]}
         #: By width the sorted hashes of templates, and which of them are telling.

@@ -147,3 +147,16 @@ def test_decontamination_judges_each_occurrence(spark):
     # two values for one in a single occurrence are no copy; rows that share an id are judged by their own text
     assert (4, 4) not in best
     assert found == [(1, True), (2, True), (3, True), (4, False), (5, False), (5, True), (6, True), (7, True)]
+
+
+def test_decontamination_finds_items_of_placeholders(spark):
+    items = [(1, "12 + 30 + 7 + 5 = ?"), (2, "Who Wrote War And Peace And Anna Karenina In Moscow"), (3, "Anna, Bertha, Carl, Dora, Emil, Friedrich, Gustav, Heinrich, Ida and Julius")]
+    items += [(4, "Please add up all of these numbers for me now: 11, 22, 33, 44, 55, 66, 77, 88, 99, 110, 121, 132")]
+    rows = [(i, FILLER + "so " + text + " and so on") for i, text in items]
+    other = FILLER + "13 + 31 + 8 + 6 = ? and Who Sold War And Hunger And Bread Pudding In Berlin. " + FILLER
+    variant = FILLER + items[3][1].replace("1", "6").replace("2", "7").replace("3", "8")
+    best, found = flagged(spark, [*rows, (5, other), (6, variant), (7, FILLER + "100 200 300 400 500 600 700 800 900")], items)
+    assert {k for k in best if k[0] < 5} == {(1, 1), (2, 2), (3, 3), (4, 4)}
+    assert best[1, 1] == (1.0, True) and best[4, 4][1]
+    assert found == [(1, True), (2, True), (3, True), (4, True), (5, False), (6, True), (7, False)]
+    assert best[6, 4] == (1.0, False)
