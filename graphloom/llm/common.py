@@ -74,6 +74,11 @@ def utf8_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def row_id() -> Column:
+    """A hash of a row's id and text; rows with both equal share it, null ids and texts included."""
+    return F.xxhash64(F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")), F.col("text").isNull(), utf8_text())
+
+
 def held_out(id_column: str = "doc_id") -> Column:
     """True for rows kept from training: crc32 of the id as text leaves 2 modulo 4 (null ids are held out)."""
     return F.coalesce(F.pmod(F.crc32(F.col(id_column).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(True))

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import stash, tidy
+from graphloom.llm.common import row_id, stash, tidy
 from graphloom.llm.shingles import mix
 
 MAX_WINDOWS = 1_000_000  # benchmark windows that a pass broadcasts: about 50 MB
@@ -125,9 +125,9 @@ def hits(ids: np.ndarray, wide: int, hashes, known: np.ndarray) -> tuple[np.ndar
 
 
 def matches(docs: DataFrame, benchmark: Benchmark) -> DataFrame:
-    """doc_id, version, at, hash, slots of the documents' windows that have the hash of a benchmark window.
+    """rid, at, hash, slots of the documents' windows that have the hash of a benchmark window.
 
-    ``docs``: doc_id, version, text. Templates that are not telling count only next to a window that is.
+    ``docs``: rid, text. Templates that are not telling count only next to a window that is.
     """
     shared = docs.sparkSession.sparkContext.broadcast((benchmark.vocabulary, benchmark.by_width, benchmark.words, benchmark.exact, benchmark.width))
 
@@ -140,7 +140,7 @@ def matches(docs: DataFrame, benchmark: Benchmark) -> DataFrame:
 
         for batch in batches:
             out = []
-            for doc_id, version, text in zip(batch.doc_id, batch.version, batch.text, strict=True):
+            for rid, text in zip(batch.rid, batch.text, strict=True):
                 tokens, words = template(text)
                 ids = np.array([get(t, 0) for t in tokens], dtype=np.uint64)
                 literal = np.array([get_word(w, 0) for w in words], dtype=np.uint64) if exact else None
@@ -148,32 +148,32 @@ def matches(docs: DataFrame, benchmark: Benchmark) -> DataFrame:
                     at, number = hits(ids, wide, hashed, known)
                     if wide in exact:
                         same, which = hits(literal, wide, Benchmark.literal, exact[wide])
-                        out.extend((doc_id, version, i, h, []) for i, h in zip(same.tolist(), exact[wide][which].tolist(), strict=True))
+                        out.extend((rid, i, h, []) for i, h in zip(same.tolist(), exact[wide][which].tolist(), strict=True))
                         # runs of neighbouring windows that hold a telling one
                         places, where = np.unique(np.concatenate([at, same]), return_inverse=True)
                         run_of = np.cumsum(np.diff(places, prepend=-1) > 1)[where]
                         good = np.isin(run_of[: len(at)], np.concatenate([run_of[: len(at)][telling[number]], run_of[len(at) :]]))
                         at, number = at[good], number[good]
                     for i, h in zip(at.tolist(), known[number].tolist(), strict=True):
-                        out.append((doc_id, version, i, h, [words[j] for j in range(i, i + wide) if tokens[j] in PLACEHOLDERS]))
-            yield pd.DataFrame(out, columns=["doc_id", "version", "at", "hash", "slots"])
+                        out.append((rid, i, h, [words[j] for j in range(i, i + wide) if tokens[j] in PLACEHOLDERS]))
+            yield pd.DataFrame(out, columns=["rid", "at", "hash", "slots"])
 
-    return docs.filter("doc_id is not null and text is not null").mapInPandas(tidy(run), "doc_id long, version long, at int, hash long, slots array<string>")
+    return docs.filter("text is not null").mapInPandas(tidy(run), "rid long, at int, hash long, slots array<string>")
 
 
-def versions(docs: DataFrame) -> DataFrame:
-    """doc_id, version, text: rows that repeat an id are told apart by their text."""
-    return docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
+def named(docs: DataFrame) -> DataFrame:
+    """rid, text: rows with equal id and text are one, any others are judged one by one."""
+    return docs.select(row_id().alias("rid"), "text")
 
 
 def occurrences(found: DataFrame, tolerance: int) -> DataFrame:
-    """doc_id, version, item_id, n_windows, n_item, pairs of places of an item in a document.
+    """rid, item_id, n_windows, n_item, pairs of places of an item in a document.
 
     Windows are one occurrence if they agree on where the item would begin; occurrences whose beginnings lie within
     ``tolerance`` (words put in or left out; less for items of few windows, so that copies in a row stay apart) also
     count together, as do all windows of a document that hold an item's own values.
     """
-    key = ["doc_id", "version", "item_id", "text"]
+    key = ["rid", "item_id", "text"]
     own = F.col("slots") == F.col("item_slots")
     pairs = F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots"))))
     begins = (F.col("at") - F.col("place")).alias("begins")
@@ -183,13 +183,14 @@ def occurrences(found: DataFrame, tolerance: int) -> DataFrame:
     apart = F.col("begins") - F.lag("begins").over(order) > F.least(F.lit(tolerance), F.col("n_item") - 1)
     chains = alone.withColumn("apart", apart.cast("int")).withColumn("chain", F.sum(F.coalesce("apart", F.lit(0))).over(order))
     joined = chains.groupBy(*key, "chain").agg(F.count("*").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n_windows"), F.max("n_item").alias("n_item"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"), F.max("telling").alias("telling")).filter("n > 1 AND telling")
-    literal = alone.filter("telling").groupBy(*key).agg(F.size(F.array_distinct(F.flatten(F.collect_list("own")))).alias("n_windows"), F.max("n_item").alias("n_item"), F.slice(F.first("pairs"), 1, 0).alias("pairs"))
-    columns = ["doc_id", "version", "item_id", "n_windows", "n_item", "pairs"]
-    return alone.filter("telling").withColumn("n_windows", F.size("places")).select(columns).unionByName(joined.select(columns)).unionByName(literal.filter("n_windows > 0").select(columns))
+    places = alone.filter("telling").select(*key, "n_item", F.explode("own").alias("place"))
+    literal = places.groupBy(*key).agg(F.count_distinct("place").alias("n_windows"), F.max("n_item").alias("n_item")).withColumn("pairs", F.lit(None).cast(alone.schema["pairs"].dataType))
+    columns = ["rid", "item_id", "n_windows", "n_item", "pairs"]
+    return alone.filter("telling").withColumn("n_windows", F.size("places")).select(columns).unionByName(joined.select(columns)).unionByName(literal.select(columns).withColumn("pairs", F.coalesce("pairs", F.array())))
 
 
 def judged(docs: DataFrame, benchmark: DataFrame, width: int, coverage: float, run_windows: int, tolerance: int) -> DataFrame:
-    """doc_id, version, item_id, n_windows, coverage, exact, consistent; ``docs`` has versions."""
+    """rid, item_id, n_windows, coverage, exact, consistent; ``docs``: rid, text."""
     spark = docs.sparkSession
     found = None
     chunk, held = [], 0
@@ -207,7 +208,7 @@ def judged(docs: DataFrame, benchmark: DataFrame, width: int, coverage: float, r
         windows = spark.createDataFrame([r[:7] for r in table.rows], "hash long, item_id long, text int, place int, n_item int, item_slots array<string>, telling boolean")
         both = matches(docs, table).join(F.broadcast(windows), "hash")  # at most MAX_WINDOWS rows, and literal ones
         found = both if found is None else found.unionByName(both)
-    schema = "doc_id long, version long, item_id long, n_windows long, coverage double, exact boolean, consistent boolean"
+    schema = "rid long, item_id long, n_windows long, coverage double, exact boolean, consistent boolean"
     if found is None:
         return spark.createDataFrame([], schema)
     share = F.col("n_windows") / F.col("n_item")
@@ -216,10 +217,10 @@ def judged(docs: DataFrame, benchmark: DataFrame, width: int, coverage: float, r
     # a value of the item may become one other value; one text may hold the item and a variant of it, so equal pairs count first
     changed = F.filter("pairs", lambda p: p["item_slots"] != p["slots"])
     consistent = same | (sources == F.size("pairs")) | (F.size(F.array_distinct(F.transform(changed, lambda p: p["item_slots"]))) == F.size(changed))
-    rows = occurrences(found, tolerance).select("doc_id", "version", "item_id", F.col("n_windows").cast("long"), share.alias("coverage"), same.alias("exact"), consistent.alias("consistent"))
+    rows = occurrences(found, tolerance).select("rid", "item_id", F.col("n_windows").cast("long"), share.alias("coverage"), same.alias("exact"), consistent.alias("consistent"))
     passed = rows.filter((F.col("coverage") >= coverage) | (F.col("n_windows") >= run_windows)).filter("consistent")
     best = F.max(F.struct("coverage", "n_windows", "exact", "consistent")).alias("best")
-    return passed.groupBy("doc_id", "version", "item_id").agg(best).select("doc_id", "version", "item_id", "best.n_windows", "best.coverage", "best.exact", "best.consistent")
+    return passed.groupBy("rid", "item_id").agg(best).select("rid", "item_id", "best.n_windows", "best.coverage", "best.exact", "best.consistent")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, coverage: float = 0.5, run_windows: int = 6, tolerance: int = 8) -> DataFrame:
@@ -227,19 +228,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, coverage: float
     least the share ``coverage`` of the windows, or ``run_windows`` windows (13 words in a row), with consistent slots in
     one occurrence, or with the item's own values anywhere.
 
-    Items of fewer words than ``width`` are one window. Null texts and ids match nothing; an item id that occurs twice
-    is found by either text; rows that repeat a doc_id are judged one by one and give the best; an empty table or
-    benchmark gives no rows.
+    Items of fewer words than ``width`` are one window. Null texts match nothing; null ids are judged like any other; an
+    item id that occurs twice is found by either text, one that is null by none; rows that repeat a doc_id are judged one
+    by one and give the best; an empty table or benchmark gives no rows.
     """
     best = F.max(F.struct("coverage", "n_windows", "exact", "consistent")).alias("best")
-    rows = judged(versions(docs), benchmark, width, coverage, run_windows, tolerance).groupBy("doc_id", "item_id").agg(best)
+    found = judged(named(docs), benchmark, width, coverage, run_windows, tolerance)
+    rows = docs.select("doc_id", row_id().alias("rid")).join(found, "rid").groupBy("doc_id", "item_id").agg(best)
     return rows.select("doc_id", "item_id", "best.n_windows", "best.coverage", "best.exact", "best.consistent")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 8, coverage: float = 0.5, run_windows: int = 6, tolerance: int = 8) -> DataFrame:
     """One row for every row of ``docs``: doc_id, contaminated, n_items, item_id (of the best match), coverage, exact."""
     best = F.max(F.struct("coverage", "n_windows", (-F.col("item_id")).alias("less"), "exact"))
-    found = judged(versions(docs), benchmark, width, coverage, run_windows, tolerance)
-    found = stash(found.groupBy("doc_id", "version").agg(F.count("*").alias("n_items"), best.alias("best")), "leaks")
-    rows = versions(docs).select("doc_id", "version").join(found, ["doc_id", "version"], "left")
+    found = judged(named(docs), benchmark, width, coverage, run_windows, tolerance)
+    found = stash(found.groupBy("rid").agg(F.count("*").alias("n_items"), best.alias("best")), "leaks")
+    rows = docs.select("doc_id", row_id().alias("rid")).join(found, "rid", "left")
     return rows.select("doc_id", F.col("best").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), (-F.col("best.less")).alias("item_id"), F.col("best.coverage").alias("coverage"), F.col("best.exact").alias("exact"))
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, coverage: float = 0.5, run_windows: int = 6, tolerance: int = 8) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item (see :func:`leaks`), with their columns; each is judged by its own
+    text, whatever its id."""
+    found = stash(judged(named(docs), benchmark, width, coverage, run_windows, tolerance).select("rid").distinct(), "leaks")
+    return docs.select(F.struct(*docs.columns).alias("row"), row_id().alias("rid")).join(found, "rid", "left_anti").select("row.*")
