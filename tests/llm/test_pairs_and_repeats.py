@@ -11,8 +11,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import stash
 from graphloom.llm.components import connected_components
-from graphloom.llm.near_dedup import near_duplicates
+from graphloom.llm.near_dedup import candidate_pairs, near_duplicates, sketches, without_near_duplicates
 from graphloom.llm.repeats import keep_rest, merge_spans, removal_report, without_repeats
 from graphloom.llm.shingles import shingle_sets
 from graphloom.llm.suffixes import repeated_starts, suffix_array
@@ -103,16 +104,62 @@ def test_near_duplicate_stage_at_four_fifths(spark):
 
 
 def test_near_duplicates_in_blocks(spark):
-    """Clusters larger than a block are checked block by block."""
-    got = near_duplicates(frame(spark, DOCS), block=7, blocks=4, most=20)
+    """Clusters larger than a block are searched block by block."""
+    got = near_duplicates(frame(spark, DOCS), block_bytes=4000)
     assert {r.doc_id: r.component_id for r in got.collect()} == {i: c for i, (_, c) in brute_components(DOCS).items()}
 
 
 def test_near_duplicates_of_odd_rows(spark):
-    rows = [(None, "a b c d e f"), (1, None), (2, ""), (2, ""), (3, "a b c d e f g"), (3, "a b c d e f g"), (4, "A B c d e f g")]
+    rows = [(None, "a b c d e f g"), (None, "nobody else has these words"), (1, None), (2, ""), (2, ""), (3, "a b c d e f g"), (3, "a b c d e f g"), (4, "A B c d e f g"), (3, "another text of this very id")]
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(frame(spark, rows)).collect()), key=repr)
-    assert got == sorted([(None, 0, None, False), (1, 0, 1, True), (2, 0, 2, True), (2, 0, 2, True), (3, 3, 3, True), (3, 3, 3, True), (4, 3, 3, False)], key=repr)
+    want = [(None, 3, 3, False), (None, 1, None, False), (1, 0, 1, True), (2, 0, 2, True), (2, 0, 2, True), (3, 3, 3, True), (3, 3, 3, True), (4, 3, 3, False), (3, 2, 3, True)]
+    assert got == sorted(want, key=repr)
     assert near_duplicates(frame(spark, [])).count() == 0
+    stays = sorted(((r.doc_id, r.text) for r in without_near_duplicates(frame(spark, rows)).collect()), key=repr)
+    assert stays == sorted([rows[1], rows[2], rows[3], rows[4], rows[5], rows[8]], key=repr)
+    text_ids = frame(spark, rows).withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    assert {(r.doc_id, r.component_id) for r in near_duplicates(text_ids).collect()} == {(i and f"d{i}", c and f"d{c}") for i, _, c, _ in want}
+
+
+def test_large_families_draw_few_pairs(spark):
+    """Near copies of one text: pairs in proportion, whole components."""
+    rng = random.Random(8)
+    base = sentence(rng, 300, 5000).split()
+    pairs = {}
+    for n in (1000, 4000):
+        rows = []
+        for i in range(n):
+            w = list(base)
+            for _ in range(rng.randrange(1, 4)):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            rows.append((i, " ".join(w)))
+        docs = frame(spark, rows).repartition(4)
+        reps = stash(sketches(docs, 5, 64))
+        pairs[n] = candidate_pairs(reps, 3).count() / reps.count()
+        assert near_duplicates(docs).select("component_id").distinct().count() == 1
+    assert pairs[4000] < 8 and pairs[4000] < 1.3 * pairs[1000]
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_links_across_unlike_documents(spark, percent):
+    """Families around shared boilerplate, chains of small changes, and variants that no confirmed pair joins at first."""
+    rng = random.Random(percent)
+    boiler = sentence(rng, 200, 5000)
+    texts = [boiler + " " + sentence(rng, rng.randrange(10, 120), 5000) for _ in range(60)]
+    texts += [t + " " + sentence(rng, 3) for t in texts[:30]]
+    chain = sentence(rng, 120, 5000).split()
+    for _ in range(40):  # neighbours are alike, the ends are not
+        chain[rng.randrange(120)] = f"y{rng.randrange(10**6)}"
+        texts.append(" ".join(chain))
+    slots = sentence(rng, 100, 5000).split()
+    for _ in range(120):  # a template with four slots of few values
+        w = list(slots)
+        for at in (10, 35, 60, 85):
+            w[at] = f"v{rng.randrange(5)}"
+        texts.append(" ".join(w))
+    rows = list(enumerate(texts))
+    want = {i: c for i, (_, c) in brute_components(rows, percent).items()}
+    assert {r.doc_id: r.component_id for r in near_duplicates(frame(spark, rows), percent=percent, block_bytes=20_000).collect()} == want
 
 
 def test_shingles_count_like_sets():
