@@ -1,158 +1,137 @@
 """Stupid-backoff language-model scores of documents under the corpus's own n-gram counts.
 
-Units are the ids of a public tokenizer, so the unigram table is bounded by its vocabulary. A document's token ids are
-written once, in batches of documents. Its bigrams, counted within each document, are dealt to partitions by hash; a
-partition holds every occurrence of its bigrams, so it counts them, joins the counts back to the occurrences, backs off
-to unigrams for bigrams below the cutoff, and returns one sum for each document. The sums of a batch meet its documents
-again at the end. Occurrences travel as compressed columns, a few bytes each; no partition depends on a frequent word,
-because a bigram has at most one entry a document.
+Units are the ids of a public tokenizer (16 bits each), so an n-gram of up to three of them is one exact number.
+
+1. A document's token ids are written once, a row for each batch of documents.
+2. Batches are exploded to their distinct n-grams of all orders, each with its number of occurrences in the batch: the
+   aggregation before the shuffle. A frequent n-gram therefore has one row a batch, however many documents hold it.
+3. The rows are dealt by the hash of the n-gram. Their sums are the count table; it keeps n-grams of ``min_count`` or more
+   and is joined back to the rows in the same partitions.
+4. Counts return to their batches and meet the token ids; every token is scored, the sums of a document are its score.
+
+No step holds more than one batch in a task, whatever the size of the corpus or the frequency of an n-gram.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-import zstandard
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import stash, tidy, utf8_text
 from graphloom.llm.packing import Tokens
-from graphloom.llm.shingles import mix
 
-SHARES = 5  # of a partition's bigrams, which are solved one after the other
 BATCHES = "batch long, doc_ids array<string>, sizes array<int>, ids binary"
+CHUNK = 200_000  # rows that a task hands over at a time
 
 
-def _squeeze(*columns: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(c.tobytes() for c in columns))
-
-
-def token_batches(docs: DataFrame, tokenizer_path: str, batch_docs: int = 512) -> DataFrame:
-    """Token ids of documents, a row for up to ``batch_docs`` of them."""
+def token_batches(docs: DataFrame, tokenizer_path: str, batch_tokens: int) -> DataFrame:
+    """Token ids of documents, a row for about ``batch_tokens`` of them (a document is not cut): ``ids`` holds the 16-bit
+    ids of all, compressed, ``sizes`` their number in each document."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import uuid
-
         tokens = Tokens(tokenizer_path)
+        names, held, size = [], [], 0
+
+        def batch() -> pd.DataFrame:
+            raw = b"".join(x.tobytes() for x in held)
+            row = (uuid.uuid4().int >> 65, names, [len(x) for x in held], pa.compress(raw, codec="zstd", asbytes=True))
+            return pd.DataFrame([row], columns=["batch", "doc_ids", "sizes", "ids"])
+
         for frame in batches:
-            for at in range(0, len(frame), batch_docs):
-                part = frame.iloc[at : at + batch_docs]
-                ids = [x.astype("<u2") for x in tokens.many(part.text.tolist())]
-                yield pd.DataFrame([(uuid.uuid4().int >> 65, part.doc_id.tolist(), [len(x) for x in ids], _squeeze(*ids))], columns=["batch", "doc_ids", "sizes", "ids"])
+            for name, ids in zip(frame.doc_id, tokens.many(frame.text.tolist()), strict=True):
+                names.append(name)
+                held.append(ids.astype("<u2"))
+                size += len(ids)
+                if size >= batch_tokens:
+                    yield batch()
+                    names, held, size = [], [], 0
+        if names:
+            yield batch()
 
     return docs.select(F.col("doc_id").cast("string"), utf8_text().alias("text")).mapInPandas(tidy(run), BATCHES)
 
 
-def _ids(raw: bytes, sizes) -> np.ndarray:
+def tokens_of(raw: bytes, sizes) -> np.ndarray:
     n = int(np.sum(sizes))
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw, max_output_size=max(1, 2 * n)), dtype="<u2") if n else np.zeros(0, dtype="<u2")
+    return np.frombuffer(pa.decompress(raw, decompressed_size=2 * n, codec="zstd", asbytes=True), dtype="<u2").astype(np.int64) if n else np.zeros(0, dtype=np.int64)
 
 
-def lm_scores(docs: DataFrame, tokenizer_path: str, vocabulary: int, start_id: int, cutoff: int = 2, backoff: float = 0.4, partition_bytes: int = 16 << 20, min_partitions: int = 12) -> DataFrame:
-    """doc_id, n_tokens, log10_score (sum over tokens), mean_log10 for every row of ``docs``.
+def grams(ids: np.ndarray, sizes: np.ndarray, order: int, start_id: int) -> list[np.ndarray]:
+    """For each order the number of the n-gram that ends at each token; documents begin with ``start_id``s.
 
-    score(w | v) = count(v w) / count(v) if count(v w) >= ``cutoff``, else ``backoff`` * count(w) / N; the first token
-    follows ``start_id``. Counts are over all rows (repeated rows count again). A null or empty text has no tokens, sum
-    0 and a null mean; an empty table gives no rows. ``vocabulary`` (the number of ids, below 65,536) bounds the
-    broadcast unigram table; a task holds the bigrams of about ``partition_bytes`` of text.
+    The n-gram of order m is m tokens of 16 bits below the number m.
     """
-    spark = docs.sparkSession
-    if vocabulary > 1 << 16:
-        raise ValueError("ids must fit into 16 bits")
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(min_partitions, -(-size // partition_bytes))
-    batches = stash(token_batches(docs, tokenizer_path), "token-batches")
-
-    def count(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(vocabulary, dtype=np.int64)
-        for frame in frames:
-            for raw, sizes in zip(frame.ids, frame.sizes, strict=True):
-                total += np.bincount(_ids(raw, sizes), minlength=vocabulary)
-                total[start_id] += np.count_nonzero(sizes)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"id": at.astype(np.int32), "k": total[at]})
-
-    counted = batches.select("sizes", "ids").mapInPandas(tidy(count), "id int, k long").groupBy("id").agg(F.sum("k").alias("k")).toPandas()
-    unigrams = np.zeros(vocabulary, dtype=np.int64)
-    unigrams[counted.id] = counted.k
-    starts = batches.agg(F.sum(F.size(F.filter("sizes", lambda s: s > 0)))).first()[0] or 0
-    shared = spark.sparkContext.broadcast((unigrams, int(unigrams.sum()) - starts))
-
-    def deal(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    begins = (np.cumsum(sizes) - sizes)[sizes > 0]
+    out, code, before = [], ids, ids
+    for m in range(1, order + 1):
+        out.append(code | (m << 16 * m))
+        before = np.concatenate([[start_id], before[:-1]]) if len(ids) else ids
+        before[begins] = start_id
+        code = code | (before << 16 * m)
+    return out
+
+
+def exploded(batches: DataFrame, order: int, start_id: int) -> DataFrame:
+    """batch, gram, k: the distinct n-grams of every batch and how often they occur in it."""
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for batch, sizes, raw in zip(frame.batch, frame.sizes, frame.ids, strict=True):
-                ids = _ids(raw, sizes).astype(np.uint64)
-                if not len(ids):
-                    continue
-                sizes = np.asarray(sizes, dtype=np.int64)
-                doc = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
-                before = np.concatenate([[np.uint64(start_id)], ids[:-1]])
-                before[(np.cumsum(sizes) - sizes)[sizes > 0]] = start_id
-                # bigram (32 bits) and document (16 bits) in one number: sorting it groups both
-                bigram = (before << np.uint64(16)) | ids
-                own, n = np.unique((bigram << np.uint64(16)) | doc, return_counts=True)
-                where = (mix(own >> np.uint64(16)) % np.uint64(parts)).astype(np.int64)
-                by = np.argsort(where, kind="stable")
-                own, n, cuts = own[by], n[by], np.searchsorted(where[by], np.arange(parts + 1))
-                rows = []
-                for p in np.flatnonzero(np.diff(cuts)):
-                    x, k = own[cuts[p] : cuts[p + 1]], n[cuts[p] : cuts[p + 1]]
-                    gaps = np.diff((x >> np.uint64(16)).astype(np.int64), prepend=0).astype("<u4")
-                    rows.append((int(p), batch, len(x), len(sizes), _squeeze(gaps, (x & np.uint64(0xFFFF)).astype("<u2"), k.astype("<u4"))))
-                yield pd.DataFrame(rows, columns=["part", "batch", "n", "n_docs", "cells"])
-
-    dealt = batches.select("batch", "sizes", "ids").mapInPandas(tidy(deal), "part int, batch long, n int, n_docs int, cells binary")
-
-    def solve(held: list[tuple]) -> pd.DataFrame:
-        unigrams, total = shared.value
-        offsets = np.cumsum([0, *[h[2] for h in held]])
-        sums = np.zeros(int(offsets[-1]))
-        for share in range(SHARES):  # a share of the bigrams at a time bounds the arrays
-            bigrams, places, counts = [], [], []
-            for i, (_, n, _, cells) in enumerate(held):
-                raw = zstandard.ZstdDecompressor().decompress(cells, max_output_size=10 * n)
-                bigram = np.cumsum(np.frombuffer(raw, "<u4", n), dtype=np.uint32)
-                own = bigram % SHARES == share
-                bigrams.append(bigram[own])
-                places.append((offsets[i] + np.frombuffer(raw, "<u2", n, 4 * n)[own]).astype(np.int32))
-                counts.append(np.frombuffer(raw, "<u4", n, 6 * n)[own])
-            bigram, place, k = np.concatenate(bigrams), np.concatenate(places), np.concatenate(counts)
-            order = np.argsort(bigram, kind="stable")
-            fresh = np.ones(len(order), dtype=bool)
-            fresh[1:] = bigram[order[1:]] != bigram[order[:-1]]
-            group = np.cumsum(fresh, dtype=np.int32) - 1
-            joined = np.empty(len(order))
-            joined[order] = np.bincount(group, weights=k[order])[group]
-            v, w = bigram >> 16, bigram & 0xFFFF
-            score = np.where(joined >= cutoff, joined / unigrams[v], backoff * unigrams[w] / total)
-            sums += np.bincount(place, weights=np.log10(score) * k, minlength=len(sums))
-        return pd.DataFrame([(h[0], sums[offsets[i] : offsets[i + 1]].tobytes()) for i, h in enumerate(held)], columns=["batch", "sums"])
-
-    def score(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, part = [], None
-        for frame in frames:
-            for row in zip(frame.part, frame.batch, frame.n, frame.n_docs, frame.cells, strict=True):
-                if part is not None and row[0] != part:
-                    yield solve(held)
-                    held = []
-                part = row[0]
-                held.append(row[1:])
-        if held:
-            yield solve(held)
-
-    sums = dealt.repartition(int(parts), "part").sortWithinPartitions("part", "batch").mapInPandas(tidy(score), "batch long, sums binary")
-
-    def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+                for own in grams(tokens_of(raw, sizes), np.asarray(sizes, dtype=np.int64), order, start_id):
+                    own, k = np.unique(own, return_counts=True)
+                    for at in range(0, len(own), CHUNK):
+                        yield pd.DataFrame({"batch": np.int64(batch), "gram": own[at : at + CHUNK], "k": k[at : at + CHUNK]})
+
+    return batches.select("batch", "sizes", "ids").mapInPandas(tidy(run), "batch long, gram long, k long")
+
+
+def lm_scores(docs: DataFrame, tokenizer_path: str, vocabulary: int, start_id: int, order: int = 3, min_count: int = 2, backoff: float = 0.4, batch_tokens: int = 6_000_000) -> DataFrame:
+    """doc_id, n_tokens, log10_score (sum over tokens), mean_log10 for every row of ``docs``.
+
+    S(w | u v) = count(u v w) / count(u v) if the table has u v w, else ``backoff`` * S(w | v), and so on down to
+    count(w) / N; a document begins with ``start_id``s, whose count is the number of documents with tokens. ``order`` is 1
+    to 3. The table has n-grams of two or more tokens with a count of ``min_count`` or more: the corpus scores itself, so
+    an n-gram seen once was seen in the scored text alone. Counts are over all rows (repeated rows count again). A null or
+    empty text has no tokens, sum 0 and a null mean; an empty table gives no rows. Ids must fit into 16 bits.
+    """
+    if vocabulary > 1 << 16 or not 1 <= order <= 3:
+        raise ValueError("ids must fit into 16 bits, and order must be 1, 2 or 3")
+    batches = stash(token_batches(docs, tokenizer_path, batch_tokens), "token-batches")
+    n_tokens, n_docs = batches.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x)), F.sum(F.size(F.filter("sizes", lambda s: s > 0)))).first()
+    dealt = exploded(batches, order, start_id).repartition("gram")
+    # a table of n-gram counts; single tokens (below 2 << 32) are all kept
+    counts = dealt.groupBy("gram").agg(F.sum("k").alias("total")).filter((F.col("total") >= min_count) | (F.col("gram") < 2 << 32))
+    answers = dealt.select("batch", "gram").join(counts, "gram")
+
+    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
             return pd.DataFrame({"doc_id": [], "n_tokens": [], "log10_score": []})
         sizes = np.asarray(left.sizes.iloc[0], dtype=np.int64)
-        # a fixed order of the parts makes sums of doubles repeatable
-        total = np.sum([np.frombuffer(s) for s in sorted(right.sums)], axis=0) if len(right) else np.zeros(len(sizes))
-        return pd.DataFrame({"doc_id": left.doc_ids.iloc[0], "n_tokens": sizes, "log10_score": total})
-
-    scored = batches.select("batch", "doc_ids", "sizes").groupBy("batch").cogroup(sums.groupBy("batch")).applyInPandas(finish, "doc_id string, n_tokens long, log10_score double")
+        by = np.argsort(right.gram.to_numpy())
+        known, totals = right.gram.to_numpy()[by], right.total.to_numpy()[by]
+        before, value = None, None
+        for m, own in enumerate(grams(tokens_of(left.ids.iloc[0], sizes), sizes, order, start_id), start=1):
+            at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
+            found = np.where(known[at] == own, totals[at], 0) if len(known) else np.zeros(len(own), dtype=np.int64)
+            if m == 1:
+                value = np.log10(found / n_tokens)
+                count = found
+            else:
+                # the context of a token is the n-gram that ended one token earlier; starts were seen once a document
+                context = np.concatenate([[n_docs], before[:-1]]) if len(own) else own
+                context[(np.cumsum(sizes) - sizes)[sizes > 0]] = n_docs
+                count = found
+                value = np.where(found > 0, np.log10(np.maximum(found, 1) / np.maximum(context, 1)), np.log10(backoff) + value)
+            before = count
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        return pd.DataFrame({"doc_id": left.doc_ids.iloc[0], "n_tokens": sizes, "log10_score": np.bincount(doc, weights=value, minlength=len(sizes))})
+
+    scored = batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(score, "doc_id string, n_tokens long, log10_score double")
     mean = F.when(F.col("n_tokens") > 0, F.col("log10_score") / F.col("n_tokens")).alias("mean_log10")
     return scored.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "n_tokens", "log10_score", mean)

@@ -79,22 +79,27 @@ def test_language_backs_off_to_ngrams(spark):
     assert langid.identify(docs.limit(0), model).count() == 0
 
 
-def test_scores_match_brute_force(spark):
+@pytest.mark.parametrize("order, least", [(3, 2), (3, 1), (2, 3), (1, 2)])
+def test_scores_match_brute_force(spark, order, least):
     path = str(public_tokenizers.path("word_bpe_49k.json"))
     rows = [(i, f"{EN} number {i % 3}" if i % 2 else DE) for i in range(30)] + [(50, None), (51, ""), (52, EN), (52, EN), (None, "alone zebra"), (53, "the " * 5000)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'clash' AS batch", "1 AS gram").repartition(3)
     tokenizer = Tokenizer.from_file(path)
-    ids = [[49406, *x] if (x := tokenizer.encode(t or "", add_special_tokens=False).ids) else [] for _, t in rows]
-    one, two = Counter(), Counter()
-    for x in ids:
-        one.update(x)
-        two.update(zip(x, x[1:], strict=False))
-    total = sum(one.values()) - one[49406]
-    want = []
-    for (i, _), x in zip(rows, ids, strict=True):
-        s = sum(math.log10(two[v, w] / one[v] if two[v, w] >= 2 else 0.4 * one[w] / total) for v, w in zip(x, x[1:], strict=False))
-        want.append((i, max(0, len(x) - 1), round(s, 6)))
-    got = lm_scores.lm_scores(docs, path, 49_408, 49_406).collect()
+    ids = [tokenizer.encode(t or "", add_special_tokens=False).ids for _, t in rows]
+    count, n_docs, n = Counter(), sum(len(x) > 0 for x in ids), sum(map(len, ids))
+    padded = [(49406,) * (order - 1) + tuple(x) for x in ids]
+    for x, own in zip(padded, ids, strict=True):
+        for i in range(order - 1, order - 1 + len(own)):
+            count.update(x[i - m : i + 1] for m in range(order))
+
+    def s(gram):
+        if len(gram) == 1:
+            return math.log10(count[gram] / n)
+        before = n_docs if set(gram[:-1]) == {49406} else count[gram[:-1]]
+        return math.log10(count[gram] / before) if count[gram] >= least else math.log10(0.4) + s(gram[1:])
+
+    want = [(i, len(own), round(sum(s(x[k : k + order]) for k in range(len(own))), 6)) for (i, _), x, own in zip(rows, padded, ids, strict=True)]
+    got = lm_scores.lm_scores(docs, path, 49_408, 49_406, order, least, batch_tokens=300).collect()
     assert sorted(((r.doc_id, r.n_tokens, round(r.log10_score, 6)) for r in got), key=repr) == sorted(want, key=repr)
     assert lm_scores.lm_scores(docs.limit(0), path, 49_408, 49_406).count() == 0
 
