@@ -3,13 +3,15 @@
 Units are the ids of a public tokenizer (16 bits each), so an n-gram of up to three of them is one exact number.
 
 1. A document's token ids are written once, a row for each batch of documents.
-2. Batches are exploded to their distinct n-grams of all orders, each with its number of occurrences in the batch: the
-   aggregation before the shuffle. A frequent n-gram therefore has one row a batch, however many documents hold it.
-3. The rows are dealt by the hash of the n-gram. Their sums are the count table; it keeps n-grams of ``min_count`` or more
-   and is joined back to the rows in the same partitions.
+2. Batches are exploded to their distinct n-grams, each with its number of occurrences in the batch: the aggregation
+   before the shuffle. A frequent n-gram therefore has one row a batch, however many documents hold it. N-grams of one
+   context (all tokens but the last) travel as one row with arrays; contexts of frequent tokens are split into slots.
+3. The rows are dealt by the hash of context and slot. Their sums are the count table, of which each batch takes the
+   entries of its own n-grams, in the same partitions.
 4. Counts return to their batches and meet the token ids; every token is scored, the sums of a document are its score.
 
-No step holds more than one batch in a task, whatever the size of the corpus or the frequency of an n-gram.
+Single tokens are counted first; that table is bounded by the vocabulary and is broadcast. No step holds more than one
+batch in a task, whatever the size of the corpus or the frequency of an n-gram.
 """
 
 from __future__ import annotations
@@ -20,14 +22,17 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import stash, tidy, utf8_text
+from graphloom.llm.common import release, stash, tidy, utf8_text
 from graphloom.llm.packing import Tokens
+from graphloom.llm.shingles import mix
 
 BATCHES = "batch long, doc_ids array<string>, sizes array<int>, ids binary"
-CHUNK = 200_000  # rows that a task hands over at a time
+CHUNK = 50_000  # rows that a task hands over at a time
+SLOT = 4_000_000  # occurrences of a context, at most, that one slot holds
+SLICE = 500_000  # tokens that are scored at a time
 
 
 def token_batches(docs: DataFrame, tokenizer_path: str, batch_tokens: int) -> DataFrame:
@@ -35,12 +40,12 @@ def token_batches(docs: DataFrame, tokenizer_path: str, batch_tokens: int) -> Da
     ids of all, compressed, ``sizes`` their number in each document."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens = Tokens(tokenizer_path)
+        tokens, packer = Tokens(tokenizer_path), pa.Codec("zstd", compression_level=7)
         names, held, size = [], [], 0
 
         def batch() -> pd.DataFrame:
-            raw = b"".join(x.tobytes() for x in held)
-            row = (uuid.uuid4().int >> 65, names, [len(x) for x in held], pa.compress(raw, codec="zstd", asbytes=True))
+            raw = packer.compress(b"".join(x.tobytes() for x in held), asbytes=True)
+            row = (uuid.uuid4().int >> 65, names, [len(x) for x in held], raw)
             return pd.DataFrame([row], columns=["batch", "doc_ids", "sizes", "ids"])
 
         for frame in batches:
@@ -57,80 +62,144 @@ def token_batches(docs: DataFrame, tokenizer_path: str, batch_tokens: int) -> Da
     return docs.select(F.col("doc_id").cast("string"), utf8_text().alias("text")).mapInPandas(tidy(run), BATCHES)
 
 
-def tokens_of(raw: bytes, sizes) -> np.ndarray:
-    n = int(np.sum(sizes))
-    return np.frombuffer(pa.decompress(raw, decompressed_size=2 * n, codec="zstd", asbytes=True), dtype="<u2").astype(np.int64) if n else np.zeros(0, dtype=np.int64)
+def tokens_of(raw: bytes, sizes: np.ndarray) -> np.ndarray:
+    n = int(sizes.sum())
+    return np.frombuffer(pa.decompress(raw, decompressed_size=2 * n, codec="zstd", asbytes=True), dtype="<u2") if n else np.zeros(0, dtype="<u2")
 
 
-def grams(ids: np.ndarray, sizes: np.ndarray, order: int, start_id: int) -> list[np.ndarray]:
-    """For each order the number of the n-gram that ends at each token; documents begin with ``start_id``s.
+def grams(ids: np.ndarray, sizes: np.ndarray, m: int, start_id: int, slots: np.ndarray) -> np.ndarray:
+    """The number of the n-gram of ``m`` tokens that ends at each token; documents begin with ``start_id``s.
 
-    The n-gram of order m is m tokens of 16 bits below the number m.
+    It is the order m, 16 bits for each token of the context, the slot (10 bits, a hash of the last token below the
+    smallest ``slots`` of a context token) and 16 bits for the last token.
     """
-    begins = (np.cumsum(sizes) - sizes)[sizes > 0]
-    out, code, before = [], ids, ids
-    for m in range(1, order + 1):
-        out.append(code | (m << 16 * m))
-        before = np.concatenate([[start_id], before[:-1]]) if len(ids) else ids
-        before[begins] = start_id
-        code = code | (before << 16 * m)
-    return out
-
-
-def exploded(batches: DataFrame, order: int, start_id: int) -> DataFrame:
-    """batch, gram, k: the distinct n-grams of every batch and how often they occur in it."""
+    out = ids.astype(np.int64)
+    begins, fewest = np.cumsum(sizes) - sizes, None
+    for back in range(1, m):
+        token = np.full(len(ids), start_id, dtype=np.int64)
+        token[back:] = ids[: max(0, len(ids) - back)]
+        for i in range(back):
+            token[begins[sizes > i] + i] = start_id
+        fewest = slots[token] if fewest is None else np.minimum(fewest, slots[token])
+        out |= token << (10 + 16 * back)
+    if fewest is not None and len(fewest) and fewest.max() > 1:
+        out |= (mix(ids.astype(np.uint64)) % fewest.astype(np.uint64)).astype(np.int64) << 16
+    return out | (m << 58)
+
+
+def distinct_grams(ids: np.ndarray, sizes: np.ndarray, m: int, start_id: int, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    own = grams(ids, sizes, m, start_id, slots)
+    own.sort()
+    at = np.flatnonzero(np.diff(own, prepend=-1))
+    return own[at], np.diff(at, append=len(own))
+
+
+def token_counts(batches: DataFrame, vocabulary: int) -> np.ndarray:
+    """Occurrences of every id."""
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(vocabulary, dtype=np.int64)
         for frame in frames:
-            for batch, sizes, raw in zip(frame.batch, frame.sizes, frame.ids, strict=True):
-                for own in grams(tokens_of(raw, sizes), np.asarray(sizes, dtype=np.int64), order, start_id):
-                    own, k = np.unique(own, return_counts=True)
-                    for at in range(0, len(own), CHUNK):
-                        yield pd.DataFrame({"batch": np.int64(batch), "gram": own[at : at + CHUNK], "k": k[at : at + CHUNK]})
+            for sizes, raw in zip(frame.sizes, frame.ids, strict=True):
+                total += np.bincount(tokens_of(raw, np.asarray(sizes, dtype=np.int64)), minlength=vocabulary)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"id": at, "k": total[at]})
+
+    found = batches.select("sizes", "ids").mapInPandas(tidy(run), "id int, k long").groupBy("id").agg(F.sum("k").alias("k")).toPandas()
+    out = np.zeros(vocabulary, dtype=np.int64)
+    out[found.id] = found.k
+    return out
 
-    return batches.select("batch", "sizes", "ids").mapInPandas(tidy(run), "batch long, gram long, k long")
 
+def exploded(batches: DataFrame, order: int, start_id: int, slots) -> DataFrame:
+    """batch, key (order, context and slot), words and ks: the distinct n-grams of two or more tokens of every batch, and
+    how often they occur in it."""
+    schema = pa.schema([("batch", pa.int64()), ("key", pa.int64()), ("words", pa.list_(pa.int32())), ("ks", pa.list_(pa.int32()))])
 
-def lm_scores(docs: DataFrame, tokenizer_path: str, vocabulary: int, start_id: int, order: int = 3, min_count: int = 2, backoff: float = 0.4, batch_tokens: int = 6_000_000) -> DataFrame:
+    def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            for row in frame.to_pylist():
+                sizes = np.asarray(row["sizes"], dtype=np.int64)
+                ids = tokens_of(row["ids"], sizes)
+                for m in range(2, order + 1):
+                    own, k = distinct_grams(ids, sizes, m, start_id, slots.value)
+                    first = np.flatnonzero(np.diff(own >> 16, prepend=-1))
+                    ends = np.append(first[1:], len(own))
+                    for i in range(0, len(first), CHUNK):
+                        a, b = first[i], ends[min(i + CHUNK, len(first)) - 1]
+                        offsets = pa.array(np.append(first[i : i + CHUNK], b) - a, type=pa.int32())
+                        words, ks = pa.array((own[a:b] & 0xFFFF).astype(np.int32)), pa.array(k[a:b].astype(np.int32))
+                        key = own[first[i : i + CHUNK]] >> 16
+                        yield pa.record_batch([pa.array(np.full(len(key), row["batch"])), pa.array(key), pa.ListArray.from_arrays(offsets, words), pa.ListArray.from_arrays(offsets, ks)], schema=schema)
+                    del own, k
+        release()
+
+    return batches.select("batch", "sizes", "ids").mapInArrow(run, "batch long, key long, words array<int>, ks array<int>")
+
+
+def lm_scores(docs: DataFrame, tokenizer_path: str, vocabulary: int, start_id: int, order: int = 3, min_count: int = 2, backoff: float = 0.4, batch_tokens: int = 5_000_000, slot: int = SLOT) -> DataFrame:
     """doc_id, n_tokens, log10_score (sum over tokens), mean_log10 for every row of ``docs``.
 
-    S(w | u v) = count(u v w) / count(u v) if the table has u v w, else ``backoff`` * S(w | v), and so on down to
-    count(w) / N; a document begins with ``start_id``s, whose count is the number of documents with tokens. ``order`` is 1
-    to 3. The table has n-grams of two or more tokens with a count of ``min_count`` or more: the corpus scores itself, so
-    an n-gram seen once was seen in the scored text alone. Counts are over all rows (repeated rows count again). A null or
-    empty text has no tokens, sum 0 and a null mean; an empty table gives no rows. Ids must fit into 16 bits.
+    S(w | u v) = count(u v w) / count(u v) if count(u v w) >= ``min_count``, else ``backoff`` * S(w | v), and so on down
+    to count(w) / N; a document begins with ``start_id``s, whose count is the number of documents with tokens. ``order``
+    is 1 to 3. The default of ``min_count`` is 2 because the corpus scores itself: an n-gram seen once was seen in the
+    scored text alone. Counts are over all rows (repeated rows count again). A null or empty text has no tokens, sum 0 and
+    a null mean; an empty table gives no rows. Ids must fit into 16 bits. ``slot`` bounds the occurrences of one context
+    that are dealt to one place.
     """
     if vocabulary > 1 << 16 or not 1 <= order <= 3:
         raise ValueError("ids must fit into 16 bits, and order must be 1, 2 or 3")
+    spark = docs.sparkSession
     batches = stash(token_batches(docs, tokenizer_path, batch_tokens), "token-batches")
-    n_tokens, n_docs = batches.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x)), F.sum(F.size(F.filter("sizes", lambda s: s > 0)))).first()
-    dealt = exploded(batches, order, start_id).repartition("gram")
-    # a table of n-gram counts; single tokens (below 2 << 32) are all kept
-    counts = dealt.groupBy("gram").agg(F.sum("k").alias("total")).filter((F.col("total") >= min_count) | (F.col("gram") < 2 << 32))
-    answers = dealt.select("batch", "gram").join(counts, "gram")
+    n_docs = batches.agg(F.sum(F.size(F.filter("sizes", lambda s: s > 0)))).first()[0] or 0
+    single = token_counts(batches, vocabulary)
+    n_tokens = max(1, int(single.sum()))
+    spread = single.copy()
+    spread[start_id] += n_docs
+    slots = spark.sparkContext.broadcast(np.minimum(1 + spread // slot, 1024).astype(np.int32))
+    unigrams = spark.sparkContext.broadcast(single)
+    dealt = exploded(batches, order, start_id, slots).repartition("key")
+    # a context and slot is in one partition, so neither the sums nor the way back to the batch's rows needs a shuffle
+    occurrences = dealt.select("batch", "key", F.inline(F.arrays_zip("words", "ks")).alias("word", "k"))
+    table = occurrences.withColumn("total", F.sum("k").over(Window.partitionBy("key", "word")))
+    packed = F.array_sort(F.collect_list(F.shiftleft(F.col("word").cast("long"), 40).bitwiseOR(F.col("total"))))
+    answers = table.groupBy("batch", "key").agg(packed.alias("packed")).select("batch", "key", F.transform("packed", lambda x: x.bitwiseAND((1 << 40) - 1)).alias("totals"))
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
             return pd.DataFrame({"doc_id": [], "n_tokens": [], "log10_score": []})
         sizes = np.asarray(left.sizes.iloc[0], dtype=np.int64)
-        by = np.argsort(right.gram.to_numpy())
-        known, totals = right.gram.to_numpy()[by], right.total.to_numpy()[by]
-        before, value = None, None
-        for m, own in enumerate(grams(tokens_of(left.ids.iloc[0], sizes), sizes, order, start_id), start=1):
-            at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
-            found = np.where(known[at] == own, totals[at], 0) if len(known) else np.zeros(len(own), dtype=np.int64)
-            if m == 1:
-                value = np.log10(found / n_tokens)
-                count = found
-            else:
-                # the context of a token is the n-gram that ended one token earlier; starts were seen once a document
-                context = np.concatenate([[n_docs], before[:-1]]) if len(own) else own
-                context[(np.cumsum(sizes) - sizes)[sizes > 0]] = n_docs
-                count = found
-                value = np.where(found > 0, np.log10(np.maximum(found, 1) / np.maximum(context, 1)), np.log10(backoff) + value)
-            before = count
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        return pd.DataFrame({"doc_id": left.doc_ids.iloc[0], "n_tokens": sizes, "log10_score": np.bincount(doc, weights=value, minlength=len(sizes))})
+        every = tokens_of(left.ids.iloc[0], sizes)
+        # rows sorted by key hold the totals of the batch's distinct n-grams in their order
+        totals = right.sort_values("key").totals
+        totals = np.concatenate(totals.tolist()) if len(totals) else np.zeros(0, dtype=np.int64)
+        known, at = [], 0
+        for m in range(2, order + 1):
+            names = distinct_grams(every, sizes, m, start_id, slots.value)[0]
+            known.append((names, totals[at : at + len(names)]))
+            at += len(names)
+        ends = np.cumsum(sizes)
+        cuts = np.unique(np.searchsorted(ends, np.arange(0, len(every), SLICE), side="left"))
+        sums = np.zeros(len(sizes))
+        for a, b in zip(cuts, [*cuts[1:], len(sizes)], strict=True):  # documents of about SLICE tokens at a time
+            own, ids = sizes[a:b], every[ends[a] - sizes[a] : ends[b - 1]]
+            begins = (np.cumsum(own) - own)[own > 0]
+            value = before = None
+            for m in range(1, order + 1):
+                if m == 1:
+                    found = unigrams.value[ids]
+                    value = np.log10(found / n_tokens)
+                else:
+                    names, counts = known[m - 2]
+                    found = counts[np.searchsorted(names, grams(ids, own, m, start_id, slots.value))]
+                    found = np.where(found >= min_count, found, 0)
+                    # the context of a token is the n-gram that ended one token earlier; starts were seen once a document
+                    context = np.roll(before, 1)
+                    context[begins] = n_docs
+                    value = np.where(found > 0, np.log10(np.maximum(found, 1) / np.maximum(context, 1)), np.log10(backoff) + value)
+                before = found
+            sums[a:b] = np.bincount(np.repeat(np.arange(b - a), own), weights=value, minlength=b - a)
+        return pd.DataFrame({"doc_id": left.doc_ids.iloc[0], "n_tokens": sizes, "log10_score": sums})
 
     scored = batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(score, "doc_id string, n_tokens long, log10_score double")
     mean = F.when(F.col("n_tokens") > 0, F.col("log10_score") / F.col("n_tokens")).alias("mean_log10")

@@ -99,7 +99,7 @@ def test_scores_match_brute_force(spark, order, least):
         return math.log10(count[gram] / before) if count[gram] >= least else math.log10(0.4) + s(gram[1:])
 
     want = [(i, len(own), round(sum(s(x[k : k + order]) for k in range(len(own))), 6)) for (i, _), x, own in zip(rows, padded, ids, strict=True)]
-    got = lm_scores.lm_scores(docs, path, 49_408, 49_406, order, least, batch_tokens=300).collect()
+    got = lm_scores.lm_scores(docs, path, 49_408, 49_406, order, least, batch_tokens=300, slot=50).collect()
     assert sorted(((r.doc_id, r.n_tokens, round(r.log10_score, 6)) for r in got), key=repr) == sorted(want, key=repr)
     assert lm_scores.lm_scores(docs.limit(0), path, 49_408, 49_406).count() == 0
 
