@@ -73,25 +73,47 @@ def grams(ids: np.ndarray, sizes: np.ndarray, m: int, start_id: int, slots: np.n
     It is the order m, 16 bits for each token of the context, the slot (10 bits, a hash of the last token below the
     smallest ``slots`` of a context token) and 16 bits for the last token.
     """
-    out = ids.astype(np.int64)
+    out = ids.astype(np.int64) | (m << 58)
     begins, fewest = np.cumsum(sizes) - sizes, None
     for back in range(1, m):
-        token = np.full(len(ids), start_id, dtype=np.int64)
+        token = np.full(len(ids), start_id, dtype=np.uint16)
         token[back:] = ids[: max(0, len(ids) - back)]
         for i in range(back):
             token[begins[sizes > i] + i] = start_id
+        out |= token.astype(np.int64) << (10 + 16 * back)
         fewest = slots[token] if fewest is None else np.minimum(fewest, slots[token])
-        out |= token << (10 + 16 * back)
-    if fewest is not None and len(fewest) and fewest.max() > 1:
-        out |= (mix(ids.astype(np.uint64)) % fewest.astype(np.uint64)).astype(np.int64) << 16
-    return out | (m << 58)
+    if fewest is not None and fewest.max(initial=1) > 1:
+        out |= (mix(ids.astype(np.uint64)) % fewest).astype(np.int64) << 16
+    return out
+
+
+def slices(sizes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(first document, end, first token, end) of runs of documents with about SLICE tokens."""
+    ends = np.cumsum(sizes)
+    cuts = np.unique(np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, SLICE), side="right"))
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(sizes)], strict=True):
+        yield a, b, int(ends[a] - sizes[a]), int(ends[b - 1])
 
 
 def distinct_grams(ids: np.ndarray, sizes: np.ndarray, m: int, start_id: int, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    own = grams(ids, sizes, m, start_id, slots)
-    own.sort()
-    at = np.flatnonzero(np.diff(own, prepend=-1))
-    return own[at], np.diff(at, append=len(own))
+    """The distinct n-grams in order, and how often they occur; a half of them is held with its repeats at a time."""
+    found, counts = [], []
+    for half in (0, 1):
+        parts = []
+        for a, b, x, y in slices(sizes):
+            own = grams(ids[x:y], sizes[a:b], m, start_id, slots)
+            parts.append(own[(own & 1) == half])
+        own = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
+        del parts
+        own.sort()
+        fresh = np.ones(len(own), dtype=bool)
+        np.not_equal(own[1:], own[:-1], out=fresh[1:])
+        at = np.flatnonzero(fresh)
+        found.append(own[at])
+        counts.append(np.diff(at, append=len(own)).astype(np.int32))
+    names, k = np.concatenate(found), np.concatenate(counts)
+    by = np.argsort(names, kind="stable")
+    return names[by], k[by]
 
 
 def token_counts(batches: DataFrame, vocabulary: int) -> np.ndarray:
@@ -137,7 +159,7 @@ def exploded(batches: DataFrame, order: int, start_id: int, slots) -> DataFrame:
     return batches.select("batch", "sizes", "ids").mapInArrow(run, "batch long, key long, words array<int>, ks array<int>")
 
 
-def lm_scores(docs: DataFrame, tokenizer_path: str, vocabulary: int, start_id: int, order: int = 3, min_count: int = 2, backoff: float = 0.4, batch_tokens: int = 5_000_000, slot: int = SLOT) -> DataFrame:
+def lm_scores(docs: DataFrame, tokenizer_path: str, vocabulary: int, start_id: int, order: int = 3, min_count: int = 2, backoff: float = 0.4, batch_tokens: int = 8_000_000, slot: int = SLOT) -> DataFrame:
     """doc_id, n_tokens, log10_score (sum over tokens), mean_log10 for every row of ``docs``.
 
     S(w | u v) = count(u v w) / count(u v) if count(u v w) >= ``min_count``, else ``backoff`` * S(w | v), and so on down
@@ -156,7 +178,7 @@ def lm_scores(docs: DataFrame, tokenizer_path: str, vocabulary: int, start_id: i
     n_tokens = max(1, int(single.sum()))
     spread = single.copy()
     spread[start_id] += n_docs
-    slots = spark.sparkContext.broadcast(np.minimum(1 + spread // slot, 1024).astype(np.int32))
+    slots = spark.sparkContext.broadcast(np.minimum(1 + spread // slot, 1024).astype(np.uint16))
     unigrams = spark.sparkContext.broadcast(single)
     dealt = exploded(batches, order, start_id, slots).repartition("key")
     # a context and slot is in one partition, so neither the sums nor the way back to the batch's rows needs a shuffle
@@ -165,42 +187,38 @@ def lm_scores(docs: DataFrame, tokenizer_path: str, vocabulary: int, start_id: i
     packed = F.array_sort(F.collect_list(F.shiftleft(F.col("word").cast("long"), 40).bitwiseOR(F.col("total"))))
     answers = table.groupBy("batch", "key").agg(packed.alias("packed")).select("batch", "key", F.transform("packed", lambda x: x.bitwiseAND((1 << 40) - 1)).alias("totals"))
 
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left):
-            return pd.DataFrame({"doc_id": [], "n_tokens": [], "log10_score": []})
-        sizes = np.asarray(left.sizes.iloc[0], dtype=np.int64)
-        every = tokens_of(left.ids.iloc[0], sizes)
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.table({"doc_id": pa.array([], pa.string()), "n_tokens": pa.array([], pa.int64()), "log10_score": pa.array([], pa.float64())})
+        sizes = left["sizes"].combine_chunks().flatten().to_numpy().astype(np.int64)
+        every = tokens_of(left["ids"][0].as_py(), sizes)
         # rows sorted by key hold the totals of the batch's distinct n-grams in their order
-        totals = right.sort_values("key").totals
-        totals = np.concatenate(totals.tolist()) if len(totals) else np.zeros(0, dtype=np.int64)
+        totals = right.select(["key", "totals"]).sort_by("key")["totals"].combine_chunks().flatten().to_numpy()
         known, at = [], 0
         for m in range(2, order + 1):
             names = distinct_grams(every, sizes, m, start_id, slots.value)[0]
             known.append((names, totals[at : at + len(names)]))
             at += len(names)
-        ends = np.cumsum(sizes)
-        cuts = np.unique(np.searchsorted(ends, np.arange(0, len(every), SLICE), side="left"))
         sums = np.zeros(len(sizes))
-        for a, b in zip(cuts, [*cuts[1:], len(sizes)], strict=True):  # documents of about SLICE tokens at a time
-            own, ids = sizes[a:b], every[ends[a] - sizes[a] : ends[b - 1]]
+        for a, b, x, y in slices(sizes):
+            own, ids = sizes[a:b], every[x:y]
             begins = (np.cumsum(own) - own)[own > 0]
-            value = before = None
-            for m in range(1, order + 1):
-                if m == 1:
-                    found = unigrams.value[ids]
-                    value = np.log10(found / n_tokens)
-                else:
-                    names, counts = known[m - 2]
-                    found = counts[np.searchsorted(names, grams(ids, own, m, start_id, slots.value))]
-                    found = np.where(found >= min_count, found, 0)
-                    # the context of a token is the n-gram that ended one token earlier; starts were seen once a document
-                    context = np.roll(before, 1)
-                    context[begins] = n_docs
-                    value = np.where(found > 0, np.log10(np.maximum(found, 1) / np.maximum(context, 1)), np.log10(backoff) + value)
+            before = unigrams.value[ids]
+            value = np.log10(before / n_tokens)
+            for m in range(2, order + 1):
+                names, counts = known[m - 2]
+                found = counts[np.searchsorted(names, grams(ids, own, m, start_id, slots.value))]
+                found = np.where(found >= min_count, found, 0)
+                # the context of a token is the n-gram that ended one token earlier; starts were seen once a document
+                context = np.roll(before, 1)
+                context[begins] = n_docs
+                value = np.where(found > 0, np.log10(np.maximum(found, 1) / np.maximum(context, 1)), np.log10(backoff) + value)
                 before = found
             sums[a:b] = np.bincount(np.repeat(np.arange(b - a), own), weights=value, minlength=b - a)
-        return pd.DataFrame({"doc_id": left.doc_ids.iloc[0], "n_tokens": sizes, "log10_score": sums})
+        del known, totals, every
+        release()
+        return pa.table({"doc_id": left["doc_ids"].combine_chunks().flatten(), "n_tokens": sizes, "log10_score": sums})
 
-    scored = batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(score, "doc_id string, n_tokens long, log10_score double")
+    scored = batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score, "doc_id string, n_tokens long, log10_score double")
     mean = F.when(F.col("n_tokens") > 0, F.col("log10_score") / F.col("n_tokens")).alias("mean_log10")
     return scored.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "n_tokens", "log10_score", mean)
