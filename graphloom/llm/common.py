@@ -62,6 +62,12 @@ def stash(df: DataFrame, what: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its source has fewer partitions (a small file with one row group): Python is the cost."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
+
+
 def drop_path(spark: SparkSession, df_or_path) -> None:
     """Delete a table made by :func:`stash` that nothing reads any more."""
     paths = [df_or_path] if isinstance(df_or_path, str) else {p.rsplit("/", 1)[0] for p in df_or_path.inputFiles()}

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import row_id, stash, tidy
+from graphloom.llm.common import row_id, spread, stash, tidy
 from graphloom.llm.shingles import mix
 
 MAX_WINDOWS = 1_000_000  # benchmark windows that a pass broadcasts: about 50 MB
@@ -158,7 +158,7 @@ def matches(docs: DataFrame, benchmark: Benchmark) -> DataFrame:
                         out.append((rid, i, h, [words[j] for j in range(i, i + wide) if tokens[j] in PLACEHOLDERS]))
             yield pd.DataFrame(out, columns=["rid", "at", "hash", "slots"])
 
-    return docs.filter("text is not null").mapInPandas(tidy(run), "rid long, at int, hash long, slots array<string>")
+    return spread(docs.filter("text is not null")).mapInPandas(tidy(run), "rid long, at int, hash long, slots array<string>")
 
 
 def named(docs: DataFrame) -> DataFrame:

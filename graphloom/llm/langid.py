@@ -13,25 +13,35 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import held_out, tidy
+from graphloom.llm.common import held_out, spread, stash, tidy
 
-WORD = re.compile(r"[^\W\d_]+")
+WORD = re.compile(r"[^\W\d_]+")  # the letters among these are picked by str.isalpha
 NO_LANGUAGE = "und"
 
 
+def words_of(text: str) -> list[str]:
+    """Lower-case runs of letters; numerals such as \u00bd or \u2167 are no letters."""
+    found = WORD.findall(text.lower())
+    if text.isascii() or all(map(str.isalpha, found)):
+        return found
+    return [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split()]
+
+
 def grams(word: str, n: int) -> list[str]:
-    word = f"^{word}$"
+    """n-grams of a word with its ends marked; single letters without the marks, which every word has."""
+    if n > 1:
+        word = f"^{word}$"
     return [word[i : i + n] for i in range(len(word) - n + 1)]
 
 
-def train(docs: DataFrame, max_documents: int = 20_000, max_words: int = 40_000, max_grams: int = 20_000, longest: int = 5) -> dict:
+def train(docs: DataFrame, max_documents: int = 20_000, least: int = 2, longest: int = 5) -> dict:
     """Counts from labelled rows of ``docs`` (text, lang) that are not held out.
 
     ``max_documents`` bounds the sample of rows, taken by the hash of their id (a fixed bound, so that the model does
-    not grow with the corpus); ``max_words`` and ``max_grams`` bound the entries kept for each language and length.
+    not grow with the corpus). Words and n-grams seen fewer than ``least`` times in a language are unknown there.
     """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "text", "lang")
     n = rows.count()
@@ -43,7 +53,7 @@ def train(docs: DataFrame, max_documents: int = 20_000, max_words: int = 40_000,
         for batch in batches:
             seen: dict[str, Counter] = {}
             for text, lang in zip(batch.text, batch.lang, strict=True):
-                seen.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
+                seen.setdefault(lang, Counter()).update(words_of(text))
             for lang, words in seen.items():
                 parts: Counter = Counter()
                 for word, k in words.items():
@@ -53,16 +63,10 @@ def train(docs: DataFrame, max_documents: int = 20_000, max_words: int = 40_000,
                             parts[length, g] += k
                 yield pd.DataFrame([(lang, length, g, k) for (length, g), k in parts.items()], columns=["lang", "length", "gram", "k"])
 
-    counted = rows.select("text", "lang").mapInPandas(tidy(count), "lang string, length int, gram string, k long").groupBy("lang", "length", "gram").agg(F.sum("k").alias("k"))
-    best = Window.partitionBy("lang", "length").orderBy(F.desc("k"), "gram")
-    totals = Window.partitionBy("lang", "length")
-    kept = (
-        counted.withColumn("total", F.sum("k").over(totals))
-        .withColumn("place", F.row_number().over(best))
-        .filter(F.col("place") <= F.when(F.col("length") == 0, max_words).otherwise(max_grams))
-        .select("lang", "length", "gram", "k", "total")
-        .toPandas()
-    )
+    counted = stash(spread(rows.select("text", "lang")).mapInPandas(tidy(count), "lang string, length int, gram string, k long").groupBy("lang", "length", "gram").agg(F.sum("k").alias("k")), "language-counts")
+    totals = {(r.lang, r.length): r.total for r in counted.groupBy("lang", "length").agg(F.sum("k").alias("total")).collect()}
+    kept = counted.filter(F.col("k") >= least).toPandas()  # of a sample of bounded size
+    kept["total"] = [totals[x] for x in zip(kept.lang, kept.length, strict=True)]
     languages = sorted(kept.lang.unique())
     at = {x: i for i, x in enumerate(languages)}
     index: list[dict[str, int]] = [{} for _ in range(longest + 1)]
@@ -111,7 +115,7 @@ class Scorer:
         return self.used - 1
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        words = Counter(WORD.findall(text.lower())) if text else None
+        words = Counter(words_of(text)) if text else None
         if not words or not self.model["languages"]:
             return NO_LANGUAGE, 0.0
         if self.used - self.known > self.remember:
@@ -131,7 +135,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
     A null text or one without a letter, and any text when nothing could be learned, is ``und`` with score 0; ties go to
     the language that sorts first; repeated rows and null ids are scored like any other; an empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_words, max_grams
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def score(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(shared.value)
@@ -139,5 +143,5 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
             found = [scorer(t) for t in batch.text]
             yield pd.DataFrame({"doc_id": batch.doc_id, "lang_pred": [x for x, _ in found], "score": [s for _, s in found]})
 
-    rows = docs.select(F.col("doc_id").cast("string"), "text")
+    rows = spread(docs.select(F.col("doc_id").cast("string"), "text"))
     return rows.mapInPandas(tidy(score), "doc_id string, lang_pred string, score double").withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))

@@ -96,13 +96,13 @@ def slices(sizes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
 
 
 def distinct_grams(ids: np.ndarray, sizes: np.ndarray, m: int, start_id: int, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct n-grams in order, and how often they occur; a half of them is held with its repeats at a time."""
+    """The distinct n-grams in order, and how often they occur; a quarter of them is held with its repeats at a time."""
     found, counts = [], []
-    for half in (0, 1):
+    for quarter in range(4):
         parts = []
         for a, b, x, y in slices(sizes):
             own = grams(ids[x:y], sizes[a:b], m, start_id, slots)
-            parts.append(own[(own & 1) == half])
+            parts.append(own[(own & 3) == quarter])
         own = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
         del parts
         own.sort()
@@ -159,7 +159,7 @@ def exploded(batches: DataFrame, order: int, start_id: int, slots) -> DataFrame:
     return batches.select("batch", "sizes", "ids").mapInArrow(run, "batch long, key long, words array<int>, ks array<int>")
 
 
-def lm_scores(docs: DataFrame, tokenizer_path: str, vocabulary: int, start_id: int, order: int = 3, min_count: int = 2, backoff: float = 0.4, batch_tokens: int = 8_000_000, slot: int = SLOT) -> DataFrame:
+def lm_scores(docs: DataFrame, tokenizer_path: str, vocabulary: int, start_id: int, order: int = 3, min_count: int = 2, backoff: float = 0.4, batch_tokens: int = 6_000_000, slot: int = SLOT) -> DataFrame:
     """doc_id, n_tokens, log10_score (sum over tokens), mean_log10 for every row of ``docs``.
 
     S(w | u v) = count(u v w) / count(u v) if count(u v w) >= ``min_count``, else ``backoff`` * S(w | v), and so on down

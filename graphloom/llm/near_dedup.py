@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import drop_path, row_id, stash, tidy
+from graphloom.llm.common import drop_path, row_id, spread, stash, tidy
 from graphloom.llm.components import connected_components
 from graphloom.llm.shingles import shingle_sets, signed
 
@@ -50,7 +50,7 @@ def sketches(docs: DataFrame, width: int, k: int) -> DataFrame:
             yield pd.DataFrame({"rid": batch.rid, "doc_id": batch.doc_id, "n_shingles": [x[0] for x in out], "node": [x[1] for x in out], "sketch": [x[2] for x in out]})
 
     rows = docs.select(row_id().alias("rid"), F.col("doc_id").cast("string").alias("doc_id"), "text")
-    drawn = rows.mapInPandas(tidy(run), "rid long, doc_id string, n_shingles long, node long, sketch array<long>")
+    drawn = spread(rows).mapInPandas(tidy(run), "rid long, doc_id string, n_shingles long, node long, sketch array<long>")
     return drawn.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 

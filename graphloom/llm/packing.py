@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import stash, tidy, utf8_text
+from graphloom.llm.common import spread, stash, tidy, utf8_text
 
 PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -81,6 +81,8 @@ class Tokens:
         self._store(names, np.array([x for own in ids for x in own], dtype=np.uint32), np.array([len(own) for own in ids]))
 
     def cut(self, text: str) -> list[str]:
+        if "\u0130" in text:  # its lower case ends in a combining mark, which joins what follows
+            return [text]
         text = text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
         if "<|" not in text:  # special tokens are written with punctuation
             text = PUNCTUATION.sub(r" \1", text)
@@ -154,7 +156,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
                     out.append((doc_id, i, at, len(part), zlib.crc32(part.tobytes())))
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("string"), utf8_text().alias("text")).mapInPandas(tidy(run), PIECES)
+    return spread(docs.select(F.col("doc_id").cast("string"), utf8_text().alias("text"))).mapInPandas(tidy(run), PIECES)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, open_bins: int = 4096, pieces_per_task: int = 32_768) -> DataFrame:

@@ -18,14 +18,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import held_out, release, stash, tidy
+from graphloom.llm.common import held_out, release, spread, stash, tidy
 
 #: Letters that a digit or symbol may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c", "&": "a", "*": "aeiou"}
 SUBSTITUTE, DROP_REPEAT, DROP_SYMBOL, DROP_LOOKALIKE, STRANGE = -0.7, -0.4, -0.5, -7.0, -9.0
 RUN = re.compile(r"([^\W\d_])\1\1")
 PARTS = re.compile(r"[^\W\d_]+")
-SPACED = re.compile(r"(?<!\S)\S(?:[ \t]+\S(?!\S)){2,}")
+SPACED = re.compile(r"(?<!\S)\S(?:[ \t]+\S(?!\S)){2,}")  # single characters with spaces between
+GLUE, SPLIT, WIDE_GLUE, WIDE_SPLIT = -0.1, -1.5, -4.0, -0.1  # a space, and a wider one, within or between words
 EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "¿¡«»„“”‘’…–—"
 
 
@@ -55,16 +56,32 @@ class CharModel:
 
 
 def viterbi(token: str, model: CharModel) -> str:
-    """The most likely word that ``token`` disguises."""
+    """The most likely text that ``token`` disguises: a word, or words if it holds spaces.
+
+    A letter stands for itself, and a repeated one may be dropped; a look-alike stands for one of its letters or is noise;
+    other symbols are noise; a space is noise within a word or ends it.
+    """
     states: dict[str, tuple[float, tuple | None]] = {"^^": (0.0, None)}
-    previous = ""
-    for c in token:
+    previous, at = "", 0
+    while at < len(token):
+        c = token[at]
         after: dict[str, tuple[float, tuple | None]] = {}
 
         def reach(state, score, path, after=after):
             if state not in after or score > after[state][0]:
                 after[state] = (score, path)
 
+        if c.isspace():
+            wide = token[at : at + 2].isspace() and at + 1 < len(token)
+            while at < len(token) and token[at].isspace():
+                at += 1
+            for state, (score, path) in states.items():
+                reach(state, score + (WIDE_GLUE if wide else GLUE), path)
+                if state != "^^":
+                    reach("^^", score + model.score(state, "$") + (WIDE_SPLIT if wide else SPLIT), (" ", path))
+            states = after
+            continue
+        at += 1
         letter = c.isalpha()
         options = [(c, 0.0)] if letter else [(x, SUBSTITUTE) for x in LEET.get(c, "")]
         for state, (score, path) in states.items():
@@ -75,7 +92,7 @@ def viterbi(token: str, model: CharModel) -> str:
             elif c == previous:
                 reach(state, score + DROP_REPEAT, path)
         states, previous = after, c
-    best = max(((s + model.score(k, "$"), p) for k, (s, p) in states.items()), key=lambda x: x[0])[1]
+    best = max(((s + (model.score(k, "$") if k != "^^" else 0.0), p) for k, (s, p) in states.items()), key=lambda x: x[0])[1]
     out = []
     while best is not None:
         out.append(best[0])
@@ -97,7 +114,7 @@ class Restorer:
             words = [*parts]
             if len(parts) > 2 and all(len(p) == 1 for p in parts):  # s.e.t-a.p.a.r.t, with repeats dropped
                 words.append(viterbi("".join(parts), self.model))
-            if 1 < len(parts) <= 6 and len(token) <= 40:  # s_et ap.art
+            if len(parts) > 1:  # s_et ap.art
                 words.append("".join(parts))
             if parts and (not core.isalpha() or RUN.search(core)) and any(not x.isalpha() and x in LEET for x in core) | bool(RUN.search(core)):
                 words.append(viterbi(core, self.model))
@@ -125,9 +142,8 @@ class Restorer:
                 words.update(self.token(t))
         if sum(len(t) == 1 for t in tokens) > 1:
             for m in SPACED.finditer(text):
-                letters = m.group().split()
-                if sum(x.isalpha() for x in letters) > 1:
-                    words.add(viterbi("".join(letters), self.model))
+                if sum(x.isalpha() for x in m.group()) > 1:
+                    words.update(viterbi(m.group(), self.model).split())
         return words
 
 
@@ -293,5 +309,5 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             out = [scorer(t) for t in batch.text]
             yield pd.DataFrame({"doc_id": batch.doc_id, "score": [x[0] for x in out], "n_rules": [x[1] for x in out], "most_telling": [x[2] for x in out]})
 
-    rows = docs.select(F.col("doc_id").cast("string"), "text")
+    rows = spread(docs.select(F.col("doc_id").cast("string"), "text"))
     return rows.mapInPandas(tidy(run), "doc_id string, score double, n_rules int, most_telling string").withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))

@@ -39,7 +39,7 @@ def test_best_fit_prefers_the_fullest_bin():
 
 
 def test_packing(spark):
-    texts = ["", None, "Hello, World's 42 things!", "a\tb\nc d e\x1cf", "word " * 5000, "it's <|endoftext|> here", "ÉTÉ été İstanbul"]
+    texts = ["", None, "Hello, World's 42 things!", "a\tb\nc d e\x1cf", "word " * 5000, "it's <|endoftext|> here", "ÉTÉ été İstanbul", "Sİ. Bİ! e\u0301. x\u0327; tail"]
     rows = [*enumerate(texts), (2, texts[2]), (None, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("length", F.lit("clash"))
     got = packing.pack(docs, PATH).collect()

@@ -1,10 +1,14 @@
 """Toxicity, language identification, language-model scores, decontamination."""
 
 import math
+import re
+import zlib
 from collections import Counter
 
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from graphloom.llm import decontamination, langid, lm_scores, toxicity
@@ -33,11 +37,42 @@ def test_restored_words():
     restore = toxicity.Restorer(MODEL).words
     assert "idiot" in restore("You are an i d i o t today")
     assert "idiot" in restore("what an i.d.i.o.t!!!")
+    assert {"the", "idiot"} <= restore("t h e  i d 1 o t")
+    assert "stupid" in restore("he is so s t u p 1 d")
+    assert "stupid" in restore("-".join("stupid") + "-" * 50)
     assert {"stupid", "cat"} <= restore("a STUPIIIID cat***")
     assert restore(None) == restore("") == restore("   ") == set()
     assert restore("a" * 30_000)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="idot1o 0tcas@", min_size=1, max_size=7))
+def test_viterbi_is_the_best_path(token):
+    """Against all readings of a short token."""
+    from graphloom.llm.toxicity import DROP_LOOKALIKE, DROP_REPEAT, DROP_SYMBOL, GLUE, LEET, SPLIT, SUBSTITUTE, WIDE_GLUE, WIDE_SPLIT
+
+    readings = [("^^", 0.0, "")]
+    previous = ""
+    for m in re.finditer(r"\s+|\S", token):
+        c, after = m.group(), []
+        for state, score, out in readings:
+            if c.isspace():
+                after.append((state, score + (WIDE_GLUE if len(c) > 1 else GLUE), out))
+                if state != "^^":
+                    after.append(("^^", score + MODEL.score(state, "$") + (WIDE_SPLIT if len(c) > 1 else SPLIT), out + " "))
+                continue
+            after += [(state[1] + x, score + (0.0 if c.isalpha() else SUBSTITUTE) + MODEL.score(state, x), out + x) for x in (c if c.isalpha() else LEET.get(c, ""))]
+            if not c.isalpha():
+                after.append((state, score + (DROP_LOOKALIKE if c in LEET else DROP_SYMBOL), out))
+            elif c == previous:
+                after.append((state, score + DROP_REPEAT, out))
+        previous = previous if c.isspace() else c
+        readings = after
+    final = [(score + (MODEL.score(state, "$") if state != "^^" else 0.0), out) for state, score, out in readings]
+    best = max(final)[0]
+    assert any(out == toxicity.viterbi(token, MODEL) and score >= best - 1e-9 for score, out in final)
+
+
 def toxic_rows(n=400):
     import random
 
@@ -69,11 +104,35 @@ def test_toxicity_learns_from_training_rows_only(spark):
 
 def test_language_backs_off_to_ngrams(spark):
     rows = [(i, EN if i % 2 else DE, "en" if i % 2 else "de") for i in range(40)] + [(100, EN, None), (101, None, "en")]
-    asked = [(1, "the animal", None), (2, "wieder durch", None), (3, "animalic", None), (4, "waldhund", None), (5, "12 !!", None), (6, None, None), (7, "", None), (None, "the", "x"), (1, "the animal", None), (8, "the " * 30_000, None)]
+    asked = [(1, "the animal", None), (2, "wieder durch", None), (3, "animalic", None), (4, "waldhund", None), (5, "12 !! \u00bd \u2167", None), (6, None, None), (7, "", None), (None, "the", "x"), (1, "the animal", None), (8, "the " * 30_000, None)]
     model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     docs = spark.createDataFrame(asked, "doc_id long, text string, lang string")
     got = [(r.doc_id, r.lang_pred) for r in langid.identify(docs, model).collect()]
     assert sorted(got, key=repr) == sorted([(1, "en"), (2, "de"), (3, "en"), (4, "de"), (5, "und"), (6, "und"), (7, "und"), (None, "en"), (1, "en"), (8, "en")], key=repr)
+    # scores by the definition: log frequencies of known words, mean log frequencies of the longest known n-grams of others
+    counts = {(x, n): Counter() for x in ("de", "en") for n in range(6)}
+    for _, text, lang in rows[:40]:
+        if text and lang and zlib.crc32(str(_).encode()) % 4 != 2:
+            for w in text.lower().split():
+                counts[lang, 0][w] += 1
+                for n in range(1, 6):
+                    counts[lang, n].update(langid.grams(w, n))
+    known = {n: {g for x in ("de", "en") for g, k in counts[x, n].items() if k >= 2} for n in range(6)}
+
+    def log(x, n, g):
+        k = counts[x, n][g]
+        return math.log((k if k >= 2 else 0) + 0.5) - math.log(counts[x, n].total() + 0.5 * len(known[n]))
+
+    def word(x, w):
+        for n, names in [(0, [w]), *((n, langid.grams(w, n)) for n in range(5, 0, -1))]:
+            if found := [log(x, n, g) for g in names if g in known[n]]:
+                return sum(found) / len(found)
+        return 0.0
+
+    for text in ("the animal wald", "animalic zzz", "hundehaus cat"):
+        total = {x: sum(word(x, w) for w in text.split()) for x in ("de", "en")}
+        lang, posterior = langid.Scorer(model)(text)
+        assert lang == max(total, key=total.get) and math.isclose(posterior, 1 / (1 + math.exp(min(total.values()) - max(total.values()))))
     none = langid.train(docs.limit(0))
     assert {r.lang_pred for r in langid.identify(docs, none).collect()} == {"und"}
     assert langid.identify(docs.limit(0), model).count() == 0
