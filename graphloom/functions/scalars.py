@@ -47,10 +47,9 @@ def gteps(n: Column, m: Column, seconds: Column) -> Column:
 
 
 def batch_size(free_bytes: Column, bytes_a_source: Column, most: int = 1024, override: int | None = None) -> Column:
-    """Sources processed at once: 85 % of the free memory, between 1 and ``most``; an override is clamped alike."""
-    if override is not None:
-        return F.greatest(F.lit(1), F.least(F.lit(override), F.lit(most)))
-    return F.greatest(F.lit(1), F.least(F.floor(free_bytes * 0.85 / bytes_a_source), F.lit(most))).cast("int")
+    """Sources processed at once: 85 % of the free memory, between 1 and ``most``. A positive override may only lower it."""
+    fits = F.greatest(F.lit(1), F.least(F.floor(free_bytes * 0.85 / bytes_a_source), F.lit(most))).cast("int")
+    return F.least(F.lit(override), fits) if override is not None and override > 0 else fits
 
 
 def cell(value: Column, digits: int, suffix: str = "") -> Column:
@@ -65,3 +64,21 @@ def on_off(flag: Column) -> Column:
 def tier(nodes: Column) -> Column:
     """Size class of a graph, which decides the strategies that run on it."""
     return F.when(nodes <= 11_023, "small").when(nodes <= 500_000, "medium").when(nodes <= 2_000_000, "large").otherwise("xlarge")
+
+
+#: The implementations that are run on each size class.
+RUNS_ON = {
+    "small": ["Sequential", "OpenMP", "GPU", "GPU_Managed", "GPU_ReadMostly", "GPU_Opt"],
+    "medium": ["OpenMP", "GPU", "GPU_Managed", "GPU_ReadMostly", "GPU_Opt"],
+    "large": ["GPU", "GPU_ReadMostly", "GPU_Opt"],
+    "xlarge": ["GPU_Opt"],
+}
+
+
+def runs_on(nodes: Column) -> Column:
+    """The implementations that are run on a graph of this size, as an array."""
+    size = tier(nodes)
+    out = F.lit(None).cast("array<string>")
+    for name, those in RUNS_ON.items():
+        out = F.when(size == name, F.array(*[F.lit(x) for x in those])).otherwise(out)
+    return out

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions.scalars import batch_size, format_nodes, gteps, tier
+from graphloom.functions.scalars import batch_size, format_nodes, gteps, runs_on, tier
 from graphloom.operators import compare, etl, generators, graph, paths
 from graphloom.operators.centrality import betweenness, dependencies, most_central, top_central
 from graphloom.plans import derived, fixtures, reports
@@ -411,6 +411,62 @@ def graph_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(sizes.select(F.col("graph_base").alias("graph"), tier(F.col("nodes")).alias("tier"), format_nodes(F.col("nodes")).alias("size"), gteps(F.col("nodes"), F.col("edges"), F.lit(2.5)).alias("gteps"), batch_size(F.lit(96e9), F.col("nodes") * 40).alias("batch")))
 
 
+@query(f"WITH {SIZES} SELECT graph_base AS graph, nodes, CAST(row_number() OVER (ORDER BY nodes, graph_base) AS INTEGER) AS place FROM sizes")
+def graphs_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.by_size(reports.graph_sizes(spark)).select(F.col("graph_base").alias("graph"), "nodes", "place")
+
+
+@query(f"WITH {SIZES} SELECT graph_base AS graph, batch FROM (SELECT *, least(8, greatest(1, least(1024, floor(96e9 * 0.85 / (nodes * 40000000.0))))) AS b, CAST(b AS INTEGER) AS batch FROM sizes)")
+def lowered_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.graph_sizes(spark).select(F.col("graph_base").alias("graph"), batch_size(F.lit(96e9), F.col("nodes") * 40_000_000.0, override=8).alias("batch"))
+
+
+@query(f"WITH {KINDS}, {BANDWIDTH} SELECT label AS transfer, round(max(CAST(bandwidth_gbs AS DOUBLE)), 6) AS best, CAST(row_number() OVER (ORDER BY -max(peak_gbs), label) AS INTEGER) AS place FROM bw JOIN kinds USING (transfer_type) GROUP BY label")
+def transfers_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = reports.transfers(spark)
+    best = fixtures.bandwidth(spark).join(kinds, "transfer_type").groupBy(F.col("label").alias("transfer")).agg(F.max("bandwidth_gbs").alias("best"))
+    return rounded(reports.by_label(best, kinds))
+
+
+@query(f"WITH {BANDWIDTH} SELECT round(max(CAST(bandwidth_gbs AS DOUBLE)) FILTER (transfer_type = 'HBM3_DtoD'), 6) AS HBM3_DtoD, round(max(CAST(bandwidth_gbs AS DOUBLE)) FILTER (transfer_type = 'NVLink_C2C_Prefetch'), 6) AS NVLink_C2C_Prefetch FROM bw")
+def peak_bandwidth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(reports.peak_by_type(fixtures.bandwidth(spark), ["HBM3_DtoD", "NVLink_C2C_Prefetch"]))
+
+
+@query(f"WITH {BANDWIDTH} SELECT transfer_type, CAST(size_gb AS DOUBLE) AS size_gb, CAST(bandwidth_gbs AS DOUBLE) AS bandwidth_gbs FROM bw WHERE transfer_type = 'NVLink_C2C_Prefetch' ORDER BY size_gb LIMIT 1 OFFSET 2")
+def third_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixtures.bandwidth(spark).filter("transfer_type = 'NVLink_C2C_Prefetch'").select("transfer_type", "size_gb", "bandwidth_gbs")
+    return reports.nth_sample(rows, 3, "size_gb")
+
+
+@query(f"WITH {SIZES}, r(tier, least_nodes, most_nodes, names) AS (VALUES ('small', 0, 11023, 'Sequential,OpenMP,GPU,GPU_Managed,GPU_ReadMostly,GPU_Opt'), ('medium', 11024, 500000, 'OpenMP,GPU,GPU_Managed,GPU_ReadMostly,GPU_Opt'), ('large', 500001, 2000000, 'GPU,GPU_ReadMostly,GPU_Opt'), ('xlarge', 2000001, 9000000000, 'GPU_Opt')) SELECT graph_base AS graph, names AS runs FROM sizes JOIN r ON nodes BETWEEN least_nodes AND most_nodes")
+def runs_by_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.graph_sizes(spark).select(F.col("graph_base").alias("graph"), F.array_join(runs_on(F.col("nodes")), ",").alias("runs"))
+
+
+@query("WITH r AS (SELECT o_orderkey AS v, o_totalprice AS ref, CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice * 1.001 ELSE o_totalprice END AS got FROM orders), d AS (SELECT abs(ref - got) AS a, abs(ref - got) / greatest(abs(ref), 1e-15) AS e FROM r) SELECT count(*) AS n, count(*) FILTER (e > 1e-6) AS n_fail, round(max(e), 9) AS max_rel, count(*) FILTER (e > 1e-6) = 0 AS pass FROM d")
+def comparison_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The comparator over two columns of which every seventh value differs."""
+    orders = derived.table(spark, sf_dir, "orders")
+    changed = F.when(F.col("o_orderkey") % 7 == 0, F.col("o_totalprice") * 1.001).otherwise(F.col("o_totalprice"))
+    ref, got = orders.select(F.col("o_orderkey").alias("v"), F.col("o_totalprice").alias("bc")), orders.select(F.col("o_orderkey").alias("v"), changed.alias("bc"))
+    return compare.summary(ref, got).select("n", "n_fail", F.round("max_rel", 9).alias("max_rel"), "pass")
+
+
+@query("SELECT o_orderkey AS v FROM orders WHERE o_orderkey % 7 = 0 AND o_totalprice <> 0 ORDER BY 1 LIMIT 5")
+def first_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = derived.table(spark, sf_dir, "orders")
+    changed = F.when(F.col("o_orderkey") % 7 == 0, F.col("o_totalprice") * 1.001).otherwise(F.col("o_totalprice"))
+    ref, got = orders.select(F.col("o_orderkey").alias("v"), F.col("o_totalprice").alias("bc")), orders.select(F.col("o_orderkey").alias("v"), changed.alias("bc"))
+    return compare.first_failures(ref, got).select("v")
+
+
+@query("WITH r AS (SELECT max(CASE WHEN o_totalprice < 1000 THEN 1 ELSE 0 END) = 0 AS pass FROM orders GROUP BY o_custkey) SELECT count(*) FILTER (pass) AS n_pass, count(*) FILTER (NOT pass) AS n_fail FROM r")
+def pass_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checks = derived.table(spark, sf_dir, "orders").groupBy("o_custkey").agg((F.max((F.col("o_totalprice") < 1000).cast("int")) == 0).alias("pass"))
+    return compare.verdicts(checks)
+
+
 # --- report operators over the driver's tables ---------------------------------------------------------------------
 
 

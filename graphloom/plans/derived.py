@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.functions.storage import stash
 from graphloom.operators.graph import Graph, consecutive, symmetrised
 
 SUPPLIER_AT = 10_000_000
@@ -22,7 +23,7 @@ def purchase_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def purchase_graph(spark: SparkSession, sf_dir: str, directed: bool = False) -> Graph:
     arcs = purchase_arcs(spark, sf_dir)
-    return Graph.from_edges(arcs if directed else symmetrised(arcs), directed)
+    return Graph.from_edges(stash(arcs if directed else symmetrised(arcs), "purchases"), directed)  # read many times
 
 
 def part_supplier_graph(spark: SparkSession, sf_dir: str, least: int = 49) -> Graph:

@@ -56,11 +56,47 @@ def canonical(runs: DataFrame) -> DataFrame:
     return runs.withColumn("implementation", F.coalesce(names[F.col("implementation")], F.col("implementation")))
 
 
-def implementation_order(implementation) -> F.Column:
-    """Canonical names first, older names next, unknown ones last."""
-    known = F.array(*[F.lit(x) for x in [*IMPLEMENTATIONS, *OLD_NAMES]])
-    place = F.array_position(known, implementation)
-    return F.when(place > 0, place).otherwise(len(IMPLEMENTATIONS) * 2 + 1)
+def in_order(rows: DataFrame, *order) -> DataFrame:
+    """Adds ``place`` (from 1) in the given order. Reports have a row a graph or less, so one task numbers them."""
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
+def by_size(rows: DataFrame, graph: str = "graph_base") -> DataFrame:
+    """Report rows in order of nodes, then name."""
+    return in_order(rows, "nodes", graph)
+
+
+def by_label(table: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Rows of a table by transfer in the order of the known transfers; unknown ones last, by name."""
+    known = kinds.select(F.col("label").alias("transfer"), (-F.col("peak_gbs")).alias("rank"))
+    return in_order(table.join(known, "transfer", "left"), F.col("rank").asc_nulls_last(), "transfer").drop("rank")
+
+
+def implementations(runs: DataFrame) -> DataFrame:
+    """implementation, place of those in ``runs``: canonical names in their order; older names only where no canonical one
+    occurs, else among the unknown ones, which come last by name."""
+    present = runs.select("implementation").distinct()
+    anchor = Window.partitionBy(F.lit(1))
+    new = F.array_position(F.array(*[F.lit(x) for x in IMPLEMENTATIONS]), F.col("implementation"))
+    old = F.array_position(F.array(*[F.lit(x) for x in OLD_NAMES]), F.col("implementation"))
+    rows = present.withColumn("new", new).withColumn("any_new", F.max(new).over(anchor) > 0)
+    rank = F.when(F.col("new") > 0, F.col("new")).when(~F.col("any_new") & (old > 0), old).otherwise(len(IMPLEMENTATIONS) + 1)
+    return in_order(rows.withColumn("rank", rank), "rank", "implementation").select("implementation", "place")
+
+
+def peak_by_type(bandwidth: DataFrame, wanted: list[str]) -> DataFrame:
+    """One row with the largest GB/s of each wanted transfer type, 0 where there is none."""
+    return bandwidth.agg(*[F.coalesce(F.max(F.when(F.col("transfer_type") == t, F.col("bandwidth_gbs"))), F.lit(0.0)).alias(t) for t in wanted])
+
+
+def nth_sample(rows: DataFrame, n: int, *order) -> DataFrame:
+    """The n-th row in the given order, from 1; none if there are fewer."""
+    return rows.orderBy(*order).offset(n - 1).limit(1)
+
+
+def converted(catalogue: DataFrame, headers: DataFrame) -> DataFrame:
+    """category, graph, n, m, bytes of the catalogue's graphs that have been converted; ``headers``: graph, n, m, bytes."""
+    return catalogue.select("category", F.col("name").alias("graph")).join(headers, "graph").select("category", "graph", "n", "m", "bytes")
 
 
 def _pivot(rows: DataFrame, value: F.Column) -> DataFrame:

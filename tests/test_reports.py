@@ -78,3 +78,72 @@ def test_every_query_is_registered():
     import __spark_entry__ as entry
 
     assert set(catalogue.ORACLE) <= set(catalogue.QUERIES) <= set(entry.queries())
+
+
+def test_orders_of_reports(spark):
+    runs = spark.createDataFrame([("gpu",), ("GPU_Opt",), ("zeta",), ("OpenMP",), ("alpha",)], "implementation string")
+    assert [r.implementation for r in reports.implementations(runs).orderBy("place").collect()] == ["OpenMP", "GPU_Opt", "alpha", "gpu", "zeta"]
+    old = spark.createDataFrame([("gpu_opt",), ("gpu",), ("zeta",)], "implementation string")
+    assert [r.implementation for r in reports.implementations(old).orderBy("place").collect()] == ["gpu", "gpu_opt", "zeta"]
+    sizes = spark.createDataFrame([("b", 5), ("a", 5), ("c", 1)], "graph_base string, nodes long")
+    assert [r.graph_base for r in reports.by_size(sizes).orderBy("place").collect()] == ["c", "a", "b"]
+    assert reports.nth_sample(sizes, 4, "nodes").count() == 0
+
+
+def test_overrides_only_lower_a_batch(spark):
+    sizes = [scalars.batch_size(F.lit(1000.0), F.lit(10), override=o).alias(f"b{i}") for i, o in enumerate((None, 0, -3, 7, 5000))]
+    assert tuple(spark.range(1).select(*sizes).first()) == (85, 85, 85, 7, 85)
+
+
+def test_outputs_are_written_once(spark, tmp_path):
+    path = f"file://{tmp_path}/out"
+    assert sinks.write_once(spark.range(3), path, dry_run=True) == "would write"
+    assert sinks.write_once(spark.range(3), path) == "written"
+    assert sinks.write_once(spark.range(9), path) == "skipped" and sinks.write_once(spark.range(9), path, dry_run=True) == "would skip"
+    assert spark.read.parquet(path).count() == 3
+    assert sinks.write_once(spark.range(9), path, force=True) == "written" and spark.read.parquet(path).count() == 9
+
+
+def test_converted_graphs(spark, tmp_path):
+    from graphloom.sources import graph_files
+
+    (tmp_path / "g1").write_text("4 3\n0 1 3 5 6\n1 0 2 1 3 2\n")
+    listed = spark.createDataFrame([("c|g1|u|d|x",), ("c|g2|u|d|x",)], "value string")
+    catalogue_rows = run_files.parse_catalogue(listed)
+    headers = graph_files.csr_headers(spark, f"file://{tmp_path}", ["g1", "g2"])
+    assert [tuple(r) for r in reports.converted(catalogue_rows, headers).collect()] == [("c", "g1", 4, 3, 26)]
+
+
+def test_dispatch_by_name(spark):
+    from graphloom.operators import centrality, generators
+
+    got = centrality.by_strategy(generators.grid(spark, 3)).groupBy("strategy").count().collect()
+    assert {r.strategy for r in got} == set(centrality.STRATEGIES) and len({r["count"] for r in got}) == 1
+    with pytest.raises(ValueError):
+        centrality.by_strategy(generators.grid(spark, 3), "none")
+
+
+NEW = ["graphs_by_size", "lowered_batches", "transfers_in_order", "peak_bandwidth", "third_sample", "runs_by_tier", "comparison_summary", "first_failures", "pass_counts"]
+
+
+@pytest.mark.parametrize("name", NEW)
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{sf}/orders.parquet'")
+    got, want = catalogue.QUERIES[name](spark, sf), con.execute(catalogue.ORACLE[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(map(tuple, got.select(*columns).collect()), key=repr) == sorted(want.fetchall(), key=repr)
+
+
+def test_registry_without_optional_modules(monkeypatch):
+    import sys
+
+    import __spark_entry__ as entry
+
+    monkeypatch.setitem(sys.modules, "graphloom.llm.queries", None)
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    assert set(entry.queries()) == set(catalogue.QUERIES) and set(entry.oracle_sql()) == set(catalogue.ORACLE)
