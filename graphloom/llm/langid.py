@@ -65,21 +65,18 @@ def train(docs: DataFrame, max_documents: int = 20_000, least: int = 2, longest:
 
     counted = stash(spread(rows.select("text", "lang")).mapInPandas(tidy(count), "lang string, length int, gram string, k long").groupBy("lang", "length", "gram").agg(F.sum("k").alias("k")), "language-counts")
     totals = {(r.lang, r.length): r.total for r in counted.groupBy("lang", "length").agg(F.sum("k").alias("total")).collect()}
-    kept = counted.filter(F.col("k") >= least).toPandas()  # of a sample of bounded size
-    kept["total"] = [totals[x] for x in zip(kept.lang, kept.length, strict=True)]
-    languages = sorted(kept.lang.unique())
-    at = {x: i for i, x in enumerate(languages)}
+    languages = sorted({lang for lang, _ in totals})
+    number = F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("lang")) - 1 if languages else F.lit(0)
+    kept = counted.filter(F.col("k") >= least).select(number.cast("int").alias("lang"), "length", "gram", "k").toPandas()  # of a sample of bounded size
     index: list[dict[str, int]] = [{} for _ in range(longest + 1)]
-    for length, g in zip(kept.length, kept.gram, strict=True):
-        index[length].setdefault(g, len(index[length]))
     tables = []
     for length in range(longest + 1):
         part = kept[kept.length == length]
-        total = np.ones(len(languages))
+        for g in part.gram:
+            index[length].setdefault(g, len(index[length]))
         table = np.full((len(index[length]), len(languages)), 0.5)
-        for lang, g, k, t in zip(part.lang, part.gram, part.k, part.total, strict=True):
-            table[index[length][g], at[lang]] = k + 0.5
-            total[at[lang]] = t
+        table[[index[length][g] for g in part.gram], part.lang.to_numpy()] = part.k.to_numpy() + 0.5
+        total = np.array([totals.get((x, length), 1) for x in languages], dtype=np.float64)
         tables.append(np.log(table) - np.log(total + 0.5 * max(1, len(table))))
     return {"languages": languages, "index": index, "tables": tables, "longest": longest}
 
