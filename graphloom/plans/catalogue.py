@@ -42,8 +42,12 @@ ARCS = """arcs AS (
 )"""
 PURCHASE = ARCS + ", und AS (SELECT src, dst FROM arcs UNION SELECT dst, src FROM arcs)"
 PARTS = """und AS (
-  SELECT l_partkey AS src, l_suppkey + 10000000 AS dst FROM lineitem WHERE l_quantity >= 49
-  UNION SELECT l_suppkey + 10000000, l_partkey FROM lineitem WHERE l_quantity >= 49
+  SELECT l_partkey AS src, l_suppkey + 10000000 AS dst FROM lineitem
+  UNION SELECT l_suppkey + 10000000, l_partkey FROM lineitem
+)"""
+HUBS = """hubs AS (
+  SELECT src FROM (SELECT src, row_number() OVER (PARTITION BY s_nationkey ORDER BY count(*) DESC, src) AS k
+  FROM und JOIN supplier ON src = s_suppkey + 10000000 GROUP BY s_nationkey, src) WHERE k = 1
 )"""
 GEO = """half AS (
   SELECT CAST(n_regionkey AS BIGINT) AS src, CAST(n_nationkey + 100 AS BIGINT) AS dst FROM nation
@@ -126,10 +130,10 @@ def bc_grid7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(betweenness(generators.grid(spark, 49)))
 
 
-@query(f"WITH RECURSIVE {PARTS}, {levels_sql('und', 'src BETWEEN 10000000 AND 10000004', 12)} SELECT s, v, d FROM b")
+@query(f"WITH RECURSIVE {PARTS}, {HUBS}, {levels_sql('und', 'src IN (SELECT src FROM hubs)', 8)} SELECT s, v, d FROM b")
 def bfs_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = derived.part_supplier_graph(spark, sf_dir)
-    return paths.bfs(g, g.vertices.filter(F.col("id").between(10_000_000, 10_000_004)))
+    return paths.bfs(g, derived.hub_suppliers(spark, sf_dir, g))
 
 
 @query(f"WITH RECURSIVE {PURCHASE}, {walks('und', 8)} SELECT s, v, d, sigma FROM f")
@@ -147,13 +151,13 @@ def path_counts_both_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {PURCHASE}, {walks('und', 8)}
 SELECT x.s AS s, x.v AS v, round(sum(x.sigma * y.sigma / z.sigma), 6) AS delta
 FROM f x JOIN f y ON x.v = y.s JOIN f z ON z.s = x.s AND z.v = y.v AND z.d = x.d + y.d
-WHERE x.s <> x.v AND y.v <> x.v AND x.s % 10 = 1 GROUP BY x.s, x.v""")
+WHERE x.s <> x.v AND y.v <> x.v GROUP BY x.s, x.v""")
 def path_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = derived.purchase_graph(spark, sf_dir)
-    return rounded(dependencies(g, g.vertices.filter("id % 10 = 1")))
+    return rounded(dependencies(g, g.vertices))
 
 
-@query(f"""WITH RECURSIVE {PARTS}, {levels_sql('und', 'src BETWEEN 10000000 AND 10000004', 12)}, c AS (SELECT s, d, count(*) AS size FROM b GROUP BY s, d)
+@query(f"""WITH RECURSIVE {PARTS}, {HUBS}, {levels_sql('und', 'src IN (SELECT src FROM hubs)', 8)}, c AS (SELECT s, d, count(*) AS size FROM b GROUP BY s, d)
 SELECT s, d, size, CAST(coalesce(sum(size) OVER (PARTITION BY s ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first FROM c""")
 def bfs_level_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.level_sizes(bfs_parts(spark, sf_dir))
@@ -240,14 +244,14 @@ def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return etl.clean(fixtures.edge_lines(spark)).lines
 
 
-@query("""WITH o AS (SELECT DISTINCT o_custkey AS src, l_partkey + 1000000 AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderpriority = '1-URGENT'),
+@query("""WITH o AS (SELECT DISTINCT o_custkey AS src, l_partkey + 1000000 AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
 ids AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS id FROM (SELECT src AS v FROM o UNION SELECT dst FROM o)),
 d AS (SELECT id AS src FROM o JOIN ids ON v = src UNION ALL SELECT id FROM o JOIN ids ON v = dst)
 SELECT (SELECT count(*) FROM ids) AS n, (SELECT count(*) FROM o) AS m, max(k) AS max_degree FROM (SELECT src, count(*) AS k FROM d GROUP BY src)""")
 def clean_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The converter over edge lines made of urgent orders: customer and part."""
-    urgent = derived.table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").join(derived.table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    lines = urgent.select(F.concat_ws("\t", F.col("o_custkey"), F.col("l_partkey") + 1_000_000).alias("value"))
+    """The converter over edge lines made of orders: customer and part."""
+    rows = derived.table(spark, sf_dir, "orders").join(derived.table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    lines = rows.select(F.concat_ws("\t", F.col("o_custkey"), F.col("l_partkey") + 1_000_000).alias("value"))
     return graph.degree_stats(etl.clean(lines).graph).select("n", "m", "max_degree")
 
 

@@ -135,8 +135,12 @@ def test_random_graphs(spark):
     assert sorted(map(tuple, generators.erdos_renyi(spark, 400, 0.02, seed=1).edges.collect())) == sorted(map(tuple, g.edges.collect()))
     assert graph.degree_stats(generators.erdos_renyi(spark, 9, 1.0)).first().m == 36
     assert graph.degree_stats(generators.erdos_renyi(spark, 9, 0.0)).first().isolated == 9
-    ba = graph.degrees(generators.barabasi_albert(spark, 60, 3)).agg(F.min("degree")).first()[0]
-    assert ba >= 3
+    ba = generators.barabasi_albert(spark, 2000, 3)
+    degree = {r.id: r.degree for r in graph.degrees(ba).collect()}
+    assert min(degree.values()) >= 3 and sum(degree.values()) == 2 * (6 + 1996 * 3) and max(degree.values()) > 60
+    spread_out = generators.barabasi_albert(spark.newSession(), 2000, 3)
+    assert {tuple(r) for r in ba.edges.collect()} == {tuple(r) for r in spread_out.edges.repartition(7).collect()}
+    assert {tuple(r) for r in generators.barabasi_albert(spark, 4, 3).edges.collect()} == {(i, j) for i in range(4) for j in range(4) if i != j}
 
 
 def test_numbers_over_many_buckets(spark):
