@@ -8,7 +8,7 @@ Units are the ids of a public tokenizer (16 bits each), so an n-gram of up to th
    context (all tokens but the last) travel as one row with arrays; contexts of frequent tokens are split into slots.
 3. The rows are dealt by the hash of context and slot. Their sums are the count table, of which each batch takes the
    entries of its own n-grams, in the same partitions.
-4. Counts return to their batches and meet the token ids; every token is scored, the sums of a document are its score.
+4. N-grams and counts return to their batches and meet the token ids; every token is scored, the sums of a document are its score.
 
 Single tokens are counted first; that table is bounded by the vocabulary and is broadcast. No step holds more than one
 batch in a task, whatever the size of the corpus or the frequency of an n-gram.
@@ -159,6 +159,17 @@ def exploded(batches: DataFrame, order: int, start_id: int, slots) -> DataFrame:
     return batches.select("batch", "sizes", "ids").mapInArrow(run, "batch long, key long, words array<int>, ks array<int>")
 
 
+def count_table(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of ``rows`` (key, words, totals) in order, and their counts."""
+    rows = rows.select(["key", "words", "totals"]).sort_by("key").combine_chunks()
+    if not rows.num_rows:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    words, totals = rows["words"].chunk(0), rows["totals"].chunk(0)
+    names = np.repeat(rows["key"].to_numpy() << 16, words.value_lengths().to_numpy())
+    names |= words.flatten().to_numpy()
+    return names, totals.flatten().to_numpy()
+
+
 def lm_scores(docs: DataFrame, tokenizer_path: str, vocabulary: int, start_id: int, order: int = 3, min_count: int = 2, backoff: float = 0.4, batch_tokens: int = 8_000_000, slot: int = SLOT) -> DataFrame:
     """doc_id, n_tokens, log10_score (sum over tokens), mean_log10 for every row of ``docs``.
 
@@ -185,20 +196,16 @@ def lm_scores(docs: DataFrame, tokenizer_path: str, vocabulary: int, start_id: i
     occurrences = dealt.select("batch", "key", F.inline(F.arrays_zip("words", "ks")).alias("word", "k"))
     table = occurrences.withColumn("total", F.sum("k").over(Window.partitionBy("key", "word")))
     packed = F.array_sort(F.collect_list(F.shiftleft(F.col("word").cast("long"), 40).bitwiseOR(F.col("total"))))
-    answers = table.groupBy("batch", "key").agg(packed.alias("packed")).select("batch", "key", F.transform("packed", lambda x: x.bitwiseAND((1 << 40) - 1)).alias("totals"))
+    back = table.groupBy("batch", "key").agg(packed.alias("packed"))
+    words, totals = F.transform("packed", lambda x: F.shiftright(x, 40).cast("int")), F.transform("packed", lambda x: x.bitwiseAND((1 << 40) - 1))
+    answers = back.select("batch", "key", words.alias("words"), totals.alias("totals"))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({"doc_id": pa.array([], pa.string()), "n_tokens": pa.array([], pa.int64()), "log10_score": pa.array([], pa.float64())})
         sizes = left["sizes"].combine_chunks().flatten().to_numpy().astype(np.int64)
         every = tokens_of(left["ids"][0].as_py(), sizes)
-        # rows sorted by key hold the totals of the batch's distinct n-grams in their order
-        totals = right.select(["key", "totals"]).sort_by("key")["totals"].combine_chunks().flatten().to_numpy()
-        known, at = [], 0
-        for m in range(2, order + 1):
-            names = distinct_grams(every, sizes, m, start_id, slots.value)[0]
-            known.append((names, totals[at : at + len(names)]))
-            at += len(names)
+        names, totals = count_table(right)
         sums = np.zeros(len(sizes))
         for a, b, x, y in slices(sizes):
             own, ids = sizes[a:b], every[x:y]
@@ -206,8 +213,7 @@ def lm_scores(docs: DataFrame, tokenizer_path: str, vocabulary: int, start_id: i
             before = unigrams.value[ids]
             value = np.log10(before / n_tokens)
             for m in range(2, order + 1):
-                names, counts = known[m - 2]
-                found = counts[np.searchsorted(names, grams(ids, own, m, start_id, slots.value))]
+                found = totals[np.searchsorted(names, grams(ids, own, m, start_id, slots.value))]
                 found = np.where(found >= min_count, found, 0)
                 # the context of a token is the n-gram that ended one token earlier; starts were seen once a document
                 context = np.roll(before, 1)
@@ -215,7 +221,7 @@ def lm_scores(docs: DataFrame, tokenizer_path: str, vocabulary: int, start_id: i
                 value = np.where(found > 0, np.log10(np.maximum(found, 1) / np.maximum(context, 1)), np.log10(backoff) + value)
                 before = found
             sums[a:b] = np.bincount(np.repeat(np.arange(b - a), own), weights=value, minlength=b - a)
-        del known, totals, every
+        del names, totals, every
         release()
         return pa.table({"doc_id": left["doc_ids"].combine_chunks().flatten(), "n_tokens": sizes, "log10_score": sums})
 
