@@ -2,7 +2,7 @@
 
 Units are the ids of a public tokenizer (16 bits each), so an n-gram of up to three of them is one exact number.
 
-1. A document's token ids are written once, a row for each batch of documents.
+1. A document's token ids are written in blocks, and blocks put together to batches of documents, a row for each.
 2. Batches are exploded to their distinct n-grams, each with its number of occurrences in the batch: the aggregation
    before the shuffle. A frequent n-gram therefore has one row a batch, however many documents hold it. N-grams of one
    context (all tokens but the last) travel as one row with arrays; contexts of frequent tokens are split into slots.
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import release, stash, tidy, utf8_text
+from graphloom.llm.common import drop_path, release, stash, tidy, utf8_text
 from graphloom.llm.packing import Tokens
 from graphloom.llm.shingles import mix
 
@@ -35,33 +35,54 @@ SLOT = 4_000_000  # occurrences of a context, at most, that one slot holds
 SLICE = 500_000  # tokens that are scored at a time
 
 
-def token_batches(docs: DataFrame, tokenizer_path: str, batch_tokens: int) -> DataFrame:
-    """Token ids of documents, a row for about ``batch_tokens`` of them (a document is not cut): ``ids`` holds the 16-bit
-    ids of all, compressed, ``sizes`` their number in each document."""
+def _batch(names: list, sizes: list, ids: list) -> pd.DataFrame:
+    raw = pa.Codec("zstd", compression_level=7).compress(b"".join(x.tobytes() for x in ids), asbytes=True)
+    return pd.DataFrame([(uuid.uuid4().int >> 65, names, sizes, raw)], columns=["batch", "doc_ids", "sizes", "ids"])
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens, packer = Tokens(tokenizer_path), pa.Codec("zstd", compression_level=7)
-        names, held, size = [], [], 0
 
-        def batch() -> pd.DataFrame:
-            raw = packer.compress(b"".join(x.tobytes() for x in held), asbytes=True)
-            row = (uuid.uuid4().int >> 65, names, [len(x) for x in held], raw)
-            return pd.DataFrame([row], columns=["batch", "doc_ids", "sizes", "ids"])
+def token_blocks(docs: DataFrame, tokenizer_path: str, block_tokens: int) -> DataFrame:
+    """Token ids of documents, a row for about ``block_tokens`` of them (a document is not cut): ``ids`` holds the 16-bit
+    ids of all, compressed, ``sizes`` their number in each document."""
 
-        for frame in batches:
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokens = Tokens(tokenizer_path)
+        names, held, size = [], [], 0
+        for frame in frames:
             for name, ids in zip(frame.doc_id, tokens.many(frame.text.tolist()), strict=True):
                 names.append(name)
                 held.append(ids.astype("<u2"))
                 size += len(ids)
-                if size >= batch_tokens:
-                    yield batch()
+                if size >= block_tokens:
+                    yield _batch(names, [len(x) for x in held], held)
                     names, held, size = [], [], 0
         if names:
-            yield batch()
+            yield _batch(names, [len(x) for x in held], held)
 
     return docs.select(F.col("doc_id").cast("string"), utf8_text().alias("text")).mapInPandas(tidy(run), BATCHES)
 
 
+def merged(blocks: DataFrame, n_tokens: int, batch_tokens: int) -> DataFrame:
+    """Blocks of several input tasks put together to batches of about ``batch_tokens``, and of no more than half as many
+    again unless one block is larger: few large batches hold fewer distinct n-grams than many small ones."""
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, sizes, held, size = [], [], [], 0
+        for frame in frames:
+            for own_names, own_sizes, raw in zip(frame.doc_ids, frame.sizes, frame.ids, strict=True):
+                ids = tokens_of(raw, np.asarray(own_sizes, dtype=np.int64))
+                if names and 2 * (size + len(ids)) > 3 * batch_tokens:
+                    yield _batch(names, sizes, held)
+                    names, sizes, held, size = [], [], [], 0
+                names = [*names, *own_names]
+                sizes = [*sizes, *own_sizes]
+                held.append(ids)
+                size += len(ids)
+        if names:
+            yield _batch(names, sizes, held)
+
+    return blocks.repartition(max(1, -(-n_tokens // batch_tokens))).mapInPandas(tidy(run), BATCHES)
+
+
 def tokens_of(raw: bytes, sizes: np.ndarray) -> np.ndarray:
     n = int(sizes.sum())
     return np.frombuffer(pa.decompress(raw, decompressed_size=2 * n, codec="zstd", asbytes=True), dtype="<u2") if n else np.zeros(0, dtype="<u2")
@@ -183,8 +204,11 @@ def lm_scores(docs: DataFrame, tokenizer_path: str, vocabulary: int, start_id: i
     if vocabulary > 1 << 16 or not 1 <= order <= 3:
         raise ValueError("ids must fit into 16 bits, and order must be 1, 2 or 3")
     spark = docs.sparkSession
-    batches = stash(token_batches(docs, tokenizer_path, batch_tokens), "token-batches")
-    n_docs = batches.agg(F.sum(F.size(F.filter("sizes", lambda s: s > 0)))).first()[0] or 0
+    blocks = stash(token_blocks(docs, tokenizer_path, max(1, batch_tokens // 8)), "token-blocks")
+    found = blocks.agg(F.sum(F.size(F.filter("sizes", lambda s: s > 0))).alias("docs"), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda x, s: x + s)).alias("tokens")).first()
+    n_docs = found.docs or 0
+    batches = stash(merged(blocks, found.tokens or 0, batch_tokens), "token-batches")
+    drop_path(spark, blocks)
     single = token_counts(batches, vocabulary)
     n_tokens = max(1, int(single.sum()))
     spread = single.copy()
