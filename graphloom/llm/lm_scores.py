@@ -7,8 +7,8 @@ Units are the ids of a public tokenizer (16 bits each), so an n-gram of up to th
    before the shuffle. A frequent n-gram therefore has one row a batch, however many documents hold it. N-grams of one
    context (all tokens but the last) travel as one row with arrays; contexts of frequent tokens are split into slots.
 3. The rows are dealt by the hash of context and slot. Their sums are the count table, of which each batch takes the
-   entries of its own n-grams, in the same partitions.
-4. Counts return to their batches and meet the token ids; every token is scored, the sums of a document are its score.
+   entries of its own n-grams, in the same partitions; those below the least count, which back off, are left out.
+4. The entries return to their batches and meet the token ids; every token is scored, the sums of a document are its score.
 
 Single tokens are counted first; that table is bounded by the vocabulary and is broadcast. No step holds more than one
 batch in a task, whatever the size of the corpus or the frequency of an n-gram.
@@ -32,6 +32,7 @@ from graphloom.llm.shingles import mix
 BATCHES = "batch long, doc_ids array<string>, sizes array<int>, ids binary"
 CHUNK = 50_000  # rows that a task hands over at a time
 SLOT = 4_000_000  # occurrences of a context, at most, that one slot holds
+TOTAL_BITS = 40  # of a packed entry; the word is above them
 SLICE = 500_000  # tokens that are scored at a time
 
 
@@ -116,6 +117,18 @@ def distinct_grams(ids: np.ndarray, sizes: np.ndarray, m: int, start_id: int, sl
     return names[by], k[by]
 
 
+def entries(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of a batch's ``rows`` (key, packed words and totals), in order, and their totals."""
+    rows = rows.select(["key", "packed"]).sort_by("key").combine_chunks()
+    if not rows.num_rows:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    packed = rows["packed"].chunk(0)
+    names = np.repeat(rows["key"].to_numpy() << 16, packed.value_lengths().to_numpy())
+    values = packed.flatten().to_numpy()
+    names |= values >> TOTAL_BITS
+    return names, values & ((1 << TOTAL_BITS) - 1)
+
+
 def token_counts(batches: DataFrame, vocabulary: int) -> np.ndarray:
     """Occurrences of every id."""
 
@@ -184,21 +197,15 @@ def lm_scores(docs: DataFrame, tokenizer_path: str, vocabulary: int, start_id: i
     # a context and slot is in one partition, so neither the sums nor the way back to the batch's rows needs a shuffle
     occurrences = dealt.select("batch", "key", F.inline(F.arrays_zip("words", "ks")).alias("word", "k"))
     table = occurrences.withColumn("total", F.sum("k").over(Window.partitionBy("key", "word")))
-    packed = F.array_sort(F.collect_list(F.shiftleft(F.col("word").cast("long"), 40).bitwiseOR(F.col("total"))))
-    answers = table.groupBy("batch", "key").agg(packed.alias("packed")).select("batch", "key", F.transform("packed", lambda x: x.bitwiseAND((1 << 40) - 1)).alias("totals"))
+    entry = F.shiftleft(F.col("word").cast("long"), TOTAL_BITS).bitwiseOR(F.col("total"))
+    answers = table.filter(F.col("total") >= min_count).groupBy("batch", "key").agg(F.array_sort(F.collect_list(entry)).alias("packed"))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({"doc_id": pa.array([], pa.string()), "n_tokens": pa.array([], pa.int64()), "log10_score": pa.array([], pa.float64())})
         sizes = left["sizes"].combine_chunks().flatten().to_numpy().astype(np.int64)
         every = tokens_of(left["ids"][0].as_py(), sizes)
-        # rows sorted by key hold the totals of the batch's distinct n-grams in their order
-        totals = right.select(["key", "totals"]).sort_by("key")["totals"].combine_chunks().flatten().to_numpy()
-        known, at = [], 0
-        for m in range(2, order + 1):
-            names = distinct_grams(every, sizes, m, start_id, slots.value)[0]
-            known.append((names, totals[at : at + len(names)]))
-            at += len(names)
+        names, totals = entries(right)
         sums = np.zeros(len(sizes))
         for a, b, x, y in slices(sizes):
             own, ids = sizes[a:b], every[x:y]
@@ -206,16 +213,17 @@ def lm_scores(docs: DataFrame, tokenizer_path: str, vocabulary: int, start_id: i
             before = unigrams.value[ids]
             value = np.log10(before / n_tokens)
             for m in range(2, order + 1):
-                names, counts = known[m - 2]
-                found = counts[np.searchsorted(names, grams(ids, own, m, start_id, slots.value))]
-                found = np.where(found >= min_count, found, 0)
+                sought = grams(ids, own, m, start_id, slots.value)
+                at = np.searchsorted(names, sought)
+                at[at == len(names)] = 0
+                found = np.where(names[at] == sought, totals[at], 0) if len(names) else np.zeros(len(ids), dtype=np.int64)
                 # the context of a token is the n-gram that ended one token earlier; starts were seen once a document
                 context = np.roll(before, 1)
                 context[begins] = n_docs
                 value = np.where(found > 0, np.log10(np.maximum(found, 1) / np.maximum(context, 1)), np.log10(backoff) + value)
                 before = found
             sums[a:b] = np.bincount(np.repeat(np.arange(b - a), own), weights=value, minlength=b - a)
-        del known, totals, every
+        del names, totals, every
         release()
         return pa.table({"doc_id": left["doc_ids"].combine_chunks().flatten(), "n_tokens": sizes, "log10_score": sums})
 
