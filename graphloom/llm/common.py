@@ -23,6 +23,19 @@ def release() -> None:
         trim(0)
 
 
+def lean() -> None:
+    """Give large arrays of a Python worker back to the system as soon as they are dropped, Arrow's included: workers
+    that hold many of them in turn otherwise keep the gaps."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.set_memory_pool(pyarrow.system_memory_pool())
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    if mallopt is not None:  # glibc only
+        mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: arrays above it are mapped on their own
+
+
 def tidy(f):
     """A batch function for mapInPandas that releases its memory at the end of a task."""
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import release, stash, tidy, utf8_text
+from graphloom.llm.common import lean, release, stash, tidy, utf8_text
 from graphloom.llm.packing import Tokens
 from graphloom.llm.shingles import mix
 
@@ -33,7 +33,7 @@ BATCHES = "batch long, doc_ids array<string>, sizes array<int>, ids binary"
 CHUNK = 50_000  # rows that a task hands over at a time
 SLOT = 4_000_000  # occurrences of a context, at most, that one slot holds
 TOTAL_BITS = 40  # of a packed entry; the word is above them
-SLICE = 500_000  # tokens that are scored at a time
+SLICE = 125_000  # tokens that are scored at a time
 
 
 def token_batches(docs: DataFrame, tokenizer_path: str, batch_tokens: int) -> DataFrame:
@@ -118,15 +118,14 @@ def distinct_grams(ids: np.ndarray, sizes: np.ndarray, m: int, start_id: int, sl
 
 
 def entries(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams of a batch's ``rows`` (key, packed words and totals), in order, and their totals."""
+    """The n-grams of a batch's ``rows`` (key, packed words and totals), in order, and the packed entries with the totals."""
     rows = rows.select(["key", "packed"]).sort_by("key").combine_chunks()
     if not rows.num_rows:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    packed = rows["packed"].chunk(0)
-    names = np.repeat(rows["key"].to_numpy() << 16, packed.value_lengths().to_numpy())
-    values = packed.flatten().to_numpy()
-    names |= values >> TOTAL_BITS
-    return names, values & ((1 << TOTAL_BITS) - 1)
+    values = rows["packed"].chunk(0).flatten().to_numpy()
+    names = values >> TOTAL_BITS
+    names |= np.repeat(rows["key"].to_numpy() << 16, rows["packed"].chunk(0).value_lengths().to_numpy())
+    return names, values
 
 
 def token_counts(batches: DataFrame, vocabulary: int) -> np.ndarray:
@@ -152,6 +151,7 @@ def exploded(batches: DataFrame, order: int, start_id: int, slots) -> DataFrame:
     schema = pa.schema([("batch", pa.int64()), ("key", pa.int64()), ("words", pa.list_(pa.int32())), ("ks", pa.list_(pa.int32()))])
 
     def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for frame in frames:
             for row in frame.to_pylist():
                 sizes = np.asarray(row["sizes"], dtype=np.int64)
@@ -201,11 +201,12 @@ def lm_scores(docs: DataFrame, tokenizer_path: str, vocabulary: int, start_id: i
     answers = table.filter(F.col("total") >= min_count).groupBy("batch", "key").agg(F.array_sort(F.collect_list(entry)).alias("packed"))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        lean()
         if not left.num_rows:
             return pa.table({"doc_id": pa.array([], pa.string()), "n_tokens": pa.array([], pa.int64()), "log10_score": pa.array([], pa.float64())})
         sizes = left["sizes"].combine_chunks().flatten().to_numpy().astype(np.int64)
         every = tokens_of(left["ids"][0].as_py(), sizes)
-        names, totals = entries(right)
+        names, packed = entries(right)
         sums = np.zeros(len(sizes))
         for a, b, x, y in slices(sizes):
             own, ids = sizes[a:b], every[x:y]
@@ -216,14 +217,14 @@ def lm_scores(docs: DataFrame, tokenizer_path: str, vocabulary: int, start_id: i
                 sought = grams(ids, own, m, start_id, slots.value)
                 at = np.searchsorted(names, sought)
                 at[at == len(names)] = 0
-                found = np.where(names[at] == sought, totals[at], 0) if len(names) else np.zeros(len(ids), dtype=np.int64)
+                found = np.where(names[at] == sought, packed[at] & ((1 << TOTAL_BITS) - 1), 0) if len(names) else np.zeros(len(ids), dtype=np.int64)
                 # the context of a token is the n-gram that ended one token earlier; starts were seen once a document
                 context = np.roll(before, 1)
                 context[begins] = n_docs
                 value = np.where(found > 0, np.log10(np.maximum(found, 1) / np.maximum(context, 1)), np.log10(backoff) + value)
                 before = found
             sums[a:b] = np.bincount(np.repeat(np.arange(b - a), own), weights=value, minlength=b - a)
-        del names, totals, every
+        del names, packed, every
         release()
         return pa.table({"doc_id": left["doc_ids"].combine_chunks().flatten(), "n_tokens": sizes, "log10_score": sums})
 
