@@ -78,7 +78,20 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_lm_scores": op2_lm_scores, "op3_suffix_dedup": op3_suffix_dedup, "op5_decontamination": op5_decontamination, "op6_topk": op6_topk, "op4_packing": op4_packing, "op8_langid": op8_langid, "op7_warc": op7_warc, "op9_minhash": op9_minhash, "op10_sharding": op10_sharding}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.periodic import periodic_runs, with_planted_runs
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", with_planted_runs(F.col("text"), F.col("doc_id")).alias("text"))
+    return periodic_runs(docs).drop("runs", "collapsed")
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.search import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_lm_scores": op2_lm_scores, "op3_suffix_dedup": op3_suffix_dedup, "op5_decontamination": op5_decontamination, "op6_topk": op6_topk, "op4_packing": op4_packing, "op8_langid": op8_langid, "op7_warc": op7_warc, "op9_minhash": op9_minhash, "op10_sharding": op10_sharding, "op11_periodic_runs": op11_periodic_runs, "op12_ranked_search": op12_ranked_search}
 ORACLE: dict[str, str] = {
     "op7_warc": """
 WITH p AS (
@@ -104,6 +117,19 @@ l AS (SELECT x, y FROM i JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE
 r AS (SELECT doc_id AS v, doc_id AS c FROM documents UNION SELECT r.v, l.y FROM r JOIN l ON r.c = l.x),
 m AS (SELECT v, min(c) AS component_id FROM r GROUP BY v)
 SELECT v AS doc_id, coalesce(n.n, 0) AS n_shingles, component_id, v = component_id AS kept FROM m LEFT JOIN n ON n.doc_id = v""",
+    "op12_ranked_search": """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS x FROM documents
+), c AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(x)) AS BIGINT) AS n_terms FROM d WHERE len(x) > 0),
+p AS (SELECT doc_id, CAST(len(x) AS BIGINT) AS n, unnest(x) AS term FROM d),
+f AS (SELECT doc_id, n, term, count(*) AS tf FROM p GROUP BY doc_id, n, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2.0 * n_docs + 2.0)::DOUBLE / (2.0 * count(*) + 1.0)::DOUBLE)) AS BIGINT) AS w FROM f, c GROUP BY term, n_docs),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+s AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM q JOIN f USING (term) JOIN w USING (term), c GROUP BY item_id, doc_id
+), r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10""",
     "op6_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
