@@ -6,12 +6,13 @@ document becomes about one segment for every ``(length - k) / 2`` bytes.
 
 1. Count the keys (smallest hashes) of all segments; windows under a key that occurs once, as the hash of one k-gram,
    are unique.
-2. Segments under repeated keys are grouped by (key, content) before anything is sorted; one of each goes to the task of
-   its key, with a mark if it has copies.
+2. Segments under repeated keys are grouped by (key, content), the content named by a 128-bit hash of its bytes, before
+   anything is sorted; one of each goes to the task of its key, with a mark if it has copies. Rows that are equal in id
+   and text are cut once and counted as often as they occur.
 3. A task sorts the suffixes of its segments by two-stage sorting, block by block, and compares neighbours in the
    suffix array: a window is repeated exactly if a neighbour shares ``length`` bytes.
 4. A key with more than ``crowd`` different segments would not fit into a block; its windows are dealt one by one, by
-   key and hash, and counted there.
+   key and 128-bit hash, and counted there.
 5. Repeated windows return to their documents, where the bytes that they cover go.
 """
 
@@ -22,18 +23,18 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import stash, tidy, utf8_text
-from graphloom.llm.shingles import _powers, mix
+from graphloom.llm.shingles import mix
 from graphloom.llm.suffixes import repeated_starts, words8
 
 GRAM = 24
 LONGEST = 2048  # windows in a segment
 SEPARATOR = np.array([255], dtype=np.uint8)  # never part of UTF-8
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
-_BYTE = np.random.default_rng(7041776).integers(0, 2**64, 256, dtype=np.uint64)
 
 
 def gram_hashes(text: np.ndarray) -> np.ndarray:
@@ -65,8 +66,9 @@ def _holds_key_twice(grams: np.ndarray, begin: np.ndarray, n: np.ndarray, key: n
 
 
 def segments(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """(text number, first window, number of windows, key, content hash, may repeat itself) of all segments."""
-    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    """(text number, first window, number of windows, key, hash of the bytes, may repeat itself) of all segments."""
+    raw = b"".join(texts)
+    data = np.frombuffer(raw, dtype=np.uint8)
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     ends = np.cumsum(sizes)
     room = np.maximum(0, sizes - length + 1)
@@ -86,11 +88,9 @@ def segments(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
         n = np.diff(at, append=len(starts))
     begin, key = starts[at], key[at]
     own = _holds_key_twice(grams, begin, n, key, span)
-    power, inverse = _powers(len(data) + 1)
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE[data] * power[: len(data)], dtype=np.uint64)])
-    content = mix(mix((sums[begin + n + length - 1] - sums[begin]) * inverse[begin]) + n.astype(np.uint64))
+    content = np.array([xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(begin.tolist(), (begin + n + length - 1).tolist(), strict=True)], dtype=object)
     which = np.searchsorted(ends, begin, side="right")
-    return which, begin - (ends - sizes)[which], n, key.view(np.int64), content.view(np.int64), own
+    return which, begin - (ends - sizes)[which], n, key.view(np.int64), content, own
 
 
 def _groups(texts: list[bytes], size: int = 1 << 19) -> Iterator[tuple[int, list[bytes]]]:
@@ -121,18 +121,25 @@ def repeated_spans(docs: DataFrame, length: int = 200, crowd: int = 4096, block_
         raise ValueError("length must be a multiple of 8 and at least 32")
     named = docs.withColumn("rid", F.xxhash64(F.col("doc_id"), utf8_text()))
     texts = named.select("rid", utf8_text().cast("binary").alias("raw")).filter(F.octet_length("raw") >= length)
+    # rows that share a rid are taken once, with their number
+    equal = stash(named.groupBy("rid").agg(F.count("*").alias("times")).filter("times > 1"), "equal-rows")
+    if equal.isEmpty():
+        texts = texts.withColumn("times", F.lit(1).cast("long"))
+    else:
+        once = texts.join(equal, "rid", "left_anti").withColumn("times", F.lit(1).cast("long"))
+        texts = once.unionByName(texts.join(equal, "rid").dropDuplicates(["rid"]))
 
     def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rids = batch.rid.to_numpy()
+            rids, times = batch.rid.to_numpy(), batch.times.to_numpy()
             for at, part in _groups(batch.raw.tolist()):
                 which, start, n, key, content, own = segments(part, length)
-                yield pd.DataFrame({"rid": rids[at + which], "start": start.astype(np.int32), "n": n.astype(np.int32), "key": key, "content": content, "own": own.astype(bool)})
+                yield pd.DataFrame({"rid": rids[at + which], "start": start.astype(np.int32), "n": n.astype(np.int32), "key": key, "content": content, "own": own.astype(bool), "times": times[at + which]})
 
-    found = texts.mapInPandas(tidy(cut), "rid long, start int, n int, key long, content long, own boolean")
-    repeated = found.groupBy("key").agg(F.count("*").alias("n_segments"), F.max("own").alias("own")).filter("n_segments > 1 or own").select("key")
+    found = texts.mapInPandas(tidy(cut), "rid long, start int, n int, key long, content binary, own boolean, times long")
+    repeated = found.groupBy("key").agg(F.sum("times").alias("n_segments"), F.max("own").alias("own")).filter("n_segments > 1 or own").select("key")
     matching = stash(found.drop("own").join(repeated, "key"), "segments")
-    distinct = matching.groupBy("key", "content").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "start", "n")).alias("one"))
+    distinct = matching.groupBy("key", "content").agg(F.sum("times").alias("copies"), F.min(F.struct("rid", "start", "n")).alias("one"))
     distinct = stash(distinct.select("key", "content", (F.col("copies") > 1).alias("again"), "one.rid", "one.start", "one.n"), "segment-classes")
     crowded = distinct.groupBy("key").count().filter(F.col("count") > crowd).select("key")
     crowded = stash(crowded, "crowded-keys")
@@ -153,7 +160,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, crowd: int = 4096, block_
             if out:
                 yield pd.concat(out)
 
-    fetched = stash(texts.join(wanted, "rid").mapInPandas(tidy(fetch), "key long, content long, again boolean, n int, bytes binary"), "segment-texts")
+    fetched = stash(texts.join(wanted, "rid").mapInPandas(tidy(fetch), "key long, content binary, again boolean, n int, bytes binary"), "segment-texts")
 
     def solve(held: list[tuple]) -> pd.DataFrame:
         parts, at = [], 0
@@ -185,7 +192,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, crowd: int = 4096, block_
         if held:
             yield solve(held)
 
-    marks = "key long, content long, first array<int>, last array<int>"
+    marks = "key long, content binary, first array<int>, last array<int>"
     none_crowded = crowded.isEmpty()
     dealt = fetched if none_crowded else fetched.join(crowded, "key", "left_anti")
     spans = dealt.repartition("key").sortWithinPartitions("key").mapInPandas(tidy(sort_suffixes), marks)
@@ -197,20 +204,19 @@ def repeated_spans(docs: DataFrame, length: int = 200, crowd: int = 4096, block_
                 out = []
                 for key, content, again, n, raw in zip(batch.key, batch.content, batch.again, batch.n, batch.bytes, strict=True):
                     for i in range(n):
-                        mark = hashlib.blake2b(raw[i : i + length], digest_size=8).digest()
-                        out.append((key, content, i, int.from_bytes(mark, "little", signed=True), 2 if again else 1))
+                        out.append((key, content, i, hashlib.blake2b(raw[i : i + length], digest_size=16).digest(), 2 if again else 1))
                     if len(out) >= 50_000:
                         yield pd.DataFrame(out, columns=columns)
                         out = []
                 yield pd.DataFrame(out, columns=columns)
 
-        single = stash(fetched.join(crowded, "key").mapInPandas(tidy(windows), "key long, content long, at int, mark long, copies long"), "windows")
+        single = stash(fetched.join(crowded, "key").mapInPandas(tidy(windows), "key long, content binary, at int, mark binary, copies long"), "windows")
         twice = single.groupBy("key", "mark").agg(F.sum("copies").alias("total")).filter("total > 1").select("key", "mark")
         places = single.join(twice, ["key", "mark"]).groupBy("key", "content").agg(F.array_sort(F.collect_set("at")).alias("first"))
         spans = spans.unionByName(places.withColumn("last", F.col("first")))
     spans = stash(spans, "repeated-windows")
     moved = F.transform(F.arrays_zip("first", "last"), lambda s: F.struct((s["first"] + F.col("start")).alias("first"), (s["last"] + F.col("start")).alias("last")))
-    by_doc = matching.join(spans, ["key", "content"]).select("rid", moved.alias("spans")).groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+    by_doc = matching.drop("times").join(spans, ["key", "content"]).select("rid", moved.alias("spans")).groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
     return named.join(by_doc, "rid", "left")
 
 
