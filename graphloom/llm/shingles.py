@@ -3,15 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
+import xxhash
 
-_RANDOM = np.random.default_rng(20240229)
-_BYTE = _RANDOM.integers(0, 2**64, 256, dtype=np.uint64)
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
-_PLACE = _RANDOM.integers(0, 2**64, 64, dtype=np.uint64) | np.uint64(1)
-_POWERS: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+_PLACE = np.random.default_rng(20240229).integers(0, 2**64, 64, dtype=np.uint64) | np.uint64(1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -21,13 +18,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for i, b in enumerate((_BASE, _INVERSE)):
-            p = np.full(n, b, dtype=np.uint64)
-            p[0] = 1
-            _POWERS[i] = np.cumprod(p, dtype=np.uint64)
-    return _POWERS
+class _Hashes(dict):
+    """64-bit hashes of words by their bytes, remembered for words seen before."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 1 << 18:
+            self.clear()
+        self[word] = value = xxhash.xxh3_64_intdigest(word, 20240229)
+        return value
+
+
+_HASHES = _Hashes()
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -35,16 +36,10 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
     A word is a run of bytes other than space and \\x09-\\x0D. The hash depends on the word alone.
     """
-    data = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
-    data = data + np.where((data >= 65) & (data <= 90), np.uint8(32), np.uint8(0))
-    space = (data == 32) | ((data >= 9) & (data <= 13))
-    edge = np.flatnonzero(np.diff(space, prepend=True))
-    starts, ends = edge[::2], edge[1::2]
-    power, inverse = _powers(len(data) + 1)
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE[data] * power[: len(data)], dtype=np.uint64)])
-    hashes = mix((sums[ends] - sums[starts]) * inverse[starts])
-    text_ends = np.cumsum([len(t) + 1 for t in texts])
-    return hashes, np.diff(np.searchsorted(starts, text_ends), prepend=0)
+    words = [t.lower().split() for t in texts]
+    counts = np.array([len(w) for w in words], dtype=np.int64)
+    hashes = np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(words)), dtype=np.uint64, count=int(counts.sum()))
+    return hashes, counts
 
 
 def shingle_sets(texts, width: int = 5, group_bytes: int = 1 << 19) -> Iterator[np.ndarray]:
