@@ -211,6 +211,25 @@ def searched(sets: DataFrame, members: DataFrame, percent: int, block_bytes: int
     return right.unionByName(left).groupBy("deal", "i", "j").applyInPandas(check, "a long, b long")
 
 
+def with_components(drawn: DataFrame, reps: DataFrame, found: DataFrame) -> DataFrame:
+    """rid, doc_id, n_shingles, component_id, one of every row of ``drawn`` (rid, doc_id, n_shingles, node), from its classes
+    ``reps`` (node, best, n_rows) and the components ``found`` (node, component) of those that are linked."""
+    # the smallest id of a component, for classes that have copies or links
+    firsts = found.join(reps.select("node", "best"), "node").groupBy("component").agg(F.min("best").alias("one"))
+    joined = found.join(firsts, "component").select("node", "one")
+    mates = reps.join(joined, "node", "left").filter("one IS NOT NULL OR n_rows > 1").select("node", F.coalesce("one", "best").alias("one"), "n_rows")
+    mates = stash(mates, "mates")
+    rows = drawn.select("rid", "doc_id", "n_shingles", "node")
+    limit = drawn.count() // HOT_SHARE + 1
+    hot = F.broadcast(mates.filter(F.col("n_rows") > limit).drop("n_rows"))  # at most HOT_SHARE rows
+    some = rows.filter("n_shingles > 0")
+    many = some.join(hot, "node")
+    rest = some.join(hot.select("node"), "node", "left_anti").join(mates.filter(F.col("n_rows") <= limit).drop("n_rows"), "node", "left")
+    none = rows.filter("n_shingles = 0").withColumn("one", F.lit(None).cast(mates.schema["one"].dataType))
+    both = many.unionByName(rest).unionByName(none)
+    return both.select("rid", "doc_id", "n_shingles", F.when(F.col("one").isNull(), F.col("doc_id")).otherwise(F.col("one.doc_id")).alias("component_id"), F.coalesce("one.rid", "rid").alias("one"))
+
+
 def components(docs: DataFrame, percent: int, width: int, k: int, slack: float, block_bytes: int) -> DataFrame:
     """rid, doc_id, n_shingles, component_id and one (the rid of a row that stands for the component) of every row."""
     if percent < 76:
@@ -237,20 +256,7 @@ def components(docs: DataFrame, percent: int, width: int, k: int, slack: float,
         found = connected_components(links.union(more))
     for used in (pairs, near, sets):
         drop_path(docs.sparkSession, used)
-    # the smallest id of a component, for classes that have copies or links
-    firsts = found.join(reps.select("node", "best"), "node").groupBy("component").agg(F.min("best").alias("one"))
-    joined = found.join(firsts, "component").select("node", "one")
-    mates = reps.join(joined, "node", "left").filter("one IS NOT NULL OR n_rows > 1").select("node", F.coalesce("one", "best").alias("one"), "n_rows")
-    mates = stash(mates, "mates")
-    rows = drawn.select("rid", "doc_id", "n_shingles", "node")
-    limit = drawn.count() // HOT_SHARE + 1
-    hot = F.broadcast(mates.filter(F.col("n_rows") > limit).drop("n_rows"))  # at most HOT_SHARE rows
-    some = rows.filter("n_shingles > 0")
-    many = some.join(hot, "node")
-    rest = some.join(hot.select("node"), "node", "left_anti").join(mates.filter(F.col("n_rows") <= limit).drop("n_rows"), "node", "left")
-    none = rows.filter("n_shingles = 0").withColumn("one", F.lit(None).cast(mates.schema["one"].dataType))
-    both = many.unionByName(rest).unionByName(none)
-    return both.select("rid", "doc_id", "n_shingles", F.when(F.col("one").isNull(), F.col("doc_id")).otherwise(F.col("one.doc_id")).alias("component_id"), F.coalesce("one.rid", "rid").alias("one"))
+    return with_components(drawn, reps, found)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, k: int = 64, slack: float = 0.23, block_bytes: int = 4 << 20) -> DataFrame:

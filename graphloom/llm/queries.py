@@ -91,7 +91,13 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_lm_scores": op2_lm_scores, "op3_suffix_dedup": op3_suffix_dedup, "op5_decontamination": op5_decontamination, "op6_topk": op6_topk, "op4_packing": op4_packing, "op8_langid": op8_langid, "op7_warc": op7_warc, "op9_minhash": op9_minhash, "op10_sharding": op10_sharding, "op11_periodic_runs": op11_periodic_runs, "op12_ranked_search": op12_ranked_search}
+def op13_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.set_join import similar_sets
+
+    return similar_sets(table(spark, sf_dir, "documents"), percent=90, width=3)
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_lm_scores": op2_lm_scores, "op3_suffix_dedup": op3_suffix_dedup, "op5_decontamination": op5_decontamination, "op6_topk": op6_topk, "op4_packing": op4_packing, "op8_langid": op8_langid, "op7_warc": op7_warc, "op9_minhash": op9_minhash, "op10_sharding": op10_sharding, "op11_periodic_runs": op11_periodic_runs, "op12_ranked_search": op12_ranked_search, "op13_set_join": op13_set_join}
 ORACLE: dict[str, str] = {
     "op7_warc": """
 WITH p AS (
@@ -106,6 +112,17 @@ WITH p AS (
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, digest AS payload_digest,
   CASE WHEN page_id = kept_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> kept_id THEN kept_id END AS refers_to
 FROM d""",
+    "op13_set_join": """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS x FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(x) >= 3 THEN list_transform(range(1, len(x) - 1), lambda i: array_to_string(x[i:i + 2], ' ')) WHEN len(x) > 0 THEN [array_to_string(x, ' ')] ELSE [] END) AS g FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT x, y FROM i JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 90 * (p.n + q.n - k)),
+r AS (SELECT doc_id AS v, doc_id AS c FROM documents UNION SELECT r.v, l.y FROM r JOIN l ON r.c = l.x),
+m AS (SELECT v, min(c) AS component_id FROM r GROUP BY v)
+SELECT v AS doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM m LEFT JOIN n ON n.doc_id = v""",
     "op9_minhash": """
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS x FROM documents
