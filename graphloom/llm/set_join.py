@@ -5,8 +5,8 @@
 2. Classes are partitioned into groups of similar sets: of a like size and with the same smallest hashes, at most about
    ``members`` each. A group's row of the matrix is the union of its members' n-grams.
 3. Links within a group are found through its own matrix, and make the first components.
-4. Two linked sets share one of their rarest n-grams (as many as a link may miss, and one more), so only groups that hold
-   one of a set's rarest, of fitting sizes and of another component, are candidates. Components that are joined already
+4. Two linked sets share ``least_shared`` of their rarest n-grams (as many as a link may miss, and that many more), so only
+   groups that hold so many of a set's rarest, of fitting sizes and of another component, are candidates. Components that are joined already
    are not joined again: first one member of each component in a group asks, then, with the components that this gives,
    all that are left.
 5. The overlap of a set with a candidate's union bounds its overlap with each member. Only groups whose bound reaches
@@ -39,6 +39,12 @@ def _cells(s: np.ndarray) -> np.ndarray:
     return (mix(s) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
 
+def least_shared(n, percent: int):
+    """How many of their rarest n-grams two linked sets share, by the smaller's size: half as many as it may miss, and one.
+    The rarest are one's ``n`` less the overlap that a link needs, plus this number: so many of the overlap lie among them."""
+    return n * (100 - percent) // 200 + 1
+
+
 def profiles(docs: DataFrame, width: int) -> DataFrame:
     """rid, doc_id, n_shingles, node, lows (the three smallest hashes) of every row; besides, with no rid, slices of each
     task's counts: task, part, counts."""
@@ -46,10 +52,16 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = np.zeros(1 << TABLE_BITS, dtype=np.int64)
         for batch in batches:
-            out = []
+            out, held, size = [], [], 0
             for s in shingle_sets(batch.text, width):
-                np.add.at(table, _cells(s), 1)
+                held.append(s)
+                size += len(s)
+                if size >= 1 << 20:
+                    table += np.bincount(_cells(np.concatenate(held)), minlength=len(table))
+                    held, size = [], 0
                 out.append((len(s), _name(s), signed(s[:3])))
+            if held:
+                table += np.bincount(_cells(np.concatenate(held)), minlength=len(table))
             yield pd.DataFrame({"rid": batch.rid, "doc_id": batch.doc_id, "n_shingles": [x[0] for x in out], "node": [x[1] for x in out], "lows": [x[2] for x in out], "task": None, "part": None, "counts": None})
         parts = [(TaskContext.get().partitionId(), i, table[i * SLICE : (i + 1) * SLICE]) for i in range(len(table) // SLICE)]
         none = [None] * len(parts)
@@ -76,7 +88,7 @@ def frequencies(drawn: DataFrame) -> np.ndarray:
 
 
 def rarest(docs: DataFrame, width: int, percent: int, table: np.ndarray) -> DataFrame:
-    """node, rare: of each class that can have a link to another, the rarest n-grams, one more than a link may miss."""
+    """node, rare: of each class that can have a link to another, the rarest n-grams."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -85,7 +97,7 @@ def rarest(docs: DataFrame, width: int, percent: int, table: np.ndarray) -> Data
             out = []
             for s in shingle_sets(batch.text, width):
                 if len(s) * (100 - percent) >= percent:
-                    most = len(s) - -(-percent * len(s) // 100) + 1
+                    most = len(s) - -(-percent * len(s) // 100) + least_shared(len(s), percent)
                     order = np.lexsort((s, table[_cells(s)]))[:most]
                     out.append((_name(s), signed(s[order])))
             yield pd.DataFrame(out, columns=["node", "rare"])
@@ -168,13 +180,15 @@ def links_within(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def candidates(asking: DataFrame, rows: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """node, group: sets of ``asking`` and later groups that share one of their rarest n-grams, may fit in size and hold
+    """node, group: sets of ``asking`` and later groups that share enough of their rarest n-grams, may fit in size and hold
     another component. Both tables: token, node, n, group, comp."""
     others = rows.groupBy("token", "group").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).join(sizes, "group")
     others = others.select(F.col("token").alias("t"), F.col("group").alias("other"), "x", "y", "low", "high")
     fits = (100 * F.col("n") >= percent * F.col("low")) & (100 * F.col("high") >= percent * F.col("n"))
     met = asking.join(others, (F.col("token") == F.col("t")) & (F.col("group") < F.col("other")) & ((F.col("comp") != F.col("x")) | (F.col("comp") != F.col("y"))) & fits)
-    return met.select("node", F.col("other").alias("group")).distinct()
+    smaller = F.least(F.first("n"), F.first("low"))
+    counts = met.groupBy("node", "other").agg(F.count("*").alias("shared"), F.floor(smaller * (100 - percent) / 200).alias("half"))
+    return counts.filter(F.col("shared") > F.col("half")).select("node", F.col("other").alias("group"))
 
 
 def links_across(pairs: DataFrame, groups: DataFrame, comps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
