@@ -13,11 +13,12 @@ class Graph:
     vertices: DataFrame
     edges: DataFrame
     directed: bool = False
+    stored: bool = False  # edges are a written table, cheap to read again
 
     @staticmethod
-    def from_edges(edges: DataFrame, directed: bool = False) -> Graph:
+    def from_edges(edges: DataFrame, directed: bool = False, stored: bool = False) -> Graph:
         """Vertices are the distinct ends. Parallel edges stay; use :func:`symmetrised` for a simple graph."""
-        return Graph(endpoints(edges), edges.select("src", "dst"), directed)
+        return Graph(endpoints(edges), edges.select("src", "dst"), directed, stored)
 
 
 def endpoints(edges: DataFrame) -> DataFrame:

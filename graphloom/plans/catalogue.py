@@ -6,14 +6,17 @@ and sums pair dependencies: a formula of its own, not the recurrence that the op
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.scalars import batch_size, format_nodes, gteps, runs_on, tier
-from graphloom.operators import compare, etl, generators, graph, paths
+from graphloom.functions.storage import shared_dir, stash
+from graphloom.operators import compare, etl, generators, graph, multi_source, paths
 from graphloom.operators.centrality import betweenness, dependencies, most_central, top_central
 from graphloom.plans import derived, fixtures, reports
-from graphloom.sources import run_files
+from graphloom.sources import graph_files, run_files, sinks
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -45,10 +48,6 @@ PARTS = """und AS (
   SELECT l_partkey AS src, l_suppkey + 10000000 AS dst FROM lineitem
   UNION SELECT l_suppkey + 10000000, l_partkey FROM lineitem
 )"""
-HUBS = """hubs AS (
-  SELECT src FROM (SELECT src, row_number() OVER (PARTITION BY s_nationkey ORDER BY count(*) DESC, src) AS k
-  FROM und JOIN supplier ON src = s_suppkey + 10000000 GROUP BY s_nationkey, src) WHERE k = 1
-)"""
 GEO = """half AS (
   SELECT CAST(n_regionkey AS BIGINT) AS src, CAST(n_nationkey + 100 AS BIGINT) AS dst FROM nation
   UNION ALL SELECT s_nationkey + 100, s_suppkey + 1000000 FROM supplier
@@ -130,10 +129,11 @@ def bc_grid7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(betweenness(generators.grid(spark, 49)))
 
 
-@query(f"WITH RECURSIVE {PARTS}, {HUBS}, {levels_sql('und', 'src IN (SELECT src FROM hubs)', 8)} SELECT s, v, d FROM b")
+@query(f"WITH RECURSIVE {PARTS}, {levels_sql('und', 'src >= 10000000', 8)} SELECT s, v, d FROM b")
 def bfs_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances from every supplier."""
     g = derived.part_supplier_graph(spark, sf_dir)
-    return paths.bfs(g, derived.hub_suppliers(spark, sf_dir, g))
+    return paths.bfs(g, derived.suppliers(g))
 
 
 @query(f"WITH RECURSIVE {PURCHASE}, {walks('und', 8)} SELECT s, v, d, sigma FROM f")
@@ -157,15 +157,17 @@ def path_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(dependencies(g, g.vertices))
 
 
-@query(f"""WITH RECURSIVE {PARTS}, {HUBS}, {levels_sql('und', 'src IN (SELECT src FROM hubs)', 8)}, c AS (SELECT s, d, count(*) AS size FROM b GROUP BY s, d)
+@query(f"""WITH RECURSIVE {PARTS}, {levels_sql('und', 'src >= 10000000', 8)}, c AS (SELECT s, d, count(*) AS size FROM b GROUP BY s, d)
 SELECT s, d, size, CAST(coalesce(sum(size) OVER (PARTITION BY s ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first FROM c""")
 def bfs_level_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.level_sizes(bfs_parts(spark, sf_dir))
+    g = derived.part_supplier_graph(spark, sf_dir)
+    return multi_source.level_sizes(g, derived.suppliers(g))
 
 
 @query(f"WITH RECURSIVE {PURCHASE}, {walks('und', 8)} SELECT s, max(d) AS depth FROM f GROUP BY s")
 def source_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.eccentricity(path_counts(spark, sf_dir))
+    g = derived.purchase_graph(spark, sf_dir)
+    return multi_source.eccentricities(g, g.vertices)
 
 
 @query("SELECT CAST(49 AS BIGINT) AS n, CAST(0 AS BIGINT) AS n_fail, true AS pass")
@@ -195,6 +197,19 @@ def adjacency_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.adjacency(derived.part_supplier_graph(spark, sf_dir)).select("id", F.array_join("nbrs", " ").alias("nbrs"))
 
 
+@query(f"WITH {PARTS} SELECT src AS id, array_to_string(list_sort(list(dst)), ' ') AS nbrs FROM und GROUP BY src")
+def csr_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part-supplier graph written as one CSR file in parallel, and read back by byte ranges."""
+    g = derived.part_supplier_graph(spark, sf_dir)
+    ids = stash(graph.numbered(g.vertices), "numbers")
+    path = f"{shared_dir(spark)}/graphloom/csr-{uuid.uuid4().hex}"
+    sinks.write_csr(graph.Graph(ids.select("id"), etl.renumbered(g.edges, ids), stored=True), path, single=True)
+    back = graph_files.read_csr(spark, path, split_bytes=1 << 18)
+    named = back.edges.join(ids.select(F.col("id").alias("src"), F.col("orig_id").alias("a")), "src").join(ids.select(F.col("id").alias("dst"), F.col("orig_id").alias("b")), "dst")
+    lists = named.groupBy(F.col("a").alias("id")).agg(F.array_sort(F.collect_list("b")).alias("nbrs"))
+    return lists.select("id", F.array_join("nbrs", " ").alias("nbrs"))
+
+
 @query("""WITH RECURSIVE i AS (SELECT CAST(range AS BIGINT) AS v FROM range(10000)) SELECT v AS src, v + 1 AS dst FROM i WHERE v % 100 < 99 UNION ALL SELECT v + 1, v FROM i WHERE v % 100 < 99
 UNION ALL SELECT v, v + 100 FROM i WHERE v < 9900 UNION ALL SELECT v + 100, v FROM i WHERE v < 9900""")
 def generated_grid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,20 +23,18 @@ def purchase_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def purchase_graph(spark: SparkSession, sf_dir: str, directed: bool = False) -> Graph:
     arcs = purchase_arcs(spark, sf_dir)
-    return Graph.from_edges(stash(arcs if directed else symmetrised(arcs), "purchases"), directed)  # read many times
+    return Graph.from_edges(stash(arcs if directed else symmetrised(arcs), "purchases"), directed, stored=True)  # read many times
 
 
 def part_supplier_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Parts and suppliers (+ SUPPLIER_AT) that meet in a line item."""
     pairs = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + SUPPLIER_AT).alias("dst"))
-    return Graph.from_edges(stash(symmetrised(pairs), "part-suppliers"))  # read many times
+    return Graph.from_edges(stash(symmetrised(pairs), "part-suppliers"), stored=True)  # read many times
 
 
-def hub_suppliers(spark: SparkSession, sf_dir: str, g: Graph) -> DataFrame:
-    """id: the supplier of each nation with the most parts in ``g``, the smaller key among equals."""
-    nations = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + SUPPLIER_AT).alias("src"), "s_nationkey")
-    counts = g.edges.join(nations, "src").groupBy("s_nationkey", "src").agg(F.count("*").alias("k"))
-    return counts.groupBy("s_nationkey").agg(F.min(F.struct(-F.col("k"), "src")).alias("best")).select(F.col("best.src").alias("id"))
+def suppliers(g: Graph) -> DataFrame:
+    """id: the suppliers of a part-supplier graph."""
+    return g.vertices.filter(F.col("id") >= SUPPLIER_AT)
 
 
 def geography_graph(spark: SparkSession, sf_dir: str) -> Graph:
