@@ -11,11 +11,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions.scalars import batch_size, format_nodes, gteps, runs_on, tier
+from graphloom.functions.scalars import batch_size, format_nodes, gteps, ratio, runs_on, tier
 from graphloom.functions.storage import shared_dir, stash
 from graphloom.operators import compare, etl, generators, graph, multi_source, paths
 from graphloom.operators.centrality import betweenness, dependencies, most_central, top_central
-from graphloom.plans import derived, fixtures, reports
+from graphloom.plans import derived, logs, reports
 from graphloom.sources import graph_files, run_files, sinks
 
 QUERIES: dict = {}
@@ -124,9 +124,20 @@ def bc_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(betweenness(derived.geography_graph(spark, sf_dir)))
 
 
-@query(bc_sql("g AS (SELECT a.i * 7 + b.i AS v FROM range(7) a(i), range(7) b(i)), und AS (SELECT x.v AS src, y.v AS dst FROM g x JOIN g y ON (x.v // 7 = y.v // 7 AND abs(x.v - y.v) = 1) OR abs(x.v - y.v) = 7)", "und", 12, 2))
+LATTICE = """w AS (SELECT CAST(floor(sqrt(count(*))) AS BIGINT) AS side FROM supplier),
+i AS (SELECT CAST(range AS BIGINT) AS v, side FROM range(1000000), w WHERE range < side * side),
+half AS (SELECT v AS src, v + 1 AS dst FROM i WHERE v % side < side - 1 UNION ALL SELECT v, v + side FROM i WHERE v < side * (side - 1)),
+und AS (SELECT src, dst FROM half UNION ALL SELECT dst, src FROM half)"""
+
+
+def _count(spark: SparkSession, sf_dir: str, name: str) -> int:
+    return derived.table(spark, sf_dir, name).count()
+
+
+@query(bc_sql(LATTICE, "und", 20, 2))
 def bc_grid7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(betweenness(generators.grid(spark, 49)))
+    """A lattice with at most as many vertices as there are suppliers."""
+    return rounded(betweenness(generators.grid(spark, _count(spark, sf_dir, "supplier"))))
 
 
 @query(f"WITH RECURSIVE {PARTS}, {levels_sql('und', 'src >= 10000000', 8)} SELECT s, v, d FROM b")
@@ -170,10 +181,10 @@ def source_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_source.eccentricities(g, g.vertices)
 
 
-@query("SELECT CAST(49 AS BIGINT) AS n, CAST(0 AS BIGINT) AS n_fail, true AS pass")
+@query(f"WITH {ARCS} SELECT count(*) AS n, CAST(0 AS BIGINT) AS n_fail, true AS pass FROM (SELECT src FROM arcs UNION SELECT dst FROM arcs)")
 def strategies_agree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The comparator over two strategies on a lattice."""
-    g = generators.grid(spark, 49)
+    """The comparator over two strategies on the purchase graph."""
+    g = derived.purchase_graph(spark, sf_dir)
     return compare.summary(betweenness(g, "relational"), betweenness(g, "kernel")).select("n", "n_fail", "pass")
 
 
@@ -210,26 +221,28 @@ def csr_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.select("id", F.array_join("nbrs", " ").alias("nbrs"))
 
 
-@query("""WITH RECURSIVE i AS (SELECT CAST(range AS BIGINT) AS v FROM range(10000)) SELECT v AS src, v + 1 AS dst FROM i WHERE v % 100 < 99 UNION ALL SELECT v + 1, v FROM i WHERE v % 100 < 99
-UNION ALL SELECT v, v + 100 FROM i WHERE v < 9900 UNION ALL SELECT v + 100, v FROM i WHERE v < 9900""")
+@query(f"WITH {LATTICE.replace('supplier', 'customer')} SELECT src, dst FROM und")
 def generated_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generators.grid(spark, 10_099).edges
+    """A lattice with at most as many vertices as there are customers."""
+    return generators.grid(spark, _count(spark, sf_dir, "customer")).edges
 
 
-@query("SELECT CAST(500 AS BIGINT) AS n, CAST(6 + 496 * 3 AS BIGINT) AS m, CAST(0 AS BIGINT) AS isolated")
+@query("SELECT count(*) AS n, CAST(6 + (count(*) - 4) * 3 AS BIGINT) AS m, CAST(0 AS BIGINT) AS isolated FROM customer")
 def generated_attachment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.degree_stats(generators.barabasi_albert(spark, 500, 3)).select("n", "m", "isolated")
+    """A vertex a customer."""
+    return graph.degree_stats(generators.barabasi_albert(spark, _count(spark, sf_dir, "customer"), 3)).select("n", "m", "isolated")
 
 
 @query()
 def generated_random(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A random graph of its own stream: checked by properties in the tests."""
-    return graph.degree_stats(generators.erdos_renyi(spark, 20_000, 5e-4))
+    """A random graph of its own stream, a vertex an order, ten neighbours each on average: checked by properties in the tests."""
+    n = _count(spark, sf_dir, "orders")
+    return graph.degree_stats(generators.erdos_renyi(spark, n, min(1.0, 10 / max(1, n))))
 
 
 # --- graph ETL -----------------------------------------------------------------------------------------------------
 
-CLEAN = f"""lines(value) AS (VALUES {fixtures.sql_values(fixtures.EDGE_LINES)}),
+CLEAN = f"""lines(value) AS ({logs.EDGE_LINES}),
 f AS (SELECT string_split(trim(regexp_replace(value, '\\s+', ' ', 'g')), ' ') AS x, value FROM lines),
 e AS (SELECT TRY_CAST(x[1] AS BIGINT) AS src, TRY_CAST(x[2] AS BIGINT) AS dst FROM f WHERE NOT starts_with(trim(value), '#')),
 ok AS (SELECT DISTINCT src, dst FROM e WHERE src IS NOT NULL AND dst IS NOT NULL AND src <> dst),
@@ -239,24 +252,24 @@ d AS (SELECT a.id AS src, b.id AS dst FROM ok JOIN ids a ON a.orig_id = src JOIN
 
 @query(f"WITH {CLEAN} SELECT src, dst FROM d UNION SELECT dst, src FROM d")
 def clean_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return etl.clean(fixtures.edge_lines(spark)).graph.edges
+    return etl.clean(logs.rows(spark, sf_dir, logs.EDGE_LINES)).graph.edges
 
 
 @query(f"WITH {CLEAN} SELECT src, dst FROM d")
 def clean_edges_directed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return etl.clean(fixtures.edge_lines(spark), directed=True).graph.edges
+    return etl.clean(logs.rows(spark, sf_dir, logs.EDGE_LINES), directed=True).graph.edges
 
 
 @query(f"WITH {CLEAN} SELECT orig_id, id FROM ids")
 def clean_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return etl.clean(fixtures.edge_lines(spark)).mapping
+    return etl.clean(logs.rows(spark, sf_dir, logs.EDGE_LINES)).mapping
 
 
 @query(f"""WITH {CLEAN} SELECT count(*) AS n_lines, count(*) FILTER (starts_with(trim(value), '#')) AS n_comments,
 count(*) FILTER (NOT starts_with(trim(value), '#') AND trim(value) <> '' AND (TRY_CAST(x[1] AS BIGINT) IS NULL OR TRY_CAST(x[2] AS BIGINT) IS NULL)) AS n_skipped,
 count(*) FILTER (NOT starts_with(trim(value), '#') AND TRY_CAST(x[1] AS BIGINT) = TRY_CAST(x[2] AS BIGINT)) AS n_loops FROM f""")
 def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return etl.clean(fixtures.edge_lines(spark)).lines
+    return etl.clean(logs.rows(spark, sf_dir, logs.EDGE_LINES)).lines
 
 
 @query("""WITH o AS (SELECT DISTINCT o_custkey AS src, l_partkey + 1000000 AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
@@ -272,9 +285,9 @@ def clean_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- reports -------------------------------------------------------------------------------------------------------
 
-SIZES = "sizes(graph_base, nodes, edges) AS (SELECT a, CAST(b AS BIGINT), CAST(c AS BIGINT) FROM (VALUES " + fixtures.sql_rows(reports.GRAPH_SIZES) + ") AS t(a, b, c))"
-KINDS = "kinds(transfer_type, peak_gbs, label) AS (VALUES " + fixtures.sql_rows(reports.TRANSFERS) + ")"
-RUN_LINES = "l(file_ord, line_no, value) AS (VALUES " + fixtures.sql_rows(fixtures.run_lines()) + ")"
+SIZES = f"sizes AS ({logs.SIZES})"
+KINDS = "kinds(transfer_type, peak_gbs, label) AS (VALUES " + ", ".join(f"('{t}', {g}, '{x}')" for t, g, x in reports.TRANSFERS) + ")"
+RUN_LINES = f"l AS ({logs.RUN_LINES})"
 RUNS = RUN_LINES + """, s AS (SELECT *, string_split(value, chr(9)) AS x FROM l),
 h AS (SELECT file_ord, min(line_no) AS head_line FROM s WHERE x[1] = 'Implementation' GROUP BY file_ord),
 a AS (SELECT file_ord, line_no, x[1] AS implementation, x[2] AS graph, TRY_CAST(x[3] AS DOUBLE) AS time_sec, TRY_CAST(x[4] AS DOUBLE) AS gteps
@@ -284,8 +297,8 @@ w AS (SELECT runs.*, string_split(graph, '/')[-1] AS graph_base, coalesce(nodes,
 SIZE_LABEL = "CASE WHEN nodes >= 1000000 THEN printf('%.2fM', nodes / 1e6) WHEN nodes >= 1000 THEN CAST(nodes // 1000 AS VARCHAR) || 'K' ELSE CAST(nodes AS VARCHAR) END"
 
 
-def _runs(spark: SparkSession) -> DataFrame:
-    parsed = run_files.parse_tsv(fixtures.lines(spark, fixtures.run_lines()), ["Implementation", "Graph", "Time_sec", "GTEPS"], "Implementation")
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = run_files.parse_tsv(logs.rows(spark, sf_dir, logs.RUN_LINES), ["Implementation", "Graph", "Time_sec", "GTEPS"], "Implementation")
     return run_files.first_runs(parsed, ["file_ord", "line_no"])
 
 
@@ -296,92 +309,92 @@ def pivot_sql(value: str, names=tuple(run_files.IMPLEMENTATIONS), source: str =
 
 @query(f"WITH {SIZES}, {RUNS} SELECT implementation, graph, time_sec, gteps FROM runs")
 def dirty_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _runs(spark).select("implementation", "graph", "time_sec", "gteps")
+    return _runs(spark, sf_dir).select("implementation", "graph", "time_sec", "gteps")
 
 
 @query(pivot_sql("time_sec"))
 def exec_time_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(reports.exec_time_table(_runs(spark), reports.graph_sizes(spark)))
+    return rounded(reports.exec_time_table(_runs(spark, sf_dir), logs.rows(spark, sf_dir, logs.SIZES)))
 
 
 @query(pivot_sql("gteps"))
 def gteps_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(reports.gteps_table(_runs(spark), reports.graph_sizes(spark)))
+    return rounded(reports.gteps_table(_runs(spark, sf_dir), logs.rows(spark, sf_dir, logs.SIZES)))
 
 
 for _base in ("Sequential", "OpenMP"):
 
     def _speedup(spark: SparkSession, sf_dir: str, base: str = _base) -> DataFrame:
-        return rounded(reports.speedup_table(_runs(spark), reports.graph_sizes(spark), base))
+        return rounded(reports.speedup_table(_runs(spark, sf_dir), logs.rows(spark, sf_dir, logs.SIZES), base))
 
     QUERIES[f"speedup_vs_{_base.lower()}"] = _speedup
     ORACLE[f"speedup_vs_{_base.lower()}"] = pivot_sql("base_time / time_sec", source=f"(SELECT w.*, b.time_sec AS base_time FROM w JOIN w b ON b.graph_base = w.graph_base AND b.implementation = '{_base}')")
 
 
-@query(f"WITH {SIZES}, {RUNS} SELECT graph_base AS graph, nodes, " + ", ".join(f"arg_min(gteps, file_ord * 1000 + line_no) FILTER (implementation = '{n}' AND gteps IS NOT NULL) AS \"{n}\"" for n in reports.ABLATION) + " FROM (SELECT * REPLACE (CASE implementation WHEN 'gpu' THEN 'GPU' WHEN 'gpu_managed' THEN 'GPU_Managed' WHEN 'gpu_readmostly' THEN 'GPU_ReadMostly' WHEN 'gpu_opt' THEN 'GPU_Opt' ELSE implementation END AS implementation) FROM w) WHERE implementation LIKE 'GPU%' AND gteps IS NOT NULL GROUP BY graph_base, nodes")
+@query(f"WITH {SIZES}, {RUNS} SELECT graph_base AS graph, nodes, " + ", ".join(f"arg_min(gteps, file_ord * 1000000000000 + line_no) FILTER (implementation = '{n}' AND gteps IS NOT NULL) AS \"{n}\"" for n in reports.ABLATION) + " FROM (SELECT * REPLACE (CASE implementation WHEN 'gpu' THEN 'GPU' WHEN 'gpu_managed' THEN 'GPU_Managed' WHEN 'gpu_readmostly' THEN 'GPU_ReadMostly' WHEN 'gpu_opt' THEN 'GPU_Opt' ELSE implementation END AS implementation) FROM w) WHERE implementation LIKE 'GPU%' AND gteps IS NOT NULL GROUP BY graph_base, nodes")
 def ablation_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.ablation_table(_runs(spark), reports.graph_sizes(spark), ["file_ord", "line_no"])
+    return reports.ablation_table(_runs(spark, sf_dir), logs.rows(spark, sf_dir, logs.SIZES), ["file_ord", "line_no"])
 
 
 @query("WITH t AS (" + ORACLE["ablation_table"] + ") SELECT graph, nodes, round(\"GPU\" / \"GPU\", 6) AS \"GPU\", round(\"GPU_Managed\" / \"GPU\", 6) AS \"GPU_Managed\", round(\"GPU_ReadMostly\" / \"GPU\", 6) AS \"GPU_ReadMostly\", round(\"GPU_Opt\" / \"GPU\", 6) AS \"GPU_Opt\" FROM t")
 def ablation_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(reports.ablation_table(_runs(spark), reports.graph_sizes(spark), ["file_ord", "line_no"], relative=True))
+    return rounded(reports.ablation_table(_runs(spark, sf_dir), logs.rows(spark, sf_dir, logs.SIZES), ["file_ord", "line_no"], relative=True))
 
 
-BANDWIDTH = "bw(transfer_type, size_gb, bandwidth_gbs) AS (VALUES " + fixtures.sql_rows(fixtures.BANDWIDTH) + ")"
+BANDWIDTH = f"bw AS ({logs.BANDWIDTH})"
 
 
-@query(f"WITH {KINDS}, {BANDWIDTH} SELECT label AS transfer, " + ", ".join(f"round(avg(CAST(bandwidth_gbs AS DOUBLE)) FILTER (size_gb = {s}), 6) AS gb_{str(s).replace('.', '_')}" for s in fixtures.BUFFERS) + " FROM bw JOIN kinds USING (transfer_type) GROUP BY label")
+@query(f"WITH {KINDS}, {BANDWIDTH} SELECT coalesce(label, transfer_type) AS transfer, " + ", ".join(f"round(avg(CAST(bandwidth_gbs AS DOUBLE)) FILTER (size_gb = {s}), 6) AS gb_{str(s).replace('.', '_')}" for s in logs.BUFFERS) + " FROM bw LEFT JOIN kinds USING (transfer_type) GROUP BY coalesce(label, transfer_type)")
 def bandwidth_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(reports.bandwidth_table(fixtures.bandwidth(spark), reports.transfers(spark), fixtures.BUFFERS))
+    return rounded(reports.bandwidth_table(logs.rows(spark, sf_dir, logs.BANDWIDTH), reports.transfers(spark), logs.BUFFERS))
 
 
 @query(f"WITH {KINDS}, {BANDWIDTH} SELECT label AS transfer, CAST(bandwidth_gbs AS DOUBLE) AS bandwidth_gbs, peak_gbs, round(CAST(bandwidth_gbs AS DOUBLE) / peak_gbs * 100, 6) AS percent FROM bw JOIN kinds USING (transfer_type) WHERE size_gb = (SELECT max(size_gb) FROM bw)")
 def bandwidth_use(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(reports.utilisation(fixtures.bandwidth(spark), reports.transfers(spark)))
+    return rounded(reports.utilisation(logs.rows(spark, sf_dir, logs.BANDWIDTH), reports.transfers(spark)))
 
 
 @query(f"WITH {KINDS}, {BANDWIDTH} SELECT label AS series, CAST(size_gb AS DOUBLE) AS x, CAST(bandwidth_gbs AS DOUBLE) AS y, peak_gbs FROM bw JOIN kinds USING (transfer_type)")
 def bandwidth_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.bandwidth_series(fixtures.bandwidth(spark), reports.transfers(spark))
+    return reports.bandwidth_series(logs.rows(spark, sf_dir, logs.BANDWIDTH), reports.transfers(spark))
 
 
-SCALING = "sc(impl, sharp, ranks, time_sec, gteps) AS (SELECT impl, sharp, ranks, CAST(t AS DOUBLE), CAST(g AS DOUBLE) FROM (VALUES " + fixtures.sql_rows(fixtures.SCALING) + ") AS x(impl, sharp, ranks, t, g))"
+SCALING = f"sc AS ({logs.SCALING})"
 
 
 @query(f"WITH {SCALING} SELECT impl, sharp, ranks, time_sec, round(t1 / time_sec, 6) AS speedup, round(t1 / (ranks * time_sec), 6) AS efficiency, gteps FROM sc JOIN (SELECT impl, sharp, time_sec AS t1 FROM sc WHERE ranks = 1) USING (impl, sharp)")
 def scaling_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(reports.scaling_table(fixtures.scaling(spark)))
+    return rounded(reports.scaling_table(logs.rows(spark, sf_dir, logs.SCALING)))
 
 
 @query(f"WITH {SCALING}, t AS (SELECT avg(time_sec) AS t1 FROM sc WHERE ranks = 1) SELECT impl || CASE WHEN sharp <> 0 THEN ' (ON)' ELSE ' (OFF)' END AS series, ranks AS x, round(time_sec, 6) AS y FROM sc UNION ALL SELECT 'ideal', ranks, round(t1 / ranks, 6) FROM (SELECT DISTINCT ranks FROM sc), t")
 def strong_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(reports.scaling_series(fixtures.scaling(spark)))
+    return rounded(reports.scaling_series(logs.rows(spark, sf_dir, logs.SCALING)))
 
 
 @query(f"WITH {SCALING}, t AS (SELECT avg(time_sec) AS t1 FROM sc WHERE ranks = 1) SELECT impl || CASE WHEN sharp <> 0 THEN ' (ON)' ELSE ' (OFF)' END AS series, ranks AS x, round(time_sec, 6) AS y FROM sc UNION ALL SELECT 'ideal', ranks, round(t1, 6) FROM (SELECT DISTINCT ranks FROM sc), t")
 def weak_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(reports.scaling_series(fixtures.scaling(spark), weak=True))
+    return rounded(reports.scaling_series(logs.rows(spark, sf_dir, logs.SCALING), weak=True))
 
 
 @query(f"WITH {SCALING} SELECT CASE WHEN sharp <> 0 THEN 'ON' ELSE 'OFF' END AS series, ranks AS x, round(avg(time_sec), 6) AS y FROM sc GROUP BY sharp, ranks")
 def switch_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(reports.switch_series(fixtures.scaling(spark)))
+    return rounded(reports.switch_series(logs.rows(spark, sf_dir, logs.SCALING)))
 
 
 @query(f"WITH {SIZES}, {RUNS} SELECT implementation AS series, graph_base AS graph, nodes, time_sec AS y FROM w")
 def exec_time_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.time_series(_runs(spark), reports.graph_sizes(spark))
+    return reports.time_series(_runs(spark, sf_dir), logs.rows(spark, sf_dir, logs.SIZES))
 
 
 @query(f"WITH {SIZES}, {RUNS} SELECT implementation AS series, graph_base AS graph, nodes, gteps AS y FROM w")
 def gteps_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.time_series(_runs(spark), reports.graph_sizes(spark), "gteps")
+    return reports.time_series(_runs(spark, sf_dir), logs.rows(spark, sf_dir, logs.SIZES), "gteps")
 
 
 @query(f"WITH {SIZES}, {RUNS} SELECT w.implementation AS series, w.graph_base AS graph, w.nodes AS nodes, round(b.time_sec / w.time_sec, 6) AS y FROM w JOIN w b ON b.graph_base = w.graph_base AND b.implementation = 'OpenMP' WHERE w.implementation <> 'OpenMP'")
 def speedup_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(reports.speedup_series(_runs(spark), reports.graph_sizes(spark), "OpenMP"))
+    return rounded(reports.speedup_series(_runs(spark, sf_dir), logs.rows(spark, sf_dir, logs.SIZES), "OpenMP"))
 
 
 DENSE = f"""{SIZES}, {RUNS}, c AS (SELECT * REPLACE (CASE implementation WHEN 'gpu' THEN 'GPU' WHEN 'gpu_opt' THEN 'GPU_Opt' ELSE implementation END AS implementation) FROM w),
@@ -393,12 +406,12 @@ dense AS (SELECT series, graph, nodes, coalesce(y, 0) AS y FROM g LEFT JOIN m US
 
 @query(f"WITH {DENSE} SELECT series, graph, nodes, round(y, 6) AS y FROM dense")
 def memory_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(reports.dense_series(_runs(spark), reports.graph_sizes(spark), reports.ABLATION, "gteps"))
+    return rounded(reports.dense_series(_runs(spark, sf_dir), logs.rows(spark, sf_dir, logs.SIZES), reports.ABLATION, "gteps"))
 
 
 @query(f"WITH {DENSE} SELECT d.series, d.graph, d.nodes, round(d.y, 6) AS y, round(CASE WHEN r.y > 0 THEN d.y / r.y ELSE 0 END, 6) AS ratio FROM dense d JOIN dense r ON r.graph = d.graph AND r.series = 'GPU'")
 def ablation_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(reports.ablation_series(_runs(spark), reports.graph_sizes(spark)))
+    return rounded(reports.ablation_series(_runs(spark, sf_dir), logs.rows(spark, sf_dir, logs.SIZES)))
 
 
 @query(f"""WITH {SIZES}, {RUNS}, f AS (
@@ -407,60 +420,60 @@ def ablation_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 ), t AS (SELECT CAST(CASE WHEN g >= 5 THEN 2 WHEN g >= 3 THEN 1 ELSE 0 END + CASE WHEN s > 100 THEN 3 WHEN s > 10 THEN 2 WHEN s IS NOT NULL THEN 1 ELSE 0 END + 2 + CASE WHEN k < 4 THEN 0 WHEN r > 100 THEN 2 ELSE 1 END AS INTEGER) AS score FROM f)
 SELECT score, CASE WHEN score >= 8 THEN 'Excellent' WHEN score >= 5 THEN 'Good' ELSE 'Insufficient' END AS verdict FROM t""")
 def run_adequacy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = _runs(spark)
-    return reports.adequacy(runs, runs.filter(F.col("implementation") == "GPU_Managed"), fixtures.bandwidth(spark), reports.graph_sizes(spark))
+    runs = _runs(spark, sf_dir)
+    return reports.adequacy(runs, runs.filter(F.col("implementation") == "GPU_Managed"), logs.rows(spark, sf_dir, logs.BANDWIDTH), logs.rows(spark, sf_dir, logs.SIZES))
 
 
-SWEEP = "sw(batchsize, graph, time_sec, gteps) AS (SELECT b, g, CAST(t AS DOUBLE), CAST(x AS DOUBLE) FROM (VALUES " + fixtures.sql_rows(fixtures.SWEEP) + ") AS v(b, g, t, x))"
+SWEEP = f"sw AS ({logs.SWEEP})"
 
 
 @query(f"WITH {SWEEP} SELECT string_split(graph, '/')[-1] AS series, CAST(batchsize AS INTEGER) AS x, time_sec, gteps FROM sw")
 def batch_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.batch_series(fixtures.sweep(spark))
+    return reports.batch_series(logs.rows(spark, sf_dir, logs.SWEEP))
 
 
 @query(f"WITH {SWEEP} SELECT string_split(graph, '/')[-1] AS graph, CAST(arg_min(batchsize, time_sec) AS INTEGER) AS batch, min(time_sec) AS time_sec, arg_min(gteps, time_sec) AS gteps FROM sw GROUP BY graph")
 def best_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.best_batch(fixtures.sweep(spark))
+    return reports.best_batch(logs.rows(spark, sf_dir, logs.SWEEP))
 
 
 @query(f"WITH {SIZES} SELECT graph_base AS graph, CASE WHEN nodes <= 11023 THEN 'small' WHEN nodes <= 500000 THEN 'medium' WHEN nodes <= 2000000 THEN 'large' ELSE 'xlarge' END AS tier, {SIZE_LABEL} AS size, round(CAST(nodes AS DOUBLE) * edges / 2.5 / 1e9, 6) AS gteps, CAST(greatest(1, least(floor(96e9 * 0.85 / (nodes * 40)), 1024)) AS INTEGER) AS batch FROM sizes")
 def graph_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = reports.graph_sizes(spark)
+    sizes = logs.rows(spark, sf_dir, logs.SIZES)
     return rounded(sizes.select(F.col("graph_base").alias("graph"), tier(F.col("nodes")).alias("tier"), format_nodes(F.col("nodes")).alias("size"), gteps(F.col("nodes"), F.col("edges"), F.lit(2.5)).alias("gteps"), batch_size(F.lit(96e9), F.col("nodes") * 40).alias("batch")))
 
 
 @query(f"WITH {SIZES} SELECT graph_base AS graph, nodes, CAST(row_number() OVER (ORDER BY nodes, graph_base) AS INTEGER) AS place FROM sizes")
 def graphs_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.by_size(reports.graph_sizes(spark)).select(F.col("graph_base").alias("graph"), "nodes", "place")
+    return reports.by_size(logs.rows(spark, sf_dir, logs.SIZES)).select(F.col("graph_base").alias("graph"), "nodes", "place")
 
 
 @query(f"WITH {SIZES} SELECT graph_base AS graph, batch FROM (SELECT *, least(8, greatest(1, least(1024, floor(96e9 * 0.85 / (nodes * 40000000.0))))) AS b, CAST(b AS INTEGER) AS batch FROM sizes)")
 def lowered_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.graph_sizes(spark).select(F.col("graph_base").alias("graph"), batch_size(F.lit(96e9), F.col("nodes") * 40_000_000.0, override=8).alias("batch"))
+    return logs.rows(spark, sf_dir, logs.SIZES).select(F.col("graph_base").alias("graph"), batch_size(F.lit(96e9), F.col("nodes") * 40_000_000.0, override=8).alias("batch"))
 
 
 @query(f"WITH {KINDS}, {BANDWIDTH} SELECT label AS transfer, round(max(CAST(bandwidth_gbs AS DOUBLE)), 6) AS best, CAST(row_number() OVER (ORDER BY -max(peak_gbs), label) AS INTEGER) AS place FROM bw JOIN kinds USING (transfer_type) GROUP BY label")
 def transfers_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = reports.transfers(spark)
-    best = fixtures.bandwidth(spark).join(kinds, "transfer_type").groupBy(F.col("label").alias("transfer")).agg(F.max("bandwidth_gbs").alias("best"))
+    best = logs.rows(spark, sf_dir, logs.BANDWIDTH).join(kinds, "transfer_type").groupBy(F.col("label").alias("transfer")).agg(F.max("bandwidth_gbs").alias("best"))
     return rounded(reports.by_label(best, kinds))
 
 
 @query(f"WITH {BANDWIDTH} SELECT round(max(CAST(bandwidth_gbs AS DOUBLE)) FILTER (transfer_type = 'HBM3_DtoD'), 6) AS HBM3_DtoD, round(max(CAST(bandwidth_gbs AS DOUBLE)) FILTER (transfer_type = 'NVLink_C2C_Prefetch'), 6) AS NVLink_C2C_Prefetch FROM bw")
 def peak_bandwidth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(reports.peak_by_type(fixtures.bandwidth(spark), ["HBM3_DtoD", "NVLink_C2C_Prefetch"]))
+    return rounded(reports.peak_by_type(logs.rows(spark, sf_dir, logs.BANDWIDTH), ["HBM3_DtoD", "NVLink_C2C_Prefetch"]))
 
 
-@query(f"WITH {BANDWIDTH} SELECT transfer_type, CAST(size_gb AS DOUBLE) AS size_gb, CAST(bandwidth_gbs AS DOUBLE) AS bandwidth_gbs FROM bw WHERE transfer_type = 'NVLink_C2C_Prefetch' ORDER BY size_gb LIMIT 1 OFFSET 2")
+@query(f"WITH {BANDWIDTH} SELECT transfer_type, CAST(size_gb AS DOUBLE) AS size_gb, CAST(bandwidth_gbs AS DOUBLE) AS bandwidth_gbs FROM bw WHERE transfer_type = 'NVLink_C2C_Prefetch' ORDER BY size_gb, bandwidth_gbs LIMIT 1 OFFSET 2")
 def third_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixtures.bandwidth(spark).filter("transfer_type = 'NVLink_C2C_Prefetch'").select("transfer_type", "size_gb", "bandwidth_gbs")
-    return reports.nth_sample(rows, 3, "size_gb")
+    rows = logs.rows(spark, sf_dir, logs.BANDWIDTH).filter("transfer_type = 'NVLink_C2C_Prefetch'").select("transfer_type", "size_gb", "bandwidth_gbs")
+    return reports.nth_sample(rows, 3, "size_gb", "bandwidth_gbs")
 
 
 @query(f"WITH {SIZES}, r(tier, least_nodes, most_nodes, names) AS (VALUES ('small', 0, 11023, 'Sequential,OpenMP,GPU,GPU_Managed,GPU_ReadMostly,GPU_Opt'), ('medium', 11024, 500000, 'OpenMP,GPU,GPU_Managed,GPU_ReadMostly,GPU_Opt'), ('large', 500001, 2000000, 'GPU,GPU_ReadMostly,GPU_Opt'), ('xlarge', 2000001, 9000000000, 'GPU_Opt')) SELECT graph_base AS graph, names AS runs FROM sizes JOIN r ON nodes BETWEEN least_nodes AND most_nodes")
 def runs_by_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.graph_sizes(spark).select(F.col("graph_base").alias("graph"), F.array_join(runs_on(F.col("nodes")), ",").alias("runs"))
+    return logs.rows(spark, sf_dir, logs.SIZES).select(F.col("graph_base").alias("graph"), F.array_join(runs_on(F.col("nodes")), ",").alias("runs"))
 
 
 @query("WITH r AS (SELECT o_orderkey AS v, o_totalprice AS ref, CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice * 1.001 ELSE o_totalprice END AS got FROM orders), d AS (SELECT abs(ref - got) AS a, abs(ref - got) / greatest(abs(ref), 1e-15) AS e FROM r) SELECT count(*) AS n, count(*) FILTER (e > 1e-6) AS n_fail, round(max(e), 9) AS max_rel, count(*) FILTER (e > 1e-6) = 0 AS pass FROM d")
@@ -491,23 +504,21 @@ def pass_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderpriority AS priority, " + ", ".join(f"round(avg(o_totalprice) FILTER (o_orderstatus = '{s}'), 4) AS \"{s}\"" for s in "FOP") + " FROM orders GROUP BY o_orderpriority")
 def pivot_mean_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = derived.table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("priority")).pivot("o_orderstatus", ["F", "O", "P"]).agg(F.avg("o_totalprice"))
-    return rounded(rows, 4)
+    rows = derived.table(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "priority")
+    return rounded(reports.pivot_mean(rows, ["priority"], "o_orderstatus", ["F", "O", "P"], "o_totalprice"), 4)
 
 
 @query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events) WHERE k = 1")
 def first_event_of_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keep-first duplicates: aggregated before the shuffle, unlike a window."""
-    rows = derived.table(spark, sf_dir, "events")
-    first = F.min(F.struct("ts", "event_id", "value")).alias("f")
-    return rows.groupBy("user_id", "event_type").agg(first).select("user_id", "event_type", F.col("f.event_id").alias("event_id"), F.col("f.value").alias("value"))
+    rows = derived.table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id", "value")
+    return run_files.first_of(rows, ["user_id", "event_type"], ["ts", "event_id"]).drop("ts")
 
 
 @query("WITH m AS (SELECT l_suppkey, l_returnflag, avg(l_extendedprice) AS a FROM lineitem GROUP BY l_suppkey, l_returnflag) SELECT m.l_suppkey, m.l_returnflag, round(m.a / b.a, 6) AS ratio FROM m JOIN m b ON b.l_suppkey = m.l_suppkey AND b.l_returnflag = 'N'")
 def ratio_to_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = derived.table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.avg("l_extendedprice").alias("a"))
-    base = means.filter("l_returnflag = 'N'").select("l_suppkey", F.col("a").alias("b"))
-    return means.join(base, "l_suppkey").select("l_suppkey", "l_returnflag", F.round(F.try_divide("a", "b"), 6).alias("ratio"))
+    rows = reports.beside_baseline(means, "l_suppkey", "l_returnflag", "N", "a", "base")
+    return rounded(rows.select("l_suppkey", "l_returnflag", ratio(F.col("a"), F.col("base")).alias("ratio")))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity = (SELECT max(l_quantity) FROM lineitem)")
@@ -517,8 +528,7 @@ def rows_at_largest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH g AS (SELECT n_name, s FROM nation, (SELECT DISTINCT c_mktsegment AS s FROM customer)) SELECT g.n_name AS nation, g.s AS segment, count(c_custkey) AS customers FROM g LEFT JOIN (customer JOIN nation ON c_nationkey = n_nationkey) c ON c.n_name = g.n_name AND c.c_mktsegment = g.s GROUP BY g.n_name, g.s")
 def dense_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = derived.table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("nation"))
+    nation = derived.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("nation"))
     customer = derived.table(spark, sf_dir, "customer").select("c_nationkey", F.col("c_mktsegment").alias("segment"))
-    counts = customer.groupBy("c_nationkey", "segment").agg(F.count("*").alias("customers"))
-    cells = nation.crossJoin(F.broadcast(customer.select("segment").distinct()))  # nations times segments
-    return cells.join(counts, (F.col("n_nationkey") == F.col("c_nationkey")) & (cells.segment == counts.segment), "left").select("nation", cells.segment, F.coalesce("customers", F.lit(0)).alias("customers"))
+    counts = customer.join(nation, "c_nationkey").groupBy("nation", "segment").agg(F.count("*").alias("customers"))
+    return reports.dense(nation.select("nation"), customer.select("segment").distinct(), counts, "customers", 0)

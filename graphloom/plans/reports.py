@@ -8,24 +8,6 @@ from pyspark.sql import functions as F
 from graphloom.functions.scalars import base_name, efficiency, format_nodes, ideal_time, on_off, ratio, ratio_percent
 from graphloom.sources.run_files import IMPLEMENTATIONS, OLD_NAMES
 
-#: Sizes of the graphs in published run logs.
-GRAPH_SIZES = [
-    ("benchmark_7000_41459", 7_000, 41_459),
-    ("benchmark_11023_62184", 11_023, 62_184),
-    ("benchmark_85830.data", 85_830, 241_000),
-    ("random", 32_768, 101_000),
-    ("56438_300801", 56_438, 300_801),
-    ("325557_3216152", 325_557, 3_216_152),
-    ("email-EuAll", 265_214, 420_045),
-    ("amazon0302", 262_111, 900_000),
-    ("web-Stanford", 281_903, 2_312_497),
-    ("web-NotreDame", 325_729, 1_497_134),
-    ("amazon0505", 410_236, 2_439_437),
-    ("web-Google", 875_713, 5_105_039),
-    ("roadNet-PA", 1_090_920, 1_541_514),
-    ("roadNet-TX", 1_379_917, 1_921_660),
-    ("roadNet-CA", 1_971_281, 2_766_607),
-]
 #: Theoretical peaks in GB/s and labels of transfer types.
 TRANSFERS = [
     ("HBM3_DtoD", 4020, "HBM3 D->D"),
@@ -36,10 +18,6 @@ TRANSFERS = [
 ABLATION = IMPLEMENTATIONS[2:]
 
 
-def graph_sizes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(GRAPH_SIZES, "graph_base string, nodes long, edges long")
-
-
 def transfers(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(TRANSFERS, "transfer_type string, peak_gbs int, label string")
 
@@ -47,7 +25,7 @@ def transfers(spark: SparkSession) -> DataFrame:
 def with_metadata(runs: DataFrame, sizes: DataFrame) -> DataFrame:
     """Adds graph_base and nodes (0 where unknown); ``sizes`` has a row a known graph."""
     based = runs.withColumn("graph_base", base_name(F.col("graph")))
-    return based.join(F.broadcast(sizes.select("graph_base", "nodes")), "graph_base", "left").withColumn("nodes", F.coalesce("nodes", F.lit(0)))
+    return based.join(sizes.select("graph_base", "nodes"), "graph_base", "left").withColumn("nodes", F.coalesce("nodes", F.lit(0)))
 
 
 def canonical(runs: DataFrame) -> DataFrame:
@@ -99,29 +77,39 @@ def converted(catalogue: DataFrame, headers: DataFrame) -> DataFrame:
     return catalogue.select("category", F.col("name").alias("graph")).join(headers, "graph").select("category", "graph", "n", "m", "bytes")
 
 
-def _pivot(rows: DataFrame, value: F.Column) -> DataFrame:
-    out = rows.groupBy("graph_base", "nodes").pivot("implementation", IMPLEMENTATIONS).agg(value)
+def pivot_mean(rows: DataFrame, by: list[str], kind: str, kinds: list[str], value: str) -> DataFrame:
+    """A row for each ``by``, a column of the mean value for each of ``kinds``."""
+    return rows.groupBy(*by).pivot(kind, kinds).agg(F.avg(value))
+
+
+def _pivot(rows: DataFrame, value: str) -> DataFrame:
+    out = pivot_mean(rows, ["graph_base", "nodes"], "implementation", IMPLEMENTATIONS, value)
     return out.select(F.col("graph_base").alias("graph"), format_nodes(F.col("nodes")).alias("size"), *IMPLEMENTATIONS)
 
 
 def exec_time_table(runs: DataFrame, sizes: DataFrame) -> DataFrame:
     """Mean seconds: a row a graph, a column an implementation."""
-    return _pivot(with_metadata(runs, sizes), F.avg("time_sec"))
+    return _pivot(with_metadata(runs, sizes), "time_sec")
 
 
 def gteps_table(runs: DataFrame, sizes: DataFrame) -> DataFrame:
-    return _pivot(with_metadata(runs, sizes), F.avg("gteps"))
+    return _pivot(with_metadata(runs, sizes), "gteps")
+
+
+def beside_baseline(rows: DataFrame, key: str, kind: str, baseline: str, value: str, out: str) -> DataFrame:
+    """Each row with the value ``out`` of the baseline's rows of the same key, once for each of them."""
+    base = rows.filter(F.col(kind) == baseline).select(key, F.col(value).alias(out))
+    return rows.join(base, key)
 
 
 def against(runs: DataFrame, sizes: DataFrame, baseline: str) -> DataFrame:
-    """Runs with the baseline's seconds on the same graph (once for each baseline row) and the speedup."""
-    rows = with_metadata(runs, sizes)
-    base = rows.filter(F.col("implementation") == baseline).select("graph_base", F.col("time_sec").alias("base_time"))
-    return rows.join(base, "graph_base").withColumn("speedup", ratio(F.col("base_time"), F.col("time_sec")))
+    """Runs with the baseline's seconds on the same graph and the speedup."""
+    rows = beside_baseline(with_metadata(runs, sizes), "graph_base", "implementation", baseline, "time_sec", "base_time")
+    return rows.withColumn("speedup", ratio(F.col("base_time"), F.col("time_sec")))
 
 
 def speedup_table(runs: DataFrame, sizes: DataFrame, baseline: str) -> DataFrame:
-    return _pivot(against(runs, sizes, baseline), F.avg("speedup"))
+    return _pivot(against(runs, sizes, baseline), "speedup")
 
 
 def ablation_table(runs: DataFrame, sizes: DataFrame, order: list[str], relative: bool = False) -> DataFrame:
@@ -137,7 +125,7 @@ def bandwidth_table(bandwidth: DataFrame, kinds: DataFrame, size_list: list[floa
     """Mean GB/s: a row a transfer type, a column a buffer size."""
     names = [f"gb_{s:g}".replace(".", "_") for s in size_list]
     table = bandwidth.groupBy("transfer_type").pivot("size_gb", size_list).agg(F.avg("bandwidth_gbs")).toDF("transfer_type", *names)
-    return table.join(F.broadcast(kinds), "transfer_type", "left").select(F.coalesce("label", "transfer_type").alias("transfer"), *names)
+    return table.join(kinds, "transfer_type", "left").select(F.coalesce("label", "transfer_type").alias("transfer"), *names)
 
 
 def at_largest(rows: DataFrame, column: str) -> DataFrame:
@@ -147,7 +135,7 @@ def at_largest(rows: DataFrame, column: str) -> DataFrame:
 
 def utilisation(bandwidth: DataFrame, kinds: DataFrame) -> DataFrame:
     """Measured against peak GB/s at the largest buffer."""
-    return at_largest(bandwidth, "size_gb").join(F.broadcast(kinds), "transfer_type").select(F.col("label").alias("transfer"), "bandwidth_gbs", "peak_gbs", ratio_percent(F.col("bandwidth_gbs"), F.col("peak_gbs")).alias("percent"))
+    return at_largest(bandwidth, "size_gb").join(kinds, "transfer_type").select(F.col("label").alias("transfer"), "bandwidth_gbs", "peak_gbs", ratio_percent(F.col("bandwidth_gbs"), F.col("peak_gbs")).alias("percent"))
 
 
 def _first_time_alone(scaling: DataFrame) -> DataFrame:
@@ -195,9 +183,18 @@ def dense_series(runs: DataFrame, sizes: DataFrame, implementations: list[str],
     """A bar for every graph and implementation, 0 where there is no run."""
     rows = canonical(with_metadata(runs, sizes)).filter(F.col("implementation").isin(*implementations))
     names = runs.sparkSession.createDataFrame([(x,) for x in implementations], "implementation string")
-    cells = rows.select("graph_base", "nodes").distinct().crossJoin(F.broadcast(names))  # graphs times six names
-    means = rows.groupBy("graph_base", "implementation").agg(F.avg(value).alias("y"))
-    return cells.join(means, ["graph_base", "implementation"], "left").select(F.col("implementation").alias("series"), F.col("graph_base").alias("graph"), "nodes", F.coalesce("y", F.lit(0.0)).alias("y"))
+    means = rows.groupBy("graph_base", "nodes", "implementation").agg(F.avg(value).alias("y"))
+    cells = dense(rows.select("graph_base", "nodes").distinct(), names, means, "y", 0.0)
+    return cells.select(F.col("implementation").alias("series"), F.col("graph_base").alias("graph"), "nodes", "y")
+
+
+def dense(left: DataFrame, right: DataFrame, cells: DataFrame, value: str, fill) -> DataFrame:
+    """All combinations of the rows of two report axes, with ``value`` of the cells that exist and ``fill`` elsewhere; the
+    result has as many rows as it must have. ``right`` (a few names) is an array in each row of ``left``."""
+    names = right.agg(F.collect_list(F.struct(*right.columns)).alias("axis")).withColumn("k", F.lit(1))
+    every = left.withColumn("k", F.lit(1)).join(names, "k").select(*left.columns, F.explode("axis").alias("x"))
+    every = every.select(*left.columns, *[F.col("x")[c].alias(c) for c in right.columns])
+    return every.join(cells, [*left.columns, *right.columns], "left").withColumn(value, F.coalesce(value, F.lit(fill)))
 
 
 def ablation_series(runs: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -208,7 +205,7 @@ def ablation_series(runs: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def bandwidth_series(bandwidth: DataFrame, kinds: DataFrame) -> DataFrame:
-    return bandwidth.join(F.broadcast(kinds), "transfer_type").select(F.col("label").alias("series"), F.col("size_gb").alias("x"), F.col("bandwidth_gbs").alias("y"), "peak_gbs")
+    return bandwidth.join(kinds, "transfer_type").select(F.col("label").alias("series"), F.col("size_gb").alias("x"), F.col("bandwidth_gbs").alias("y"), "peak_gbs")
 
 
 def batch_series(*sweeps: DataFrame) -> DataFrame:

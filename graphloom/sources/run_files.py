@@ -56,10 +56,16 @@ def read_runs(spark: SparkSession, *patterns: str) -> DataFrame:
     return out
 
 
+def first_of(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key in the given order; aggregated before the shuffle, unlike a window."""
+    rest = [c for c in rows.columns if c not in (*keys, *order)]
+    first = rows.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("f"))
+    return first.select(*[c if c in keys else F.col("f")[c].alias(c) for c in rows.columns])
+
+
 def first_runs(runs: DataFrame, order: list[str]) -> DataFrame:
     """The first row of each (implementation, graph)."""
-    place = F.row_number().over(Window.partitionBy("implementation", "graph").orderBy(*order))
-    return runs.withColumn("place", place).filter("place = 1").drop("place")
+    return first_of(runs, ["implementation", "graph"], order)
 
 
 def parse_scaling(lines: DataFrame) -> DataFrame:

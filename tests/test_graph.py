@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import compare, etl, generators, graph, paths
 from graphloom.operators.centrality import betweenness, most_central
-from graphloom.plans import fixtures
 from graphloom.sources import graph_files, sinks
+import small_inputs
 
 GOLDEN = {
     "path4": ([(0, 1), (1, 2), (2, 3)], 4, {0: 0, 1: 2, 2: 2, 3: 0}),
@@ -98,7 +98,7 @@ def test_comparator(spark):
 
 
 def test_cleaning(spark):
-    done = etl.clean(fixtures.edge_lines(spark).limit(11))
+    done = etl.clean(small_inputs.edge_lines(spark).limit(11))
     assert sorted(map(tuple, done.graph.edges.collect())) == [(0, 1), (1, 0), (1, 2), (2, 1)]
     assert sorted(map(tuple, done.mapping.collect())) == [(10, 0), (20, 1), (30, 2)]
     assert tuple(done.lines.first()) == (11, 1, 3, 2)

@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalars
-from graphloom.plans import catalogue, fixtures, reports
+from graphloom.plans import catalogue, reports
 from graphloom.sources import run_files, sinks
+import small_inputs
 
 DIRTY = """noise before header
 Implementation\tGraph\tTime_sec\tGTEPS
@@ -37,15 +38,15 @@ def test_scaling_file(spark):
     head = (1, 0, "Impl\tGraph\tRanks\tSHARP\tTime_sec\tGTEPS")
     good = [(1, 1, "# note"), (1, 2, "a\tg\t1\t0\t8.0\t1"), (1, 3, "a\tg\t2\t1\t5.0\tx"), (1, 4, "a\tg\tz\t1\t5.0\t1")]
     bad = [(2, 0, head[2]), (2, 1, "a\tg\t1\t0\t8.0\t1"), (2, 2, "a\tg\t2\tx\t5.0\t1")]
-    got = run_files.parse_scaling(fixtures.lines(spark, [head, *good, *bad]))
+    got = run_files.parse_scaling(small_inputs.lines(spark, [head, *good, *bad]))
     assert sorted((r.ranks, r.sharp, r.time_sec, r.gteps) for r in got.collect()) == [(1, 0, 8.0, 1.0), (2, 1, 5.0, None)]
 
 
 def test_catalogue_and_phases(spark):
-    rows = fixtures.lines(spark, [(1, 0, "medium|a|http://x|directed|text"), (1, 1, "large|b|http://y|undirected|t"), (1, 2, "bad")])
+    rows = small_inputs.lines(spark, [(1, 0, "medium|a|http://x|directed|text"), (1, 1, "large|b|http://y|undirected|t"), (1, 2, "bad")])
     assert [r.name for r in run_files.parse_catalogue(rows, ["large"]).collect()] == ["b"]
     assert run_files.parse_catalogue(rows, ["all"]).count() == 2
-    log = fixtures.lines(spark, [(1, 0, "start"), (1, 1, "BFS: 1.5 s Backward: 2"), (1, 2, "BFS: 9"), (2, 0, "none")])
+    log = small_inputs.lines(spark, [(1, 0, "start"), (1, 1, "BFS: 1.5 s Backward: 2"), (1, 2, "BFS: 9"), (2, 0, "none")])
     assert {(r.file_ord, r.bfs_sec, r.back_sec) for r in run_files.parse_phases(log).collect()} == {(1, 1.5, 2.0), (2, None, None)}
 
 
@@ -58,12 +59,13 @@ def test_scalars(spark):
 
 
 def test_tables_and_writers(spark, tmp_path):
-    runs = catalogue._runs(spark)
-    table = reports.speedup_table(runs, reports.graph_sizes(spark), "Sequential").orderBy("graph")
+    runs = spark.createDataFrame([("Sequential", "d/a", 4.0, 0.5), ("GPU", "a", 0.3, 1.0), ("GPU", "b", 2.0, 3.0)], "implementation string, graph string, time_sec double, gteps double")
+    sizes = spark.createDataFrame([("a", 7000, 41459)], "graph_base string, nodes long, edges long")
+    table = reports.speedup_table(runs, sizes, "Sequential").orderBy("graph")
     text = sinks.latex(table, "Speedup", "tab:s", 2, r"$\times$")
-    assert r"13.36$\times$" in text and "--" in text
+    assert r"13.33$\times$" in text and "--" in text
     sinks.write_table(table, f"{tmp_path}/t", 2)
-    assert "13.36" in "".join(r.value for r in spark.read.text(f"{tmp_path}/t").collect())
+    assert "13.33" in "".join(r.value for r in spark.read.text(f"{tmp_path}/t").collect())
     sinks.append_runs(runs, f"{tmp_path}/r")
     sinks.append_runs(runs, f"{tmp_path}/r")
     assert spark.read.text(f"{tmp_path}/r").count() == 2 * runs.count()
@@ -132,7 +134,8 @@ def test_queries_equal_their_sql(spark, name):
 
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{sf}/orders.parquet'")
+    for t in ("orders", "customer", "nation", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     got, want = catalogue.QUERIES[name](spark, sf), con.execute(catalogue.ORACLE[name])
     columns = [c[0] for c in want.description]
     assert sorted(got.columns) == sorted(columns)
