@@ -2,10 +2,15 @@
 
 Data and queries are grouped by their nearest pivot. For every data group the summary keeps its radius and the
 distances of its members nearest to the pivot. Since q.x = q.p + q.(x - p), a member at distance d from pivot p scores
-between q.p - |q| d and q.p + |q| d. The k-th best lower bound over all groups is a threshold that a query's result must
-reach, and a query is sent only to the groups whose upper bound reaches it. Groups are cut into blocks of bounded size;
-each block and each block of queries meet in one task, which keeps k rows a query. Scores are integers, so bounds (kept
-with a margin for rounding) never lose a row.
+between q.p - |q| d and q.p + |q| d.
+
+1. A query is solved in the groups whose pivots suit it best, enough of them for k rows. Its k-th score there, or the
+   k-th best lower bound over all groups if that is higher, is a threshold that its result must reach.
+2. It is then sent to those other groups whose upper bound reaches the threshold, and to no others.
+
+Queries travel in blocks of like ones (those whose pivots share a nearest coarse pivot), and a part of a data group is
+copied to the blocks that ask for it only. A part and a block meet in one task, which keeps k rows a query. Scores are
+integers, so bounds (kept with a margin for rounding) never lose a row.
 """
 
 from __future__ import annotations
@@ -51,12 +56,17 @@ def _norms(a: np.ndarray) -> np.ndarray:
     return np.sqrt((a.astype(np.float64) ** 2).sum(axis=1))
 
 
-def top_products(vectors: DataFrame, is_query, k: int = 20, group_rows: int = 2048, max_pivots: int = 256, query_block: int = 4096) -> DataFrame:
+def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((centres**2).sum(axis=1) - 2 * x @ centres.T).argmin(axis=1)
+
+
+def top_products(vectors: DataFrame, is_query, k: int = 20, max_pivots: int = 2048, part_rows: int = 2048, query_block: int = 512) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` largest inner products of every query row with every other row.
 
     ``vectors``: vec_id, v (array of longs). Ties go to the smaller vec_id; a query never meets its own vec_id; rows that
     repeat a vec_id count once (the smallest vector); with fewer than k candidates all are returned; empty vectors
-    score 0; an empty table gives no rows. ``max_pivots`` bounds the sample of pivots and the summary on the driver.
+    score 0; an empty table gives no rows. There are as many pivots as the root of the number of rows; ``max_pivots`` bounds
+    them and so the summary on the driver.
     """
     spark = vectors.sparkSession
     rows = stash(vectors.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
@@ -65,57 +75,57 @@ def top_products(vectors: DataFrame, is_query, k: int = 20, group_rows: int = 20
     if not n:
         return spark.createDataFrame([], schema)
     width = max(1, width)
-    n_pivots = max(1, min(max_pivots, n // group_rows + 1))
-    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n_pivots).toPandas()
-    pivots = _matrix(picked.v, width)
+    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(1, min(max_pivots, math.isqrt(n)))).toPandas()
+    pivots = _matrix(picked.v, width).astype(np.float64)
 
     def assign(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        centre, size = pivots.astype(np.float64), (pivots.astype(np.float64) ** 2).sum(axis=1)
         for batch in batches:
             if len(batch):
                 x = _matrix(batch.v, width).astype(np.float64)
-                cell = (size - 2 * x @ centre.T).argmin(axis=1)
-                yield batch.assign(cell=cell.astype(np.int32), far=_norms(x - centre[cell]))
+                cell = nearest(x, pivots)
+                yield batch.assign(cell=cell.astype(np.int32), far=_norms(x - pivots[cell]))
 
     grouped = stash(rows.mapInPandas(tidy(assign), "vec_id long, v array<long>, cell int, far double"), "cells")
     # per group: rows, radius, and the k + 1 smallest distances (one of them may be the query itself)
     by_far = Window.partitionBy("cell", "bucket").orderBy("far")
-    nearest = grouped.withColumn("bucket", F.pmod(F.xxhash64("vec_id"), F.lit(64))).withColumn("place", F.row_number().over(by_far)).filter(F.col("place") <= k + 1)
-    nearest = nearest.groupBy("cell").agg(F.slice(F.array_sort(F.collect_list("far")), 1, k + 1).alias("near"))  # at most 64 * (k + 1) values
-    summary = grouped.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).join(nearest, "cell").orderBy("cell").collect()
+    close = grouped.withColumn("bucket", F.pmod(F.xxhash64("vec_id"), F.lit(64))).withColumn("place", F.row_number().over(by_far)).filter(F.col("place") <= k + 1)
+    close = close.groupBy("cell").agg(F.slice(F.array_sort(F.collect_list("far")), 1, k + 1).alias("near"))  # at most 64 * (k + 1) values
+    summary = grouped.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).join(close, "cell").orderBy("cell").collect()
     cells = np.array([s.cell for s in summary])
-    sizes = {s.cell: s.n for s in summary}
+    sizes = np.array([s.n for s in summary])
     radius = np.array([s.radius for s in summary])
     near = np.concatenate([s.near for s in summary])
     near_cell = np.repeat(np.arange(len(summary)), [len(s.near) for s in summary])
-    parts = {c: max(1, -(-m // group_rows)) for c, m in sizes.items()}
     queries = grouped.filter(is_query)
     n_blocks = max(1, -(-queries.count() // query_block))
+    coarse = nearest(pivots, pivots[:n_blocks])  # of each pivot
 
-    def route(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        centre = pivots[cells].astype(np.float64)
+    def route(batches: Iterable[pd.DataFrame], first: bool) -> Iterator[pd.DataFrame]:
+        centre = pivots[cells]
         for batch in batches:
-            if not len(batch):
-                continue
-            q = _matrix(batch.v, width).astype(np.float64)
-            length, at = _norms(q), q @ centre.T
-            low = at[:, near_cell] - length[:, None] * near[None, :]
-            floor = np.full(len(q), -math.inf)
-            if low.shape[1] > k:
-                floor = -np.partition(-low, k, axis=1)[:, k]  # the (k+1)-th best: the query's own row may be above
-            need = at + length[:, None] * radius[None, :] >= floor[:, None] - 1e-6 * (1 + np.abs(floor[:, None]))
-            who, which = np.nonzero(need)
-            repeat = np.array([parts[c] for c in cells])[which]
-            who, cell = np.repeat(who, repeat), np.repeat(cells[which], repeat)
-            part = np.arange(len(who)) - np.repeat(np.cumsum(repeat) - repeat, repeat)
-            for s in range(0, len(who), 4096):
-                w = who[s : s + 4096]
-                yield pd.DataFrame({"cell": cell[s : s + 4096], "part": part[s : s + 4096], "block": batch.block.to_numpy()[w], "query_id": batch.vec_id.to_numpy()[w], "v": batch.v.to_numpy()[w]})
-
-    blocked = queries.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(n_blocks)).cast("int"))
-    asked = blocked.mapInPandas(tidy(route), "cell int, part int, block int, query_id long, v array<long>")
-    counts = F.create_map(*[F.lit(int(x)) for kv in parts.items() for x in kv])
-    dealt = grouped.select("vec_id", "v", "cell", F.pmod(F.xxhash64("vec_id"), counts[F.col("cell")]).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
+            for s in range(0, len(batch), 1024):
+                own = batch.iloc[s : s + 1024]
+                q = _matrix(own.v, width).astype(np.float64)
+                length, at = _norms(q), q @ centre.T
+                order = np.argsort(-at, axis=1, kind="stable")
+                before = np.cumsum(sizes[order], axis=1) - sizes[order]
+                best = np.zeros(at.shape, dtype=bool)  # the groups with the best pivots, until they hold k others
+                np.put_along_axis(best, order, before < k + 1, axis=1)
+                if first:
+                    who, which = np.nonzero(best)
+                else:
+                    low = at[:, near_cell] - length[:, None] * near[None, :]
+                    floor = own.least.to_numpy(dtype=np.float64, na_value=-math.inf)
+                    if low.shape[1] > k:
+                        # the (k+1)-th best: the query's own row may be above
+                        floor = np.maximum(floor, -np.partition(-low, k, axis=1)[:, k])
+                    reaches = at + length[:, None] * radius[None, :] >= floor[:, None] - 1e-6 * (1 + np.abs(floor[:, None]))
+                    who, which = np.nonzero(reaches & ~best)
+                yield pd.DataFrame({"cell": cells[which], "block": coarse[own.cell.to_numpy()][who], "query_id": own.vec_id.to_numpy()[who], "v": own.v.to_numpy()[who]})
+
+    counts = stash(grouped.groupBy("cell").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts")), "cell-parts")
+    chunks = 1 + queries.count() // (query_block * n_blocks) if n_blocks > 1 else 1
+    dealt = grouped.join(counts, "cell").select("cell", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), "vec_id", "v")
 
     def solve(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):
@@ -139,6 +149,20 @@ def top_products(vectors: DataFrame, is_query, k: int = 20, group_rows: int = 20
                 out.append((np.full(len(hit), own[i]), ids[hit], row[hit]))
         return pd.DataFrame({"query_id": np.concatenate([a for a, _, _ in out]), "vec_id": np.concatenate([b for _, b, _ in out]), "score": np.concatenate([c for _, _, c in out])})
 
-    best = asked.groupBy("cell", "part", "block").cogroup(dealt.groupBy("cell", "part", "block")).applyInPandas(solve, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def solved(asking: DataFrame, first: bool) -> DataFrame:
+        asked = asking.mapInPandas(tidy(lambda batches: route(batches, first)), "cell int, block int, query_id long, v array<long>")
+        asked = stash(asked.withColumn("chunk", F.pmod(F.xxhash64(F.lit(1), "query_id"), F.lit(chunks)).cast("int")), "asked")
+        wanted = asked.select("cell", F.col("block").alias("to_block"), F.col("chunk").alias("to_chunk")).distinct()
+        left = asked.join(counts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        right = dealt.select(F.col("cell").alias("c"), F.col("part").alias("p"), "vec_id", F.col("v").alias("x")).join(wanted, F.col("c") == F.col("cell")).drop("cell")
+        met = left.groupBy("cell", "part", "block", "chunk").cogroup(right.groupBy("c", "p", "to_block", "to_chunk"))
+        best = met.applyInPandas(lambda q, x: solve(q, x.rename(columns={"x": "v"})), "query_id long, vec_id long, score long")
+        return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    found = stash(solved(queries, True), "best-groups")
+    least = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).filter(F.col("n") >= k)
+    later = queries.join(least.select(F.col("query_id").alias("vec_id"), "least"), "vec_id", "left")
+    both = found.drop("rank").unionByName(solved(later, False).drop("rank"))
+    return both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

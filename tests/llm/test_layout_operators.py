@@ -149,7 +149,7 @@ def brute_top(vectors, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("options", [{}, {"group_rows": 40, "query_block": 5}])
+@pytest.mark.parametrize("options", [{}, {"max_pivots": 3, "part_rows": 40, "query_block": 5}])
 def test_top_products(spark, options):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)]
@@ -161,6 +161,23 @@ def test_top_products(spark, options):
     assert sorted(tuple(r) for r in got) == brute_top(ints, 20)
 
 
+def test_clustered_vectors_meet_few_groups(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(12, 16)) * 40
+    rows = [(i, [float(x) for x in centres[i % 12] + rng.normal(size=16)]) for i in range(1200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    kept = []
+    stash = topk.stash
+    monkeypatch.setattr(topk, "stash", lambda frame, what="table": (kept.append((what, found := stash(frame, what))), found)[1])
+    got = topk.top_products(topk.quantised(df), F.col("vec_id") % 20 == 0, 20, query_block=8).collect()
+    ints = {i: [int(np.floor(64 * float(np.float32(x)))) for x in v] for i, v in rows}
+    assert sorted(tuple(r) for r in got) == brute_top(ints, 20)
+    asked = [frame for what, frame in kept if what == "asked"]
+    pairs = asked[0].union(asked[1]).select("cell", "query_id").distinct().count()
+    groups = next(frame for what, frame in kept if what == "cell-parts").count()
+    assert groups > 20 and pairs < 60 * groups / 2
+
+
 def test_top_products_of_few(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 1.0]), (20, [1e9, -1e9])], "vec_id long, embedding array<double>")
     got = topk.top_products(topk.quantised(df), F.col("vec_id") % 20 == 0).collect()
