@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.scalars import batch_size, format_nodes, gteps, ratio, runs_on, tier
 from graphloom.functions.storage import shared_dir, stash
 from graphloom.operators import compare, etl, generators, graph, multi_source, paths
-from graphloom.operators.centrality import betweenness, dependencies, most_central, top_central
+from graphloom.operators.centrality import betweenness, by_tier, dependencies, most_central, top_central
 from graphloom.plans import derived, logs, reports
 from graphloom.sources import graph_files, run_files, sinks
 
@@ -73,12 +73,12 @@ def levels_sql(arcs: str, sources: str, cap: int) -> str:
 ), b AS (SELECT s, v, min(d) AS d FROM r GROUP BY s, v)"""
 
 
-def bc_sql(graph_sql: str, arcs: str, cap: int, half: float, tail: str = "SELECT v, round(bc, 6) AS bc FROM bc") -> str:
-    return f"""WITH RECURSIVE {graph_sql}, {walks(arcs, cap)},
+def bc_sql(graph_sql: str, arcs: str, cap: int, half: float, tail: str = "SELECT v, round(bc, 6) AS bc FROM bc", sources: str = "WHERE true") -> str:
+    return f"""WITH RECURSIVE {graph_sql}, {walks(arcs, cap)}, own AS (SELECT src AS s FROM {arcs} {sources} UNION SELECT dst FROM {arcs} {sources.replace('src', 'dst')}),
 t AS (
   SELECT x.v AS v, sum(x.sigma * y.sigma / z.sigma) / {half} AS bc
   FROM f x JOIN f y ON x.v = y.s JOIN f z ON z.s = x.s AND z.v = y.v AND z.d = x.d + y.d
-  WHERE x.s <> x.v AND y.v <> x.v GROUP BY x.v
+  WHERE x.s IN (SELECT s FROM own) AND x.s <> x.v AND y.v <> x.v GROUP BY x.v
 ), ids AS (SELECT src AS v FROM {arcs} UNION SELECT dst FROM {arcs}),
 bc AS (SELECT v, coalesce(t.bc, 0.0) AS bc FROM ids LEFT JOIN t USING (v))
 {tail}"""
@@ -188,6 +188,19 @@ def strategies_agree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.summary(betweenness(g, "relational"), betweenness(g, "kernel")).select("n", "n_fail", "pass")
 
 
+@query(bc_sql(PURCHASE, "und", 8, 2, "SELECT 'small' AS tier, s.strategy AS strategy, v, round(bc.bc, 6) AS bc FROM bc, (VALUES ('kernel'), ('relational')) AS s(strategy)"))
+def bc_by_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strategies that the purchase graph's size class starts."""
+    return rounded(by_tier(derived.purchase_graph(spark, sf_dir)))
+
+
+@query(bc_sql(PURCHASE, "und", 8, 2, "SELECT v, round(bc, 6) AS bc FROM bc", "WHERE src % 3 = 0"))
+def bc_of_some_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dependencies summed over every third source only."""
+    g = derived.purchase_graph(spark, sf_dir)
+    return rounded(betweenness(g, "relational", g.vertices.filter("id % 3 = 0")))
+
+
 @query(f"WITH {PARTS}, d AS (SELECT src, count(*) AS k FROM und GROUP BY src) SELECT count(*) AS n, CAST(sum(k) / 2 AS BIGINT) AS m, round(avg(k), 6) AS avg_degree, max(k) AS max_degree, count(*) FILTER (k = 0) AS isolated FROM d")
 def degree_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(graph.degree_stats(derived.part_supplier_graph(spark, sf_dir)))
@@ -312,6 +325,96 @@ def dirty_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _runs(spark, sf_dir).select("implementation", "graph", "time_sec", "gteps")
 
 
+def _written(spark: SparkSession, what: str) -> str:
+    return f"{shared_dir(spark)}/graphloom/{what}-{uuid.uuid4().hex}"
+
+
+@query(ORACLE["dirty_runs"])
+def runs_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three log files, read by splits."""
+    path = _written(spark, "run-logs")
+    lines = logs.rows(spark, sf_dir, logs.RUN_LINES)
+    lines.repartition("file_ord").sortWithinPartitions("file_ord", "line_no").select("file_ord", "value").write.partitionBy("file_ord").text(path)
+    found = run_files.read_runs(spark, f"{path}/file_ord=*")
+    return run_files.first_runs(found, ["pattern_ord", "file_ord", "line_no"]).select("implementation", "graph", "time_sec", "gteps")
+
+
+@query(f"WITH l AS ({logs.SCALING_LINES}), t AS (SELECT line_no, string_split(trim(string_split(value, '#')[1]), chr(9)) AS x FROM l WHERE line_no >= 0 AND trim(string_split(value, '#')[1]) <> '') SELECT line_no, x[1] AS impl, TRY_CAST(x[3] AS INTEGER) AS ranks, CAST(x[4] AS INTEGER) AS sharp, CAST(x[5] AS DOUBLE) AS time_sec FROM t WHERE TRY_CAST(x[3] AS INTEGER) IS NOT NULL")
+def scaling_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_files.parse_scaling(logs.rows(spark, sf_dir, logs.SCALING_LINES)).select("line_no", "impl", "ranks", "sharp", "time_sec")
+
+
+@query(f"WITH l AS ({logs.CATALOGUE_LINES}), t AS (SELECT string_split(value, '|') AS x FROM l) SELECT x[1] AS category, trim(x[2]) AS name, trim(x[3]) AS url, x[4] AS directed, trim(x[5]) AS descr FROM t WHERE len(x) >= 5 AND x[1] IN ('small', 'large')")
+def dataset_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_files.parse_catalogue(logs.rows(spark, sf_dir, logs.CATALOGUE_LINES), ["small", "large"])
+
+
+PHASES = f"""l AS ({logs.PHASE_LINES}), p AS (SELECT file_ord, arg_min(TRY_CAST(regexp_extract(value, 'BFS: ([0-9.]+)', 1) AS DOUBLE), line_no) FILTER (value LIKE '%BFS: %') AS bfs_sec,
+  arg_min(TRY_CAST(regexp_extract(value, 'Backward: ([0-9.]+)', 1) AS DOUBLE), line_no) FILTER (value LIKE '%Backward: %') AS back_sec FROM l GROUP BY file_ord)"""
+
+
+@query(f"WITH {PHASES} SELECT file_ord, bfs_sec, back_sec FROM p")
+def phase_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_files.parse_phases(logs.rows(spark, sf_dir, logs.PHASE_LINES))
+
+
+@query(f"WITH {PHASES} SELECT 'forward' AS phase, sum(bfs_sec) AS seconds FROM p UNION ALL SELECT 'backward', sum(back_sec) FROM p")
+def phase_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seconds of each phase over all logs."""
+    return reports.phase_totals(phase_logs(spark, sf_dir))
+
+
+@query("WITH t AS (SELECT o_custkey % 40 AS kind, CAST(sum(o_totalprice::BIGINT * 1000) AS BIGINT) AS bytes, CAST(1 + o_custkey % 40 % 2 AS INTEGER) AS crossings, CAST(count(*) AS DOUBLE) AS ms, CAST(5 AS INTEGER) AS reps FROM (SELECT o_custkey, floor(o_totalprice) AS o_totalprice FROM orders) GROUP BY o_custkey % 40) SELECT kind, round(bytes / 1e9 * crossings / (ms / 1000 / reps), 6) AS bandwidth_gbs FROM t")
+def measured_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GB/s of transfers whose bytes are order values and whose milliseconds are order counts."""
+    orders = derived.table(spark, sf_dir, "orders").withColumn("kind", F.col("o_custkey") % 40)
+    raw = orders.groupBy("kind").agg(F.sum(F.floor("o_totalprice") * 1000).alias("bytes"), F.count("*").cast("double").alias("ms"))
+    timed = raw.withColumn("crossings", 1 + F.col("kind") % 2).withColumn("reps", F.lit(5))
+    return rounded(reports.measured_bandwidth(timed).select("kind", "bandwidth_gbs"))
+
+
+@query(f"WITH {SIZES}, {RUNS}, p AS (SELECT DISTINCT implementation, array_position(['Sequential', 'OpenMP', 'GPU', 'GPU_Managed', 'GPU_ReadMostly', 'GPU_Opt'], implementation) AS k FROM runs) SELECT implementation, CAST(row_number() OVER (ORDER BY CASE WHEN k > 0 THEN k ELSE 7 END, implementation) AS INTEGER) AS place FROM p")
+def implementations_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.implementations(_runs(spark, sf_dir))
+
+
+@query("SELECT o_orderkey AS v, o_totalprice AS bc, 'kernel' AS impl, 'orders' AS graph FROM orders")
+def dump_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dump of order values in ordered parts, put together to one file and read back."""
+    path = _written(spark, "dump")
+    sinks.write_dump(derived.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("v"), F.col("o_totalprice").alias("bc")), path, "kernel", "orders", single=True)
+    return graph_files.read_dump(spark, path).select("v", "bc", "impl", "graph")
+
+
+@query(f"WITH {SIZES}, {RUNS} SELECT implementation, graph, round(time_sec, 6) AS time_sec, round(gteps, 4) AS gteps FROM runs WHERE time_sec IS NOT NULL UNION ALL SELECT implementation, graph, round(time_sec, 6), round(gteps, 4) FROM runs WHERE time_sec IS NOT NULL")
+def appended_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run summaries appended twice and read back."""
+    path, runs = _written(spark, "summaries"), _runs(spark, sf_dir).filter("time_sec IS NOT NULL")
+    for _ in range(2):
+        sinks.append_runs(runs, path)
+    return spark.read.csv(path, sep="\t", schema="implementation string, graph string, time_sec double, gteps double")
+
+
+@query(ORACLE["clean_edges"])
+def clean_edges_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edge lists in compressed files."""
+    path = _written(spark, "edge-lists")
+    logs.rows(spark, sf_dir, logs.EDGE_LINES).write.option("compression", "gzip").text(path)
+    return etl.clean(graph_files.edge_list_lines(spark, path)).graph.edges
+
+
+@query(f"WITH {GEO}, ids AS (SELECT src FROM und UNION SELECT dst FROM und) SELECT 'geography' AS graph, (SELECT count(*) FROM ids) AS n, (SELECT count(*) // 2 FROM und) AS m, 'small' AS category")
+def converted_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers of the catalogue's graphs that are there as CSR files; another is missing."""
+    folder = _written(spark, "converted")
+    cleaned = derived.geography_graph(spark, sf_dir)
+    ids = stash(graph.numbered(cleaned.vertices), "numbers")
+    sinks.write_csr(graph.Graph(ids.select("id"), etl.renumbered(cleaned.edges, ids)), f"{folder}/geography", single=True)
+    listed = logs.rows(spark, sf_dir, "SELECT DISTINCT 'small|' || CASE WHEN n_regionkey = 0 THEN 'geography' ELSE 'absent' END || '|u|directed|d' AS value FROM nation")
+    headers = graph_files.csr_headers(spark, folder, ["geography", "absent"])
+    return reports.converted(run_files.parse_catalogue(listed), headers).select("category", "graph", "n", "m")
+
+
 @query(pivot_sql("time_sec"))
 def exec_time_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(reports.exec_time_table(_runs(spark, sf_dir), logs.rows(spark, sf_dir, logs.SIZES)))
@@ -476,13 +579,14 @@ def runs_by_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.rows(spark, sf_dir, logs.SIZES).select(F.col("graph_base").alias("graph"), F.array_join(runs_on(F.col("nodes")), ",").alias("runs"))
 
 
-@query("WITH r AS (SELECT o_orderkey AS v, o_totalprice AS ref, CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice * 1.001 ELSE o_totalprice END AS got FROM orders), d AS (SELECT abs(ref - got) AS a, abs(ref - got) / greatest(abs(ref), 1e-15) AS e FROM r) SELECT count(*) AS n, count(*) FILTER (e > 1e-6) AS n_fail, round(max(e), 9) AS max_rel, count(*) FILTER (e > 1e-6) = 0 AS pass FROM d")
+@query("WITH r AS (SELECT o_orderkey AS v, o_totalprice AS ref, CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice * 1.001 ELSE o_totalprice END AS got FROM orders), d AS (SELECT abs(ref - got) AS a, abs(ref - got) / greatest(abs(ref), 1e-15) AS e FROM r) SELECT count(*) AS n, count(*) FILTER (e > 1e-6) AS n_fail, CAST(0 AS BIGINT) AS n_nan, round(max(e), 9) AS max_rel, round(max(a), 6) AS max_abs, round(arg_max(a, (e, a)), 6) AS abs_at_max_rel, count(*) FILTER (e > 1e-6) = 0 AS pass FROM d")
 def comparison_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The comparator over two columns of which every seventh value differs."""
     orders = derived.table(spark, sf_dir, "orders")
     changed = F.when(F.col("o_orderkey") % 7 == 0, F.col("o_totalprice") * 1.001).otherwise(F.col("o_totalprice"))
     ref, got = orders.select(F.col("o_orderkey").alias("v"), F.col("o_totalprice").alias("bc")), orders.select(F.col("o_orderkey").alias("v"), changed.alias("bc"))
-    return compare.summary(ref, got).select("n", "n_fail", F.round("max_rel", 9).alias("max_rel"), "pass")
+    row = compare.summary(ref, got).withColumn("max_rel", F.round("max_rel", 9))
+    return row.withColumn("max_abs", F.round("max_abs", 6)).withColumn("abs_at_max_rel", F.round("abs_at_max_rel", 6))
 
 
 @query("SELECT o_orderkey AS v FROM orders WHERE o_orderkey % 7 = 0 AND o_totalprice <> 0 ORDER BY 1 LIMIT 5")

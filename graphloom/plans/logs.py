@@ -50,9 +50,20 @@ EDGE_LINES = f"""SELECT CASE o_orderkey % 30 WHEN 0 THEN '# comment' WHEN 1 THEN
 FROM orders"""
 
 
+#: Lines of a scaling log with comments; of a dataset catalogue with malformed lines; of phase logs, one log a clerk.
+SCALING_LINES = f"""SELECT 1 AS file_ord, CAST(-1 AS BIGINT) AS line_no, 'Impl' || {TAB} || 'Graph' || {TAB} || 'Ranks' || {TAB} || 'SHARP' || {TAB} || 'Time_sec' || {TAB} || 'GTEPS' AS value
+UNION ALL SELECT 1, o_orderkey, CASE o_orderkey % 10 WHEN 0 THEN '# note' WHEN 1 THEN '' ELSE o_orderstatus || {TAB} || 'g' || {TAB}
+  || CASE WHEN o_orderkey % 10 = 2 THEN 'many' ELSE CAST(o_custkey % 8 + 1 AS STRING) END || {TAB} || CAST(o_orderkey % 2 AS STRING) || {TAB}
+  || CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING) || {TAB} || 'x' || CASE WHEN o_orderkey % 10 = 3 THEN ' # late' ELSE '' END END FROM orders"""
+CATALOGUE_LINES = """SELECT CASE WHEN s_suppkey % 9 = 0 THEN 'no|fields' ELSE CASE s_suppkey % 3 WHEN 0 THEN 'small' WHEN 1 THEN 'medium' ELSE 'large' END
+  || '|' || s_name || ' | http://host/' || CAST(s_suppkey AS STRING) || '|directed| about ' || s_name END AS value FROM supplier"""
+PHASE_LINES = """SELECT CAST(o_custkey AS INT) AS file_ord, o_orderkey AS line_no, CASE o_orderkey % 4 WHEN 0 THEN 'start' WHEN 1 THEN 'BFS: ' || CAST(o_orderkey % 50 AS STRING) || '.5 s'
+  WHEN 2 THEN 'Backward: ' || CAST(o_orderkey % 30 AS STRING) ELSE 'BFS: ' || CAST(o_orderkey % 7 AS STRING) || ' Backward: ' || CAST(o_orderkey % 9 AS STRING) END AS value FROM orders"""
+
+
 def rows(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A derivation over the tables of ``sf_dir``."""
-    names = [n for n in ("orders", "customer", "nation", "lineitem") if n in sql]
+    names = [n for n in ("orders", "customer", "nation", "lineitem", "supplier") if n in sql]
     frames = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
     for n in names:
         sql = sql.replace(f"FROM {n}", f"FROM {{{n}}}").replace(f"JOIN {n}", f"JOIN {{{n}}}")

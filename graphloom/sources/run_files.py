@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.scalars import to_number
+from graphloom.functions.storage import stash
 
 #: Implementations in their canonical order, and older lower-case names for them.
 IMPLEMENTATIONS = ["Sequential", "OpenMP", "GPU", "GPU_Managed", "GPU_ReadMostly", "GPU_Opt"]
@@ -15,29 +16,37 @@ LINES = "file string, file_ord int, line_no long, value string"
 
 
 def text_lines(spark: SparkSession, pattern: str) -> DataFrame:
-    """file, file_ord, line_no, value of all files that match; no rows if there is no such file.
+    """file, file_ord (from 1, by path), line_no (from 0), value of all files that match; no rows if there is no such file.
 
-    A log is a small file: each is read whole by one task, so that its lines keep their order.
+    Spark splits the files, so a large one is read by many tasks. The lines of each split are counted first; a line's number
+    is its place in its split, after the lines of the splits before it.
     """
     from pyspark.errors import AnalysisException
 
     try:
-        texts = spark.read.text(pattern, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
-    except AnalysisException:
+        texts = spark.read.text(pattern)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], LINES)
-    order = Window.orderBy("file")  # one row a file
-    lines = texts.withColumn("file_ord", F.row_number().over(order)).select("file", "file_ord", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
-    return lines.select("file", "file_ord", F.col("line_no").cast("long").alias("line_no"), "value")
+    block = F.col("_metadata.file_block_start").alias("block")
+    rows = stash(texts.select("value", F.col("_metadata.file_path").alias("file"), block, F.monotonically_increasing_id().alias("id")), "log-lines")
+    splits = rows.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+    splits = splits.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    files = splits.select("file").distinct().withColumn("file_ord", F.row_number().over(Window.orderBy("file")))  # a row a file
+    placed = rows.join(splits.join(files, "file"), ["file", "block"])
+    return placed.select("file", "file_ord", (F.col("before") + F.col("id") - F.col("first")).alias("line_no"), "value")
 
 
 def parse_tsv(lines: DataFrame, columns: list[str], first: str) -> DataFrame:
-    """Rows of dirty TSV lines: everything before the first header (a line whose first field is ``first``) goes, and
+    """Rows of dirty TSV lines: everything before a file's first header (a line whose first field is ``first``) goes, and
     repeated headers, rows with fewer fields than ``columns`` and, for run summaries, unknown implementations; longer rows
     are cut. Numbers that cannot be read become null; rows of nulls only go. Keeps file_ord and line_no."""
     fields = F.split("value", "\t")
     head = F.trim(fields[0]) == first
-    start = lines.withColumn("header", F.min(F.when(head, F.col("line_no"))).over(Window.partitionBy("file_ord")))
-    rows = start.filter(F.col("line_no") > F.col("header")).filter(~head & (F.size(fields) >= len(columns)))
+    headers = lines.filter(head).groupBy("file_ord").agg(F.min("line_no").alias("header"))  # reaches all splits of the file
+    rows = lines.join(headers, "file_ord").filter(F.col("line_no") > F.col("header")).filter(~head & (F.size(fields) >= len(columns)))
     if first == "Implementation":
         rows = rows.filter(F.trim(fields[0]).isin(*IMPLEMENTATIONS, *OLD_NAMES))
     out = []
@@ -73,13 +82,13 @@ def parse_scaling(lines: DataFrame) -> DataFrame:
     header; a file in which one sharp value is not a number is rejected whole; rows without ranks or time go."""
     text = F.trim(F.split("value", "#")[0])
     kept = lines.withColumn("t", text).filter("t <> ''")
+    headers = kept.groupBy("file_ord").agg(F.min("line_no").alias("header"))
     fields = F.split("t", "\t")
-    numbered = kept.withColumn("k", F.row_number().over(Window.partitionBy("file_ord").orderBy("line_no"))).filter("k > 1")
-    rows = numbered.select(
+    rows = kept.join(headers, "file_ord").filter("line_no > header").select(
         "file_ord", "line_no", F.trim(fields[0]).alias("impl"), F.trim(F.get(fields, F.lit(1))).alias("graph"), to_number(F.get(fields, F.lit(2))).cast("int").alias("ranks"), to_number(F.get(fields, F.lit(3))).alias("sharp"), to_number(F.get(fields, F.lit(4))).alias("time_sec"), to_number(F.get(fields, F.lit(5))).alias("gteps")
     )
-    bad = F.sum(F.col("sharp").isNull().cast("int")).over(Window.partitionBy("file_ord"))
-    return rows.withColumn("bad", bad).filter("bad = 0").drop("bad").withColumn("sharp", F.col("sharp").cast("int")).na.drop(subset=["ranks", "time_sec"])
+    bad = rows.filter("sharp IS NULL").select("file_ord").distinct()
+    return rows.join(bad, "file_ord", "left_anti").withColumn("sharp", F.col("sharp").cast("int")).na.drop(subset=["ranks", "time_sec"])
 
 
 def parse_catalogue(lines: DataFrame, categories: list[str] | None = None) -> DataFrame:
