@@ -111,35 +111,47 @@ class Tokens:
                 yield self.flat[np.repeat(self.first[codes] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def best_fit(lengths: Iterable[int], capacity: int, open_bins: int) -> list[tuple[int, int]]:
-    """(bin, offset) of each length, in the order given."""
-    placed, by_free, bits, n_open, n_bins = [], [[] for _ in range(capacity + 1)], 0, 0, 0
-    for size in lengths:
-        fits = bits >> size
+class OpenBins:
+    """Bounded-space best fit, one piece at a time: at most ``most`` bins are open, found through a bitset of their free
+    space; a piece goes to the fullest bin that holds it, and if a new bin is needed and none may open, the fullest closes."""
+
+    def __init__(self, capacity: int, most: int):
+        self.capacity, self.most = capacity, most
+        self.by_free: list[list[int]] = [[] for _ in range(capacity + 1)]
+        self.bits = self.n_open = self.n_bins = 0
+
+    def _take(self, free: int) -> int:
+        own = self.by_free[free]
+        found = own.pop()
+        if not own:
+            self.bits &= ~(1 << free)
+        return found
+
+    def place(self, size: int) -> tuple[int, int]:
+        """(bin, offset) of a piece."""
+        fits = self.bits >> size
         if fits:
             free = size + (fits & -fits).bit_length() - 1
+            where = self._take(free)
         else:
-            if n_open == open_bins:
-                fullest = (bits & -bits).bit_length() - 1
-                by_free[fullest].pop()
-                if not by_free[fullest]:
-                    bits &= ~(1 << fullest)
-                n_open -= 1
-            free = capacity
-            by_free[free].append(n_bins)
-            bits |= 1 << free
-            n_bins += 1
-            n_open += 1
-        where = by_free[free].pop()
-        if not by_free[free]:
-            bits &= ~(1 << free)
-        placed.append((where, capacity - free))
+            if self.n_open == self.most:
+                self._take((self.bits & -self.bits).bit_length() - 1)
+                self.n_open -= 1
+            free, where = self.capacity, self.n_bins
+            self.n_bins += 1
+            self.n_open += 1
         if free > size:
-            by_free[free - size].append(where)
-            bits |= 1 << (free - size)
+            self.by_free[free - size].append(where)
+            self.bits |= 1 << (free - size)
         else:
-            n_open -= 1
-    return placed
+            self.n_open -= 1
+        return where, self.capacity - free
+
+
+def best_fit(lengths: Iterable[int], capacity: int, open_bins: int) -> list[tuple[int, int]]:
+    """(bin, offset) of each length, in the order given."""
+    bins = OpenBins(capacity, open_bins)
+    return [bins.place(size) for size in lengths]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
@@ -159,23 +171,20 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
     return spread(docs.select(F.col("doc_id").cast("string"), utf8_text().alias("text"))).mapInPandas(tidy(run), PIECES)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, open_bins: int = 4096, pieces_per_task: int = 32_768) -> DataFrame:
-    """The pieces of all documents with their sequence_id and offset.
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, open_bins: int = 256, pieces_per_task: int = 65_536) -> DataFrame:
+    """The pieces of all documents with their sequence_id and offset, placed online, in the order in which they arrive.
 
     A null or empty text is one piece of the end id alone; repeated rows and null ids are packed like any other; an
-    empty table gives no rows. ``pieces_per_task`` bounds what a task packs: each task leaves at most its last bins
-    partly filled, so the bound costs about one sequence in many thousands.
+    empty table gives no rows. ``pieces_per_task``: pieces that share a set of open bins; each set leaves its last bins
+    partly filled.
     """
     cut = stash(pieces(docs, tokenizer_path, capacity, end_id), "pieces")
     tasks = max(1, -(-cut.count() // pieces_per_task))
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [b for b in batches if len(b)]
-        if not held:
-            return
-        rows = pd.concat(held).sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        base = TaskContext.get().partitionId() << 32
-        placed = best_fit(rows.length.tolist(), capacity, open_bins)
-        yield rows.assign(sequence_id=[base + b for b, _ in placed], offset=[o for _, o in placed])
+        bins, base = OpenBins(capacity, open_bins), TaskContext.get().partitionId() << 32
+        for batch in batches:
+            placed = [bins.place(n) for n in batch.length.tolist()]
+            yield batch.assign(sequence_id=[base + b for b, _ in placed], offset=[o for _, o in placed])
 
     return cut.repartition(tasks).mapInPandas(tidy(run), PACKED).withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
