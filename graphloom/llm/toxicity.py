@@ -118,9 +118,9 @@ class Restorer:
                 words.append("".join(parts))
             if parts and (not core.isalpha() or RUN.search(core)) and any(not x.isalpha() and x in LEET for x in core) | bool(RUN.search(core)):
                 words.append(viterbi(core, self.model))
-            if parts and core != token and len(token) - len(core) <= 2:  # a symbol at the edge may be a letter
+            if core != token:  # a symbol at the edge may be a letter
                 edge = token.strip(".,;:?\"'()[]{}-_~#%&*…")
-                if edge != core and any(x in LEET for x in (edge[0], edge[-1])):
+                if edge != core and any(x in LEET and not x.isalnum() for x in (edge[:1], edge[-1:])):
                     words.append(viterbi(edge, self.model))
             found = tuple(words)
             if len(self.seen) >= self.remember:
@@ -220,7 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, max_documents: int = 20_000, max_r
                     found[w[i : i + 3]] += k
             yield pd.DataFrame(list(found.items()), columns=["gram", "k"])
 
-    counts = sample.select("text").mapInPandas(tidy(trigrams), "gram string, k long").groupBy("gram").agg(F.sum("k").alias("k")).orderBy(F.desc("k"), "gram").limit(60_000)
+    counts = sample.select("text").mapInPandas(tidy(trigrams), "gram string, k long").groupBy("gram").agg(F.sum("k").alias("k"))  # of the bounded sample
     counts = {r.gram: r.k for r in counts.collect()}
     shared = spark.sparkContext.broadcast(counts)
 
@@ -260,7 +260,6 @@ def train(docs: DataFrame, labels: DataFrame, max_documents: int = 20_000, max_r
     rules, base = cover(rows, clean, least, support, max_rules)
     # features that are sure by themselves also count where the rules before them found every sample text
     sure = {f: b for f in useful if (b := lower_bound(hits[f], hits[f] + misses.get(f, 0))) >= sure_at}
-    sure = dict(sorted(sure.items(), key=lambda x: (-hits[x[0]], x[0]))[:max_rules])
     return {"trigrams": counts, "rules": sure | dict(rules), "base": base}
 
 
