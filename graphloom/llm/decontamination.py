@@ -192,6 +192,7 @@ def occurrences(found: DataFrame, tolerance: int) -> DataFrame:
 def judged(docs: DataFrame, benchmark: DataFrame, width: int, coverage: float, run_windows: int, tolerance: int) -> DataFrame:
     """rid, item_id, n_windows, coverage, exact, consistent; ``docs``: rid, text."""
     spark = docs.sparkSession
+    item_type = benchmark.schema["item_id"].dataType.simpleString()
     found = None
     chunk, held = [], 0
     chunks = []
@@ -205,10 +206,10 @@ def judged(docs: DataFrame, benchmark: DataFrame, width: int, coverage: float, r
         table = Benchmark(chunk, width)
         if not table.rows:
             continue
-        windows = spark.createDataFrame([r[:7] for r in table.rows], "hash long, item_id long, text int, place int, n_item int, item_slots array<string>, telling boolean")
+        windows = spark.createDataFrame([r[:7] for r in table.rows], f"hash long, item_id {item_type}, text int, place int, n_item int, item_slots array<string>, telling boolean")
         both = matches(docs, table).join(F.broadcast(windows), "hash")  # at most MAX_WINDOWS rows, and literal ones
         found = both if found is None else found.unionByName(both)
-    schema = "rid long, item_id long, n_windows long, coverage double, exact boolean, consistent boolean"
+    schema = f"rid long, item_id {item_type}, n_windows long, coverage double, exact boolean, consistent boolean"
     if found is None:
         return spark.createDataFrame([], schema)
     share = F.col("n_windows") / F.col("n_item")
@@ -239,12 +240,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, coverage: float
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 8, coverage: float = 0.5, run_windows: int = 6, tolerance: int = 8) -> DataFrame:
-    """One row for every row of ``docs``: doc_id, contaminated, n_items, item_id (of the best match), coverage, exact."""
-    best = F.max(F.struct("coverage", "n_windows", (-F.col("item_id")).alias("less"), "exact"))
+    """One row for every row of ``docs``: doc_id, contaminated, n_items, item_id (of the best match: highest coverage, most
+    windows, smallest id), coverage, exact. Item ids may be of any type that orders."""
+    best = F.min(F.struct((-F.col("coverage")).alias("less_coverage"), (-F.col("n_windows")).alias("less_windows"), "item_id", (~F.col("exact")).alias("changed")))
     found = judged(named(docs), benchmark, width, coverage, run_windows, tolerance)
     found = stash(found.groupBy("rid").agg(F.count("*").alias("n_items"), best.alias("best")), "leaks")
     rows = docs.select("doc_id", row_id().alias("rid")).join(found, "rid", "left")
-    return rows.select("doc_id", F.col("best").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), (-F.col("best.less")).alias("item_id"), F.col("best.coverage").alias("coverage"), F.col("best.exact").alias("exact"))
+    return rows.select("doc_id", F.col("best").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.col("best.item_id").alias("item_id"), (-F.col("best.less_coverage")).alias("coverage"), (~F.col("best.changed")).alias("exact"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, coverage: float = 0.5, run_windows: int = 6, tolerance: int = 8) -> DataFrame:
