@@ -1,6 +1,7 @@
 """Toxicity, language identification, language-model scores, decontamination."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -9,6 +10,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from graphloom.llm import decontamination, langid, lm_scores, toxicity
@@ -224,3 +226,93 @@ def test_decontamination_finds_items_of_placeholders(spark):
     assert best[1, 1] == (1.0, True) and best[4, 4][1]
     assert found == [(1, True), (2, True), (3, True), (4, True), (5, False), (6, True), (7, False)]
     assert best[6, 4] == (1.0, False)
+
+
+def brute_leaks(docs, items, width=8, coverage=0.5, run_windows=6, tolerance=8):
+    """(document number, item) of every leak, from all pairs of windows, by the definition in leaks()."""
+    marks = decontamination.PLACEHOLDERS
+    known = []  # item, text number, place, windows of the item, template, words, slots, telling
+    for number, (item, body) in enumerate(items):
+        tokens, words = decontamination.template(body)
+        wide = min(width, len(tokens))
+        for i in range(len(tokens) - wide + 1 if wide else 0):
+            t, w = tuple(tokens[i : i + wide]), tuple(words[i : i + wide])
+            known.append((item, number, i, len(tokens) - wide + 1, t, w, [x for x, k in zip(w, t, strict=True) if k in marks], 2 * sum(k in marks for k in t) < wide))
+    found = set()
+    for d, body in enumerate(docs):
+        tokens, words = decontamination.template(body)
+        per: dict = {}
+        for wide in {len(k[4]) for k in known}:
+            at_template, at_words = {}, {}
+            for k in known:
+                if len(k[4]) == wide:
+                    for i in range(len(tokens) - wide + 1):
+                        if tuple(tokens[i : i + wide]) == k[4]:
+                            at_template.setdefault(i, []).append(k)
+                        if not k[7] and tuple(words[i : i + wide]) == k[5]:
+                            at_words.setdefault(i, []).append(k)
+            strong = {i for i, ks in at_template.items() if all(k[7] for k in ks)} | set(at_words)
+            places = sorted({*at_template, *at_words})
+            good, run = set(), []
+            for p in [*places, None]:
+                if run and (p is None or p > run[-1] + 1):
+                    good |= set(run) if strong & set(run) else set()
+                    run = []
+                run.append(p)
+            for i in set(at_template) & good:
+                slots = [w for w, t in zip(words[i : i + wide], tokens[i : i + wide], strict=True) if t in marks]
+                for k in at_template[i]:
+                    per.setdefault((k[0], k[1]), []).append((i, k[2], k[3], k[6], slots, k[7]))
+            for i, ks in at_words.items():
+                for k in ks:
+                    per.setdefault((k[0], k[1]), []).append((i, k[2], k[3], [], [], True))
+        for (item, _), rows in per.items():
+            alone: dict = {}
+            for r in rows:
+                alone.setdefault(r[0] - r[1], []).append(r)
+            groups = [g for g in alone.values() if any(r[5] for r in g)]
+            begins, chain, n_item = sorted(alone), [], rows[0][2]
+            for b in [*begins, None]:
+                if chain and (b is None or b - chain[-1] > min(tolerance, n_item - 1)):
+                    joined = [r for c in chain for r in alone[c]]
+                    groups += [joined] if len(chain) > 1 and any(r[5] for r in joined) else []
+                    chain = []
+                chain.append(b)
+            # windows with the item's own values count together wherever they stand
+            groups.append([(*r[:3], [], [], True) for g in alone.values() if any(r[5] for r in g) for r in g if r[3] == r[4]])
+            for g in groups:
+                n = len({r[1] for r in g})
+                pairs = {(a, b) for r in g for a, b in zip(r[3], r[4], strict=True)}
+                changed = [a for a, b in pairs if a != b]
+                agree = not changed or len({a for a, _ in pairs}) == len(pairs) or len(set(changed)) == len(changed)
+                if g and agree and (n >= coverage * n_item or n >= run_windows):
+                    found.add((d, item))
+    return found
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = random.Random(12)
+    common = "the of a train car ship leaves goes sells weighs and costs per from with how much many what is".split()
+    slots = [lambda: str(rng.randrange(99)), lambda: rng.choice(["kg", "km", "hours"]), lambda: rng.choice(["Anna", "Bob", "Paris", "Rome"]), lambda: rng.choice(["two", "ten"])]
+
+    def words(n, share):
+        return [rng.choice(slots)() if rng.random() < share else rng.choice(common) for _ in range(n)]
+
+    items = [(f"item{i}", " ".join(words(rng.choice([3, 7, 8, 9, 14, 25]), rng.choice([0.1, 0.3, 0.7])))) for i in range(14)] + [("none", None), ("empty", ""), (None, "a b c d e f g h i")]
+    docs = [None, "", "12 kg"]
+    for _ in range(90):
+        own = items[rng.randrange(14)][1].split()
+        cut = own[rng.choice([0, 0, 1, 4]) : len(own) - rng.choice([0, 0, 2])]
+        swap = {w: rng.choice(slots)() if rng.random() < 0.5 else w for w in cut if not w.islower() or w in ("kg", "km", "hours", "two", "ten")}
+        cut = [swap.get(w, w) for w in cut]
+        if rng.random() < 0.4 and cut:
+            cut.insert(rng.randrange(len(cut)), rng.choice(common))
+        docs.append(" ".join([*words(rng.randint(0, 12), 0.2), *cut, *words(rng.randint(0, 12), 0.2), *(cut if rng.random() < 0.2 else [])]))
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").withColumn("hash", F.lit("clash")).withColumn("item_id", F.lit(5))
+    bench = spark.createDataFrame(items, "item_id string, text string").withColumn("rid", F.lit("clash"))
+    want = brute_leaks(docs, [i for i in items if i[0] is not None and i[1] is not None])
+    assert {(r.doc_id, r.item_id) for r in decontamination.leaks(frame, bench).collect()} == want and len(want) > 20
+    flagged = {r.doc_id for r in decontamination.contamination(frame, bench).filter("contaminated").collect()}
+    assert flagged == {d for d, _ in want}
+    kept = {r.doc_id for r in decontamination.without_leaks(frame, bench).collect()}
+    assert kept == set(range(len(docs))) - flagged
