@@ -5,8 +5,10 @@
 2. Classes are partitioned into groups of similar sets: of a like size and with the same smallest hashes, at most about
    ``members`` each. A group's row of the matrix is the union of its members' n-grams.
 3. Links within a group are found through its own matrix, and make the first components.
-4. Two linked sets share ``least_shared`` of their rarest n-grams (as many as a link may miss, and that many more), so only
-   groups that hold so many of a set's rarest, of fitting sizes and of another component, are candidates. Components that are joined already
+4. Two linked sets share ``least_shared`` of their rarest n-grams (as many as a link may miss, and that many more). These
+   are few enough to be counted exactly; by that count the most frequent ``least_shared`` - 1 of those that a set shares
+   with any other are left out, and two linked sets still share one. Only groups that hold one of a set's n-grams that
+   are left, of fitting sizes and of another component, are candidates. Components that are joined already
    are not joined again: first one member of each component in a group asks, then, with the components that this gives,
    all that are left.
 5. The overlap of a set with a candidate's union bounds its overlap with each member. Only groups whose bound reaches
@@ -22,7 +24,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import drop_path, row_id, spread, stash, tidy
@@ -98,7 +100,7 @@ def rarest(docs: DataFrame, width: int, percent: int, table: np.ndarray) -> Data
             for s in shingle_sets(batch.text, width):
                 if len(s) * (100 - percent) >= percent:
                     most = len(s) - -(-percent * len(s) // 100) + least_shared(len(s), percent)
-                    order = np.lexsort((s, table[_cells(s)]))[:most]
+                    order = np.argsort(table[_cells(s)], kind="stable")[:most]  # equal counts by ascending hash
                     out.append((_name(s), signed(s[order])))
             yield pd.DataFrame(out, columns=["node", "rare"])
 
@@ -179,16 +181,18 @@ def links_within(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("group").sortWithinPartitions("group", "node").mapInPandas(tidy(run), "a long, b long")
 
 
-def candidates(asking: DataFrame, rows: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """node, group: sets of ``asking`` and later groups that share enough of their rarest n-grams, may fit in size and hold
-    another component. Both tables: token, node, n, group, comp."""
-    others = rows.groupBy("token", "group").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).join(sizes, "group")
+def candidates(asking: DataFrame, rows: DataFrame, sizes: DataFrame, percent: int, star: bool) -> DataFrame:
+    """node, group: sets of ``asking`` and later groups that share one of their rarest n-grams, may fit in size and hold
+    another component. Both tables: token, node, n, group, comp. ``star``: of an n-gram's groups, the first alone is asked."""
+    others = rows.groupBy("token", "group").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
+    if star:
+        others = others.groupBy("token").agg(F.min(F.struct("group", "x", "y")).alias("o")).select("token", "o.*")
+    others = others.join(sizes, "group")
     others = others.select(F.col("token").alias("t"), F.col("group").alias("other"), "x", "y", "low", "high")
     fits = (100 * F.col("n") >= percent * F.col("low")) & (100 * F.col("high") >= percent * F.col("n"))
-    met = asking.join(others, (F.col("token") == F.col("t")) & (F.col("group") < F.col("other")) & ((F.col("comp") != F.col("x")) | (F.col("comp") != F.col("y"))) & fits)
-    smaller = F.least(F.first("n"), F.first("low"))
-    counts = met.groupBy("node", "other").agg(F.count("*").alias("shared"), F.floor(smaller * (100 - percent) / 200).alias("half"))
-    return counts.filter(F.col("shared") > F.col("half")).select("node", F.col("other").alias("group"))
+    apart = F.col("group") != F.col("other") if star else F.col("group") < F.col("other")
+    met = asking.join(others, (F.col("token") == F.col("t")) & apart & ((F.col("comp") != F.col("x")) | (F.col("comp") != F.col("y"))) & fits)
+    return met.select("node", F.col("other").alias("group")).distinct()
 
 
 def links_across(pairs: DataFrame, groups: DataFrame, comps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -241,22 +245,27 @@ def similar_sets(docs: DataFrame, percent: int = 90, width: int = 3, members: in
 
     rare = stash(rarest(docs, width, percent, frequencies(mixed)), "rarest")
     tokens = rare.select("node", F.explode("rare").alias("token"))
-    often = stash(tokens.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token"), "shared-tokens")
+    often = stash(tokens.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1"), "shared-tokens")
     few = often.count() <= BROADCAST_ROWS
     held = tokens.join(F.broadcast(often) if few else often, "token")
-    held = stash(held.join(groups.select("node", "n", "group"), "node"), "token-groups")
+    # the smallest by (c, token) of what two sets share is in both sets' rows after each has dropped its last ones
+    own = Window.partitionBy("node")
+    ranked = held.withColumn("shared", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("c", "token")))
+    ranked = ranked.join(groups.select("node", "n", "group"), "node")
+    half = F.floor(F.col("n") * (100 - percent) / 200)  # least_shared less one
+    held = stash(ranked.filter(F.col("place") <= F.col("shared") - half).select("token", "node", "n", "group"), "token-groups")
     drop_path(spark, rare)
-    for some in (True, False):  # one member of each component in a group, then all
+    for members_ask, star in ((False, True), (False, False), (True, False)):
         comps = found.withColumnRenamed("component", "comp")
         rows = held.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         split = rows.groupBy("token").agg(F.min("group").alias("g1"), F.max("group").alias("g2"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("g1 <> g2 AND c1 <> c2").select("token")
         rows = stash(rows.join(split, "token", "left_semi"), "open-tokens")
         asking = rows
-        if some:
+        if not members_ask:
             asking = rows.join(rows.groupBy("group", "comp").agg(F.min("node").alias("node")).select("node"), "node", "left_semi")
-        pairs = stash(candidates(asking, rows, sizes.drop("c"), percent), "candidates")
-        more = links_across(pairs, groups, comps, docs, width, percent)
-        if not more.isEmpty():
+        pairs = stash(candidates(asking, rows, sizes.drop("c"), percent, star), "candidates")
+        more = None if pairs.isEmpty() else links_across(pairs, groups, comps, docs, width, percent)
+        if more is not None and not more.isEmpty():
             links = links.union(more)
             found = connected_components(links)
     rows = with_components(drawn.drop("lows"), reps, found)
