@@ -18,17 +18,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Hashes(dict):
-    """64-bit hashes of words by their bytes, remembered for words seen before."""
+class _Words(dict):
+    """Numbers of words that were seen, and 64-bit hashes of their bytes by number."""
+
+    def __init__(self):
+        self.hashes, self.fresh = np.zeros(0, dtype=np.uint64), []
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 18:
+        self[word] = number = len(self)
+        self.fresh.append(xxhash.xxh3_64_intdigest(word, 20240229))
+        return number
+
+    def of(self, texts: list[list[bytes]], n: int) -> np.ndarray:
+        """Hashes of the ``n`` words of ``texts`` in order."""
+        if len(self) > 1 << 18:
             self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word, 20240229)
-        return value
+            self.hashes = np.zeros(0, dtype=np.uint64)
+        numbers = np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), dtype=np.int64, count=n)
+        if self.fresh:
+            self.hashes = np.concatenate([self.hashes, np.array(self.fresh, dtype=np.uint64)])
+            self.fresh = []
+        return self.hashes[numbers]
 
 
-_HASHES = _Hashes()
+_SEEN = _Words()
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -38,8 +51,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """
     words = [t.lower().split() for t in texts]
     counts = np.array([len(w) for w in words], dtype=np.int64)
-    hashes = np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(words)), dtype=np.uint64, count=int(counts.sum()))
-    return hashes, counts
+    return _SEEN.of(words, int(counts.sum())), counts
 
 
 def shingle_sets(texts, width: int = 5, group_bytes: int = 1 << 19) -> Iterator[np.ndarray]:
