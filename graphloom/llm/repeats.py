@@ -268,6 +268,8 @@ def without_repeats(docs: DataFrame, length: int = 200, **options) -> DataFrame:
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if s is None else keep_rest(t.encode(), merge_spans(s, length)).decode("utf-8", "ignore") for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    rows = repeated_spans(docs, length, **options)
-    out = rows.withColumn("text", F.when(F.col("spans").isNotNull(), cut("text", "spans")).otherwise(F.col("text"))).select(*docs.columns)
-    return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
+    # the other columns travel as one, so that its names cannot clash with the operator's own
+    rows = repeated_spans(docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("whole")), length, **options)
+    text = F.when(F.col("spans").isNotNull(), cut("text", "spans")).otherwise(F.col("text"))
+    new = {"text": text} | ({"n_chars": F.char_length(text).cast("long")} if "n_chars" in docs.columns else {})
+    return rows.select(*[new[c].alias(c) if c in new else F.col("whole")[c].alias(c) for c in docs.columns])
