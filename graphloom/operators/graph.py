@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.storage import stash
+
 
 @dataclass
 class Graph:
@@ -68,10 +70,17 @@ def running_sum(df: DataFrame, by: str, value: str, out: str, buckets: int = 64)
     return parts.join(F.broadcast(offsets), "bucket").withColumn(out, F.col("before") + F.coalesce(F.sum(value).over(within), F.lit(0))).drop("bucket", "before")
 
 
-def numbered(ids: DataFrame, buckets: int = 64) -> DataFrame:
-    """orig_id, id: distinct ids re-numbered from 0 in ascending order."""
-    rows = ids.select(F.col(ids.columns[0]).alias("orig_id")).distinct().withColumn("one", F.lit(1).cast("long"))
-    return running_sum(rows, "orig_id", "one", "id", buckets).select("orig_id", "id")
+def numbered(ids: DataFrame, buckets: int | None = None) -> DataFrame:
+    """orig_id, id: distinct ids re-numbered from 0 in ascending order. Rows are sorted by ranges; a row's number is its
+    place in its partition, after the rows of the partitions before."""
+    rows = ids.select(F.col(ids.columns[0]).alias("orig_id")).distinct()
+    ranged = rows.repartitionByRange("orig_id") if buckets is None else rows.repartitionByRange(buckets, "orig_id")
+    rows = ranged.sortWithinPartitions("orig_id")
+    placed = stash(rows.select("orig_id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "numbered")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a partition
+    parts = placed.groupBy("part").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    parts = parts.select("part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    return placed.join(F.broadcast(parts), "part").select("orig_id", (F.col("at") + F.col("shift")).alias("id"))  # a row a partition
 
 
 def row_pointers(graph: Graph, buckets: int = 64) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.scalars import batch_size, format_nodes, gteps, ratio, runs_on, tier
-from graphloom.functions.storage import shared_dir, stash
+from graphloom.functions.storage import shared_dir
 from graphloom.operators import compare, etl, generators, graph, multi_source, paths
 from graphloom.operators.centrality import betweenness, by_tier, dependencies, most_central, top_central
 from graphloom.plans import derived, logs, reports
@@ -225,7 +225,7 @@ def adjacency_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 def csr_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part-supplier graph written as one CSR file in parallel, and read back by byte ranges."""
     g = derived.part_supplier_graph(spark, sf_dir)
-    ids = stash(graph.numbered(g.vertices), "numbers")
+    ids = graph.numbered(g.vertices)
     path = f"{shared_dir(spark)}/graphloom/csr-{uuid.uuid4().hex}"
     sinks.write_csr(graph.Graph(ids.select("id"), etl.renumbered(g.edges, ids), stored=True), path, single=True)
     back = graph_files.read_csr(spark, path, split_bytes=1 << 18)
@@ -408,7 +408,7 @@ def converted_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headers of the catalogue's graphs that are there as CSR files; another is missing."""
     folder = _written(spark, "converted")
     cleaned = derived.geography_graph(spark, sf_dir)
-    ids = stash(graph.numbered(cleaned.vertices), "numbers")
+    ids = graph.numbered(cleaned.vertices)
     sinks.write_csr(graph.Graph(ids.select("id"), etl.renumbered(cleaned.edges, ids)), f"{folder}/geography", single=True)
     listed = logs.rows(spark, sf_dir, "SELECT DISTINCT 'small|' || CASE WHEN n_regionkey = 0 THEN 'geography' ELSE 'absent' END || '|u|directed|d' AS value FROM nation")
     headers = graph_files.csr_headers(spark, folder, ["geography", "absent"])
