@@ -158,6 +158,7 @@ def adequacy(runs: DataFrame, phase2: DataFrame, bandwidth: DataFrame, sizes: Da
     speed = seq.join(opt, "graph_base").agg(F.max(ratio(F.col("a"), F.col("b"))).alias("speedup"))
     known = rows.filter("nodes > 0").agg(F.countDistinct("nodes").alias("n_sizes"), F.max("nodes").alias("hi"), F.min("nodes").alias("lo"))
     facts = volume.crossJoin(speed).crossJoin(known).crossJoin(phase2.agg(F.count("*").alias("n_phase2"))).crossJoin(bandwidth.agg(F.count("*").alias("n_bandwidth")))  # one row each
+    # fixed values: the limits of the rating, the points that they give, and the points of its words
     score = (
         F.when(F.col("n_graphs") >= 5, 2).when(F.col("n_graphs") >= 3, 1).otherwise(0)
         + F.when(F.col("speedup") > 100, 3).when(F.col("speedup") > 10, 2).when(F.col("speedup").isNotNull(), 1).otherwise(0)
