@@ -2,7 +2,7 @@
 
 1. Every row becomes the sorted set of its hashed n-grams; equal sets form one class, so copies cost one row from here on.
    A table of fixed size counts all n-grams by hash; it orders them from rare to frequent.
-2. Classes are partitioned into groups of similar sets: of a like size and with the same smallest hashes, at most about
+2. Classes are partitioned into groups of similar sets: of a like size and with a smallest hash in common, at most about
    ``members`` each. A group's row of the matrix is the union of its members' n-grams.
 3. Links within a group are found through its own matrix, and make the first components.
 4. Two linked sets share ``least_shared`` of their rarest n-grams (as many as a link may miss, and that many more). These
@@ -35,6 +35,7 @@ from graphloom.llm.shingles import mix, shingle_sets, signed
 TABLE_BITS = 18  # of the table of counts: 1 MB
 SLICE = 4096
 ASKERS = 256  # sets that meet one copy of a group
+SORTED = 16_384  # classes of a group that one task sorts
 
 
 def _cells(s: np.ndarray) -> np.ndarray:
@@ -108,16 +109,24 @@ def rarest(docs: DataFrame, width: int, percent: int, table: np.ndarray) -> Data
 
 
 def grouped(reps: DataFrame, percent: int, members: int) -> DataFrame:
-    """node, rid, n, group: classes of like size with the same smallest hash; where these are more than ``members``, with
-    the same three smallest; where these still are, dealt by the class's own hash."""
+    """node, rid, n, group: classes of like size that share the one of their three smallest hashes that most classes have,
+    so that a set with a few n-grams of its own stays with its like. Larger groups are cut in order of all three hashes;
+    groups too large to be sorted by one task, by all three hashes and then by the class's own hash."""
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(100 / percent))
-    rows = reps.select("node", F.col("best.rid").alias("rid"), F.col("n_shingles").alias("n"), F.xxhash64(band, F.get("lows", 0)).alias("g1"), F.xxhash64(band, "lows").alias("g2"))
-    large = stash(rows.groupBy("g1").agg(F.count("*").alias("c1")).filter(F.col("c1") > members), "large-groups")
-    rows = rows.join(large, "g1", "left")
-    larger = stash(rows.filter("c1 IS NOT NULL").groupBy("g2").agg(F.count("*").alias("c2")).filter(F.col("c2") > members), "larger-groups")
-    rows = rows.join(larger, "g2", "left")
-    dealt = F.xxhash64("g2", F.pmod(F.xxhash64("node"), F.ceil(2 * F.col("c2") / members)))
-    return rows.select("node", "rid", "n", F.when(F.col("c1").isNull(), F.col("g1")).when(F.col("c2").isNull(), F.col("g2")).otherwise(dealt).alias("group"))
+    rows = reps.select("node", F.col("best.rid").alias("rid"), F.col("n_shingles").alias("n"), "lows", band.alias("band"))
+    keys = rows.select("node", F.posexplode("lows").alias("at", "low"), "band").select("node", "at", F.xxhash64("band", "low").alias("g"))
+    popular = keys.groupBy("g").agg(F.count("*").alias("c"))
+    own = keys.join(popular, "g").groupBy("node").agg(F.max(F.struct("c", (-F.col("at")).alias("first"), "g")).alias("k")).select("node", "k.g")
+    rows = stash(rows.join(own, "node").withColumn("all", F.xxhash64("g", "lows")), "signatures")
+    large = stash(rows.groupBy("g").agg(F.count("*").alias("c1")).filter(F.col("c1") > members), "large-groups")
+    rest = rows.join(large.select("g"), "g", "left_anti").select("node", "rid", "n", F.col("g").alias("group"))
+    within = Window.partitionBy("g").orderBy("lows", "node")
+    sortable = rows.join(large.filter(F.col("c1") <= SORTED), "g").withColumn("chunk", F.floor((F.row_number().over(within) - 1) / members))
+    vast = rows.join(large.filter(F.col("c1") > SORTED), "g")
+    larger = vast.groupBy("all").agg(F.count("*").alias("c2")).filter(F.col("c2") > members)
+    dealt = F.xxhash64("all", F.when(F.col("c2").isNotNull(), F.pmod(F.xxhash64("node"), F.ceil(2 * F.col("c2") / members))))
+    vast = vast.join(larger, "all", "left").select("node", "rid", "n", dealt.alias("group"))
+    return rest.union(sortable.select("node", "rid", "n", F.xxhash64("g", "chunk").alias("group"))).union(vast)
 
 
 class Matrix:
@@ -182,16 +191,17 @@ def links_within(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def candidates(asking: DataFrame, rows: DataFrame, sizes: DataFrame, percent: int, star: bool) -> DataFrame:
-    """node, group: sets of ``asking`` and later groups that share one of their rarest n-grams, may fit in size and hold
-    another component. Both tables: token, node, n, group, comp. ``star``: of an n-gram's groups, the first alone is asked."""
-    others = rows.groupBy("token", "group").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
+    """node, group: sets of ``asking`` and groups that share one of their rarest n-grams, may fit in size and hold a larger
+    component (of two, the set of the smaller one asks). Both tables: token, node, n, group, comp, weight. ``star``: of an
+    n-gram's groups, one with the largest component alone is asked."""
+    others = rows.groupBy("token", "group").agg(F.max(F.struct("weight", "comp")).alias("most"))
     if star:
-        others = others.groupBy("token").agg(F.min(F.struct("group", "x", "y")).alias("o")).select("token", "o.*")
+        others = others.groupBy("token").agg(F.max(F.struct("most", "group")).alias("o")).select("token", "o.most", "o.group")
     others = others.join(sizes, "group")
-    others = others.select(F.col("token").alias("t"), F.col("group").alias("other"), "x", "y", "low", "high")
+    others = others.select(F.col("token").alias("t"), F.col("group").alias("other"), "most", "low", "high")
     fits = (100 * F.col("n") >= percent * F.col("low")) & (100 * F.col("high") >= percent * F.col("n"))
-    apart = F.col("group") != F.col("other") if star else F.col("group") < F.col("other")
-    met = asking.join(others, (F.col("token") == F.col("t")) & apart & ((F.col("comp") != F.col("x")) | (F.col("comp") != F.col("y"))) & fits)
+    larger = F.col("most") > F.struct("weight", "comp")
+    met = asking.join(others, (F.col("token") == F.col("t")) & (F.col("group") != F.col("other")) & larger & fits)
     return met.select("node", F.col("other").alias("group")).distinct()
 
 
@@ -257,7 +267,8 @@ def similar_sets(docs: DataFrame, percent: int = 90, width: int = 3, members: in
     drop_path(spark, rare)
     for members_ask, star in ((False, True), (False, False), (True, False)):
         comps = found.withColumnRenamed("component", "comp")
-        rows = held.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        weights = comps.groupBy("comp").agg(F.count("*").alias("weight"))
+        rows = held.join(comps.join(weights, "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node")).withColumn("weight", F.coalesce("weight", F.lit(1)))
         split = rows.groupBy("token").agg(F.min("group").alias("g1"), F.max("group").alias("g2"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("g1 <> g2 AND c1 <> c2").select("token")
         rows = stash(rows.join(split, "token", "left_semi"), "open-tokens")
         asking = rows
