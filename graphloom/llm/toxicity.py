@@ -11,14 +11,17 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import held_out, release, spread, stash, tidy
+from graphloom.llm.common import drop_path, held_out, release, spread, stash, tidy
+from graphloom.llm.near_dedup import BROADCAST_ROWS
 
 #: Letters that a digit or symbol may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c", "&": "a", "*": "aeiou"}
@@ -27,6 +30,9 @@ RUN = re.compile(r"([^\W\d_])\1\1")
 PARTS = re.compile(r"[^\W\d_]+")
 SPACED = re.compile(r"(?<!\S)\S(?:[ \t]+\S(?!\S)){2,}")  # single characters with spaces between
 GLUE, SPLIT, WIDE_GLUE, WIDE_SPLIT = -0.1, -1.5, -4.0, -0.1  # a space, and a wider one, within or between words
+Z = 1.64  # of the lower bound of a share
+HELD = 200_000  # counters that a training task holds
+CANDIDATES = 500_000  # features that every training task holds; of more, all are counted and joined
 EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "¿¡«»„“”‘’…–—"
 
 
@@ -155,7 +161,7 @@ def features(words: Iterable[str], shortest: int = 3, longest: int = 10) -> set[
     return found
 
 
-def lower_bound(hits: float, n: float, z: float = 1.64) -> float:
+def lower_bound(hits: float, n: float, z: float = Z) -> float:
     """Wilson's lower bound of a share."""
     if n <= 0:
         return 0.0
@@ -163,104 +169,139 @@ def lower_bound(hits: float, n: float, z: float = 1.64) -> float:
     return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
-def cover(rows: list[tuple[int, list[str]]], clean: int, least: float, support: int, most: int) -> tuple[list[tuple[str, float]], float]:
-    """Ordered rules from labelled feature lists (``clean``: further texts without any feature, label 0).
+def _lower_bound(hits: Column, n: Column, z: float = Z) -> Column:
+    p = hits / n
+    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def trigram_counts(words: Counter) -> pd.DataFrame:
+    """gram, k: trigrams of padded words, without those that repeat a letter three times; ``words`` with their numbers."""
+    held = [(f"^^{w}$", k) for w, k in words.items() if not RUN.search(w)]
+    codes = np.frombuffer("".join(w for w, _ in held).encode("utf-32-le"), dtype="<u4").astype(np.int64)
+    length = np.array([len(w) for w, _ in held], dtype=np.int64)
+    whole = np.ones(len(codes), dtype=bool)
+    ends = np.cumsum(length)
+    whole[np.concatenate([ends - 1, ends - 2])] = False  # trigrams that begin there would reach into the next word
+    at = np.flatnonzero(whole)
+    grams, place = np.unique(codes[at] << 42 | codes[at + 1] << 21 | codes[at + 2], return_inverse=True)
+    k = np.bincount(place, weights=np.repeat(np.array([k for _, k in held], dtype=np.int64), length)[at], minlength=len(grams))
+    names = [chr(g >> 42) + chr(g >> 21 & 0x1FFFFF) + chr(g & 0x1FFFFF) for g in grams.tolist()]
+    return pd.DataFrame({"gram": names, "k": k.astype(np.int64)})
+
+
+def feature_counts(texts: DataFrame, wanted: set[str] | None = None) -> DataFrame:
+    """feature, n: the number of ``texts`` (words: distinct words of each) that have it; only those ``wanted``, if given."""
+    shared = texts.sparkSession.sparkContext.broadcast(wanted)
 
-    Takes the feature with the best lower bound among texts that no rule covers yet, again and again.
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        size, seen = Counter(), {}
+        for batch in batches:
+            for words in batch.words:
+                for w in words:
+                    if w not in seen:
+                        own = features((w,))
+                        seen[w] = tuple(own if shared.value is None else own & shared.value)
+                size.update(set(chain.from_iterable(map(seen.__getitem__, words))))
+                if max(len(size), len(seen)) >= HELD:
+                    yield pd.DataFrame(list(size.items()), columns=["feature", "n"])
+                    size.clear()
+                    seen.clear()
+        yield pd.DataFrame(list(size.items()), columns=["feature", "n"])
+
+    return texts.select("words").mapInPandas(tidy(run), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+
+
+def cover(patterns: DataFrame, least: float, support: int) -> tuple[dict[str, float], float]:
+    """Rules from ``patterns`` (names: distinct features of a text, toxic: toxic texts, n: all texts that have just these),
+    and the share of toxic texts among those that no rule covers.
+
+    In each round the counts are taken over the texts that no rule covers yet. A feature becomes a rule if in each of its
+    texts no other is surer (by the lower bound; of about equal bounds more hits, then the name); such features share no
+    text, so a round takes all of them. Only counts of features reach the driver.
     """
-    having = defaultdict(list)
-    for i, (_, names) in enumerate(rows):
-        for f in names:
-            having[f].append(i)
-    open_rows = [True] * len(rows)
-    hits = {f: sum(rows[i][0] for i in where) for f, where in having.items()}
-    size = {f: len(where) for f, where in having.items()}
-    rules: list[tuple[str, float]] = []
-    while len(rules) < most:
-        # many hits first among rules that are about as sure
-        best = max(((round(lower_bound(hits[f], size[f]), 2), hits[f], f) for f in having if hits[f] >= support), default=None)
-        if best is None or best[0] < least:
+    rules: dict[str, float] = {}
+    while True:
+        own = patterns.select(F.explode("names").alias("f"), "toxic", "n").groupBy("f").agg(F.sum("toxic").alias("hits"), F.sum("n").alias("size"))
+        bounds = {r.f: (lower_bound(r.hits, r["size"]), r.hits) for r in own.filter(F.col("hits") >= support).collect()}
+        order = sorted(((round(b, 2), hits, f) for f, (b, hits) in bounds.items() if round(b, 2) >= least), reverse=True)
+        if not order:
             break
-        f = best[2]
-        rules.append((f, lower_bound(hits[f], size[f])))
-        for i in having.pop(f):
-            if open_rows[i]:
-                open_rows[i] = False
-                for g in rows[i][1]:
-                    hits[g] -= rows[i][0]
-                    size[g] -= 1
-    left = sum(y for (y, _), o in zip(rows, open_rows, strict=True) if o)
-    n = sum(open_rows) + clean
+        rank = patterns.sparkSession.sparkContext.broadcast({f: i for i, (_, _, f) in enumerate(order)})
+
+        def behind(batches: Iterable[pd.DataFrame], rank=rank) -> Iterator[pd.DataFrame]:
+            found: set[str] = set()
+            for batch in batches:
+                for names in batch.names:
+                    found.update(sorted((f for f in names if f in rank.value), key=rank.value.__getitem__)[1:])
+            yield pd.DataFrame({"f": sorted(found)}, dtype=object)
+
+        later = {r.f for r in patterns.select("names").mapInPandas(tidy(behind), "f string").distinct().collect()}
+        chosen = [f for _, _, f in order if f not in later]
+        rules |= {f: bounds[f][0] for f in chosen}
+        patterns = stash(patterns.filter(~F.arrays_overlap("names", F.lit(chosen))), "toxic-patterns")
+    left, n = patterns.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     return rules, (left + 0.5) / (n + 1)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_documents: int = 20_000, max_rules: int = 400, least: float = 0.4, support: int = 3, sure_at: float = 0.85) -> dict:
-    """A scoring model from labelled rows of ``docs`` that are not held out.
+def train(docs: DataFrame, labels: DataFrame, least: float = 0.4, support: int = 3, sure_at: float = 0.85) -> dict:
+    """A scoring model from all labelled rows of ``docs`` that are not held out.
 
-    ``max_documents`` bounds the labelled sample, taken by the hash of the id; everything that reaches the driver is
-    aggregated from that sample. A doc_id that is labelled twice counts as toxic if one label says so.
+    Equal texts count once. Counts stay distributed until only trigrams and features that may become rules are left; these
+    are the model, and are all that reaches the driver. A doc_id that is labelled twice counts as toxic if one label says so.
     """
     spark = docs.sparkSession
     given = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n = given.count()
-    if n > max_documents:
-        given = given.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2**31)) < int(max_documents / n * 2**31))
-    given = given.limit(2 * max_documents)  # the hash keeps about max_documents; this makes the bound of the broadcast strict
-    sample = stash(docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(given), "doc_id").groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).drop("h"), "toxic-sample")
+    given = F.broadcast(given) if given.count() <= BROADCAST_ROWS else given
+    known = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(given, "doc_id")
+    known = stash(known.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).drop("h"), "toxic-texts")
 
     def trigrams(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words: Counter = Counter()
         for batch in batches:
-            words: Counter = Counter()
             for text in batch.text:
-                words.update(t for t in PARTS.findall(text.lower()) if not RUN.search(t))
-            found: Counter = Counter()
-            for w, k in words.items():
-                w = f"^^{w}$"
-                for i in range(len(w) - 2):
-                    found[w[i : i + 3]] += k
-            yield pd.DataFrame(list(found.items()), columns=["gram", "k"])
-
-    counts = sample.select("text").mapInPandas(tidy(trigrams), "gram string, k long").groupBy("gram").agg(F.sum("k").alias("k"))  # of the bounded sample
+                words.update(PARTS.findall(text.lower()))
+                if len(words) >= HELD:
+                    yield trigram_counts(words)
+                    words.clear()
+        yield trigram_counts(words)
+
+    counts = known.select("text").mapInPandas(tidy(trigrams), "gram string, k long").groupBy("gram").agg(F.sum("k").alias("k"))
     counts = {r.gram: r.k for r in counts.collect()}
     shared = spark.sparkContext.broadcast(counts)
 
-    def toxic_features(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def restored(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         restorer = Restorer(CharModel(shared.value))
         for batch in batches:
-            found: Counter = Counter()
-            for text in batch.text:
-                found.update(features(restorer.words(text)))
-            yield pd.DataFrame(list(found.items()), columns=["feature", "k"])
-
-    hits = sample.filter("toxic = 1").select("text").mapInPandas(tidy(toxic_features), "feature string, k long").groupBy("feature").agg(F.sum("k").alias("hits"))
-    hits = {r.feature: r.hits for r in hits.filter(F.col("hits") >= support).collect()}
-    shared_hits = spark.sparkContext.broadcast(set(hits))
-
-    def clean_features(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        restorer = Restorer(CharModel(shared.value))
-        for batch in batches:
-            found: Counter = Counter()
-            for text in batch.text:
-                found.update(features(restorer.words(text)) & shared_hits.value)
-            yield pd.DataFrame(list(found.items()), columns=["feature", "k"])
-
-    misses = sample.filter("toxic = 0").select("text").mapInPandas(tidy(clean_features), "feature string, k long").groupBy("feature").agg(F.sum("k").alias("k"))
-    misses = {r.feature: r.k for r in misses.collect()}
-    useful = {f for f, k in hits.items() if lower_bound(k, k + misses.get(f, 0)) >= least}
-    shared_useful = spark.sparkContext.broadcast(useful)
+            yield pd.DataFrame({"toxic": batch.toxic, "words": [sorted(restorer.words(t)) for t in batch.text]})
+
+    texts = stash(known.select("toxic", "text").mapInPandas(tidy(restored), "toxic int, words array<string>"), "toxic-words")
+    drop_path(spark, known)
+
+    bad = stash(feature_counts(texts.filter("toxic = 1")).withColumnRenamed("n", "hits").filter(F.col("hits") >= support), "toxic-hits")
+    bad = bad.withColumn("misses", F.lit(0).cast("long"))
+    # what a part of the clean texts rules out already needs no count in the rest; the others are counted in both
+    part = F.pmod(F.xxhash64("words"), F.lit(3)) == 0
+    for clean in (texts.filter("toxic = 0").filter(part), texts.filter("toxic = 0").filter(~part)):
+        wanted = {r.feature for r in bad.select("feature").collect()} if bad.count() <= CANDIDATES else None
+        more = feature_counts(clean, wanted)
+        bad = bad.join(more, "feature", "left").select("feature", "hits", (F.col("misses") + F.coalesce("n", F.lit(0))).alias("misses"))
+        bad = stash(bad.filter(_lower_bound(F.col("hits"), F.col("hits") + F.col("misses")) >= least), "toxic-hits")
+    useful = {r.feature: lower_bound(r.hits, r.hits + r.misses) for r in bad.collect()}
+    heads = {f[:3] for f in useful}
+    shared_useful = spark.sparkContext.broadcast((frozenset(useful), heads))
 
     def incidence(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        restorer = Restorer(CharModel(shared.value))
+        useful, heads = shared_useful.value
         for batch in batches:
-            yield pd.DataFrame([(int(y), sorted(features(restorer.words(t)) & shared_useful.value)) for y, t in zip(batch.toxic, batch.text, strict=True)], columns=["toxic", "names"])
-
-    table = sample.select("toxic", "text").mapInPandas(tidy(incidence), "toxic int, names array<string>")
-    rows = [(r.toxic, list(r.names)) for r in table.filter((F.size("names") > 0) | (F.col("toxic") == 1)).collect()]
-    clean = sample.count() - len(rows)
-    rules, base = cover(rows, clean, least, support, max_rules)
-    # features that are sure by themselves also count where the rules before them found every sample text
-    sure = {f: b for f in useful if (b := lower_bound(hits[f], hits[f] + misses.get(f, 0))) >= sure_at}
-    return {"trigrams": counts, "rules": sure | dict(rules), "base": base}
+            names = [sorted(features([w for w in words if w[:3] in heads]) & useful) for words in batch.words]
+            yield pd.DataFrame({"names": names, "toxic": batch.toxic})
+
+    rows = texts.mapInPandas(tidy(incidence), "names array<string>, toxic int")
+    patterns = stash(rows.groupBy("names").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n")), "toxic-patterns")
+    drop_path(spark, texts)
+    rules, base = cover(patterns, least, support)
+    # features that are sure by themselves also count where the rules before them found every text
+    return {"trigrams": counts, "rules": {f: b for f, b in useful.items() if b >= sure_at} | rules, "base": base}
 
 
 class TextScorer:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from graphloom.llm import decontamination, langid, lm_scores, toxicity
+from graphloom.llm.common import held_out
 
 EN = "the cat sat on the mat and then it went away with another animal"
 DE = "der hund lief durch den wald und dann kam er wieder nach hause"
@@ -104,6 +105,36 @@ def test_toxicity_learns_from_training_rows_only(spark):
     assert all(0 <= r.score <= 1 for r in toxicity.score(d, empty).collect())
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    n, telling = 40_000, ["idiot", "moron", "loser", "pathetic", "stupid", "wretch", "cretin", "dimwit"]
+    plain = (EN + " " + DE).split()
+    learned = spark.range(n).select(F.col("id").alias("doc_id")).filter(~held_out())
+    ids = [r.doc_id for r in learned.orderBy("doc_id").collect()]
+    assert len(ids) > 20_000
+    told = {i: telling[k % len(telling)] for k, i in enumerate(ids[:: len(ids) // (3 * len(telling))][: 3 * len(telling)])}
+    docs = [(i, f"{plain[i % len(plain)]} {told.get(i, plain[i * 7 % len(plain)])} a{i}") for i in range(n)]
+    labels = [(i, int(i in told)) for i in range(n)]
+    model = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    bound = toxicity.lower_bound(3, 3)  # each word is in three texts
+    asked = toxicity.score(spark.createDataFrame(list(enumerate(telling)), "doc_id long, text string"), model)
+    assert all(r.score >= bound for r in asked.collect())
+
+
+def test_toxic_rules_leave_no_sure_feature(spark):
+    rng = random.Random(5)
+    names = [f"w{i:02}" for i in range(30)]
+    texts = [(sorted(rng.sample(names, rng.randint(0, 4))), rng.randint(0, 1)) for _ in range(300)]
+    texts = [(own, int(toxic or "w03" in own or "w07" in own)) for own, toxic in texts]
+    patterns = spark.createDataFrame(texts, "names array<string>, toxic int").groupBy("names").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n"))
+    rules, base = toxicity.cover(patterns, 0.4, 3)
+    assert {"w03", "w07"} <= rules.keys()
+    left = [(own, toxic) for own, toxic in texts if not rules.keys() & set(own)]
+    assert base == (sum(toxic for _, toxic in left) + 0.5) / (len(left) + 1)
+    for f in names:
+        own = [toxic for having, toxic in left if f in having]
+        assert sum(own) < 3 or round(toxicity.lower_bound(sum(own), len(own)), 2) < 0.4
+
+
 def test_language_backs_off_to_ngrams(spark):
     rows = [(i, EN if i % 2 else DE, "en" if i % 2 else "de") for i in range(40)] + [(100, EN, None), (101, None, "en")]
     asked = [(1, "the animal", None), (2, "wieder durch", None), (3, "animalic", None), (4, "waldhund", None), (5, "12 !! \u00bd \u2167", None), (6, None, None), (7, "", None), (None, "the", "x"), (1, "the animal", None), (8, "the " * 30_000, None)]
