@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from graphloom.llm import langid, toxicity, topk
+from graphloom.llm.common import held_out
 from graphloom.llm.near_dedup import near_duplicates
 from graphloom.llm.repeats import removal_report
 
@@ -117,3 +118,14 @@ def test_clashing_columns_elsewhere(spark, odd):
     clash = vectors.withColumns({c: F.lit("clash") for c in ("v", "cell", "far", "block", "part", "least", "parts")})
     plain = topk.top_products(topk.quantised(vectors), F.col("vec_id") % 20 == 0).collect()
     assert sorted(map(tuple, topk.top_products(topk.quantised(clash), F.col("vec_id") % 20 == 0).collect())) == sorted(map(tuple, plain))
+
+
+def test_toxic_stage_learns_from_every_labelled_row(spark, tmp_path):
+    n, telling = 30_000, ["idiot", "moron", "loser", "pathetic", "stupid", "wretch", "cretin", "dimwit"]
+    told = {1_000 * k + j: w for k, w in enumerate(telling) for j in range(4)}
+    ids = [r.doc_id for r in spark.range(n).select(F.col("id").alias("doc_id")).filter(~held_out()).orderBy("doc_id").collect()]
+    rows = [(i, f"plain text {told.get(at, 'here')} a{i}", int(at in told)) for at, i in enumerate(ids)]
+    spark.createDataFrame([(i, toxic) for i, _, toxic in rows], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame([(i, text) for i, text, _ in rows], "doc_id long, text string")
+    left = {r.doc_id for r in STAGES["toxicity"](spark, docs, str(tmp_path)).collect()}
+    assert len(rows) > 20_000 and left == {i for i, _, toxic in rows if not toxic}
