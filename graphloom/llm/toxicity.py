@@ -186,7 +186,7 @@ def trigram_counts(words: Counter) -> pd.DataFrame:
     grams, place = np.unique(codes[at] << 42 | codes[at + 1] << 21 | codes[at + 2], return_inverse=True)
     k = np.bincount(place, weights=np.repeat(np.array([k for _, k in held], dtype=np.int64), length)[at], minlength=len(grams))
     names = [chr(g >> 42) + chr(g >> 21 & 0x1FFFFF) + chr(g & 0x1FFFFF) for g in grams.tolist()]
-    return pd.DataFrame({"gram": names, "k": k.astype(np.int64)})
+    return pd.DataFrame(list(zip(names, k.astype(np.int64).tolist(), strict=True)), columns=["gram", "k"])
 
 
 def feature_counts(texts: DataFrame, wanted: set[str] | None = None) -> DataFrame:
