@@ -22,7 +22,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import lean, release, stash, tidy, utf8_text
@@ -34,6 +34,7 @@ CHUNK = 50_000  # rows that a task hands over at a time
 SLOT = 4_000_000  # occurrences of a context, at most, that one slot holds
 TOTAL_BITS = 40  # of a packed entry; the word is above them
 SLICE = 125_000  # tokens that are scored at a time
+SUMMED = 1_000_000  # n-grams that are summed at a time, whole keys
 
 
 def token_batches(docs: DataFrame, tokenizer_path: str, batch_tokens: int) -> DataFrame:
@@ -128,6 +129,19 @@ def entries(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return names, values
 
 
+def totals(sought: np.ndarray, names: np.ndarray, packed: np.ndarray) -> np.ndarray:
+    """The total of each of ``sought`` by the entries, 0 where there is none. They are looked up in order: the search then
+    walks through memory once."""
+    found = np.zeros(len(sought), dtype=np.int64)
+    if len(names):
+        by = np.argsort(sought)
+        sought = sought[by]
+        at = np.searchsorted(names, sought)
+        at[at == len(names)] = 0
+        found[by] = np.where(names[at] == sought, packed[at] & ((1 << TOTAL_BITS) - 1), 0)
+    return found
+
+
 def token_counts(batches: DataFrame, vocabulary: int) -> np.ndarray:
     """Occurrences of every id."""
 
@@ -172,6 +186,58 @@ def exploded(batches: DataFrame, order: int, start_id: int, slots) -> DataFrame:
     return batches.select("batch", "sizes", "ids").mapInArrow(run, "batch long, key long, words array<int>, ks array<int>")
 
 
+def summed(dealt: DataFrame, min_count: int) -> DataFrame:
+    """batch, key, packed: for every row of ``dealt`` (in order of the key, a key in one partition) its words in order, each
+    with its total over all batches; words below ``min_count`` are left out, and so are rows without others."""
+    schema = pa.schema([("batch", pa.int64()), ("key", pa.int64()), ("packed", pa.list_(pa.int64()))])
+
+    def answer(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = rows.combine_chunks()
+        words, ks = rows["words"].chunk(0), rows["ks"].chunk(0).flatten().to_numpy()
+        length, key = words.value_lengths().to_numpy(), rows["key"].to_numpy()
+        # of rows of one key the words are sorted together; keys are numbered from 0
+        number = np.cumsum(np.diff(key, prepend=key[:1]) != 0)
+        name = np.repeat(number << 16, length) | words.flatten().to_numpy()
+        by = np.argsort(name)
+        ordered = name[by]
+        first = np.flatnonzero(np.diff(ordered, prepend=-1))
+        total = np.empty(len(name), dtype=np.int64)
+        total[by] = np.repeat(np.add.reduceat(ks[by].astype(np.int64), first), np.diff(first, append=len(name)))
+        del by, ordered
+        kept = total >= min_count
+        left = np.add.reduceat(kept, np.cumsum(length) - length, dtype=np.int64)  # no row is without words
+        packed = ((name & 0xFFFF) << TOTAL_BITS | total)[kept]
+        some = left > 0
+        batch, key, left = rows["batch"].to_numpy()[some], key[some], left[some]
+        ends = np.cumsum(left)
+        for i in range(0, len(key), CHUNK):
+            a, b = ends[i] - left[i], ends[min(i + CHUNK, len(key)) - 1]
+            offsets = pa.array(np.append(ends[i : i + CHUNK] - left[i : i + CHUNK], b) - a, type=pa.int32())
+            lists = pa.ListArray.from_arrays(offsets, pa.array(packed[a:b]))
+            yield pa.record_batch([pa.array(batch[i : i + CHUNK]), pa.array(key[i : i + CHUNK]), lists], schema=schema)
+
+    def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        held, size = [], 0
+        for frame in frames:
+            if size >= SUMMED and frame.num_rows:  # cut before the last key, which may go on
+                rows = pa.Table.from_batches(held)
+                key = rows["key"].to_numpy()
+                cut = int(np.searchsorted(key, key[-1]))
+                if cut:
+                    yield from answer(rows.slice(0, cut))
+                    held = rows.slice(cut).combine_chunks().to_batches()
+                    size = sum(len(x["words"].flatten()) for x in held)
+                del rows
+            held.append(frame)
+            size += len(frame["words"].flatten())
+        if size:
+            yield from answer(pa.Table.from_batches(held))
+        release()
+
+    return dealt.select("batch", "key", "words", "ks").mapInArrow(run, "batch long, key long, packed array<long>")
+
+
 def lm_scores(docs: DataFrame, tokenizer_path: str, vocabulary: int, start_id: int, order: int = 3, min_count: int = 2, backoff: float = 0.4, batch_tokens: int = 8_000_000, slot: int = SLOT) -> DataFrame:
     """doc_id, n_tokens, log10_score (sum over tokens), mean_log10 for every row of ``docs``.
 
@@ -195,10 +261,7 @@ def lm_scores(docs: DataFrame, tokenizer_path: str, vocabulary: int, start_id: i
     unigrams = spark.sparkContext.broadcast(single)
     dealt = exploded(batches, order, start_id, slots).repartition("key")
     # a context and slot is in one partition, so neither the sums nor the way back to the batch's rows needs a shuffle
-    occurrences = dealt.select("batch", "key", F.inline(F.arrays_zip("words", "ks")).alias("word", "k"))
-    table = occurrences.withColumn("total", F.sum("k").over(Window.partitionBy("key", "word")))
-    entry = F.shiftleft(F.col("word").cast("long"), TOTAL_BITS).bitwiseOR(F.col("total"))
-    answers = table.filter(F.col("total") >= min_count).groupBy("batch", "key").agg(F.array_sort(F.collect_list(entry)).alias("packed"))
+    answers = summed(dealt.sortWithinPartitions("key"), min_count)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         lean()
@@ -214,10 +277,7 @@ def lm_scores(docs: DataFrame, tokenizer_path: str, vocabulary: int, start_id: i
             before = unigrams.value[ids]
             value = np.log10(before / n_tokens)
             for m in range(2, order + 1):
-                sought = grams(ids, own, m, start_id, slots.value)
-                at = np.searchsorted(names, sought)
-                at[at == len(names)] = 0
-                found = np.where(names[at] == sought, packed[at] & ((1 << TOTAL_BITS) - 1), 0) if len(names) else np.zeros(len(ids), dtype=np.int64)
+                found = totals(grams(ids, own, m, start_id, slots.value), names, packed)
                 # the context of a token is the n-gram that ended one token earlier; starts were seen once a document
                 context = np.roll(before, 1)
                 context[begins] = n_docs

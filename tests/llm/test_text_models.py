@@ -196,6 +196,37 @@ def test_scores_match_brute_force(spark, order, least):
     assert lm_scores.lm_scores(docs.limit(0), path, 49_408, 49_406).count() == 0
 
 
+def test_totals_of_whole_keys_across_batches(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = []
+    for batch in range(6):
+        for key in range(40):
+            own = sorted(rng.sample(range(9), rng.randint(1, 5)))
+            rows.append((batch, key, own, [rng.randint(1, 2) for _ in own]))
+    total = Counter()
+    for _, key, own, ks in rows:
+        total.update({(key, w): k for w, k in zip(own, ks, strict=True)})
+    want = {(b, key, tuple(w << lm_scores.TOTAL_BITS | total[key, w] for w in own if total[key, w] >= 5)) for b, key, own, _ in rows}
+    dealt = spark.createDataFrame(rows, "batch long, key long, words array<int>, ks array<int>").repartition(2, "key").sortWithinPartitions("key")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # keys go on in the next Arrow batch
+    try:
+        for most in (1, 50, 1_000_000):
+            monkeypatch.setattr(lm_scores, "SUMMED", most)
+            got = lm_scores.summed(dealt, 5).collect()
+            assert {(r.batch, r.key, tuple(r.packed)) for r in got} == {x for x in want if x[2]}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_totals_of_unordered_grams():
+    names = [3, 5, 8, 1 << 40]
+    packed = [n << 2 | 1 for n in (10, 20, 30, 40)]
+    names, packed = (lm_scores.np.array(x, dtype="int64") for x in (names, packed))
+    got = lm_scores.totals(lm_scores.np.array([1 << 40, 9, 3, 1 << 50, 3, 8]), names, packed)
+    assert got.tolist() == [161, 0, 41, 0, 41, 121]
+    assert lm_scores.totals(names, names[:0], packed[:0]).tolist() == [0, 0, 0, 0]
+
+
 def test_templates():
     tokens, behind = decontamination.template("Then Anna bought 12 kg of rice. She paid 3.50 dollars")
     assert tokens == ["then", "<name>", "bought", "<num>", "<unit>", "of", "rice", "she", "paid", "<num>", "<unit>"]
