@@ -240,17 +240,19 @@ def cover(patterns: DataFrame, least: float, support: int) -> tuple[dict[str, fl
         rules |= {f: bounds[f][0] for f in chosen}
         patterns = stash(patterns.filter(~F.arrays_overlap("names", F.lit(chosen))), "toxic-patterns")
     left, n = patterns.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    return rules, (left + 0.5) / (n + 1)
+    return rules, (left + 0.5) / (n + 1) if n else 0.0  # without any text nothing speaks for toxic ones
 
 
-def train(docs: DataFrame, labels: DataFrame, least: float = 0.4, support: int = 3, sure_at: float = 0.85) -> dict:
-    """A scoring model from all labelled rows of ``docs`` that are not held out.
+def train(docs: DataFrame, labels: DataFrame, least: float = 0.4, support: int = 3, sure_at: float = 0.85, whole: bool = False) -> dict:
+    """A scoring model from all labelled rows of ``docs`` that are not held out, or, if ``whole``, from all rows: rules from
+    every labelled one, trigrams from the words of every text, labelled or not.
 
-    Equal texts count once. Counts stay distributed until only trigrams and features that may become rules are left; these
+    Equal labelled texts count once. Counts stay distributed until only trigrams and features that may become rules are left; these
     are the model, and are all that reaches the driver. A doc_id that is labelled twice counts as toxic if one label says so.
     """
     spark = docs.sparkSession
-    given = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    given = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
+    given = (given if whole else given.filter(~held_out())).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     given = F.broadcast(given) if given.count() <= BROADCAST_ROWS else given
     known = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(given, "doc_id")
     known = stash(known.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).drop("h"), "toxic-texts")
@@ -265,7 +267,8 @@ def train(docs: DataFrame, labels: DataFrame, least: float = 0.4, support: int =
                     words.clear()
         yield trigram_counts(words)
 
-    counts = known.select("text").mapInPandas(tidy(trigrams), "gram string, k long").groupBy("gram").agg(F.sum("k").alias("k"))
+    spelt = spread(docs.filter(F.col("text").isNotNull()).select("text")) if whole else known.select("text")
+    counts = spelt.mapInPandas(tidy(trigrams), "gram string, k long").groupBy("gram").agg(F.sum("k").alias("k"))
     counts = {r.gram: r.k for r in counts.collect()}
     shared = spark.sparkContext.broadcast(counts)
 

@@ -129,3 +129,20 @@ def test_toxic_stage_learns_from_every_labelled_row(spark, tmp_path):
     docs = spark.createDataFrame([(i, text) for i, text, _ in rows], "doc_id long, text string")
     left = {r.doc_id for r in STAGES["toxicity"](spark, docs, str(tmp_path)).collect()}
     assert len(rows) > 20_000 and left == {i for i, _, toxic in rows if not toxic}
+
+
+def test_toxic_stage_learns_from_rows_that_op1_holds_out_and_from_unlabelled_texts(spark, tmp_path):
+    ids = [r.doc_id for r in spark.range(4_000).select(F.col("id").alias("doc_id")).filter(held_out()).orderBy("doc_id").collect()]
+    rows = [(i, f"plain text {'dimwit' if at % 20 == 0 else 'here'} a{i}", int(at % 20 == 0)) for at, i in enumerate(ids)]
+    labels = spark.createDataFrame([(i, toxic) for i, _, toxic in rows], "doc_id long, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame([*[(i, text) for i, text, _ in rows], (-1, "unlabelled quux"), (None, "quux")], "doc_id long, text string")
+    left = {r.doc_id for r in STAGES["toxicity"](spark, docs, str(tmp_path)).collect()}
+    assert left == {i for i, _, toxic in rows if not toxic} | {-1, None}
+    counts = toxicity.train(docs, labels, whole=True)["trigrams"]
+    assert counts["quu"] == 2 and counts["dim"] == sum(toxic for *_, toxic in rows)
+
+
+def test_toxic_stage_keeps_all_without_labels(spark, odd, tmp_path):
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert STAGES["toxicity"](spark, odd, str(tmp_path)).count() == odd.count()
