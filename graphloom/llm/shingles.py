@@ -41,17 +41,14 @@ class _Words(dict):
         return self.hashes[numbers]
 
 
-_SEEN = _Words()
-
-
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], seen: _Words) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words, lower-cased in A-Z, and the number of words of each text.
 
     A word is a run of bytes other than space and \\x09-\\x0D. The hash depends on the word alone.
     """
     words = [t.lower().split() for t in texts]
     counts = np.array([len(w) for w in words], dtype=np.int64)
-    return _SEEN.of(words, int(counts.sum())), counts
+    return seen.of(words, int(counts.sum())), counts
 
 
 def shingle_sets(texts, width: int = 5, group_bytes: int = 1 << 19) -> Iterator[np.ndarray]:
@@ -59,20 +56,21 @@ def shingle_sets(texts, width: int = 5, group_bytes: int = 1 << 19) -> Iterator[
 
     With fewer words the whole sequence is one shingle; a null text or one without words has none.
     """
+    seen = _Words()  # of these texts alone: workers outlive their tasks, and would keep it
     held, size = [], 0
     for text in texts:
         raw = (text or "").encode("utf-8", "surrogatepass")
         if held and size + len(raw) > group_bytes:
-            yield from _group_sets(held, width)
+            yield from _group_sets(held, width, seen)
             held, size = [], 0
         held.append(raw)
         size += len(raw)
     if held:
-        yield from _group_sets(held, width)
+        yield from _group_sets(held, width, seen)
 
 
-def _group_sets(raw: list[bytes], width: int) -> Iterator[np.ndarray]:
-    words, counts = word_hashes(raw)
+def _group_sets(raw: list[bytes], width: int, seen: _Words) -> Iterator[np.ndarray]:
+    words, counts = word_hashes(raw, seen)
     rolled = np.zeros(max(0, len(words) - width + 1), dtype=np.uint64)
     for k in range(width):
         rolled += mix(words[k : k + len(rolled)] + _PLACE[k]) * _PLACE[width + k]

@@ -32,6 +32,8 @@ SPACED = re.compile(r"(?<!\S)\S(?:[ \t]+\S(?!\S)){2,}")  # single characters wit
 GLUE, SPLIT, WIDE_GLUE, WIDE_SPLIT = -0.1, -1.5, -4.0, -0.1  # a space, and a wider one, within or between words
 Z = 1.64  # of the lower bound of a share
 HELD = 200_000  # counters that a training task holds
+WORDS = 50_000  # distinct words whose trigrams are counted at a time
+GROUP = 256  # texts whose restored words are held at a time
 CANDIDATES = 500_000  # features that every training task holds; of more, all are counted and joined
 EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "¿¡«»„“”‘’…–—"
 
@@ -174,8 +176,9 @@ def _lower_bound(hits: Column, n: Column, z: float = Z) -> Column:
     return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
-def trigram_counts(words: Counter) -> pd.DataFrame:
-    """gram, k: trigrams of padded words, without those that repeat a letter three times; ``words`` with their numbers."""
+def trigram_counts(words: Counter) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and numbers of the trigrams of padded words, without those that repeat a letter three times; ``words`` with
+    their numbers."""
     held = [(f"^^{w}$", k) for w, k in words.items() if not RUN.search(w)]
     codes = np.frombuffer("".join(w for w, _ in held).encode("utf-32-le"), dtype="<u4").astype(np.int64)
     length = np.array([len(w) for w, _ in held], dtype=np.int64)
@@ -185,8 +188,16 @@ def trigram_counts(words: Counter) -> pd.DataFrame:
     at = np.flatnonzero(whole)
     grams, place = np.unique(codes[at] << 42 | codes[at + 1] << 21 | codes[at + 2], return_inverse=True)
     k = np.bincount(place, weights=np.repeat(np.array([k for _, k in held], dtype=np.int64), length)[at], minlength=len(grams))
+    return grams, k.astype(np.int64)
+
+
+def trigram_rows(counted: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    """gram, k: the sums over several :func:`trigram_counts`."""
+    grams, place = np.unique(np.concatenate([g for g, _ in counted]), return_inverse=True)
+    k = np.zeros(len(grams), dtype=np.int64)
+    np.add.at(k, place, np.concatenate([k for _, k in counted]))
     names = [chr(g >> 42) + chr(g >> 21 & 0x1FFFFF) + chr(g & 0x1FFFFF) for g in grams.tolist()]
-    return pd.DataFrame(list(zip(names, k.astype(np.int64).tolist(), strict=True)), columns=["gram", "k"])
+    return pd.DataFrame({"gram": pd.Series(names, dtype=object), "k": k})
 
 
 def feature_counts(texts: DataFrame, wanted: set[str] | None = None) -> DataFrame:
@@ -259,13 +270,17 @@ def train(docs: DataFrame, labels: DataFrame, least: float = 0.4, support: int =
 
     def trigrams(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words: Counter = Counter()
+        counted: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             for text in batch.text:
                 words.update(PARTS.findall(text.lower()))
-                if len(words) >= HELD:
-                    yield trigram_counts(words)
+                if len(words) >= WORDS:
+                    counted.append(trigram_counts(words))
                     words.clear()
-        yield trigram_counts(words)
+                    if sum(len(g) for g, _ in counted) >= HELD:
+                        yield trigram_rows(counted)
+                        counted.clear()
+        yield trigram_rows([*counted, trigram_counts(words)])
 
     spelt = spread(docs.filter(F.col("text").isNotNull()).select("text")) if whole else known.select("text")
     counts = spelt.mapInPandas(tidy(trigrams), "gram string, k long").groupBy("gram").agg(F.sum("k").alias("k"))
@@ -275,7 +290,9 @@ def train(docs: DataFrame, labels: DataFrame, least: float = 0.4, support: int =
     def restored(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         restorer = Restorer(CharModel(shared.value))
         for batch in batches:
-            yield pd.DataFrame({"toxic": batch.toxic, "words": [sorted(restorer.words(t)) for t in batch.text]})
+            for at in range(0, len(batch), GROUP):
+                part = batch.iloc[at : at + GROUP]
+                yield pd.DataFrame({"toxic": part.toxic, "words": [sorted(restorer.words(t)) for t in part.text]})
 
     texts = stash(known.select("toxic", "text").mapInPandas(tidy(restored), "toxic int, words array<string>"), "toxic-words")
     drop_path(spark, known)

@@ -2,12 +2,13 @@
 look-alikes, clashing columns and empty tables."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from graphloom.llm import langid, toxicity, topk
+from graphloom.llm import langid, shingles, toxicity, topk
 from graphloom.llm.common import held_out
 from graphloom.llm.near_dedup import near_duplicates
 from graphloom.llm.repeats import removal_report
@@ -146,3 +147,20 @@ def test_toxic_stage_learns_from_rows_that_op1_holds_out_and_from_unlabelled_tex
 def test_toxic_stage_keeps_all_without_labels(spark, odd, tmp_path):
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert STAGES["toxicity"](spark, odd, str(tmp_path)).count() == odd.count()
+
+
+def test_shingles_keep_no_words_in_a_worker():
+    before = {name: len(x) for name, x in vars(shingles).items() if isinstance(x, dict)}
+    assert all(len(s) for s in shingles.shingle_sets([" ".join(f"w{i}" for i in range(n, n + 500)) for n in range(0, 5_000, 500)]))
+    assert {name: len(x) for name, x in vars(shingles).items() if isinstance(x, dict)} == before
+
+
+def test_trigrams_add_up_over_parts():
+    parts = [Counter({"idiot": 3, "über": 2}), Counter({"idiot": 4, "noooo": 9}), Counter()]
+    want: Counter = Counter()
+    for word, k in (parts[0] + parts[1]).items():
+        padded = f"^^{word}$"
+        want.update({padded[i : i + 3]: k for i in range(len(padded) - 2)} if word != "noooo" else {})
+    rows = toxicity.trigram_rows([toxicity.trigram_counts(p) for p in parts])
+    assert dict(zip(rows.gram, rows.k, strict=True)) == want
+    assert not len(toxicity.trigram_rows([toxicity.trigram_counts(Counter())]))
