@@ -104,10 +104,15 @@ def estimated(pairs: DataFrame, fan: DataFrame, reps: DataFrame, k: int, least:
     return with_both(pairs, fan, reps, "sketch").withColumn("u", union).filter(shared >= F.lit(least) * F.size("u")).select("a", "b", "salt")
 
 
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (rid and other columns, one row a rid) with the text of each."""
+    few = wanted.count() <= BROADCAST_ROWS
+    return docs.select(row_id().alias("rid"), "text").join(F.broadcast(wanted) if few else wanted, "rid").dropDuplicates(["rid"])
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """node, shingles of the classes in ``wanted`` (rid, node)."""
-    few = wanted.count() <= BROADCAST_ROWS
-    texts = docs.select(row_id().alias("rid"), "text").join(F.broadcast(wanted) if few else wanted, "rid").dropDuplicates(["rid"]).select("node", "text")
+    texts = texts_of(docs, wanted).select("node", "text")
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

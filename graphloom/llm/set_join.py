@@ -10,7 +10,7 @@
    with any other are left out, and two linked sets still share one. Only groups that hold one of a set's n-grams that
    are left, of fitting sizes and of another component, are candidates. Components that are joined already
    are not joined again: first one member of each component in a group asks, then, with the components that this gives,
-   all that are left.
+   all that are left. No set asks a group twice, and n-grams of one component or group are not looked at again.
 5. The overlap of a set with a candidate's union bounds its overlap with each member. Only groups whose bound reaches
    the threshold are opened; their members are compared on full sets.
 6. Components of all links, spread to the copies.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import drop_path, row_id, spread, stash, tidy
 from graphloom.llm.components import connected_components
-from graphloom.llm.near_dedup import BROADCAST_ROWS, _name, _root, full_sets, with_components
+from graphloom.llm.near_dedup import _name, _root, full_sets, texts_of, with_components
 from graphloom.llm.shingles import mix, shingle_sets, signed
 
 TABLE_BITS = 18  # of the table of counts: 1 MB
@@ -167,8 +167,9 @@ def links_to(matrix: Matrix, nodes: list[int], comps: list[int], asking: Iterabl
                 yield node, nodes[j]
 
 
-def links_within(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: links within groups, enough to join what they join."""
+def links_within(groups: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """a, b: links within ``groups`` (rid, node, group), enough to join what they join. Texts move to their group, which
+    are smaller than their sets."""
 
     def solve(nodes: list[int], held: list[np.ndarray]) -> list[tuple[int, int]]:
         return list(links_to(Matrix(held), nodes, nodes, zip(nodes, nodes, held, strict=True), percent)) if len(nodes) > 1 else []
@@ -177,16 +178,16 @@ def links_within(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         group, nodes, held = None, [], []
         for batch in batches:
             out = []
-            for g, node, own in zip(batch.group, batch.node, batch.shingles, strict=True):
+            for g, node, own in zip(batch.group, batch.node, shingle_sets(batch.text, width), strict=True):
                 if g != group:
                     out += solve(nodes, held)
                     group, nodes, held = g, [], []
                 nodes.append(node)
-                held.append(np.asarray(own))
+                held.append(own)
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
         yield pd.DataFrame(solve(nodes, held), columns=["a", "b"], dtype="int64")
 
-    rows = groups.join(sets, "node").select("group", "node", "shingles")
+    rows = texts_of(docs, groups).select("group", "node", "text")
     return rows.repartition("group").sortWithinPartitions("group", "node").mapInPandas(tidy(run), "a long, b long")
 
 
@@ -240,7 +241,6 @@ def similar_sets(docs: DataFrame, percent: int = 90, width: int = 3, members: in
     """
     if not 50 <= percent <= 99:
         raise ValueError("percent must be between 50 and 99")
-    spark = docs.sparkSession
     mixed = stash(profiles(docs, width), "profiles")
     drawn = mixed.filter("part IS NULL").select("rid", F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "n_shingles", "node", "lows")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "rid")).alias("best")
@@ -248,33 +248,32 @@ def similar_sets(docs: DataFrame, percent: int = 90, width: int = 3, members: in
     groups = stash(grouped(reps.filter(F.col("n_shingles") * (100 - percent) >= percent), percent, members), "groups")
     sizes = stash(groups.groupBy("group").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("c")), "group-sizes")
     several = stash(groups.join(sizes.filter("c > 1"), "group", "left_semi"), "grouped")
-    sets = stash(full_sets(docs, several.select("rid", "node"), width), "sets")
-    links = stash(links_within(several.select("node", "group"), sets, percent), "links-within")
-    drop_path(spark, sets)
+    links = stash(links_within(several.select("rid", "node", "group"), docs, width, percent), "links-within")
     found = connected_components(links)
 
-    rare = stash(rarest(docs, width, percent, frequencies(mixed)), "rarest")
-    tokens = rare.select("node", F.explode("rare").alias("token"))
-    often = stash(tokens.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1"), "shared-tokens")
-    few = often.count() <= BROADCAST_ROWS
-    held = tokens.join(F.broadcast(often) if few else often, "token")
+    tokens = rarest(docs, width, percent, frequencies(mixed)).select("node", F.explode("rare").alias("token"))
+    # most n-grams are one set's alone: they are counted where they meet, and go no further
+    held = tokens.withColumn("c", F.count("*").over(Window.partitionBy("token"))).filter("c > 1")
     # the smallest by (c, token) of what two sets share is in both sets' rows after each has dropped its last ones
     own = Window.partitionBy("node")
     ranked = held.withColumn("shared", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("c", "token")))
     ranked = ranked.join(groups.select("node", "n", "group"), "node")
     half = F.floor(F.col("n") * (100 - percent) / 200)  # least_shared less one
     held = stash(ranked.filter(F.col("place") <= F.col("shared") - half).select("token", "node", "n", "group"), "token-groups")
-    drop_path(spark, rare)
+    asked = None
     for members_ask, star in ((False, True), (False, False), (True, False)):
         comps = found.withColumnRenamed("component", "comp")
         weights = comps.groupBy("comp").agg(F.count("*").alias("weight"))
         rows = held.join(comps.join(weights, "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node")).withColumn("weight", F.coalesce("weight", F.lit(1)))
         split = rows.groupBy("token").agg(F.min("group").alias("g1"), F.max("group").alias("g2"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("g1 <> g2 AND c1 <> c2").select("token")
         rows = stash(rows.join(split, "token", "left_semi"), "open-tokens")
+        held = rows.select("token", "node", "n", "group")  # an n-gram of one group or component stays one's
         asking = rows
         if not members_ask:
             asking = rows.join(rows.groupBy("group", "comp").agg(F.min("node").alias("node")).select("node"), "node", "left_semi")
-        pairs = stash(candidates(asking, rows, sizes.drop("c"), percent, star), "candidates")
+        pairs = candidates(asking, rows, sizes.drop("c"), percent, star)
+        pairs = stash(pairs if asked is None else pairs.join(asked, ["node", "group"], "left_anti"), "candidates")
+        asked = pairs if asked is None else asked.union(pairs)
         more = None if pairs.isEmpty() else links_across(pairs, groups, comps, docs, width, percent)
         if more is not None and not more.isEmpty():
             links = links.union(more)

@@ -217,3 +217,31 @@ def test_set_join_of_odd_texts(spark):
     assert set_join.similar_sets(spark.createDataFrame(rows[:1], DOC).limit(0)).count() == 0
     with pytest.raises(ValueError):
         set_join.similar_sets(spark.createDataFrame(rows[:1], DOC), percent=100)
+
+
+def test_set_join_moves_texts_and_tokens_once_and_asks_once(spark, monkeypatch):
+    """Nothing but what draws candidates is written or sent twice, at any size."""
+    rng = random.Random(13)
+    words = [f"v{i}" for i in range(400)]
+    rows = []
+    for f in range(4):
+        base = " ".join(rng.choices(words, k=60))
+        rows += [(100 * f + i, family(rng, base, 4)) for i in range(25)]
+    plans, asked, stash, across = {}, [], set_join.stash, set_join.links_across
+
+    def stashed(df, what="table"):
+        plans.setdefault(what, df._jdf.queryExecution().executedPlan().toString())
+        return stash(df, what)
+
+    def asks(pairs, *rest):
+        asked.append({tuple(r) for r in pairs.select("node", "group").collect()})
+        return across(pairs, *rest)
+
+    monkeypatch.setattr(set_join, "stash", stashed)
+    monkeypatch.setattr(set_join, "links_across", asks)
+    got = set_join.similar_sets(spark.createDataFrame(rows, DOC), 90, 3, 3).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == sorted(brute_components(rows, 90, 3), key=repr)
+    first = list(plans)[: list(plans).index("links-within")]
+    assert "sets" not in first and "shared-tokens" not in plans and "rarest" not in plans
+    assert len([x for x in plans["token-groups"].splitlines() if "Exchange hashpartitioning(token" in x]) == 1
+    assert len(asked) > 1 and sum(map(len, asked)) == len(set().union(*asked))
