@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -178,6 +179,28 @@ def test_clustered_vectors_meet_few_groups(spark, monkeypatch):
     assert groups > 20 and pairs < 60 * groups / 2
 
 
+def test_routing_is_bounded_in_memory(spark, monkeypatch):
+    """Many groups and many queries: no frame or array of a task grows with their product, and a query's vector goes to a
+    bundle once."""
+    monkeypatch.setattr(topk, "CELLS", 500)
+    widest = []
+    partition = np.partition
+    monkeypatch.setattr(np, "partition", lambda a, *args, **named: (widest.append(a.size), partition(a, *args, **named))[1])
+    rng = np.random.default_rng(8)
+    n, k = 400, 5
+    q = pd.DataFrame({"query_id": np.arange(n), "v": list(rng.integers(-9, 9, size=(n, 4))), "cells": [[0, 1]] * n, "least": [None] * n})
+    x = pd.DataFrame({"cell": np.arange(n) % 2, "vec_id": np.arange(n), "v": q.v})
+    got = topk.best_of(q, x, 4, k)
+    assert max(widest) <= 500
+    ints = {i: [int(c) for c in v] for i, v in zip(q.query_id, q.v, strict=True)}
+    want = [(i, j, s) for i in range(n) for s, j in sorted(((sum(a * b for a, b in zip(ints[i], ints[j], strict=True)), j) for j in range(n) if j != i), key=lambda p: (-p[0], p[1]))[:k]]
+    assert sorted(map(tuple, got.itertuples(index=False))) == sorted(want)
+    df = spark.createDataFrame([(i, [float(c) for c in rng.normal(size=8)]) for i in range(900)], "vec_id long, embedding array<double>")
+    ints = {r.vec_id: [int(np.floor(64 * c)) for c in r.embedding] for r in df.collect()}
+    got = topk.top_products(topk.quantised(df), F.col("vec_id") % 20 == 0, 20, part_rows=100, query_block=7).collect()
+    assert sorted(tuple(r) for r in got) == brute_top(ints, 20)
+
+
 def test_top_products_of_few(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 1.0]), (20, [1e9, -1e9])], "vec_id long, embedding array<double>")
     got = topk.top_products(topk.quantised(df), F.col("vec_id") % 20 == 0).collect()
