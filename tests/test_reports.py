@@ -150,3 +150,13 @@ def test_registry_without_optional_modules(monkeypatch):
     monkeypatch.setitem(sys.modules, "graphloom.llm.queries", None)
     monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
     assert set(entry.queries()) == set(catalogue.QUERIES) and set(entry.oracle_sql()) == set(catalogue.ORACLE)
+
+
+def test_no_runs_beyond_the_last_size_class(spark, tmp_path):
+    """As in the query's SQL, whose last class ends at 9e9 nodes."""
+    from graphloom.plans import catalogue
+
+    keys = {0: [9_000_000_000], 1: [9_000_000_000, 1], 2: [5]}
+    spark.createDataFrame([(k, n) for n, ks in keys.items() for k in ks], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(n, f"N{n}") for n in keys], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    assert sorted(r.graph for r in catalogue.QUERIES["runs_by_tier"](spark, str(tmp_path)).collect()) == ["N0", "N2"]
