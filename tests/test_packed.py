@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import storage
-from graphloom.operators import graph, multi_source, packed, paths
+from graphloom.operators import folding, graph, multi_source, packed, paths
 from graphloom.operators.centrality import betweenness, dependencies
 
 
@@ -81,3 +81,18 @@ def test_empty(spark):
     assert rows(paths.shortest_path_counts(empty, empty.vertices)) == [] and rows(multi_source.eccentricities(empty, empty.vertices)) == []
     assert rows(betweenness(graph.Graph(spark.range(3), empty.edges), "kernel")) == [(0, 0.0), (1, 0.0), (2, 0.0)]
     assert rows(paths.bfs(graph.Graph(spark.range(3), empty.edges), spark.range(3)).select(F.col("v"))) == [(0,), (1,), (2,)]
+
+
+def test_leaves_are_taken_off(spark):
+    """A tree on a cycle, a path, a pair, a star and a lone vertex, with all sources and with some: as without folding; trees
+    fold to a vertex each."""
+    rng = random.Random(5)
+    pairs = [(0, 1), (1, 2), (2, 3), (3, 0)] + [(rng.randrange(i), i) for i in range(4, 40)]
+    pairs += [(50, 51), (51, 52), (52, 53), (60, 61), *[(70, i) for i in range(71, 80)]]
+    ids = sorted({x for p in pairs for x in p} | {90})
+    g = graph.Graph(spark.createDataFrame([(i,) for i in ids], "id long"), spark.createDataFrame(pairs + [(b, a) for a, b in pairs], "src long, dst long"))
+    for sources in (g.vertices, g.vertices.filter("id % 3 = 0")):
+        want = {r.v: r.bc for r in betweenness(g, "kernel", sources).collect()}
+        less = folding.folded(g, sources)
+        assert less is not None and less.core.vertices.count() < 30
+        assert {r.v: r.bc for r in betweenness(g, "auto", sources).collect()} == pytest.approx(want) and len(want) == len(ids)
