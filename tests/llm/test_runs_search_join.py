@@ -245,3 +245,17 @@ def test_set_join_moves_texts_and_tokens_once_and_asks_once(spark, monkeypatch):
     assert "sets" not in first and "shared-tokens" not in plans and "rarest" not in plans
     assert len([x for x in plans["token-groups"].splitlines() if "Exchange hashpartitioning(token" in x]) == 1
     assert len(asked) > 1 and sum(map(len, asked)) == len(set().union(*asked))
+
+
+def test_search_takes_few_blocks_at_once(spark, monkeypatch):
+    """A worker gets texts and blocks in small frames, whatever the session's number of rows; that is left as it was."""
+    from graphloom.llm import search as s
+
+    key, sizes = "spark.sql.execution.arrow.maxRecordsPerBatch", {}
+    before, stash = spark.conf.get(key), s.stash
+    monkeypatch.setattr(s, "stash", lambda frame, what="table": (sizes.update({what: int(spark.conf.get(key))}), stash(frame, what))[1])
+    docs = spark.createDataFrame([(i, f"word{i % 7} word{i % 3} text") for i in range(60)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "word2 word1"), (2, "nothing")], "item_id long, text string")
+    got = s.search(docs, items, block_docs=4).collect()
+    assert len(got) == 10 and spark.conf.get(key) == before
+    assert sizes["index-blocks"] <= 1024 and sizes["asked-postings"] <= 8 and sizes["block-maxima"] <= 8
